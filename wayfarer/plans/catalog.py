@@ -136,3 +136,101 @@ def registry() -> dict:
         "medium_mix_last": _mix("last"),
         "medium_mix_even": _mix("even"),
     }
+
+
+# ---- sequences and divergence -------------------------------------------------------
+
+from wayfarer.operators import divergence as D  # noqa: E402
+from wayfarer.operators import patterns as P  # noqa: E402
+
+# Workload parameters: the class analyses use the pattern miner's own defaults
+# (min_freq 3, length 3) and the demo's top 15; the all-journey pattern report
+# and importance use min_freq 10, length 3 (the importance defaults).
+CLASS_MIN_FREQ, CLASS_MIN_LEN, DIVERGENCE_TOP = 3, 3, 15
+ALL_MIN_FREQ, ALL_MIN_LEN = 10, 3
+
+
+def journeys_df(spark, sf_dir, **overrides):
+    from wayfarer.operators.journeys import flag_converted
+    st = stages(spark, sf_dir, **overrides)
+    return flag_converted(st.journeys, st.converters)
+
+
+def q_frequent_sequences(spark, sf_dir):
+    j = journeys_df(spark, sf_dir)
+    return P.with_text(P.frequent_sequences(j, min_freq=ALL_MIN_FREQ, min_len=ALL_MIN_LEN))
+
+
+def q_frequent_sequences_open(spark, sf_dir):
+    j = journeys_df(spark, sf_dir)
+    return P.with_text(P.frequent_sequences(j, min_freq=ALL_MIN_FREQ, min_len=1, closed=False))
+
+
+def _class_patterns(spark, sf_dir):
+    return D.class_patterns(journeys_df(spark, sf_dir), CLASS_MIN_FREQ, CLASS_MIN_LEN)
+
+
+def q_conv_sequences(spark, sf_dir):
+    return P.with_text(_class_patterns(spark, sf_dir)[0])
+
+
+def q_nonconv_sequences(spark, sf_dir):
+    return P.with_text(_class_patterns(spark, sf_dir)[1])
+
+
+def q_conv_only_sequences(spark, sf_dir):
+    conv, non = _class_patterns(spark, sf_dir)
+    return P.with_text(D.split_shared(conv, non)[0])
+
+
+def q_nonconv_only_sequences(spark, sf_dir):
+    conv, non = _class_patterns(spark, sf_dir)
+    return P.with_text(D.split_shared(conv, non)[1])
+
+
+def q_shared_sequences(spark, sf_dir):
+    conv, non = _class_patterns(spark, sf_dir)
+    shared = D.split_shared(conv, non)[2]
+    return shared.select(P.join_path("sequence").alias("sequence"),
+                         F.size("sequence").cast("long").alias("length"))
+
+
+def q_divergence_top(spark, sf_dir):
+    return D.analyze_divergence(journeys_df(spark, sf_dir), top_n=DIVERGENCE_TOP,
+                                min_freq=CLASS_MIN_FREQ, min_seq_len=CLASS_MIN_LEN)
+
+
+def q_divergence_count(spark, sf_dir):
+    conv, non = _class_patterns(spark, sf_dir)
+    conv_only, non_only, _ = D.split_shared(conv, non)
+    return D.divergence_count(non_only, conv_only)
+
+
+def q_sequence_support(spark, sf_dir):
+    """Support among non-converters of the converters' closed patterns."""
+    j = journeys_df(spark, sf_dir)
+    conv, _ = _class_patterns(spark, sf_dir)
+    sup = P.sequence_support(j.filter(F.col("converted") == 0), conv)
+    return sup.select(P.join_path("sequence").alias("sequence"), "support")
+
+
+registry.cache_clear()
+_BASE_REGISTRY = registry
+
+
+@lru_cache(maxsize=None)
+def registry() -> dict:  # noqa: F811
+    out = dict(_BASE_REGISTRY())
+    out.update({
+        "frequent_sequences": q_frequent_sequences,
+        "frequent_sequences_open": q_frequent_sequences_open,
+        "conv_sequences": q_conv_sequences,
+        "nonconv_sequences": q_nonconv_sequences,
+        "conv_only_sequences": q_conv_only_sequences,
+        "nonconv_only_sequences": q_nonconv_only_sequences,
+        "shared_sequences": q_shared_sequences,
+        "sequence_support": q_sequence_support,
+        "divergence_top": q_divergence_top,
+        "divergence_count": q_divergence_count,
+    })
+    return out

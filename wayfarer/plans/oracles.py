@@ -285,3 +285,107 @@ def registry() -> dict[str, str]:
         "medium_mix_last": _mix_sql("last"),
         "medium_mix_even": _mix_sql("even"),
     }
+
+
+# ---- sequences and divergence -------------------------------------------------------
+# Brute force: every subsequence of every list (recursive CTE), support by
+# distinct list id, closure by one-item deletions of equal support.
+
+CLASS_MIN_FREQ, CLASS_MIN_LEN, DIVERGENCE_TOP = 3, 3, 15
+ALL_MIN_FREQ, ALL_MIN_LEN = 10, 3
+
+
+def _mine(name: str, where: str, min_freq: int) -> str:
+    return f"""
+{name}_s AS (SELECT user_id AS id, activity_list AS a FROM journeys_all WHERE {where}),
+{name}_r AS (
+  SELECT id, a, i::INT AS i, [a[i]] AS p
+  FROM (SELECT id, a, unnest(range(1, len(a) + 1)) AS i FROM {name}_s)
+  UNION
+  SELECT id, a, j::INT, list_append(p, a[j])
+  FROM (SELECT id, a, p, unnest(range(i + 1, len(a) + 1)) AS j FROM {name}_r)),
+{name}_f AS (
+  SELECT p, count(DISTINCT id) AS freq FROM {name}_r GROUP BY p
+  HAVING count(DISTINCT id) >= {min_freq}),
+{name}_d AS (
+  SELECT DISTINCT list_concat(p[1:k - 1], p[k + 1:len(p)]) AS p, freq
+  FROM (SELECT p, freq, unnest(range(1, len(p) + 1)) AS k FROM {name}_f)),
+{name}_c AS (SELECT p, freq FROM {name}_f ANTI JOIN {name}_d USING (p, freq))"""
+
+
+def _rwith(*parts: str) -> str:
+    return "WITH RECURSIVE " + ",".join(parts)
+
+
+def _pattern_base() -> list[str]:
+    return [FLAT, CLEAN, USERS, _labelled(), JOURNEYS]
+
+
+def _text(rel: str, min_len: int) -> str:
+    return (f"\nSELECT array_to_string(p, ' -> ') AS sequence, CAST(freq AS BIGINT) AS freq, "
+            f"CAST(len(p) AS BIGINT) AS length FROM {rel} WHERE len(p) >= {min_len}")
+
+
+CLASS_SETS = f"""
+conv_k AS (SELECT p, freq FROM conv_c WHERE len(p) >= {CLASS_MIN_LEN}),
+non_k AS (SELECT p, freq FROM non_c WHERE len(p) >= {CLASS_MIN_LEN}),
+conv_o AS (SELECT p, freq FROM conv_k ANTI JOIN non_k USING (p)),
+non_o AS (SELECT p, freq FROM non_k ANTI JOIN conv_k USING (p)),
+pairs AS (
+  SELECT n.p AS np, n.freq AS nf, c.p AS cp,
+         len(list_filter(range(1, least(len(n.p), len(c.p)) + 1),
+                         lambda i: n.p[1:i] = c.p[1:i])) AS d
+  FROM non_o n CROSS JOIN conv_o c),
+scored AS (
+  SELECT array_to_string(cp, ' -> ') AS conversion_seq,
+         array_to_string(np, ' -> ') AS non_conversion_seq,
+         np[d + 1] AS diversion,
+         ((d::DOUBLE / least(len(np), len(cp))) * (d::DOUBLE / least(len(np), len(cp))))
+           / (((len(np) - d + (len(cp) - d))::DOUBLE / (len(np) + len(cp) - d)) + 1.0)
+           AS divergence_score,
+         CAST(nf AS BIGINT) AS non_conv_freq
+  FROM pairs WHERE d < len(np) AND d < len(cp))"""
+
+
+def _class_query(select: str) -> str:
+    return (_rwith(*_pattern_base(), _mine("conv", "converted = 1", CLASS_MIN_FREQ),
+                   _mine("non", "converted = 0", CLASS_MIN_FREQ), CLASS_SETS) + select)
+
+
+def pattern_registry() -> dict[str, str]:
+    allp = _rwith(*_pattern_base(), _mine("allj", "TRUE", ALL_MIN_FREQ))
+    return {
+        "frequent_sequences": allp + _text("allj_c", ALL_MIN_LEN),
+        "frequent_sequences_open": allp + _text("allj_f", 1),
+        "conv_sequences": _class_query(_text("conv_k", CLASS_MIN_LEN)),
+        "nonconv_sequences": _class_query(_text("non_k", CLASS_MIN_LEN)),
+        "conv_only_sequences": _class_query(_text("conv_o", CLASS_MIN_LEN)),
+        "nonconv_only_sequences": _class_query(_text("non_o", CLASS_MIN_LEN)),
+        "shared_sequences": _class_query(
+            "\nSELECT array_to_string(p, ' -> ') AS sequence, CAST(len(p) AS BIGINT) AS length"
+            " FROM conv_k SEMI JOIN non_k USING (p)"),
+        "sequence_support": _class_query("""
+, nonj AS (SELECT activity_list AS a FROM journeys_all WHERE converted = 0)
+SELECT array_to_string(k.p, ' -> ') AS sequence,
+       CAST(count(j.a) AS BIGINT) AS support
+FROM conv_k k LEFT JOIN nonj j
+  ON list_count(list_transform(k.p, lambda x: list_position(j.a, x))) = len(k.p)
+ AND list_transform(k.p, lambda x: list_position(j.a, x))
+     = list_sort(list_transform(k.p, lambda x: list_position(j.a, x)))
+GROUP BY k.p"""),
+        "divergence_top": _class_query(f"""
+SELECT *, divergence_score * non_conv_freq AS weight FROM scored
+ORDER BY weight DESC, non_conv_freq DESC, non_conversion_seq, conversion_seq
+LIMIT {DIVERGENCE_TOP}"""),
+        "divergence_count": _class_query(
+            "\nSELECT CAST(count(*) AS BIGINT) AS divergent_pairs FROM scored"),
+    }
+
+
+_BASE_SQL = registry
+
+
+def registry() -> dict[str, str]:  # noqa: F811
+    out = dict(_BASE_SQL())
+    out.update(pattern_registry())
+    return out
