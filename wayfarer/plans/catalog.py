@@ -234,3 +234,124 @@ def registry() -> dict:  # noqa: F811
         "divergence_count": q_divergence_count,
     })
     return out
+
+
+# ---- importance, segments, topics, pages ---------------------------------------------
+
+from wayfarer.functions.text import url_path  # noqa: E402
+from wayfarer.operators import density as DN  # noqa: E402
+from wayfarer.operators import importance as IM  # noqa: E402
+from wayfarer.operators import isolation as IS  # noqa: E402
+from wayfarer.operators import sampling as SA  # noqa: E402
+from wayfarer.operators import topics as TP  # noqa: E402
+from wayfarer.operators import vectors as V  # noqa: E402
+from wayfarer.plans import review as RV  # noqa: E402
+from wayfarer.plans import topics as TT  # noqa: E402
+
+IMPORTANCE_TOP, REVIEW_TOP, MIN_TOPIC_SIZE = 30, 10, 50
+
+
+def q_sequence_features(spark, sf_dir):
+    j = journeys_df(spark, sf_dir)
+    pats = P.frequent_sequences(j, min_freq=ALL_MIN_FREQ, min_len=ALL_MIN_LEN)
+    f = IM.sequence_features(j, pats)
+    return f.select("user_id", F.size("contained").cast("long").alias("n_contained"),
+                    "converted")
+
+
+def q_sequence_importance(spark, sf_dir):
+    return IM.sequence_importance(journeys_df(spark, sf_dir), top_n=IMPORTANCE_TOP,
+                                  min_freq=ALL_MIN_FREQ, min_seq_len=ALL_MIN_LEN)
+
+
+def _reduced(spark, sf_dir):
+    j = journeys_df(spark, sf_dir)
+    return V.reduce(j, V.fit_label_vocabulary(j))
+
+
+def q_journey_pca(spark, sf_dir):
+    red = _reduced(spark, sf_dir)
+    return red.select("user_id", "converted", V.as_array("pca").alias("pca"))
+
+
+def q_density_clusters(spark, sf_dir):
+    red = _reduced(spark, sf_dir)
+    return DN.density_cluster(red).select("user_id", "converted", "cluster")
+
+
+def _embedding_pca(spark, sf_dir):
+    from pyspark.ml.functions import array_to_vector
+    e = read_table(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    return V.principal_components(V.standardize(e, "v"), "scaled", 5).drop("v", "scaled")
+
+
+def q_embedding_clusters(spark, sf_dir):
+    return DN.density_cluster(_embedding_pca(spark, sf_dir)).select("vec_id", "label", "cluster")
+
+
+def q_isolation_scores(spark, sf_dir):
+    scored = IS.isolation_scores(_embedding_pca(spark, sf_dir), "vec_id")
+    return IS.flag_anomalies(scored).select("vec_id", "label", "anomaly_score", "anomaly")
+
+
+def q_converter_review(spark, sf_dir):
+    return RV.converter_review(journeys_df(spark, sf_dir), top_n=REVIEW_TOP, reducer="pca")
+
+
+def _topics(spark, sf_dir):
+    return TT.journey_topics(journeys_df(spark, sf_dir), min_topic_size=MIN_TOPIC_SIZE)
+
+
+def q_journey_topics(spark, sf_dir):
+    info = _topics(spark, sf_dir).info
+    return info.select("topic", "count", "name", F.array_join("keywords", ", ").alias("keywords"),
+                       F.array_join("representative_docs", "\n").alias("representative_docs"))
+
+
+def q_topic_assignments(spark, sf_dir):
+    return _topics(spark, sf_dir).assignments
+
+
+def q_topic_prompts(spark, sf_dir):
+    return _topics(spark, sf_dir).prompts
+
+
+def q_topic_keywords(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return TP.class_tfidf(docs.select(F.col("lang").alias("topic"), "text"), "topic", "text")
+
+
+def q_url_paths(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages")
+    return pages.select("page_id", url_path("url").alias("path"))
+
+
+def q_balanced_journeys(spark, sf_dir):
+    return SA.balance_classes(journeys_df(spark, sf_dir)).select(
+        "user_id", "converted", P.join_path("activity_list").alias("activity_list_text"))
+
+
+registry.cache_clear()
+_REGISTRY_2 = registry
+
+
+@lru_cache(maxsize=None)
+def registry() -> dict:  # noqa: F811
+    out = dict(_REGISTRY_2())
+    out.update({
+        "sequence_features": q_sequence_features,
+        "sequence_importance": q_sequence_importance,
+        "journey_pca": q_journey_pca,
+        "density_clusters": q_density_clusters,
+        "embedding_clusters": q_embedding_clusters,
+        "isolation_scores": q_isolation_scores,
+        "converter_review": q_converter_review,
+        "journey_topics": q_journey_topics,
+        "topic_assignments": q_topic_assignments,
+        "topic_prompts": q_topic_prompts,
+        "topic_keywords": q_topic_keywords,
+        "url_paths": q_url_paths,
+        "balanced_journeys": q_balanced_journeys,
+    })
+    return out

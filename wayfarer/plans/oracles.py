@@ -80,8 +80,9 @@ def _title(x: str) -> str:
     return _strip(t)
 
 
-def _url(x: str) -> str:
-    u = f"regexp_replace(coalesce({x}, '/'), '[?#].*$', '')"
+def _url(x: str, default: str | None = "/") -> str:
+    src = f"coalesce({x}, '{default}')" if default is not None else x
+    u = f"regexp_replace({src}, '[?#].*$', '')"
     u = f"regexp_replace({u}, '^https?://[^/]+', '')"
     u = f"rtrim(lower({_strip(u)}), '/')"
     return f"({u} || '/')"
@@ -389,3 +390,46 @@ def registry() -> dict[str, str]:  # noqa: F811
     out = dict(_BASE_SQL())
     out.update(pattern_registry())
     return out
+
+
+# ---- features, keywords, pages ------------------------------------------------------
+
+TOKEN_RX = r"[\pL\pN_]{2,}"
+
+
+def extra_registry() -> dict[str, str]:
+    allp = _rwith(*_pattern_base(), _mine("allj", "TRUE", ALL_MIN_FREQ))
+    contains = ("list_count(list_transform(k.p, lambda x: list_position(j.activity_list, x)))"
+                " = len(k.p) AND list_transform(k.p, lambda x: list_position(j.activity_list, x))"
+                " = list_sort(list_transform(k.p, lambda x: list_position(j.activity_list, x)))")
+    return {
+        "sequence_features": allp + f"""
+, pk AS (SELECT p FROM allj_c WHERE len(p) >= {ALL_MIN_LEN})
+SELECT j.user_id, CAST(count(k.p) AS BIGINT) AS n_contained, CAST(j.converted AS INTEGER) AS converted
+FROM journeys_all j LEFT JOIN pk k ON {contains}
+GROUP BY j.user_id, j.converted""",
+        "topic_keywords": f"""
+WITH words AS (
+  SELECT lang AS topic, lower(unnest(regexp_extract_all(text, '{TOKEN_RX}'))) AS word
+  FROM documents),
+tf AS (SELECT topic, word, count(*) AS tf FROM words GROUP BY topic, word),
+size AS (SELECT topic, sum(tf) AS class_size FROM tf GROUP BY topic),
+ft AS (SELECT word, sum(tf) AS f FROM tf GROUP BY word),
+avgc AS (SELECT CAST(floor(avg(class_size)) AS DOUBLE) AS a FROM size),
+w AS (
+  SELECT tf.topic, tf.word,
+         round(tf.tf / size.class_size * ln(1.0 + (SELECT a FROM avgc) / ft.f), 9) AS weight
+  FROM tf JOIN size USING (topic) JOIN ft USING (word)),
+r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, word) AS rank FROM w)
+SELECT topic, word AS keyword, weight, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""",
+        "url_paths": f"SELECT page_id, {_url('url', None)} AS path FROM pages",
+    }
+
+
+_BASE_SQL_2 = registry
+
+
+def registry() -> dict[str, str]:  # noqa: F811
+    out = dict(_BASE_SQL_2())
+    out.update(extra_registry())
+    return out
