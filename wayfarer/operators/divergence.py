@@ -22,6 +22,7 @@ from wayfarer.functions.sequences import (common_prefix_length, divergence_score
                                           prefixes)
 from wayfarer.functions.text import join_path
 from wayfarer.operators.patterns import frequent_sequences
+from wayfarer.session import materialize
 
 RESULT_COLUMNS = ["conversion_seq", "non_conversion_seq", "diversion", "divergence_score",
                   "non_conv_freq", "weight"]
@@ -129,6 +130,7 @@ def class_patterns(journeys: DataFrame, min_freq: int, min_len: int,
 def analyze_divergence(journeys: DataFrame, top_n: int = 10, min_freq: int = 10,
                        min_seq_len: int = 3) -> DataFrame:
     """Top pairs where a non-converting pattern leaves a converting one."""
+    journeys = materialize(journeys.select("activity_list", "converted"))
     conv, non = class_patterns(journeys, min_freq, min_seq_len)
-    conv_only, non_only, _ = split_shared(conv, non)
+    conv_only, non_only, _ = split_shared(materialize(conv), materialize(non))
     return top_divergence(non_only, conv_only, top_n)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.functions.sequences import contains_in_order, one_item_deletions
 from wayfarer.functions.text import join_path
+from wayfarer.session import materialize
 
 PATTERN_SCHEMA = "sequence array<string>, freq bigint"
 
@@ -31,7 +32,8 @@ def all_frequent_sequences(df: DataFrame, seq_col: str = "activity_list",
     """Every sequence contained (in order, gaps allowed) in >= min_freq rows."""
     if min_freq < 1:
         raise ValueError("min_freq must be >= 1")
-    seqs = df.select(F.col(seq_col).alias("_s")).filter(F.col("_s").isNotNull())
+    # PrefixSpan passes over its input several times: write it once.
+    seqs = materialize(df.select(F.col(seq_col).alias("_s")).filter(F.col("_s").isNotNull()))
     stats = seqs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_s")).alias("L")).first()
     n, longest = stats["n"], stats["L"] or 0
     if n == 0 or min_freq > n or longest == 0:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.operators import density, isolation, vectors
 from wayfarer.operators.patterns import frequent_sequences, with_text
+from wayfarer.session import materialize
 
 REVIEW_SCHEMA = "kind string, sequence string, freq bigint, length bigint"
 
@@ -41,10 +42,11 @@ def review_parts(journeys: DataFrame, top_n: int = 10, reducer: str = "pca",
     if reducer != "pca":
         raise ValueError("reducer must be 'pca' (UMAP is not available on Spark)")
     spark = journeys.sparkSession
+    journeys = materialize(journeys.select(id_col, "activity_list", "converted"))
     vocab = vectors.fit_label_vocabulary(journeys, vocab_size=vocab_size)
-    reduced = vectors.reduce(journeys, vocab, k)
-    clustered = density.density_cluster(reduced, cell_size=cell_size,
-                                        min_cluster_size=min_cluster_size)
+    reduced = materialize(vectors.reduce(journeys, vocab, k))
+    clustered = materialize(density.density_cluster(reduced, cell_size=cell_size,
+                                                    min_cluster_size=min_cluster_size))
     conv_clusters = (clustered.filter((F.col("converted") == 1) & (F.col("cluster") > -1))
                      .select("cluster").distinct())
     similar = clustered.filter(F.col("converted") == 0) \
@@ -54,8 +56,8 @@ def review_parts(journeys: DataFrame, top_n: int = 10, reducer: str = "pca",
         return ReviewParts(clustered, similar.withColumn("anomaly", F.lit(1)), empty)
     # Refit scaling and components on the similar non-converters only, keeping
     # the vocabulary of all journeys.
-    sim_red = vectors.reduce(similar, vocab, k)
-    scored = isolation.isolation_scores(sim_red, id_col, "pca", seed=seed)
+    sim_red = materialize(vectors.reduce(similar, vocab, k))
+    scored = materialize(isolation.isolation_scores(sim_red, id_col, "pca", seed=seed))
     flagged = isolation.flag_anomalies(scored, contamination)
     report = top_patterns(flagged, "similar", top_n, min_freq=2)
     unusual = flagged.filter(F.col("anomaly") == -1)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfarer.operators import density, topics, vectors
+from wayfarer.session import materialize
 
 
 @dataclass
@@ -24,14 +25,16 @@ def journey_topics(journeys: DataFrame, min_topic_size: int = 100, id_col: str =
                    instruction: str = topics.INSTRUCTION, labeler=None, k: int = 5,
                    cell_size: float | None = None, n_keywords: int = 10) -> TopicResult:
     """Topics over journey texts; topic ids are ordered by size (0 = largest)."""
+    journeys = materialize(journeys.select(id_col, "activity_list", text_col))
     if embedder is None:
         emb = topics.embed_labels(journeys)
     else:
         emb = topics.embed_with(journeys, embedder, instruction, id_col, text_col)
     red = vectors.principal_components(vectors.standardize(emb, "embedding", "_scaled"),
                                        "_scaled", k, "pca").drop("_scaled")
-    clustered = density.density_cluster(red, "pca", cell_size=cell_size,
-                                        min_cluster_size=min_topic_size)
+    red = materialize(red)
+    clustered = materialize(density.density_cluster(red, "pca", cell_size=cell_size,
+                                                    min_cluster_size=min_topic_size))
     sizes = clustered.filter(F.col("cluster") >= 0).groupBy("cluster") \
         .agg(F.count(F.lit(1)).alias("count"))
     # One row per topic: the ordering window runs over the topic summary only.

@@ -70,3 +70,14 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+def materialize(df):
+    """Write ``df`` to the checkpoint folder once and read it back.
+
+    Used at the entry of multi-pass analyses (model fits, counts, iterative
+    rounds) so the upstream event pipeline runs once, and so lineage stays
+    short if an executor is lost.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
