@@ -102,3 +102,40 @@ def cut_at_conversion(events: DataFrame, conversion_page_path: Iterable[str]) ->
         F.col("first_conversion_timestamp").isNull()
         | (F.col("event_timestamp") < F.col("first_conversion_timestamp")))
     return out.drop("first_conversion_timestamp", "event_timestamp_sec")
+
+
+def journey_users(clean: DataFrame, removal_phrases: Iterable[str],
+                  conversion_page_path: Iterable[str], low: int = 2,
+                  high: int = 75) -> DataFrame:
+    """Users kept for journeys, with their first conversion time, in one pass.
+
+    Band, removal and first conversion are all per-user facts over the cleaned
+    events, so one combinable aggregate replaces the semi, anti and left joins
+    of the step-by-step form (same rows: removal and conversion look only at
+    band users' own rows).
+    """
+    rx = T.phrase_regex(removal_phrases)
+    paths = normalise_paths(conversion_page_path)
+    loc, name = F.col("page_location"), F.col("event_name")
+    aggs = [
+        F.count_distinct(F.when(name == "page_view", loc)).alias("_pages"),
+        F.min(F.when(loc.isin(paths), F.col("event_timestamp")))
+        .alias("first_conversion_timestamp"),
+    ]
+    if rx is not None:
+        aggs.append(F.max(loc.rlike(rx).cast("int")).alias("_removed"))
+    per = clean.groupBy("user_id").agg(*aggs)
+    keep = (F.col("_pages") > low) & (F.col("_pages") < high)
+    if rx is not None:
+        keep = keep & (F.col("_removed") == 0)
+    return per.filter(keep).select("user_id", "first_conversion_timestamp")
+
+
+def journey_events(clean: DataFrame, removal_phrases: Iterable[str],
+                   conversion_page_path: Iterable[str]) -> DataFrame:
+    """Band users' events, removed users dropped, cut before first conversion."""
+    users = journey_users(clean, removal_phrases, conversion_page_path)
+    out = clean.join(users, "user_id").filter(
+        F.col("first_conversion_timestamp").isNull()
+        | (F.col("event_timestamp") < F.col("first_conversion_timestamp")))
+    return out.select(*[c for c in MULTI_COLUMNS if c != "event_timestamp_sec"], "event_id")

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from wayfarer.operators import attribution, clean, journeys, users
+from wayfarer.session import write_table
 
 DEFAULT_REMOVAL_PHRASES = ("job", "career", "careers", "apply")
 
@@ -22,6 +23,7 @@ class JourneyParams:
     strategy: str = "first"
     order_by: str = "name"
     bucket_seconds: int = 3600
+    write_clean: bool = True
 
 
 @dataclass
@@ -48,12 +50,19 @@ def journey_stages(flat: DataFrame, params: JourneyParams) -> JourneyStages:
     """Build every stage from flat clickstream rows; nothing runs here."""
     cleaned = clean.clean_events(flat, params.goal_event, params.brand,
                                  bucket_seconds=params.bucket_seconds)
+    if params.write_clean:
+        cleaned = write_table(cleaned, "clean_events")
     counts = users.user_counts(cleaned)
     conv = users.converters(cleaned, params.goal_event)
     multi = users.multi_page_events(cleaned, counts)
     kept = users.remove_users(multi, params.removal_phrases)
-    truncated = users.cut_at_conversion(kept, params.conversion_page_path)
+    # The fused per-user form of band + removal + cut (same rows as the
+    # step-by-step ``multi`` / ``kept`` chain kept above for inspection).
+    truncated = users.journey_events(cleaned, params.removal_phrases,
+                                     params.conversion_page_path)
     labelled = journeys.label_events(truncated, params.page_repr)
+    if params.write_clean:
+        labelled = write_table(labelled, "journey_events")
     mix = attribution.medium_mix_long(cleaned, params.strategy, params.order_by)
     agg = journeys.aggregate_journeys(labelled)
     return JourneyStages(cleaned, counts, conv, multi, kept, truncated, labelled, mix, agg)

@@ -81,3 +81,20 @@ def materialize(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_table(df, name: str):
+    """Write ``df`` as parquet under the shared checkpoint folder; read it back.
+
+    For intermediates read by several branches (the cleaned events feed the
+    counts, the converters, the band, attribution and truncation): a columnar
+    copy keeps column pruning and filter pushdown for every reader, and the
+    upstream scan and windows run once.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
