@@ -1,0 +1,109 @@
+"""The hand-derived golden user (fixture notes section 4)."""
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from wayfarer.operators import clean, journeys, users
+from wayfarer.plans.journey_plan import build_journeys
+
+HOST = "https://Shop.example.com"
+FLAT_SCHEMA = ("event_id bigint, user_pseudo_id string, event_date date, "
+               "event_timestamp timestamp_ntz, event_name string, ga_session_id string, "
+               "ga_session_number bigint, session_engaged bigint, page_location string, "
+               "page_title string, campaign string, source string, medium string, "
+               "source_medium string, geo_region string, geo_city string, device_category string")
+
+
+def t(h, m, s=0):
+    return dt.datetime(2024, 1, 5, h, m, s)
+
+
+def golden_rows():
+    day = dt.date(2024, 1, 5)
+    rows = [
+        (1, "session_start", t(10, 0), HOST + "/?utm=x", "Welcome | Acme"),
+        (2, "page_view", t(10, 0), HOST + "/?utm=x", "Welcome | Acme"),
+        (3, "page_view", t(10, 1), HOST + "/Pricing", "Acme Pricing - Shop"),
+        (4, "page_view", t(10, 2), None, None),
+        (5, "page_view", t(10, 3), HOST + "/Docs/#a", "ACME"),
+        (6, "page_view", t(10, 5), HOST + "/Thank-You", "Thanks"),
+        (7, "purchase", t(10, 5, 30), None, None),
+        (8, "scroll", t(10, 6), HOST + "/x", "x"),
+    ]
+    return [(i, "1.2", day, ts, name, "1.2.7", 1, 1, loc, title, "(not set)", "Google",
+             "CPC", "Google / CPC", "(not set)", "(not set)", "desktop")
+            for i, name, ts, loc, title in rows]
+
+
+@pytest.fixture(scope="module")
+def flat(spark):
+    return spark.createDataFrame(golden_rows(), FLAT_SCHEMA)
+
+
+def test_cleaned_rows(flat):
+    c = clean.clean_events(flat, "purchase", ["acme"])
+    got = sorted((r.event_id, r.event_name, r.event_timestamp, r.event_timestamp_diff,
+                  r.page_location, r.page_title) for r in c.collect())
+    assert got == sorted([
+        (1, "session_start", dt.datetime(2024, 1, 5, 9, 59, 58), 0.0, "/", "Home"),
+        (1, "page_view", t(10, 0), 2.0, "/", "Home"),
+        (2, "page_view", t(10, 0), 0.0, "/", "Home"),
+        (3, "page_view", t(10, 1), 60.0, "/pricing/", "Pricing"),
+        (5, "page_view", t(10, 3), 120.0, "/docs/", "(not set)"),
+        (6, "page_view", t(10, 5), 120.0, "/thank-you/", "Thanks"),
+        (7, "purchase", t(10, 5, 30), 30.0, "/", "Home"),
+    ])
+    row = c.first()
+    assert row.user_id == "1_2" and row.source_medium == "google / cpc"
+
+
+def test_gap_is_bucket_independent(flat):
+    a = clean.clean_events(flat, "purchase", ["acme"], bucket_seconds=60)
+    b = clean.clean_events(flat, "purchase", ["acme"], bucket_seconds=10 ** 9)
+    key = lambda df: sorted((r.event_id, r.event_name, r.event_timestamp_diff) for r in df.collect())
+    assert key(a) == key(b)
+
+
+def test_counts_and_journey(flat):
+    c = clean.clean_events(flat, "purchase", ["acme"])
+    counts = users.user_counts(c).first()
+    assert (counts.unique_days, counts.unique_pages, counts.pageviews,
+            counts.engaged_sessions, counts.total_sessions) == (1, 4, 4, 1.25, 1)
+    events, js = build_journeys(flat, "purchase", ["/thank-you/"], ["acme"])
+    assert events.count() == 5
+    j = js.first()
+    assert j.activity_list == ["Originated from: google / cpc", "Navigated to: /",
+                               "Navigated to: /pricing/", "Navigated to: /docs/"]
+    assert (j.unique_pages, j.unique_pageviews, j.engaged_sessions, j.converted) == (3, 4, 1.25, 1)
+    # One medium only: nothing is strictly above the 0.10 quantile, so "(not set)".
+    assert j["(not set)"] == 1.0
+
+
+def test_fused_cut_equals_step_by_step(spark):
+    from wayfarer.plans import catalog
+    st = catalog.stages(spark, "/root/testdata/sf0.001")
+    steps = users.cut_at_conversion(st.kept, ["/thank-you/"])
+    cols = sorted(steps.columns)
+    assert sorted(st.truncated.columns) == cols
+    assert st.truncated.select(cols).exceptAll(steps.select(cols)).count() == 0
+    assert steps.select(cols).exceptAll(st.truncated.select(cols)).count() == 0
+
+
+def test_string_arguments_rejected(flat):
+    with pytest.raises(TypeError):
+        build_journeys(flat, "purchase", "/thank-you/", ["acme"])
+    with pytest.raises(ValueError):
+        journeys.label_events(flat, "page_url")
+
+
+def test_pii_and_null_rows_dropped(spark):
+    rows = golden_rows()[:2]
+    pii = list(rows[0])
+    pii[0], pii[1] = 9, "x___PII_REDACTED___"
+    nul = list(rows[1])
+    nul[0], nul[3] = 10, None
+    df = spark.createDataFrame(rows + [tuple(pii), tuple(nul)], FLAT_SCHEMA)
+    c = clean.clean_events(df, "purchase", [])
+    assert sorted(r.event_id for r in c.collect()) == [1, 1, 2]
+    assert c.filter(F.col("user_id").contains("PII")).count() == 0
