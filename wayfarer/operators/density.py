@@ -26,7 +26,7 @@ from wayfarer.operators.vectors import as_array
 from wayfarer.session import ensure_checkpoint_dir
 
 
-def default_cell_size(df: DataFrame, vec_col: str = "pca", fraction: float = 0.5) -> float:
+def default_cell_size(df: DataFrame, vec_col: str = "pca", fraction: float = 1.0) -> float:
     """``fraction`` x the root-mean variance of the components (one aggregate)."""
     arr = df.select(as_array(vec_col).alias("_v"))
     k = len(arr.first()["_v"])
