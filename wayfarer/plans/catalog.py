@@ -355,3 +355,54 @@ def registry() -> dict:  # noqa: F811
         "balanced_journeys": q_balanced_journeys,
     })
     return out
+
+
+# ---- nested export source ------------------------------------------------------------
+
+import datetime as _dt  # noqa: E402
+
+from wayfarer.sources import ga_export as GX  # noqa: E402
+
+EXPORT_AS_OF, EXPORT_DAYS = _dt.date(2024, 1, 30), 7
+
+
+def _raw_export(spark, sf_dir):
+    return A.nested_export_from_events(read_table(spark, sf_dir, "events"))
+
+
+def q_export_dedup(spark, sf_dir):
+    d = GX.dedup_raw(_raw_export(spark, sf_dir).drop("_table_suffix"))
+    return d.select("user_pseudo_id", "event_name", "event_timestamp",
+                    F.size("event_params").cast("long").alias("n_params"))
+
+
+def q_export_events(spark, sf_dir):
+    return GX.flatten_events(GX.dedup_raw(_raw_export(spark, sf_dir).drop("_table_suffix")))
+
+
+def q_export_shards(spark, sf_dir):
+    raw = GX.with_shard_columns(_raw_export(spark, sf_dir), F.col("_table_suffix"))
+    kept = GX.prune_shards(raw, EXPORT_AS_OF, EXPORT_DAYS)
+    return kept.groupBy("table_date", "is_intraday").agg(
+        F.count(F.lit(1)).alias("n_events"))
+
+
+def q_export_journeys(spark, sf_dir):
+    flat = GX.flatten_events(GX.dedup_raw(_raw_export(spark, sf_dir).drop("_table_suffix")))
+    return _journeys_out(journey_stages(flat, PARAMS))
+
+
+registry.cache_clear()
+_REGISTRY_3 = registry
+
+
+@lru_cache(maxsize=None)
+def registry() -> dict:  # noqa: F811
+    out = dict(_REGISTRY_3())
+    out.update({
+        "export_dedup": q_export_dedup,
+        "export_events": q_export_events,
+        "export_shards": q_export_shards,
+        "export_journeys": q_export_journeys,
+    })
+    return out

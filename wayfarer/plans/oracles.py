@@ -433,3 +433,122 @@ def registry() -> dict[str, str]:  # noqa: F811
     out = dict(_BASE_SQL_2())
     out.update(extra_registry())
     return out
+
+
+# ---- nested export source ------------------------------------------------------------
+
+EXPORT_LO, EXPORT_HI = "2024-01-23", "2024-01-30"
+
+
+def _param_sql(key: str, s: str = "NULL::VARCHAR", i: str = "NULL::BIGINT") -> str:
+    return f"{{'key': '{key}', 'value': {{'string_value': {s}, 'int_value': {i}}}}}"
+
+
+RAW_EXPORT = FLAT + f""",
+raw_base AS (
+  SELECT f.*, e.user_id, e.value, e.k,
+         CAST(dayofmonth(f.event_date) AS BIGINT) AS dom
+  FROM flat f JOIN ev_k e USING (event_id)),
+raw_all AS (
+  SELECT event_id,
+    strftime(event_date, '%Y%m%d') AS event_date,
+    event_name,
+    epoch_us(event_timestamp) AS event_timestamp,
+    CASE WHEN user_id % 13 <> 0 THEN user_pseudo_id END AS user_pseudo_id,
+    {{'region': CASE WHEN k % 3 = 0 THEN '' ELSE 'Region ' || CAST(user_id % 5 AS VARCHAR) END,
+     'city': CASE WHEN k % 4 <> 0 THEN 'City ' || CAST(user_id % 3 AS VARCHAR) END}} AS geo,
+    {{'category': CASE WHEN k % 6 <> 0 THEN CASE WHEN user_id % 2 = 0 THEN 'mobile'
+                                                ELSE 'desktop' END END}} AS device,
+    {{'name': 'campaign_' || CAST(user_id % 4 AS VARCHAR), 'medium': medium,
+     'source': source}} AS traffic_source,
+    {{'manual_campaign_name': CASE WHEN k % 5 = 1 THEN 'spring' END,
+     'manual_medium': CASE WHEN k % 5 = 1 THEN 'social' END,
+     'manual_source': CASE WHEN k % 5 = 1 THEN 'facebook' END}} AS collected_traffic_source,
+    CASE WHEN k % 17 = 0 THEN [] ELSE list_filter([
+      {_param_sql('ga_session_id', i="CASE WHEN k % 7 <> 0 THEN user_id * 100 + dom END")},
+      {_param_sql('ga_session_number', i='dom')},
+      {_param_sql('session_engaged', s="CASE WHEN k % 10 <> 0 THEN CASE WHEN value >= 10 THEN '1' ELSE '0' END END")},
+      {_param_sql('page_location', s='page_location')},
+      {_param_sql('page_title', s='page_title')}],
+      lambda p: p.value.string_value IS NOT NULL OR p.value.int_value IS NOT NULL) END
+      AS event_params,
+    CASE WHEN event_date = DATE '2024-01-30' AND user_id % 2 = 0
+         THEN 'intraday_' || strftime(event_date, '%Y%m%d')
+         ELSE strftime(event_date, '%Y%m%d') END AS table_suffix
+  FROM raw_base),
+raw_export AS (
+  SELECT * EXCLUDE (event_id) FROM raw_all
+  UNION ALL
+  SELECT * EXCLUDE (event_id) FROM raw_all WHERE event_id % 10 = 0),
+deduped AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_pseudo_id, event_name, event_timestamp
+                                 ORDER BY event_timestamp) AS rn
+    FROM raw_export) WHERE rn = 1)"""
+
+FLATTEN = """,
+flat_export AS (
+  SELECT 0::BIGINT AS event_id,
+    CAST(strptime(max(event_date), '%Y%m%d') AS DATE) AS event_date,
+    event_name,
+    make_timestamp(event_timestamp) AS event_timestamp,
+    user_pseudo_id,
+    coalesce(nullif(max(geo.region), ''), '(not set)') AS geo_region,
+    coalesce(nullif(max(geo.city), ''), '(not set)') AS geo_city,
+    coalesce(nullif(max(device.category), ''), '(not set)') AS device_category,
+    user_pseudo_id || '.' || CAST(max(CASE WHEN params.key = 'ga_session_id'
+                                          THEN params.value.int_value END) AS VARCHAR)
+      AS ga_session_id,
+    max(CASE WHEN params.key = 'ga_session_number' THEN params.value.int_value END)
+      AS ga_session_number,
+    coalesce(CAST(max(CASE WHEN params.key = 'session_engaged'
+                           THEN params.value.string_value END) AS BIGINT), 0) AS session_engaged,
+    max(CASE WHEN params.key = 'page_location' THEN params.value.string_value END)
+      AS page_location,
+    max(CASE WHEN params.key = 'page_title' THEN params.value.string_value END) AS page_title,
+    coalesce(max(collected_traffic_source.manual_campaign_name), max(traffic_source.name),
+             '(not set)') AS campaign,
+    coalesce(max(collected_traffic_source.manual_medium), max(traffic_source.medium),
+             '(not set)') AS medium,
+    coalesce(max(collected_traffic_source.manual_source), max(traffic_source.source),
+             '(not set)') AS source,
+    coalesce(max(collected_traffic_source.manual_source), max(traffic_source.source),
+             '(direct)') || ' / ' ||
+    coalesce(max(collected_traffic_source.manual_medium), max(traffic_source.medium),
+             '(not set)') AS source_medium
+  FROM deduped, unnest(event_params) AS t(params)
+  WHERE user_pseudo_id IS NOT NULL
+  GROUP BY user_pseudo_id, event_timestamp, event_name)"""
+
+EXPORT_COLS = ("event_date, event_name, event_timestamp, user_pseudo_id, geo_region, geo_city, "
+               "device_category, ga_session_id, ga_session_number, session_engaged, "
+               "page_location, page_title, campaign, medium, source, source_medium")
+
+
+def export_registry() -> dict[str, str]:
+    base = "WITH " + RAW_EXPORT
+    # The cleaning CTEs read ``flat``: point them at the flattened export.
+    clean_from_export = CLEAN.replace("FROM flat\n", "FROM flat_export\n")
+    return {
+        "export_dedup": base + """
+SELECT user_pseudo_id, event_name, event_timestamp,
+       CAST(len(event_params) AS BIGINT) AS n_params FROM deduped""",
+        "export_events": base + FLATTEN + f"\nSELECT {EXPORT_COLS} FROM flat_export",
+        "export_shards": base + f"""
+SELECT CAST(strptime(regexp_extract(table_suffix, '[0-9]+', 0), '%Y%m%d') AS DATE) AS table_date,
+       contains(table_suffix, 'intraday') AS is_intraday, count(*) AS n_events
+FROM raw_export
+WHERE try_strptime(table_suffix, '%Y%m%d') BETWEEN DATE '{EXPORT_LO}' AND DATE '{EXPORT_HI}'
+GROUP BY ALL""",
+        "export_journeys": base + FLATTEN + "," + clean_from_export + "," + USERS + ","
+                           + _labelled() + "," + JOURNEYS + JOURNEY_SELECT,
+    }
+
+
+_BASE_SQL_3 = registry
+
+
+def registry() -> dict[str, str]:  # noqa: F811
+    out = dict(_BASE_SQL_3())
+    out.update(export_registry())
+    return out

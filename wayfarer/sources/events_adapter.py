@@ -82,3 +82,73 @@ def clickstream_from_events(events: DataFrame) -> DataFrame:
         F.lit("(not set)").alias("geo_city"),
         F.lit("desktop").alias("device_category"),
     )
+
+
+def nested_export_from_events(events: DataFrame) -> DataFrame:
+    """The ``events`` table as a nested export (the shape the shard reader reads).
+
+    Same fixed mapping as the flat adapter for names, pages and traffic, plus:
+    users with ``user_id % 13 = 0`` have no pseudo id; region is empty when
+    ``k % 3 = 0``; city is NULL when ``k % 4 = 0``; device is NULL when
+    ``k % 6 = 0``; a collected source (facebook / social / spring) overrides the
+    first-touch one when ``k % 5 = 1``; ``ga_session_id`` is missing when
+    ``k % 7 = 0``; ``session_engaged`` is missing when ``k % 10 = 0``; rows with
+    ``k % 17 = 0`` have no parameters at all; rows with ``event_id % 10 = 0``
+    appear twice.  ``_table_suffix`` names the daily shard (the last day is
+    an intraday shard for even users).
+    """
+    from wayfarer.functions.timeutil import epoch_ntz
+
+    flat = clickstream_from_events(events)
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    base = events.select("event_id", "user_id", "value", k.alias("k")).join(flat, "event_id")
+    kk, uid = F.col("k"), F.col("user_id")
+    day = F.dayofmonth("event_date").cast("long")
+
+    def param(key, s=None, i=None):
+        return F.struct(F.lit(key).alias("key"), F.struct(
+            (s if s is not None else F.lit(None).cast("string")).alias("string_value"),
+            (i if i is not None else F.lit(None).cast("long")).alias("int_value")).alias("value"))
+
+    params = F.array(
+        param("ga_session_id", i=F.when(kk % 7 != 0, uid * 100 + day)),
+        param("ga_session_number", i=day),
+        param("session_engaged", s=F.when(kk % 10 != 0, F.when(F.col("value") >= 10, "1")
+                                          .otherwise("0"))),
+        param("page_location", s=F.col("page_location")),
+        param("page_title", s=F.col("page_title")))
+    params = F.filter(params, lambda p: p["value"]["string_value"].isNotNull()
+                      | p["value"]["int_value"].isNotNull())
+    params = F.when(kk % 17 == 0, F.array().cast(params_type())).otherwise(params)
+    manual = kk % 5 == 1
+    suffix = F.date_format("event_date", "yyyyMMdd")
+    last_day = F.col("event_date") == F.lit("2024-01-30").cast("date")
+    raw = base.select(
+        "event_id",
+        F.date_format("event_date", "yyyyMMdd").alias("event_date"),
+        "event_name",
+        F.timestamp_diff("MICROSECOND", epoch_ntz(), F.col("event_timestamp"))
+        .alias("event_timestamp"),
+        F.when(uid % 13 != 0, F.col("user_pseudo_id")).alias("user_pseudo_id"),
+        F.struct(F.when(kk % 3 == 0, F.lit("")).otherwise(
+                     F.concat(F.lit("Region "), (uid % 5).cast("string"))).alias("region"),
+                 F.when(kk % 4 != 0, F.concat(F.lit("City "), (uid % 3).cast("string")))
+                 .alias("city")).alias("geo"),
+        F.struct(F.when(kk % 6 != 0, F.when(uid % 2 == 0, "mobile").otherwise("desktop"))
+                 .alias("category")).alias("device"),
+        F.struct(F.concat(F.lit("campaign_"), (uid % 4).cast("string")).alias("name"),
+                 F.col("medium").alias("medium"), F.col("source").alias("source"))
+        .alias("traffic_source"),
+        F.struct(F.when(manual, "spring").alias("manual_campaign_name"),
+                 F.when(manual, "social").alias("manual_medium"),
+                 F.when(manual, "facebook").alias("manual_source"))
+        .alias("collected_traffic_source"),
+        params.alias("event_params"),
+        F.when(last_day & (uid % 2 == 0), F.concat(F.lit("intraday_"), suffix))
+        .otherwise(suffix).alias("_table_suffix"))
+    dup = raw.filter(F.col("event_id") % 10 == 0)
+    return raw.unionByName(dup).drop("event_id")
+
+
+def params_type() -> str:
+    return ("array<struct<key:string,value:struct<string_value:string,int_value:bigint>>>")
