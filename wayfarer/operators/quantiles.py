@@ -16,6 +16,42 @@ from pyspark.sql import functions as F
 ACCURACY = 100_000
 
 
+def values_at_ranks(df: DataFrame, col: str, ranks: list[int]) -> dict[int, float]:
+    """Exact order statistics (0-based ranks in ascending order) of ``col``.
+
+    An approximate quantile pair brackets the ranks; rows below the bracket
+    are only counted, and the rows inside it are grouped by value, so only a
+    small slice of distinct values ever reaches the driver.
+    """
+    vals = df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull())
+    n = vals.count()
+    ranks = sorted(set(r for r in ranks if 0 <= r < n))
+    if not ranks:
+        return {}
+    slack = 2.0 / ACCURACY
+    lo_q = max(0.0, ranks[0] / max(n - 1, 1) - slack)
+    hi_q = min(1.0, ranks[-1] / max(n - 1, 1) + slack)
+    a, b = vals.agg(F.percentile_approx("v", [lo_q, hi_q], ACCURACY).alias("p")).first()["p"]
+    low_open, high_open = lo_q == 0.0, hi_q == 1.0
+    below_f = F.lit(False) if low_open else F.col("v") < F.lit(a)
+    below = vals.filter(below_f).count()
+    if below > ranks[0]:
+        low_open, below_f, below = True, F.lit(False), 0
+    inside = vals.filter(~below_f & (F.lit(True) if high_open else F.col("v") <= F.lit(b)))
+    found, seen = {}, below
+    for row in inside.groupBy("v").count().orderBy("v").collect():
+        for r in ranks:
+            if r not in found and seen <= r < seen + row["count"]:
+                found[r] = row["v"]
+        seen += row["count"]
+    if len(found) < len(ranks):
+        # Outside the accuracy guarantee: a distributed sort of all values.
+        want = set(ranks)
+        hits = vals.orderBy("v").rdd.zipWithIndex().filter(lambda t: t[1] in want).collect()
+        found = {i: r["v"] for r, i in hits}
+    return found
+
+
 def exact_percentile(df: DataFrame, col: str, q: float) -> float | None:
     """Linear-interpolated quantile (the pandas / numpy default), exactly."""
     if not 0.0 <= q <= 1.0:
@@ -26,30 +62,6 @@ def exact_percentile(df: DataFrame, col: str, q: float) -> float | None:
         return None
     pos = q * (n - 1)
     lo_rank, hi_rank = math.floor(pos), math.ceil(pos)
-    slack = 2.0 / ACCURACY
-    lo_q, hi_q = max(0.0, lo_rank / max(n - 1, 1) - slack), min(1.0, hi_rank / max(n - 1, 1) + slack)
-    a, b = vals.agg(F.percentile_approx("v", [lo_q, hi_q], ACCURACY).alias("p")).first()["p"]
-    if lo_q == 0.0:
-        a = float("-inf")
-    if hi_q == 1.0:
-        b = float("inf")
-    below = vals.filter(F.col("v") < a).count()
-    inside = vals.filter((F.col("v") >= a) & (F.col("v") <= b))
-    if not (below <= lo_rank):
-        a, below, inside = float("-inf"), 0, vals.filter(F.col("v") <= b)
-    # Distinct values with their multiplicity: ties collapse, so this stays small.
-    groups = inside.groupBy("v").count().orderBy("v").collect()
-    ranks, seen = {}, below
-    for row in groups:
-        for r in (lo_rank, hi_rank):
-            if r not in ranks and seen <= r < seen + row["count"]:
-                ranks[r] = row["v"]
-        seen += row["count"]
-    if lo_rank not in ranks or hi_rank not in ranks:
-        # The bracket missed (cannot happen within the accuracy guarantee);
-        # fall back to a distributed sort of all values.
-        ordered = vals.orderBy("v").rdd.zipWithIndex() \
-            .filter(lambda t: t[1] in (lo_rank, hi_rank)).collect()
-        ranks = {i: r["v"] for r, i in ordered}
-    lo_v, hi_v = ranks[lo_rank], ranks[hi_rank]
+    got = values_at_ranks(vals, "v", [lo_rank, hi_rank])
+    lo_v, hi_v = got[lo_rank], got[hi_rank]
     return lo_v + (hi_v - lo_v) * (pos - lo_rank)

@@ -5,17 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfarer.operators.quantiles import values_at_ranks
+
 
 def balance_classes(journeys: DataFrame, seed: int = 42, id_col: str = "user_id",
                     label_col: str = "converted") -> DataFrame:
     """Converters, then exactly that many non-converters in hash order.
 
-    The non-converter pick is a top-N (``orderBy(hash).limit(n)``), so it is
-    exact, deterministic and independent of partitioning.
+    The pick is "the n smallest hashes": the n-th smallest is found as an exact
+    order statistic (no single-task top-n of n rows), then a filter keeps the
+    rows under it; rows sharing that exact hash are ordered by id.
     """
     conv = journeys.filter(F.col(label_col) == 1)
+    non = journeys.filter(F.col(label_col) == 0).withColumn(
+        "_h", F.xxhash64(F.col(id_col), F.lit(seed)))
     n = conv.count()
-    non = (journeys.filter(F.col(label_col) == 0)
-           .orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col))
-           .limit(n))
-    return conv.unionByName(non)
+    if n == 0:
+        return conv
+    cut = values_at_ranks(non, "_h", [n - 1])
+    if not cut:  # fewer non-converters than converters: take them all
+        return conv.unionByName(non.drop("_h"))
+    t = cut[n - 1]
+    under = non.filter(F.col("_h") < F.lit(t))
+    need = n - under.count()
+    tied = non.filter(F.col("_h") == F.lit(t)).orderBy(id_col).limit(need)
+    return conv.unionByName(under.unionByName(tied).drop("_h"))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,16 +114,13 @@ def representative_docs(assigned: DataFrame, vec_col: str = "embedding", doc_col
     Cosine to the topic mean picks at most ``candidates`` per topic (a top-N
     per key, limited before the shuffle), then MMR runs per topic in pandas.
     """
-    arr = assigned.select("topic", F.col(doc_col).alias("doc"),
-                          vector_to_array(F.col(vec_col), "float64").alias("_v"))
-    unit = arr.withColumn("_n", F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x)))
-    unit = unit.withColumn("_v", F.transform("_v", lambda x: F.when(F.col("_n") > 0,
-                                                                  x / F.col("_n"))
-                                              .otherwise(F.lit(0.0))))
-    dims = len(unit.select("_v").first()["_v"])
-    cen = unit.groupBy("topic").agg(
-        F.array(*[F.avg(F.get("_v", i)) for i in range(dims)]).alias("_c"))
-    sims = unit.join(cen, "topic").withColumn(
+    unit = Normalizer(inputCol=vec_col, outputCol="_u", p=2.0).transform(
+        assigned.select("topic", F.col(doc_col).alias("doc"), vec_col))
+    cen = unit.groupBy("topic").agg(Summarizer.mean(F.col("_u")).alias("_c"))
+    sims = (unit.join(cen, "topic")
+            .select("topic", "doc", vector_to_array("_u", "float64").alias("_v"),
+                    vector_to_array("_c", "float64").alias("_c")))
+    sims = sims.withColumn(
         "_sim", F.aggregate(F.zip_with("_v", "_c", lambda x, y: x * y), F.lit(0.0),
                             lambda s, x: s + x))
     top = Window.partitionBy("topic").orderBy(F.col("_sim").desc(), F.col("doc").asc())
