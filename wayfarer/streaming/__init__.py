@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The original analyses are a bounded batch over a date window of daily export
+shards; there is no watermark, window or state operator to rebuild, so this
+package is intentionally empty.
+"""
