@@ -26,14 +26,32 @@ from wayfarer.operators.vectors import as_array
 from wayfarer.session import ensure_checkpoint_dir
 
 
-def default_cell_size(df: DataFrame, vec_col: str = "pca", fraction: float = 1.0) -> float:
-    """``fraction`` x the root-mean variance of the components (one aggregate)."""
+SAMPLE_FOR_RADIUS = 2000
+
+
+def default_cell_size(df: DataFrame, vec_col: str = "pca", min_pts: int = 3,
+                      sample: int = SAMPLE_FOR_RADIUS) -> float:
+    """Median distance to the ``min_pts``-th nearest neighbour, on a sample.
+
+    The sample is the ``sample`` rows with the smallest content hash (a bounded
+    top-N), so the radius is deterministic; the all-pairs distances of that
+    sample are computed in numpy on the driver (sample x sample, bounded).
+    """
+    import numpy as np
+
     arr = df.select(as_array(vec_col).alias("_v"))
-    k = len(arr.first()["_v"])
-    aggs = [F.var_pop(F.get("_v", i)) for i in range(k)]
-    row = arr.agg(*aggs).first()
-    mean_var = sum((x or 0.0) for x in row) / max(k, 1)
-    return max(fraction * mean_var ** 0.5, 1e-9)
+    pts = arr.orderBy(F.xxhash64("_v")).limit(sample).collect()
+    x = np.array([r["_v"] for r in pts], dtype=float)
+    if len(x) <= min_pts:
+        return 1.0
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    d.sort(axis=1)
+    kth = d[:, min(min_pts, len(x) - 1)]
+    radius = float(np.median(kth))
+    if radius <= 0:
+        positive = kth[kth > 0]
+        radius = float(np.median(positive)) if positive.size else 1.0
+    return radius
 
 
 def _offsets(k: int) -> list[list[int]]:
@@ -74,7 +92,7 @@ def density_cluster(df: DataFrame, vec_col: str = "pca", cell_size: float | None
                     min_pts: int = 3, min_cluster_size: int = 3,
                     out_col: str = "cluster") -> DataFrame:
     """Add ``cluster`` (bigint, -1 = noise) to every row of ``df``."""
-    size = cell_size or default_cell_size(df, vec_col)
+    size = cell_size or default_cell_size(df, vec_col, min_pts)
     cell = F.transform(as_array(vec_col), lambda x: F.floor(x / F.lit(size)).cast("long"))
     pts = df.withColumn("_cell", cell)
     cells = pts.groupBy("_cell").agg(F.count(F.lit(1)).alias("weight"))
