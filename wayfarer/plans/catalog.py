@@ -150,10 +150,26 @@ CLASS_MIN_FREQ, CLASS_MIN_LEN, DIVERGENCE_TOP = 3, 3, 15
 ALL_MIN_FREQ, ALL_MIN_LEN = 10, 3
 
 
+_JOURNEYS: dict = {}
+
+
 def journeys_df(spark, sf_dir, **overrides):
+    """Journeys with ``converted``, built once per session and input.
+
+    The analyses all start from the same journeys (as one call of the journey
+    build feeds every analysis); the table is a reliable checkpoint, so a lost
+    executor does not send the analyses back to the raw events.
+    """
+    import os
+
     from wayfarer.operators.journeys import flag_converted
-    st = stages(spark, sf_dir, **overrides)
-    return flag_converted(st.journeys, st.converters)
+    from wayfarer.session import materialize
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir),
+           tuple(sorted(overrides.items())))
+    if key not in _JOURNEYS:
+        st = stages(spark, sf_dir, **overrides)
+        _JOURNEYS[key] = materialize(flag_converted(st.journeys, st.converters))
+    return _JOURNEYS[key]
 
 
 def q_frequent_sequences(spark, sf_dir):
