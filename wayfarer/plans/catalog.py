@@ -115,27 +115,6 @@ def _mix(strategy):
     return q
 
 
-@lru_cache(maxsize=None)
-def registry() -> dict:
-    return {
-        "clickstream": q_clickstream,
-        "clean_events": q_clean_events,
-        "event_gaps": q_event_gaps,
-        "user_counts": q_user_counts,
-        "multi_page_users": q_multi_page_users,
-        "converters": q_converters,
-        "removed_users": q_removed_users,
-        "first_conversion": q_first_conversion,
-        "truncated_events": q_truncated_events,
-        "labelled_events": q_labelled_events,
-        "journeys": q_journeys,
-        "journeys_by_title": q_journeys_by_title,
-        "medium_counts": q_medium_counts,
-        "kept_mediums": q_kept_mediums,
-        "medium_mix_first": _mix("first"),
-        "medium_mix_last": _mix("last"),
-        "medium_mix_even": _mix("even"),
-    }
 
 
 # ---- sequences and divergence -------------------------------------------------------
@@ -230,26 +209,8 @@ def q_sequence_support(spark, sf_dir):
     return sup.select(P.join_path("sequence").alias("sequence"), "support")
 
 
-registry.cache_clear()
-_BASE_REGISTRY = registry
 
 
-@lru_cache(maxsize=None)
-def registry() -> dict:  # noqa: F811
-    out = dict(_BASE_REGISTRY())
-    out.update({
-        "frequent_sequences": q_frequent_sequences,
-        "frequent_sequences_open": q_frequent_sequences_open,
-        "conv_sequences": q_conv_sequences,
-        "nonconv_sequences": q_nonconv_sequences,
-        "conv_only_sequences": q_conv_only_sequences,
-        "nonconv_only_sequences": q_nonconv_only_sequences,
-        "shared_sequences": q_shared_sequences,
-        "sequence_support": q_sequence_support,
-        "divergence_top": q_divergence_top,
-        "divergence_count": q_divergence_count,
-    })
-    return out
 
 
 # ---- importance, segments, topics, pages ---------------------------------------------
@@ -348,29 +309,8 @@ def q_balanced_journeys(spark, sf_dir):
         "user_id", "converted", P.join_path("activity_list").alias("activity_list_text"))
 
 
-registry.cache_clear()
-_REGISTRY_2 = registry
 
 
-@lru_cache(maxsize=None)
-def registry() -> dict:  # noqa: F811
-    out = dict(_REGISTRY_2())
-    out.update({
-        "sequence_features": q_sequence_features,
-        "sequence_importance": q_sequence_importance,
-        "journey_pca": q_journey_pca,
-        "density_clusters": q_density_clusters,
-        "embedding_clusters": q_embedding_clusters,
-        "isolation_scores": q_isolation_scores,
-        "converter_review": q_converter_review,
-        "journey_topics": q_journey_topics,
-        "topic_assignments": q_topic_assignments,
-        "topic_prompts": q_topic_prompts,
-        "topic_keywords": q_topic_keywords,
-        "url_paths": q_url_paths,
-        "balanced_journeys": q_balanced_journeys,
-    })
-    return out
 
 
 # ---- nested export source ------------------------------------------------------------
@@ -408,17 +348,75 @@ def q_export_journeys(spark, sf_dir):
     return _journeys_out(journey_stages(flat, PARAMS))
 
 
-registry.cache_clear()
-_REGISTRY_3 = registry
+
+
+
+
+# ---- reports --------------------------------------------------------------------------
+
+from wayfarer.operators import reports as RP  # noqa: E402
+
+
+def q_divergence_report(spark, sf_dir):
+    return RP.divergence_report(q_divergence_top(spark, sf_dir))
+
+
+def q_user_counts_ranked(spark, sf_dir):
+    return RP.by_pageviews(stages(spark, sf_dir).counts)
 
 
 @lru_cache(maxsize=None)
-def registry() -> dict:  # noqa: F811
-    out = dict(_REGISTRY_3())
-    out.update({
+def registry() -> dict:
+    """Every registered query, by name."""
+    return {
+        # events -> journeys
+        "clickstream": q_clickstream,
+        "clean_events": q_clean_events,
+        "event_gaps": q_event_gaps,
+        "user_counts": q_user_counts,
+        "user_counts_ranked": q_user_counts_ranked,
+        "multi_page_users": q_multi_page_users,
+        "converters": q_converters,
+        "removed_users": q_removed_users,
+        "first_conversion": q_first_conversion,
+        "truncated_events": q_truncated_events,
+        "labelled_events": q_labelled_events,
+        "journeys": q_journeys,
+        "journeys_by_title": q_journeys_by_title,
+        "medium_counts": q_medium_counts,
+        "kept_mediums": q_kept_mediums,
+        "medium_mix_first": _mix("first"),
+        "medium_mix_last": _mix("last"),
+        "medium_mix_even": _mix("even"),
+        "balanced_journeys": q_balanced_journeys,
+        # nested export source
         "export_dedup": q_export_dedup,
         "export_events": q_export_events,
         "export_shards": q_export_shards,
         "export_journeys": q_export_journeys,
-    })
-    return out
+        # sequences and divergence
+        "frequent_sequences": q_frequent_sequences,
+        "frequent_sequences_open": q_frequent_sequences_open,
+        "conv_sequences": q_conv_sequences,
+        "nonconv_sequences": q_nonconv_sequences,
+        "conv_only_sequences": q_conv_only_sequences,
+        "nonconv_only_sequences": q_nonconv_only_sequences,
+        "shared_sequences": q_shared_sequences,
+        "sequence_support": q_sequence_support,
+        "divergence_top": q_divergence_top,
+        "divergence_count": q_divergence_count,
+        "divergence_report": q_divergence_report,
+        # importance, segments, topics, pages
+        "sequence_features": q_sequence_features,
+        "sequence_importance": q_sequence_importance,
+        "journey_pca": q_journey_pca,
+        "density_clusters": q_density_clusters,
+        "embedding_clusters": q_embedding_clusters,
+        "isolation_scores": q_isolation_scores,
+        "converter_review": q_converter_review,
+        "journey_topics": q_journey_topics,
+        "topic_assignments": q_topic_assignments,
+        "topic_prompts": q_topic_prompts,
+        "topic_keywords": q_topic_keywords,
+        "url_paths": q_url_paths,
+    }

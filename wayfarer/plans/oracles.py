@@ -262,7 +262,7 @@ def _mix_sql(strategy: str) -> str:
             + f"\nSELECT user_id, medium, medium_column, CAST({score} AS DOUBLE) AS score FROM mper")
 
 
-def registry() -> dict[str, str]:
+def journey_registry() -> dict[str, str]:
     base = _with(FLAT, CLEAN, USERS)
     jl = journeys_ctes()
     return {
@@ -383,13 +383,6 @@ LIMIT {DIVERGENCE_TOP}"""),
     }
 
 
-_BASE_SQL = registry
-
-
-def registry() -> dict[str, str]:  # noqa: F811
-    out = dict(_BASE_SQL())
-    out.update(pattern_registry())
-    return out
 
 
 # ---- features, keywords, pages ------------------------------------------------------
@@ -426,13 +419,6 @@ SELECT topic, word AS keyword, weight, CAST(rank AS INTEGER) AS rank FROM r WHER
     }
 
 
-_BASE_SQL_2 = registry
-
-
-def registry() -> dict[str, str]:  # noqa: F811
-    out = dict(_BASE_SQL_2())
-    out.update(extra_registry())
-    return out
 
 
 # ---- nested export source ------------------------------------------------------------
@@ -545,10 +531,31 @@ GROUP BY ALL""",
     }
 
 
-_BASE_SQL_3 = registry
 
 
-def registry() -> dict[str, str]:  # noqa: F811
-    out = dict(_BASE_SQL_3())
-    out.update(export_registry())
+# ---- reports --------------------------------------------------------------------------
+
+
+def report_registry() -> dict[str, str]:
+    top = pattern_registry()["divergence_top"]
+    return {
+        "divergence_report": f"""
+WITH top AS ({top.strip()})
+SELECT weight, non_conv_freq, non_conversion_seq, conversion_seq,
+       'Conversion Sequence: ' || conversion_seq || chr(10) ||
+       'Non-Conversion Sequence: ' || non_conversion_seq || chr(10) ||
+       'Diversion Node: ' || diversion || chr(10) ||
+       'Diversion Score: ' || CAST(CAST(round_even(divergence_score, 2) AS DOUBLE) AS VARCHAR)
+       || ' Frequency: ' || CAST(non_conv_freq AS VARCHAR) AS report
+FROM top""",
+        "user_counts_ranked": _with(FLAT, CLEAN, USERS) + "\nSELECT * FROM counts",
+    }
+
+
+def registry() -> dict[str, str]:
+    """DuckDB text for every query that SQL can express."""
+    out = {}
+    for part in (journey_registry, pattern_registry, extra_registry, export_registry,
+                 report_registry):
+        out.update(part())
     return out
