@@ -112,3 +112,23 @@ def test_converter_review_runs(spark):
     assert set(rep.columns) == {"kind", "sequence", "freq", "length"}
     with pytest.raises(ValueError):
         review.converter_review(j, reducer="umap")
+
+
+def test_reduce_topics_merges_parallel(spark):
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql.types import IntegerType, StructField, StructType
+    schema = StructType([StructField("topic", IntegerType()), StructField("centroid", VectorUDT())])
+    cen = spark.createDataFrame(
+        [(0, Vectors.dense([1.0, 1.0, 0.0])), (1, Vectors.dense([2.0, 2.1, 0.0])),
+         (2, Vectors.dense([0.0, 0.0, 1.0])), (-1, Vectors.dense([1.0, 1.0, 0.0]))],
+        schema)
+    got = {r.topic: r.merged for r in topics.reduce_topics(cen, 0.9).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+
+
+def test_count_containing(spark):
+    from wayfarer.operators.patterns import count_containing
+    df = spark.createDataFrame([(list("abc"),), (list("acb"),), (list("xa"),)],
+                               "activity_list array<string>")
+    assert count_containing(df, ["a", "b"]).first()["count"] == 2
+    assert count_containing(df, []).first()["count"] == 3

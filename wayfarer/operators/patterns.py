@@ -113,3 +113,11 @@ def sequence_support(sequences: DataFrame, patterns: DataFrame, id_col: str = "u
     counts = hits.groupBy("sequence").agg(F.count(F.lit(1)).alias("support"))
     return (patterns.select("sequence").distinct().join(counts, "sequence", "left")
             .select("sequence", F.coalesce("support", F.lit(0)).cast("long").alias("support")))
+
+
+def count_containing(sequences: DataFrame, target: list[str],
+                     seq_col: str = "activity_list") -> DataFrame:
+    """How many sequences contain ``target`` in order (one row, ``count``)."""
+    pat = F.array(*[F.lit(x) for x in target]).cast("array<string>")
+    return sequences.agg(F.sum(contains_in_order(seq_col, pat).cast("long")).alias("count")) \
+        .select(F.coalesce("count", F.lit(0)).alias("count"))

@@ -116,7 +116,7 @@ def representative_docs(assigned: DataFrame, vec_col: str = "embedding", doc_col
     """
     unit = Normalizer(inputCol=vec_col, outputCol="_u", p=2.0).transform(
         assigned.select("topic", F.col(doc_col).alias("doc"), vec_col))
-    cen = unit.groupBy("topic").agg(Summarizer.mean(F.col("_u")).alias("_c"))
+    cen = topic_centroids(assigned, vec_col).withColumnRenamed("centroid", "_c")
     sims = (unit.join(cen, "topic")
             .select("topic", "doc", vector_to_array("_u", "float64").alias("_v"),
                     vector_to_array("_c", "float64").alias("_c")))
@@ -157,3 +157,45 @@ def label_topics(prompts: DataFrame,
 
     t_type = dict(prompts.dtypes)["topic"]
     return prompts.mapInPandas(run, f"topic {t_type}, label string")
+
+
+def topic_centroids(assigned: DataFrame, vec_col: str = "embedding") -> DataFrame:
+    """Mean unit-length embedding per topic (a vector aggregate per group)."""
+    unit = Normalizer(inputCol=vec_col, outputCol="_u", p=2.0).transform(
+        assigned.select("topic", vec_col))
+    return unit.groupBy("topic").agg(Summarizer.mean(F.col("_u")).alias("centroid"))
+
+
+def reduce_topics(centroids: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """Merge topics whose embedding centroids are nearly parallel.
+
+    Input: (topic, centroid) with one row per topic; the topic count is at
+    most rows / min_topic_size and each centroid has the embedding width, so
+    the collected summary is bounded.  Topics with cosine >= ``threshold`` are
+    linked; each linked group takes its smallest id; -1 (outliers) is never
+    merged.  Returns (topic, merged).
+    """
+    rows = centroids.filter(F.col("topic") >= 0).orderBy("topic").collect()
+    spark = centroids.sparkSession
+    if not rows:
+        return spark.createDataFrame([], "topic int, merged int")
+    ids = [int(r["topic"]) for r in rows]
+    m = np.array([r["centroid"].toArray() for r in rows], dtype=float)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    unit = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    sim = unit @ unit.T
+    parent = list(range(len(ids)))
+
+    def find(a):
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        return a
+
+    for a in range(len(ids)):
+        for b in range(a + 1, len(ids)):
+            if sim[a, b] >= threshold:
+                ra, rb = find(a), find(b)
+                parent[max(ra, rb)] = min(ra, rb)
+    mapping = [(ids[i], ids[find(i)]) for i in range(len(ids))]
+    return spark.createDataFrame(mapping, "topic int, merged int")

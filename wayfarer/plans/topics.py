@@ -23,8 +23,13 @@ class TopicResult:
 def journey_topics(journeys: DataFrame, min_topic_size: int = 100, id_col: str = "user_id",
                    text_col: str = "activity_list_text", embedder=None,
                    instruction: str = topics.INSTRUCTION, labeler=None, k: int = 5,
-                   cell_size: float | None = None, n_keywords: int = 10) -> TopicResult:
-    """Topics over journey texts; topic ids are ordered by size (0 = largest)."""
+                   cell_size: float | None = None, n_keywords: int = 10,
+                   reduce_threshold: float | None = 0.9) -> TopicResult:
+    """Topics over journey texts; topic ids are ordered by size (0 = largest).
+
+    ``reduce_threshold`` merges topics whose keyword vectors have at least that
+    cosine (the automatic topic reduction, on embedding centroids); ``None`` keeps every topic.
+    """
     journeys = materialize(journeys.select(id_col, "activity_list", text_col))
     if embedder is None:
         emb = topics.embed_labels(journeys)
@@ -43,6 +48,10 @@ def journey_topics(journeys: DataFrame, min_topic_size: int = 100, id_col: str =
         .select("cluster", "topic")
     assigned = clustered.join(ids, "cluster", "left") \
         .withColumn("topic", F.coalesce("topic", F.lit(-1)).cast("int"))
+    if reduce_threshold is not None:
+        merged = topics.reduce_topics(topics.topic_centroids(assigned), reduce_threshold)
+        assigned = assigned.join(merged, "topic", "left").withColumn(
+            "topic", F.coalesce("merged", "topic")).drop("merged")
     assignments = assigned.select(id_col, "topic")
     kw = topics.class_tfidf(assigned.select("topic", F.col(text_col).alias("text")),
                             "topic", "text", n_keywords)
