@@ -37,6 +37,15 @@ def test_shard_scan_prunes_and_flattens(spark):
     keys = flat.groupBy("user_pseudo_id", "event_name", "event_timestamp").count()
     assert keys.filter(F.col("count") > 1).count() == 0
     assert flat.filter(F.col("user_pseudo_id").isNull()).count() == 0
+    # Same rows as deduplicating the raw rows first (copies are identical here).
+    slow = GX.flatten_events(GX.dedup_raw(
+        scanned.drop("_table_suffix", "table_date", "is_intraday")))
+    assert flat.exceptAll(slow).count() == 0 and slow.exceptAll(flat).count() == 0
+    names = ["session_start", "page_view", "purchase"]
+    some = GX.load_export(spark, root, as_of, 7, event_names=names)
+    assert some.exceptAll(flat.filter(F.col("event_name").isin(names))).count() == 0
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(event_name" in plan or "In(event_name" in plan
 
 
 def test_flatten_defaults(spark):

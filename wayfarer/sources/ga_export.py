@@ -171,11 +171,34 @@ def flatten_events(raw: DataFrame) -> DataFrame:
     )
 
 
+FLAT_KEY = ["user_pseudo_id", "event_name", "event_timestamp"]
+
+
+def dedup_flat(flat: DataFrame) -> DataFrame:
+    """One flat row per (user, event name, timestamp), smallest content hash kept."""
+    cols = [c for c in flat.columns if c not in FLAT_KEY]
+    h = F.xxhash64(*[F.col(c) for c in cols])
+    best = flat.groupBy(*FLAT_KEY).agg(
+        F.min_by(F.struct(*[F.col(c) for c in cols]), h).alias("_row"))
+    return best.select(*FLAT_KEY, "_row.*").select(*flat.columns)
+
+
 def load_export(spark: SparkSession, base: str, as_of_date: dt.date, historical_days: int,
-                include_intraday: bool = False) -> DataFrame:
-    """Shard scan -> dedup -> flat rows, for a given window."""
+                include_intraday: bool = False,
+                event_names: list[str] | None = None) -> DataFrame:
+    """Shard scan -> flat rows, one per (user, event name, timestamp).
+
+    ``event_names`` (e.g. session_start, page_view and the goal) is pushed to
+    the parquet scan; as the dedup key holds the event name, filtering first
+    keeps the same rows.  Rows are flattened before the dedup so the shuffle
+    carries only the flat columns, not every nested parameter; the copy kept
+    among duplicates is arbitrary in the source query as well.
+    """
     raw = scan_shards(spark, base, as_of_date, historical_days, include_intraday)
-    return flatten_events(dedup_raw(raw.drop("_table_suffix", "table_date", "is_intraday")))
+    if event_names:
+        raw = raw.filter(F.col("event_name").isin(list(event_names)))
+    flat = flatten_events(raw.drop("_table_suffix", "table_date", "is_intraday"))
+    return dedup_flat(flat)
 
 
 def snapshot_path(root: str, table_name: str, as_of_date: dt.date, historical_days: int) -> str:
