@@ -13,10 +13,26 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfarer.functions.text import url_path
 from wayfarer.operators import attribution, users
+from wayfarer.operators import density as DN
+from wayfarer.operators import divergence as D
+from wayfarer.operators import importance as IM
+from wayfarer.operators import isolation as IS
+from wayfarer.operators import patterns as P
+from wayfarer.operators import reports as RP
+from wayfarer.operators import sampling as SA
+from wayfarer.operators import topics as TP
+from wayfarer.operators import vectors as V
+from wayfarer.plans import review as RV
+from wayfarer.plans import topics as TT
 from wayfarer.plans.journey_plan import JourneyParams, journey_stages
+from wayfarer.plans.workload import (ALL_MIN_FREQ, ALL_MIN_LEN, CLASS_MIN_FREQ, CLASS_MIN_LEN,
+                                     DIVERGENCE_TOP, EXPORT_AS_OF, EXPORT_DAYS,
+                                     IMPORTANCE_TOP, MIN_TOPIC_SIZE, REVIEW_TOP)
 from wayfarer.session import read_table
 from wayfarer.sources import events_adapter as A
+from wayfarer.sources import ga_export as GX
 
 PARAMS = JourneyParams(
     goal_event=A.GOAL_EVENT,
@@ -115,19 +131,8 @@ def _mix(strategy):
     return q
 
 
-
-
 # ---- sequences and divergence -------------------------------------------------------
 
-from wayfarer.operators import divergence as D  # noqa: E402
-from wayfarer.operators import patterns as P  # noqa: E402
-
-# Workload parameters: the class analyses use the pattern miner's own defaults
-# (min_freq 3, length 3) and the demo's top 15; the all-journey pattern report
-# and importance use min_freq 10, length 3 (the importance defaults).
-CLASS_MIN_FREQ, CLASS_MIN_LEN, DIVERGENCE_TOP = 3, 3, 15
-ALL_MIN_FREQ, ALL_MIN_LEN = 10, 3
-
 
 _JOURNEYS: dict = {}
 
@@ -209,24 +214,8 @@ def q_sequence_support(spark, sf_dir):
     return sup.select(P.join_path("sequence").alias("sequence"), "support")
 
 
-
-
-
-
 # ---- importance, segments, topics, pages ---------------------------------------------
 
-from wayfarer.functions.text import url_path  # noqa: E402
-from wayfarer.operators import density as DN  # noqa: E402
-from wayfarer.operators import importance as IM  # noqa: E402
-from wayfarer.operators import isolation as IS  # noqa: E402
-from wayfarer.operators import sampling as SA  # noqa: E402
-from wayfarer.operators import topics as TP  # noqa: E402
-from wayfarer.operators import vectors as V  # noqa: E402
-from wayfarer.plans import review as RV  # noqa: E402
-from wayfarer.plans import topics as TT  # noqa: E402
-
-IMPORTANCE_TOP, REVIEW_TOP, MIN_TOPIC_SIZE = 30, 10, 50
-
 
 def q_sequence_features(spark, sf_dir):
     j = journeys_df(spark, sf_dir)
@@ -309,18 +298,8 @@ def q_balanced_journeys(spark, sf_dir):
         "user_id", "converted", P.join_path("activity_list").alias("activity_list_text"))
 
 
-
-
-
-
 # ---- nested export source ------------------------------------------------------------
 
-import datetime as _dt  # noqa: E402
-
-from wayfarer.sources import ga_export as GX  # noqa: E402
-
-EXPORT_AS_OF, EXPORT_DAYS = _dt.date(2024, 1, 30), 7
-
 
 def _raw_export(spark, sf_dir):
     return A.nested_export_from_events(read_table(spark, sf_dir, "events"))
@@ -348,14 +327,8 @@ def q_export_journeys(spark, sf_dir):
     return _journeys_out(journey_stages(flat, PARAMS))
 
 
-
-
-
-
 # ---- reports --------------------------------------------------------------------------
 
-from wayfarer.operators import reports as RP  # noqa: E402
-
 
 def q_divergence_report(spark, sf_dir):
     return RP.divergence_report(q_divergence_top(spark, sf_dir))

@@ -7,6 +7,10 @@ never reuse a table name.
 
 from __future__ import annotations
 
+import datetime as dt
+
+from wayfarer.plans.workload import (ALL_MIN_FREQ, ALL_MIN_LEN, CLASS_MIN_FREQ, CLASS_MIN_LEN,
+                                     DIVERGENCE_TOP, EXPORT_AS_OF, EXPORT_DAYS)
 from wayfarer.sources import events_adapter as A
 
 GOAL = A.GOAL_EVENT
@@ -292,9 +296,6 @@ def journey_registry() -> dict[str, str]:
 # Brute force: every subsequence of every list (recursive CTE), support by
 # distinct list id, closure by one-item deletions of equal support.
 
-CLASS_MIN_FREQ, CLASS_MIN_LEN, DIVERGENCE_TOP = 3, 3, 15
-ALL_MIN_FREQ, ALL_MIN_LEN = 10, 3
-
 
 def _mine(name: str, where: str, min_freq: int) -> str:
     return f"""
@@ -383,8 +384,6 @@ LIMIT {DIVERGENCE_TOP}"""),
     }
 
 
-
-
 # ---- features, keywords, pages ------------------------------------------------------
 
 TOKEN_RX = r"[\pL\pN_]{2,}"
@@ -419,11 +418,10 @@ SELECT topic, word AS keyword, weight, CAST(rank AS INTEGER) AS rank FROM r WHER
     }
 
 
-
-
 # ---- nested export source ------------------------------------------------------------
 
-EXPORT_LO, EXPORT_HI = "2024-01-23", "2024-01-30"
+EXPORT_LO = (EXPORT_AS_OF - dt.timedelta(days=EXPORT_DAYS)).isoformat()
+EXPORT_HI = EXPORT_AS_OF.isoformat()
 
 
 def _param_sql(key: str, s: str = "NULL::VARCHAR", i: str = "NULL::BIGINT") -> str:
@@ -531,8 +529,6 @@ GROUP BY ALL""",
     }
 
 
-
-
 # ---- reports --------------------------------------------------------------------------
 
 
