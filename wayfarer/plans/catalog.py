@@ -111,6 +111,13 @@ def q_journeys(spark, sf_dir):
     return _journeys_out(stages(spark, sf_dir))
 
 
+def q_journeys_with_mix(spark, sf_dir):
+    """Journeys plus one attribution column per medium ("first" strategy)."""
+    st = stages(spark, sf_dir)
+    wide = attribution.medium_mix_wide(st.mix_long)
+    return _journeys_out(st).join(wide, "user_id", "left")
+
+
 def q_journeys_by_title(spark, sf_dir):
     return _journeys_out(stages(spark, sf_dir, page_repr="page_title"))
 
@@ -356,6 +363,7 @@ def registry() -> dict:
         "labelled_events": q_labelled_events,
         "journeys": q_journeys,
         "journeys_by_title": q_journeys_by_title,
+        "journeys_with_mix": q_journeys_with_mix,
         "medium_counts": q_medium_counts,
         "kept_mediums": q_kept_mediums,
         "medium_mix_first": _mix("first"),

@@ -255,6 +255,26 @@ mtagged AS (
 mper AS (SELECT DISTINCT user_id, medium, medium_column FROM mtagged)"""
 
 
+def _mix_score(strategy: str) -> str:
+    if strategy == "even":
+        return "1.0 / count(*) OVER (PARTITION BY user_id)"
+    order = "ASC" if strategy == "first" else "DESC"
+    return (f"CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY medium {order})"
+            " = 1 THEN 1.0 ELSE 0.0 END")
+
+
+def journeys_with_mix_sql(strategy: str = "first") -> str:
+    # A dynamic PIVOT finds its columns with a query of its own, so its source
+    # carries its own CTE chain.
+    scores = (_with(FLAT, CLEAN, MEDIUMS) + "\nSELECT user_id, medium_column, "
+              f"CAST({_mix_score(strategy)} AS DOUBLE) AS score FROM mper")
+    return (journeys_ctes() + f""",
+jout AS ({JOURNEY_SELECT.strip()})
+SELECT * FROM jout LEFT JOIN (
+  PIVOT ({scores}) ON medium_column USING coalesce(sum(score), 0.0) GROUP BY user_id
+) wide USING (user_id)""")
+
+
 def _mix_sql(strategy: str) -> str:
     if strategy == "even":
         score = "1.0 / count(*) OVER (PARTITION BY user_id)"
@@ -284,6 +304,7 @@ def journey_registry() -> dict[str, str]:
                            "label FROM labelled",
         "journeys": jl + JOURNEY_SELECT,
         "journeys_by_title": journeys_ctes("page_title") + JOURNEY_SELECT,
+        "journeys_with_mix": journeys_with_mix_sql("first"),
         "medium_counts": _with(FLAT, CLEAN, MEDIUMS) + "\nSELECT * FROM mcounts",
         "kept_mediums": _with(FLAT, CLEAN, MEDIUMS) + "\nSELECT * FROM mkept",
         "medium_mix_first": _mix_sql("first"),
