@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.operators.vectors import as_array
-from wayfarer.session import ensure_checkpoint_dir
+from wayfarer.session import ensure_checkpoint_dir, materialize
 
 
 SAMPLE_FOR_RADIUS = 2000
@@ -62,13 +62,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     """Min-label propagation with pointer jumping; ``nodes(id)``, ``edges(src, dst)``.
 
     Returns ``(id, component)`` where component is the smallest id reachable.
-    Lineage is cut with reliable checkpoints each round.
+    Lineage is cut each round by writing the labels to the checkpoint folder.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
-    und = edges.select("src", "dst").unionByName(
-        edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct() \
-        .checkpoint()
-    labels = nodes.select("id", F.col("id").alias("label")).checkpoint()
+    und = materialize(edges.select("src", "dst").unionByName(
+        edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    labels = materialize(nodes.select("id", F.col("id").alias("label")))
     for _ in range(max_rounds):
         nb = (und.join(labels.withColumnRenamed("id", "dst").withColumnRenamed("label", "nl"),
                        "dst")
@@ -78,8 +77,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         # Pointer jumping: adopt the label of your label.
         jump = step.join(step.select(F.col("id").alias("label"), F.col("label").alias("ll")),
                          "label", "left")
-        new = jump.select("id", F.least("label", F.coalesce("ll", "label")).alias("label")) \
-            .checkpoint()
+        new = materialize(
+            jump.select("id", F.least("label", F.coalesce("ll", "label")).alias("label")))
         changed = new.join(labels.withColumnRenamed("label", "old"), "id") \
             .filter(F.col("label") != F.col("old")).limit(1).count()
         labels = new
@@ -97,7 +96,7 @@ def density_cluster(df: DataFrame, vec_col: str = "pca", cell_size: float | None
     pts = df.withColumn("_cell", cell)
     cells = pts.groupBy("_cell").agg(F.count(F.lit(1)).alias("weight"))
     ensure_checkpoint_dir(df.sparkSession)
-    cells = cells.withColumn("id", F.monotonically_increasing_id()).checkpoint()
+    cells = materialize(cells.withColumn("id", F.monotonically_increasing_id()))
     k = len(cells.select("_cell").first()["_cell"]) if not cells.isEmpty() else 0
     dense = cells.filter(F.col("weight") >= min_pts)
     offs = F.array(*[F.array(*[F.lit(v) for v in o]) for o in _offsets(k)])

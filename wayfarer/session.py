@@ -75,14 +75,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
 
 
 def materialize(df):
-    """Write ``df`` to the checkpoint folder once and read it back.
+    """Checkpoint ``df`` to the shared checkpoint folder and return the copy.
 
     Used at the entry of multi-pass analyses (model fits, counts, iterative
-    rounds) so the upstream event pipeline runs once, and so lineage stays
-    short if an executor is lost.
+    rounds) so the upstream plan runs once and lineage stays short if an
+    executor is lost.  The rows are persisted first: a reliable checkpoint
+    otherwise computes the plan once for the action and again to write files.
     """
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
 
 
 def write_table(df, name: str):
