@@ -67,3 +67,11 @@ def test_prefix_pairs_dropped(spark):
     r = D.top_divergence(n_df, c_df, 10).first()
     assert r.diversion == "C" and r.divergence_score == pytest.approx(0.27778, abs=1e-5)
     assert r.weight == pytest.approx(2 * 0.2777777777777778)
+
+
+def test_min_prefix_drops_zero_scores(spark):
+    non = [(list("ZBC"), 2), (list("ABD"), 1)]
+    conv = [(list("AB"), 1), (list("AC"), 1)]
+    n_df, c_df = frames(spark, non, conv)
+    got = D.top_divergence(n_df, c_df, 10, min_prefix=1).collect()
+    assert [(r.non_conversion_seq, r.conversion_seq) for r in got] == [("A -> B -> D", "A -> C")]

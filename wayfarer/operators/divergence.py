@@ -67,11 +67,19 @@ def divergence_count(non_conv: DataFrame, conv: DataFrame) -> DataFrame:
         F.coalesce(F.sum("pairs"), F.lit(0)).cast("long").alias("divergent_pairs"))
 
 
-def top_divergence(non_conv: DataFrame, conv: DataFrame, top_n: int = 10) -> DataFrame:
-    """The top_n pairs by weight (ties: freq desc, then both texts ascending)."""
+def top_divergence(non_conv: DataFrame, conv: DataFrame, top_n: int = 10,
+                   min_prefix: int = 0) -> DataFrame:
+    """The top_n pairs by weight (ties: freq desc, then both texts ascending).
+
+    ``min_prefix=1`` leaves out pairs that differ from the first item (their
+    score is 0); by default they are kept, and fill the list when fewer
+    positive pairs exist.
+    """
     if top_n < 1:
         raise ValueError("top_n must be >= 1")
     cls = divergence_classes(non_conv, conv).withColumn("n_text", join_path("sequence"))
+    if min_prefix > 0:
+        cls = cls.filter(F.col("d") >= min_prefix)
     order = [F.col("weight").desc(), F.col("freq").desc(), F.col("n_text").asc()]
     # Each class holds >= 1 pair, so the first top_n classes suffice, plus any
     # class tying with the last one (their partners may sort earlier).
@@ -97,7 +105,7 @@ def top_divergence(non_conv: DataFrame, conv: DataFrame, top_n: int = 10) -> Dat
         F.col("next").alias("diversion"),
         F.col("score").alias("divergence_score"),
         F.col("freq").alias("non_conv_freq"),
-        F.col("weight"))
+        F.col("weight")).dropDuplicates()  # distinct rows (bounded candidate set)
     return out.orderBy(F.col("weight").desc(), F.col("non_conv_freq").desc(),
                        F.col("non_conversion_seq").asc(), F.col("conversion_seq").asc()) \
         .limit(top_n)
@@ -128,9 +136,9 @@ def class_patterns(journeys: DataFrame, min_freq: int, min_len: int,
 
 
 def analyze_divergence(journeys: DataFrame, top_n: int = 10, min_freq: int = 10,
-                       min_seq_len: int = 3) -> DataFrame:
+                       min_seq_len: int = 3, min_prefix: int = 0) -> DataFrame:
     """Top pairs where a non-converting pattern leaves a converting one."""
     journeys = materialize(journeys.select("activity_list", "converted"))
     conv, non = class_patterns(journeys, min_freq, min_seq_len)
     conv_only, non_only, _ = split_shared(materialize(conv), materialize(non))
-    return top_divergence(non_only, conv_only, top_n)
+    return top_divergence(non_only, conv_only, top_n, min_prefix)
