@@ -33,14 +33,22 @@ def default_cell_size(df: DataFrame, vec_col: str = "pca", min_pts: int = 3,
                       sample: int = SAMPLE_FOR_RADIUS) -> float:
     """Median distance to the ``min_pts``-th nearest neighbour, on a sample.
 
-    The sample is the ``sample`` rows with the smallest content hash (a bounded
-    top-N), so the radius is deterministic; the all-pairs distances of that
-    sample are computed in numpy on the driver (sample x sample, bounded).
+    The sample is the ``sample`` rows with the smallest content hash: a hash
+    rate filter sized from the row count keeps about twice that many, and the
+    smallest are taken on the driver, so no task ever gathers more than the
+    filter passes.  The sample's all-pairs distances are computed in numpy
+    (sample x sample, bounded).
     """
     import numpy as np
 
-    arr = df.select(as_array(vec_col).alias("_v"))
-    pts = arr.orderBy(F.xxhash64("_v")).limit(sample).collect()
+    h = F.pmod(F.xxhash64(as_array(vec_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    arr = df.select(as_array(vec_col).alias("_v"), h.alias("_h"))
+    n = arr.count()
+    rate = min(1.0, 2.0 * sample / max(n, 1))
+    kept = arr.filter(F.col("_h") < F.lit(rate)).collect()
+    if len(kept) < min(sample, n):  # a thin draw: take everything under a wider rate
+        kept = arr.filter(F.col("_h") < F.lit(min(1.0, 4.0 * rate))).collect()
+    pts = sorted(kept, key=lambda r: (r["_h"], r["_v"]))[:sample]
     x = np.array([r["_v"] for r in pts], dtype=float)
     if len(x) <= min_pts:
         return 1.0

@@ -1,8 +1,8 @@
 """Isolation forest on Spark: sampled trees grown per group, scored per batch.
 
-1. Each row draws, per tree, a hash uniform in [0, 1); rows under a cut-off
-   (about three samples' worth) are candidates, and the ``sample`` smallest
-   hashes per tree form its sample (bounded groups, top-N per key).
+1. Rows draw hashes uniform in [0, 1); rows under a cut-off (about three
+   samples' worth per tree) are candidates, and the ``sample`` smallest hashes
+   per tree form its sample (bounded groups, top-N per key).
 2. ``groupBy("tree").applyInPandas`` grows each tree from its sample.
 3. The node table (trees x at most 2*sample nodes, a size fixed by the
    parameters) is broadcast, and ``mapInPandas`` scores every row:
@@ -75,6 +75,7 @@ def _path_lengths(x: np.ndarray, nodes: pd.DataFrame) -> np.ndarray:
         feat, thr = t["feature"].to_numpy(), t["threshold"].to_numpy()
         left, right = t["left"].to_numpy(), t["right"].to_numpy()
         size, depth = t["size"].to_numpy(), t["depth"].to_numpy()
+        leaf_extra = np.array([c_factor(v) for v in size])  # once per node, not per row
         cur = np.zeros(len(x), dtype=np.int64)
         active = feat[cur] >= 0
         while active.any():
@@ -83,7 +84,7 @@ def _path_lengths(x: np.ndarray, nodes: pd.DataFrame) -> np.ndarray:
             go_left = x[idx, f] < thr[cur[idx]]
             cur[idx] = np.where(go_left, left[cur[idx]], right[cur[idx]])
             active = feat[cur] >= 0
-        total += depth[cur] + np.array([c_factor(s) for s in size[cur]])
+        total += depth[cur] + leaf_extra[cur]
         trees += 1
     return total / max(trees, 1)
 
@@ -101,8 +102,13 @@ def isolation_scores(df: DataFrame, id_col: str, vec_col: str = "pca", n_trees:
     trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
     u = lambda t: F.pmod(F.xxhash64(F.col(id_col), t, F.lit(seed)),
                          F.lit(1 << 30)) / F.lit(float(1 << 30))
-    cand = vals.select(id_col, "_v", F.explode(F.filter(trees, lambda t: u(t) < F.lit(cut)))
-                       .alias("tree"))
+    # One hash first: a row is a candidate of some tree with rate T*cut, then
+    # of each tree with rate cut/(T*cut), so each tree still samples at rate
+    # ``cut`` and only candidate rows evaluate the per-tree hashes.
+    pre = min(1.0, n_trees * cut)
+    per_tree = cut / pre
+    cand = vals.filter(u(F.lit(-1)) < F.lit(pre)).select(
+        id_col, "_v", F.explode(F.filter(trees, lambda t: u(t) < F.lit(per_tree))).alias("tree"))
     cand = cand.withColumn("_u", u(F.col("tree")))
     rank = Window.partitionBy("tree").orderBy("_u", id_col)
     samples = cand.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= psi) \
