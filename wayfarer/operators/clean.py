@@ -57,20 +57,25 @@ def _with_event_id(flat: DataFrame) -> DataFrame:
     return flat.withColumn("event_id", F.xxhash64(*[F.col(c) for c in flat.columns]))
 
 
-def previous_event_gap(df: DataFrame, user="user_id", sec="event_timestamp_sec",
-                       bucket_seconds: int = 3600) -> DataFrame:
-    """Seconds since the user's previous event (0 for the first), as double.
+def gap_within_bucket(df: DataFrame, user="user_id", sec="event_timestamp_sec",
+                      bucket_seconds: int = 3600) -> DataFrame:
+    """First half of the gap: ``_bucket`` and the lag inside (user, bucket).
 
     A plain ``lag`` over ``partitionBy(user)`` puts each user in one task; a
-    single bot user can hold a large share of all rows.  The lag is computed
-    inside (user, time bucket) groups instead, and the first row of a bucket
-    takes the last second of the user's previous non-empty bucket from a
-    per-bucket summary (one row per user and bucket).
+    single bot user can hold a large share of all rows.  The lag runs inside
+    (user, time bucket) groups instead; ``carry_gap`` fills the first row of
+    each bucket.
     """
     b = F.floor(F.col(sec) / F.lit(bucket_seconds)).cast("long")
     df = df.withColumn("_bucket", b)
     w_in = Window.partitionBy(user, "_bucket").orderBy(order_key())
-    df = df.withColumn("_prev", F.lag(sec).over(w_in))
+    return df.withColumn("_prev", F.lag(sec).over(w_in))
+
+
+def carry_gap(df: DataFrame, user="user_id", sec="event_timestamp_sec") -> DataFrame:
+    """Second half: the first row of a bucket takes the last second of the
+    user's previous non-empty bucket, from a one-row-per-(user, bucket) summary.
+    Gives ``event_timestamp_diff`` (seconds since the previous event, 0 first)."""
     last = df.groupBy(user, "_bucket").agg(F.max(sec).alias("_last"))
     carry = last.withColumn(
         "_carry", F.lag("_last").over(Window.partitionBy(user).orderBy("_bucket"))
@@ -81,6 +86,12 @@ def previous_event_gap(df: DataFrame, user="user_id", sec="event_timestamp_sec",
     return df.withColumn("event_timestamp_diff", gap).drop("_bucket", "_prev", "_carry")
 
 
+def previous_event_gap(df: DataFrame, user="user_id", sec="event_timestamp_sec",
+                       bucket_seconds: int = 3600) -> DataFrame:
+    """Seconds since the user's previous event (0 for the first), as double."""
+    return carry_gap(gap_within_bucket(df, user, sec, bucket_seconds), user, sec)
+
+
 def relevant_events(flat: DataFrame, goal_event: str) -> DataFrame:
     """Relevant events with usable keys, cleaned ids, and no PII users."""
     df = _with_event_id(flat)
@@ -96,6 +107,21 @@ def relevant_events(flat: DataFrame, goal_event: str) -> DataFrame:
 def clean_events(flat: DataFrame, goal_event: str, brand: Iterable[str],
                  bucket_seconds: int = 3600) -> DataFrame:
     """Cleaned events (schema ``CLEAN_COLUMNS``) from flat clickstream rows."""
+    return finish_clean(clean_base(flat, goal_event, brand, bucket_seconds))
+
+
+def finish_clean(base: DataFrame) -> DataFrame:
+    """Add the cross-bucket part of the gap and fix the column order."""
+    return carry_gap(base).select(*CLEAN_COLUMNS)
+
+
+def clean_base(flat: DataFrame, goal_event: str, brand: Iterable[str],
+               bucket_seconds: int = 3600) -> DataFrame:
+    """Every cleaning step up to the within-bucket gap (see ``finish_clean``).
+
+    ``finish_clean`` reads this twice (rows and per-bucket summary); callers
+    that write the result once can persist this base around the write.
+    """
     T.brand_pattern(brand)  # validates the argument early
     df = relevant_events(flat, goal_event)
 
@@ -118,7 +144,7 @@ def clean_events(flat: DataFrame, goal_event: str, brand: Iterable[str],
         .otherwise(F.col("event_timestamp")))
     df = df.withColumnRenamed("user_pseudo_id", "user_id")
     df = df.withColumn("event_timestamp_sec", epoch_seconds("event_timestamp"))
-    df = previous_event_gap(df, bucket_seconds=bucket_seconds)
+    df = gap_within_bucket(df, bucket_seconds=bucket_seconds)
 
     df = df.fillna(FILL_DEFAULTS)
     for c in ("campaign", "source", "medium", "source_medium"):
@@ -130,4 +156,5 @@ def clean_events(flat: DataFrame, goal_event: str, brand: Iterable[str],
     title = F.when(title == "", "(not set)").otherwise(title)
     title = F.when(F.col("page_location") == "/", "Home").otherwise(title)
     df = df.withColumn("page_title", title)
-    return df.select(*CLEAN_COLUMNS)
+    keep = [c for c in CLEAN_COLUMNS if c != "event_timestamp_diff"]
+    return df.select(*keep, "_bucket", "_prev")

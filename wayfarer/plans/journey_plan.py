@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from wayfarer.operators import attribution, clean, journeys, users
@@ -48,10 +49,17 @@ def _as_tuple(x: Iterable[str], what: str) -> tuple[str, ...]:
 
 def journey_stages(flat: DataFrame, params: JourneyParams) -> JourneyStages:
     """Build every stage from flat clickstream rows; nothing runs here."""
-    cleaned = clean.clean_events(flat, params.goal_event, params.brand,
-                                 bucket_seconds=params.bucket_seconds)
+    base = clean.clean_base(flat, params.goal_event, params.brand,
+                            bucket_seconds=params.bucket_seconds)
     if params.write_clean:
-        cleaned = write_table(cleaned, "clean_events")
+        # The gap's carry reads the base twice; keep it for the one write.
+        base.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            cleaned = write_table(clean.finish_clean(base), "clean_events")
+        finally:
+            base.unpersist()
+    else:
+        cleaned = clean.finish_clean(base)
     counts = users.user_counts(cleaned)
     conv = users.converters(cleaned, params.goal_event)
     multi = users.multi_page_events(cleaned, counts)
