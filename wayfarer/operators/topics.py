@@ -12,6 +12,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfarer.session import materialize
+
 # The embedding instruction and the labelling prompt template.
 INSTRUCTION = "Represent the intent of the user journey for users of a website"
 PROMPT = """
@@ -77,7 +79,8 @@ def class_tfidf(docs: DataFrame, class_col: str = "topic", text_col: str = "text
     (rounded to 9 places), rank.
     """
     words = docs.select(F.col(class_col).alias("_c"), F.explode(tokens(text_col)).alias("word"))
-    tf = words.groupBy("_c", "word").agg(F.count(F.lit(1)).alias("tf"))
+    # Texts are tokenised once: the (class, word, count) table feeds every sum.
+    tf = materialize(words.groupBy("_c", "word").agg(F.count(F.lit(1)).alias("tf")))
     size = tf.groupBy("_c").agg(F.sum("tf").alias("class_size"))
     ft = tf.groupBy("word").agg(F.sum("tf").alias("f"))
     avg = size.select(F.floor(F.avg("class_size")).cast("double").alias("A"))

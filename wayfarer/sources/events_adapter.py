@@ -35,6 +35,11 @@ HOST = "https://Shop.Example.com"
 
 def clickstream_from_events(events: DataFrame) -> DataFrame:
     """Flat clickstream rows (one per event) from the ``events`` table."""
+    return _mapped(events).drop("_k", "_uid", "_value")
+
+
+def _mapped(events: DataFrame) -> DataFrame:
+    """The flat columns plus the raw ``k``, user id and value they came from."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     e = events.select("event_id", "ts", "user_id", "event_type", "value", k.alias("k"))
     uid = F.col("user_id").cast("string")
@@ -81,6 +86,7 @@ def clickstream_from_events(events: DataFrame) -> DataFrame:
         F.lit("(not set)").alias("geo_region"),
         F.lit("(not set)").alias("geo_city"),
         F.lit("desktop").alias("device_category"),
+        F.col("k").alias("_k"), F.col("user_id").alias("_uid"), F.col("value").alias("_value"),
     )
 
 
@@ -99,9 +105,12 @@ def nested_export_from_events(events: DataFrame) -> DataFrame:
     """
     from wayfarer.functions.timeutil import epoch_ntz
 
-    flat = clickstream_from_events(events)
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    base = events.select("event_id", "user_id", "value", k.alias("k")).join(flat, "event_id")
+    # One projection of the events (no self-join), copies made by explode.
+    base = _mapped(events).withColumnRenamed("_k", "k").withColumnRenamed("_uid", "user_id") \
+        .withColumnRenamed("_value", "value")
+    base = base.withColumn("_copy", F.explode(
+        F.when(F.col("event_id") % 10 == 0, F.array(F.lit(0), F.lit(1)))
+        .otherwise(F.array(F.lit(0)))))
     kk, uid = F.col("k"), F.col("user_id")
     day = F.dayofmonth("event_date").cast("long")
 
@@ -146,8 +155,7 @@ def nested_export_from_events(events: DataFrame) -> DataFrame:
         params.alias("event_params"),
         F.when(last_day & (uid % 2 == 0), F.concat(F.lit("intraday_"), suffix))
         .otherwise(suffix).alias("_table_suffix"))
-    dup = raw.filter(F.col("event_id") % 10 == 0)
-    return raw.unionByName(dup).drop("event_id")
+    return raw.drop("event_id")
 
 
 def params_type() -> str:
