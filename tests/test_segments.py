@@ -56,3 +56,26 @@ def test_isolation_finds_planted_outliers(spark):
     again = {r.id: r.anomaly_score for r in isolation.isolation_scores(df, "id", n_trees=50,
                                                                          sample=128).collect()}
     assert again == {r.id: r.anomaly_score for r in flagged}
+
+
+def test_sparse_components_equal_dense_standardised(spark):
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql.types import StructField, StructType
+
+    from wayfarer.operators import vectors
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(80):
+        dense = (rng.random(12) < 0.3).astype(float)
+        dense[5] = 1.0  # a constant column
+        idx = np.flatnonzero(dense)
+        rows.append((Vectors.sparse(12, idx.tolist(), dense[idx].tolist()),))
+    df = spark.createDataFrame(rows, StructType([StructField("v", VectorUDT())]))
+    got = np.array([r.pca.toArray() for r in vectors.standardized_components(df, "v", 4).collect()])
+    std = StandardScaler(inputCol="v", outputCol="s", withMean=True, withStd=True).fit(df) \
+        .transform(df)
+    want = PCA(k=4, inputCol="s", outputCol="p").fit(std).transform(std)
+    want = np.array([r.p.toArray() for r in want.collect()])
+    assert np.allclose(got, want, atol=1e-9)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import PCA, CountVectorizer, CountVectorizerModel, StandardScaler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +38,40 @@ def principal_components(df: DataFrame, in_col: str, k: int = 5,
     return model.transform(df)
 
 
+def standardized_components(df: DataFrame, in_col: str, k: int = 5,
+                            out_col: str = "pca") -> DataFrame:
+    """Principal components of the standardised columns, without densifying.
+
+    Standardising (x - mean) / std makes every row dense.  Scaling by 1 / std
+    keeps sparse rows sparse and has the same covariance, so PCA fits the same
+    axes W; the projection of the standardised row is then
+    ``W^T (x / std) - W^T (mean / std)``: the fitted k-dimensional projection
+    minus one constant vector.  Constant columns (std 0) contribute 0, as they
+    do after standardising.
+    """
+    import numpy as np
+
+    scaler = StandardScaler(inputCol=in_col, outputCol="_scaled", withMean=False,
+                            withStd=True).fit(df)
+    scaled = scaler.transform(df)
+    width = scaler.std.size
+    model = PCA(k=max(1, min(k, width)), inputCol="_scaled", outputCol="_proj").fit(scaled)
+    std, mean = scaler.std.toArray(), scaler.mean.toArray()
+    centre = np.divide(mean, std, out=np.zeros_like(mean), where=std > 0)
+    offset = model.pc.toArray().T @ centre            # k values, computed once
+    shift = F.array(*[F.lit(float(v)) for v in offset])
+    proj = F.zip_with(vector_to_array("_proj", "float64"), shift, lambda a, b: a - b)
+    return model.transform(scaled).withColumn(out_col, array_to_vector(proj)) \
+        .drop("_scaled", "_proj")
+
+
 def reduce(df: DataFrame, vocab: CountVectorizerModel, k: int = 5,
            seq_col: str = "activity_list", reducer: str = "pca") -> DataFrame:
     """Binary vectors -> standardised -> ``k`` components in column ``pca``."""
     if reducer != "pca":
         raise ValueError("reducer must be 'pca' (UMAP is not available on Spark)")
     vec = binary_vectors(df, vocab.setInputCol(seq_col))
-    scaled = standardize(vec, "labels_vec")
-    return principal_components(scaled, "scaled", k).drop("labels_vec", "scaled")
+    return standardized_components(vec, "labels_vec", k).drop("labels_vec")
 
 
 def as_array(col: str = "pca") -> F.Column:

@@ -35,8 +35,7 @@ def journey_topics(journeys: DataFrame, min_topic_size: int = 100, id_col: str =
         emb = topics.embed_labels(journeys)
     else:
         emb = topics.embed_with(journeys, embedder, instruction, id_col, text_col)
-    red = vectors.principal_components(vectors.standardize(emb, "embedding", "_scaled"),
-                                       "_scaled", k, "pca").drop("_scaled")
+    red = vectors.standardized_components(emb, "embedding", k, "pca")
     red = materialize(red)
     clustered = materialize(density.density_cluster(red, "pca", cell_size=cell_size,
                                                     min_cluster_size=min_topic_size))
@@ -58,8 +57,11 @@ def journey_topics(journeys: DataFrame, min_topic_size: int = 100, id_col: str =
     kw_list = kw.groupBy("topic").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))),
                     lambda x: x["keyword"]).alias("keywords"))
-    reps = topics.representative_docs(assigned.select("topic", "embedding",
-                                                      F.col(text_col).alias("doc")))
+    # Closeness to the topic centre is measured in the reduced space (k values
+    # per row), so no row's embedding is ever densified.
+    reps = topics.representative_docs(assigned.select("topic", "pca",
+                                                      F.col(text_col).alias("doc")),
+                                      vec_col="pca")
     counts = assigned.groupBy("topic").agg(F.count(F.lit(1)).alias("count"))
     info = (counts.join(kw_list, "topic", "left").join(reps, "topic", "left")
             .withColumn("name", F.concat_ws("_", F.col("topic").cast("string"),
