@@ -81,16 +81,18 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
                        "dst")
               .groupBy(F.col("src").alias("id")).agg(F.min("nl").alias("nl")))
         step = (labels.join(nb, "id", "left")
-                .select("id", F.least("label", F.coalesce("nl", "label")).alias("label")))
+                .select("id", F.col("label").alias("old"),
+                        F.least("label", F.coalesce("nl", "label")).alias("label")))
         # Pointer jumping: adopt the label of your label.
         jump = step.join(step.select(F.col("id").alias("label"), F.col("label").alias("ll")),
                          "label", "left")
-        new = materialize(
-            jump.select("id", F.least("label", F.coalesce("ll", "label")).alias("label")))
-        changed = new.join(labels.withColumnRenamed("label", "old"), "id") \
-            .filter(F.col("label") != F.col("old")).limit(1).count()
-        labels = new
-        if changed == 0:
+        label = F.least("label", F.coalesce("ll", "label"))
+        new = materialize(jump.select("id", label.alias("label"),
+                                      (label != F.col("old")).alias("_changed")))
+        # The flag was computed in the round itself: the check reads the copy.
+        done = new.filter("_changed").isEmpty()
+        labels = new.select("id", "label")
+        if done:
             break
     return labels.withColumnRenamed("label", "component")
 
