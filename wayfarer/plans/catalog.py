@@ -67,6 +67,11 @@ def q_clickstream(spark, sf_dir):
     return flat_events(spark, sf_dir)
 
 
+def q_relevant_events(spark, sf_dir):
+    from wayfarer.operators.clean import relevant_events
+    return relevant_events(flat_events(spark, sf_dir), PARAMS.goal_event)
+
+
 def q_clean_events(spark, sf_dir):
     return stages(spark, sf_dir).clean
 
@@ -130,6 +135,19 @@ def q_kept_mediums(spark, sf_dir):
     return attribution.kept_mediums(stages(spark, sf_dir).clean)
 
 
+def q_medium_mix_wide(spark, sf_dir):
+    return attribution.medium_mix_wide(stages(spark, sf_dir).mix_long)
+
+
+def q_journey_vectors(spark, sf_dir):
+    """Binary label vectors (vocabulary of all journeys): nonzeros per journey."""
+    j = journeys_df(spark, sf_dir)
+    vec = V.binary_vectors(j, V.fit_label_vocabulary(j))
+    from pyspark.ml.functions import vector_to_array
+    ones = F.aggregate(vector_to_array("labels_vec"), F.lit(0.0), lambda a, x: a + x)
+    return vec.select("user_id", ones.cast("long").alias("n_features"), "converted")
+
+
 def _mix(strategy):
     def q(spark, sf_dir):
         st = stages(spark, sf_dir)
@@ -351,6 +369,7 @@ def registry() -> dict:
     return {
         # events -> journeys
         "clickstream": q_clickstream,
+        "relevant_events": q_relevant_events,
         "clean_events": q_clean_events,
         "event_gaps": q_event_gaps,
         "user_counts": q_user_counts,
@@ -369,6 +388,7 @@ def registry() -> dict:
         "medium_mix_first": _mix("first"),
         "medium_mix_last": _mix("last"),
         "medium_mix_even": _mix("even"),
+        "medium_mix_wide": q_medium_mix_wide,
         "balanced_journeys": q_balanced_journeys,
         # nested export source
         "export_dedup": q_export_dedup,
@@ -390,6 +410,7 @@ def registry() -> dict:
         # importance, segments, topics, pages
         "sequence_features": q_sequence_features,
         "sequence_importance": q_sequence_importance,
+        "journey_vectors": q_journey_vectors,
         "journey_pca": q_journey_pca,
         "density_clusters": q_density_clusters,
         "embedding_clusters": q_embedding_clusters,

@@ -305,6 +305,14 @@ def journey_registry() -> dict[str, str]:
         "journeys": jl + JOURNEY_SELECT,
         "journeys_by_title": journeys_ctes("page_title") + JOURNEY_SELECT,
         "journeys_with_mix": journeys_with_mix_sql("first"),
+        "relevant_events": _with(FLAT, CLEAN) + "\nSELECT * FROM rel",
+        "medium_mix_wide": ("SELECT * FROM (PIVOT (" + _with(FLAT, CLEAN, MEDIUMS)
+                            + "\nSELECT user_id, medium_column, CAST(" + _mix_score("first")
+                            + " AS DOUBLE) AS score FROM mper) ON medium_column "
+                            "USING coalesce(sum(score), 0.0) GROUP BY user_id)"),
+        "journey_vectors": journeys_ctes() + """
+SELECT user_id, CAST(len(activity_list) AS BIGINT) AS n_features,
+       CAST(converted AS INTEGER) AS converted FROM journeys_all""",
         "medium_counts": _with(FLAT, CLEAN, MEDIUMS) + "\nSELECT * FROM mcounts",
         "kept_mediums": _with(FLAT, CLEAN, MEDIUMS) + "\nSELECT * FROM mkept",
         "medium_mix_first": _mix_sql("first"),
