@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from wayfarer.operators.quantiles import values_at_ranks
 
 
+def hash_key(id_col: str, seed: int) -> F.Column:
+    """A 60-bit key from ``md5(id:seed)``: same value in any SQL engine with md5."""
+    digest = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def balance_classes(journeys: DataFrame, seed: int = 42, id_col: str = "user_id",
                     label_col: str = "converted") -> DataFrame:
     """Converters, then exactly that many non-converters in hash order.
@@ -18,7 +24,7 @@ def balance_classes(journeys: DataFrame, seed: int = 42, id_col: str = "user_id"
     """
     conv = journeys.filter(F.col(label_col) == 1)
     non = journeys.filter(F.col(label_col) == 0).withColumn(
-        "_h", F.xxhash64(F.col(id_col), F.lit(seed)))
+        "_h", hash_key(id_col, seed))
     n = conv.count()
     if n == 0:
         return conv

@@ -306,6 +306,20 @@ def journey_registry() -> dict[str, str]:
         "journeys_by_title": journeys_ctes("page_title") + JOURNEY_SELECT,
         "journeys_with_mix": journeys_with_mix_sql("first"),
         "relevant_events": _with(FLAT, CLEAN) + "\nSELECT * FROM rel",
+        "balanced_journeys": journeys_ctes() + """,
+conv_j AS (SELECT user_id, converted FROM journeys_all WHERE converted = 1),
+non_j AS (
+  SELECT user_id, converted,
+         row_number() OVER (ORDER BY CAST(('0x' || substr(md5(user_id || ':42'), 1, 15))
+                                          AS BIGINT), user_id) AS r
+  FROM journeys_all WHERE converted = 0),
+picked AS (
+  SELECT user_id, converted FROM conv_j
+  UNION ALL
+  SELECT user_id, converted FROM non_j WHERE r <= (SELECT count(*) FROM conv_j))
+SELECT p.user_id, CAST(p.converted AS INTEGER) AS converted,
+       array_to_string(j.activity_list, ' -> ') AS activity_list_text
+FROM picked p JOIN journeys_all j USING (user_id)""",
         "medium_mix_wide": ("SELECT * FROM (PIVOT (" + _with(FLAT, CLEAN, MEDIUMS)
                             + "\nSELECT user_id, medium_column, CAST(" + _mix_score("first")
                             + " AS DOUBLE) AS score FROM mper) ON medium_column "
