@@ -1,0 +1,31 @@
+from pyspark.sql import functions as F
+
+from wayfarer import api
+from wayfarer.plans import catalog
+from wayfarer.sources import events_adapter as A
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_names_compose_like_the_original(spark):
+    flat = catalog.flat_events(spark, SF)
+    df = api.load_and_clean(flat, A.GOAL_EVENT, A.BRAND)
+    counts = api.process_counts(df)
+    multi = api.process_removals(api.process_multi(df, counts), A.REMOVAL_PHRASES)
+    attr = api.process_medium_mix(df, "first")
+    cut = api.process_conversion_path(multi, A.CONVERSION_PAGE_PATH)
+    agg = api.process_aggregation(api.process_labels(cut), attr)
+    events, journeys = api.get_data(flat, A.GOAL_EVENT, A.CONVERSION_PAGE_PATH, A.BRAND)
+    cols = ["user_id", "activity_list_text", "unique_pageviews"]
+    assert agg.select(cols).exceptAll(journeys.select(cols)).count() == 0
+    assert api.process_converters(df, A.GOAL_EVENT).count() > 0
+    pats = api.find_frequent_sequences(journeys, min_freq=2, min_len=2)
+    assert pats.count() > 0
+    top = pats.orderBy(F.desc("freq")).first()
+    assert api.count_ordered_subset_sequences(top.sequence, journeys).first()["count"] == top.freq
+    d = api.find_divergence_point(F.array(F.lit("A"), F.lit("B"), F.lit("C"), F.lit("D")),
+                                  F.array(F.lit("A"), F.lit("B"), F.lit("X")))
+    r = spark.range(1).select(d["d"].alias("d"), d["tail1"].alias("t1"),
+                              d["score"].alias("s")).first()
+    assert r.d == 2 and r.t1 == ["C", "D"] and abs(r.s - 0.27778) < 1e-5
+    assert api.analyze_divergence(journeys, top_n=5, min_freq=2).count() <= 5
