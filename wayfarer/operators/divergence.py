@@ -18,8 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfarer.functions.sequences import (common_prefix_length, divergence_score_from,
-                                          prefixes)
+from wayfarer.functions.sequences import divergence_score_from, prefixes
 from wayfarer.functions.text import join_path
 from wayfarer.operators.patterns import frequent_sequences
 from wayfarer.session import materialize
@@ -108,7 +107,7 @@ def top_divergence(non_conv: DataFrame, conv: DataFrame, top_n: int = 10,
         F.col("weight")).dropDuplicates()  # distinct rows (bounded candidate set)
     return out.orderBy(F.col("weight").desc(), F.col("non_conv_freq").desc(),
                        F.col("non_conversion_seq").asc(), F.col("conversion_seq").asc()) \
-        .limit(top_n)
+        .limit(top_n).select(*RESULT_COLUMNS)
 
 
 def _empty_result(like: DataFrame) -> DataFrame:
@@ -117,14 +116,6 @@ def _empty_result(like: DataFrame) -> DataFrame:
             "divergence_score double, non_conv_freq bigint, weight double")
 
 
-def pair_divergence(non_conv_seq, conv_seq) -> dict:
-    """Column expressions for one explicit pair (used by tests and small inputs)."""
-    d = common_prefix_length(non_conv_seq, conv_seq)
-    n_len, c_len = F.size(non_conv_seq), F.size(conv_seq)
-    return {"d": d, "score": divergence_score_from(d, n_len, c_len),
-            "kept": (d < n_len) & (d < c_len)}
-
-
 def class_patterns(journeys: DataFrame, min_freq: int, min_len: int,
                    seq_col: str = "activity_list") -> tuple[DataFrame, DataFrame]:
     """Closed frequent patterns of converters and of non-converters."""
