@@ -74,6 +74,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+_CHEAP = ("Project", "Filter", "LogicalRDD", "Relation")
+
+
+def is_stored_projection(df) -> bool:
+    """True when ``df`` only selects / filters a checkpoint or a file table.
+
+    Reading such a plan again costs one scan, so writing it once more saves
+    nothing.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    ops = [ln.strip().lstrip(":+- ").split(" ")[0] for ln in plan.splitlines() if ln.strip()]
+    ops = [o for o in ops if o]
+    return bool(ops) and all(o.startswith(_CHEAP) for o in ops) \
+        and any(o.startswith(("LogicalRDD", "Relation")) for o in ops)
+
+
 def materialize(df):
     """Checkpoint ``df`` to the shared checkpoint folder and return the copy.
 
@@ -84,6 +100,8 @@ def materialize(df):
     """
     from pyspark import StorageLevel
 
+    if is_stored_projection(df):
+        return df
     ensure_checkpoint_dir(df.sparkSession)
     df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
