@@ -135,6 +135,11 @@ def q_kept_mediums(spark, sf_dir):
     return attribution.kept_mediums(stages(spark, sf_dir).clean)
 
 
+def q_medium_mix_first_by_time(spark, sf_dir):
+    """First credit to the medium of the user's earliest session start."""
+    return attribution.medium_mix_long(stages(spark, sf_dir).clean, "first", order_by="time")
+
+
 def q_medium_mix_wide(spark, sf_dir):
     return attribution.medium_mix_wide(stages(spark, sf_dir).mix_long)
 
@@ -389,6 +394,7 @@ def registry() -> dict:
         "medium_mix_last": _mix("last"),
         "medium_mix_even": _mix("even"),
         "medium_mix_wide": q_medium_mix_wide,
+        "medium_mix_first_by_time": q_medium_mix_first_by_time,
         "balanced_journeys": q_balanced_journeys,
         # nested export source
         "export_dedup": q_export_dedup,

@@ -320,6 +320,19 @@ picked AS (
 SELECT p.user_id, CAST(p.converted AS INTEGER) AS converted,
        array_to_string(j.activity_list, ' -> ') AS activity_list_text
 FROM picked p JOIN journeys_all j USING (user_id)""",
+        "medium_mix_first_by_time": _with(FLAT, CLEAN, MEDIUMS) + """,
+mfirst AS (
+  SELECT t.user_id, t.medium, t.medium_column, min(c.event_timestamp) AS first_seen
+  FROM mtagged t JOIN (SELECT user_id, event_timestamp, source_medium FROM clean
+                       WHERE event_name = 'session_start') c
+    ON c.user_id = t.user_id
+   AND (CASE WHEN t.medium = '(not set)' THEN c.source_medium NOT IN (SELECT source_medium FROM mkept)
+             ELSE c.source_medium = t.medium END)
+  GROUP BY t.user_id, t.medium, t.medium_column)
+SELECT user_id, medium, medium_column,
+       CAST(CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY first_seen, medium) = 1
+                 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score
+FROM mfirst""",
         "medium_mix_wide": ("SELECT * FROM (PIVOT (" + _with(FLAT, CLEAN, MEDIUMS)
                             + "\nSELECT user_id, medium_column, CAST(" + _mix_score("first")
                             + " AS DOUBLE) AS score FROM mper) ON medium_column "
