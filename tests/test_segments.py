@@ -79,3 +79,12 @@ def test_sparse_components_equal_dense_standardised(spark):
     want = PCA(k=4, inputCol="s", outputCol="p").fit(std).transform(std)
     want = np.array([r.p.toArray() for r in want.collect()])
     assert np.allclose(got, want, atol=1e-9)
+
+
+def test_cluster_labels_do_not_depend_on_partitioning(spark):
+    df = blobs(spark)
+    a = {r.id: r.cluster for r in density.density_cluster(df, cell_size=0.5,
+                                                          min_cluster_size=10).collect()}
+    b = {r.id: r.cluster for r in density.density_cluster(
+        df.repartition(7, F.col("id")), cell_size=0.5, min_cluster_size=10).collect()}
+    assert a == b and set(a.values()) == {-1, 0, 1}

@@ -125,6 +125,15 @@ def density_cluster(df: DataFrame, vec_col: str = "pca", cell_size: float | None
              .groupBy("component").agg(F.sum("weight").alias("_w")))
     keep = sized.filter(F.col("_w") >= min_cluster_size).select("component")
     labelled = cell_comp.join(keep, "component", "left_semi")
-    cell_label = cells.select("_cell", "id").join(labelled, "id", "left") \
-        .select("_cell", F.coalesce("component", F.lit(-1)).cast("long").alias(out_col))
+    # Deterministic labels 0..K-1: clusters ordered by their smallest cell
+    # (a distributed sort and index; independent of how the input was split).
+    firsts = (labelled.join(cells.select("id", "_cell"), "id")
+              .groupBy("component").agg(F.min("_cell").alias("_first")))
+    spark = df.sparkSession
+    ranked = firsts.orderBy("_first").rdd.zipWithIndex() \
+        .map(lambda t: (t[0]["component"], t[1]))
+    names = spark.createDataFrame(ranked, "component long, _label long")
+    cell_label = (cells.select("_cell", "id").join(labelled, "id", "left")
+                  .join(names, "component", "left")
+                  .select("_cell", F.coalesce("_label", F.lit(-1)).cast("long").alias(out_col)))
     return pts.join(cell_label, "_cell", "left").drop("_cell")
