@@ -96,6 +96,8 @@ def class_tfidf(docs: DataFrame, class_col: str = "topic", text_col: str = "text
 
 def _mmr(pdf: pd.DataFrame, n_docs: int, diversity: float) -> pd.DataFrame:
     """Maximal marginal relevance over one topic's candidates (bounded rows)."""
+    # Fixed candidate order, so ties resolve the same whatever the row arrival.
+    pdf = pdf.sort_values(["_sim", "doc"], ascending=[False, True]).reset_index(drop=True)
     vecs = np.stack(pdf["_v"].to_numpy())
     rel = pdf["_sim"].to_numpy()
     chosen = [int(np.argmax(rel))]
