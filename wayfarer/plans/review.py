@@ -38,7 +38,8 @@ def top_patterns(journeys: DataFrame, kind: str, top_n: int, min_freq: int,
 def review_parts(journeys: DataFrame, top_n: int = 10, reducer: str = "pca",
                  id_col: str = "user_id", k: int = 5, cell_size: float | None = None,
                  min_cluster_size: int = 3, contamination: float = 0.05, seed: int = 42,
-                 vocab_size: int = vectors.DEFAULT_VOCAB_SIZE) -> ReviewParts:
+                 vocab_size: int = vectors.DEFAULT_VOCAB_SIZE, similar_min_freq: int = 2,
+                 unusual_min_freq: int = 3, min_len: int = 3) -> ReviewParts:
     if reducer != "pca":
         raise ValueError("reducer must be 'pca' (UMAP is not available on Spark)")
     spark = journeys.sparkSession
@@ -59,9 +60,10 @@ def review_parts(journeys: DataFrame, top_n: int = 10, reducer: str = "pca",
     sim_red = materialize(vectors.reduce(similar, vocab, k))
     scored = materialize(isolation.isolation_scores(sim_red, id_col, "pca", seed=seed))
     flagged = isolation.flag_anomalies(scored, contamination)
-    report = top_patterns(flagged, "similar", top_n, min_freq=2)
+    report = top_patterns(flagged, "similar", top_n, similar_min_freq, min_len)
     unusual = flagged.filter(F.col("anomaly") == -1)
-    report = report.unionByName(top_patterns(unusual, "unusual", top_n, min_freq=3))
+    report = report.unionByName(top_patterns(unusual, "unusual", top_n, unusual_min_freq,
+                                             min_len))
     return ReviewParts(clustered, flagged, report)
 
 
