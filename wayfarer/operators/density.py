@@ -107,7 +107,8 @@ def density_cluster(df: DataFrame, vec_col: str = "pca", cell_size: float | None
     cells = pts.groupBy("_cell").agg(F.count(F.lit(1)).alias("weight"))
     ensure_checkpoint_dir(df.sparkSession)
     cells = materialize(cells.withColumn("id", F.monotonically_increasing_id()))
-    k = len(cells.select("_cell").first()["_cell"]) if not cells.isEmpty() else 0
+    first = cells.select("_cell").first()
+    k = len(first["_cell"]) if first is not None else 0
     dense = cells.filter(F.col("weight") >= min_pts)
     offs = F.array(*[F.array(*[F.lit(v) for v in o]) for o in _offsets(k)])
     reach = dense.select(F.col("id").alias("src"), F.explode(
