@@ -41,8 +41,8 @@ def divergence_score_from(d, n1, n2) -> Column:
     """
     d, n1, n2 = _col(d).cast("double"), _col(n1).cast("double"), _col(n2).cast("double")
     shorter = F.least(n1, n2)
-    match = F.when(shorter > 0, d / shorter)
-    tail = (n1 - d + (n2 - d)) / (n1 + n2 - d)
+    match = F.try_divide(d, shorter)              # NULL for an empty side
+    tail = F.try_divide(n1 - d + (n2 - d), n1 + n2 - d)
     return (match * match) / (tail + F.lit(1.0))
 
 
