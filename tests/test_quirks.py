@@ -68,3 +68,10 @@ def test_engaged_ratio_may_exceed_one(spark):
     counts = users.user_counts(c).first()
     # four page-view rows (one a copy of the session start) over three instants
     assert counts.pageviews == 3 and counts.engaged_sessions == 1.33
+
+
+def test_counts_round_like_numpy(spark):
+    from wayfarer.operators.users import round_half_even
+    df = spark.createDataFrame([(23, 40), (49, 40), (1, 8), (3, 8)], "k long, n long")
+    got = [r.b for r in df.select(round_half_even(F.col("k") / F.col("n"), 2).alias("b")).collect()]
+    assert got == [0.57, 1.23, 0.12, 0.38]

@@ -17,6 +17,16 @@ MULTI_COLUMNS = [
 ]
 
 
+def round_half_even(x: F.Column, digits: int) -> F.Column:
+    """numpy's rounding: scale, round half-even on the binary value, unscale.
+
+    ``bround(x, 2)`` rounds the shortest decimal form instead, so 0.575
+    (stored as 0.57499999...) would become 0.58 rather than 0.57.
+    """
+    scale = float(10 ** digits)
+    return F.bround(x * F.lit(scale), 0) / F.lit(scale)
+
+
 def user_counts(clean: DataFrame) -> DataFrame:
     """Page-view counts per user; engaged_sessions rounded half-even to 2.
 
@@ -32,7 +42,7 @@ def user_counts(clean: DataFrame) -> DataFrame:
         F.sum("session_engaged").alias("_engaged"),
         F.count_distinct("ga_session_id").alias("total_sessions"),
     )
-    ratio = F.bround(F.col("_engaged") / F.col("pageviews"), 2)
+    ratio = round_half_even(F.col("_engaged") / F.col("pageviews"), 2)
     return g.select("user_id", "unique_days", "unique_pages", "pageviews",
                     ratio.alias("engaged_sessions"), "total_sessions")
 

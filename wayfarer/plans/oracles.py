@@ -153,7 +153,8 @@ counts AS (
          count(DISTINCT page_location) AS unique_pages,
          count(DISTINCT event_timestamp) AS pageviews,
          CAST(round_even(CAST(sum(session_engaged) AS DOUBLE)
-                         / count(DISTINCT event_timestamp), 2) AS DOUBLE) AS engaged_sessions,
+                         / count(DISTINCT event_timestamp) * 100.0, 0) AS DOUBLE) / 100.0
+           AS engaged_sessions,
          count(DISTINCT ga_session_id) AS total_sessions
   FROM clean WHERE event_name = 'page_view' GROUP BY user_id),
 band AS (SELECT user_id FROM counts WHERE unique_pages > 2 AND unique_pages < 75),
