@@ -51,3 +51,18 @@ def test_strip_and_slug(spark, values):
 def test_title_prefix(spark, values):
     for x, y in run(spark, values, T.title_prefix("x")):
         assert y == py_title(x), repr(x)
+
+
+WORDY = list("jobcarepliy_/-.9") + ["é", "É", " ", "ß"]
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.text(alphabet=WORDY, max_size=20), min_size=1, max_size=40))
+def test_phrase_match_like_python(spark, values):
+    from pyspark.sql import functions as F
+    phrases = ["job", "career", "careers", "apply"]
+    rx = T.phrase_regex(phrases)
+    py = re.compile(r"\b(?:" + "|".join(phrases) + r")\b", re.IGNORECASE)
+    df = spark.createDataFrame([(v,) for v in values], "x string")
+    for r in df.select("x", F.col("x").rlike(rx).alias("m")).collect():
+        assert r.m == bool(py.search(r.x)), repr(r.x)
