@@ -55,3 +55,35 @@ def test_rank_fallback_path(spark, monkeypatch):
     got = quantiles.values_at_ranks(df, "v", [0, 17, 250, 499])
     s = np.sort(vals)
     assert got == {0: s[0], 17: s[17], 250: s[250], 499: s[499]}
+
+
+seq_lists = st.lists(st.lists(st.sampled_from(list("abcd")), min_size=1, max_size=5),
+                     min_size=3, max_size=12)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(seq_lists, st.integers(min_value=1, max_value=3))
+def test_closed_mining_matches_enumeration(spark, lists, min_freq):
+    from tests.test_patterns import brute_closed, mine
+    assert mine(spark, lists, min_freq, 1) == brute_closed(lists, min_freq, 1)
+
+
+pattern_sets = st.dictionaries(st.tuples(*[st.sampled_from("ABC")] * 1).flatmap(
+    lambda first: st.lists(st.sampled_from("ABC"), min_size=0, max_size=3).map(
+        lambda rest: tuple(first) + tuple(rest))), st.integers(min_value=1, max_value=3),
+    min_size=1, max_size=10)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(pattern_sets, pattern_sets, st.integers(min_value=1, max_value=12))
+def test_top_divergence_matches_all_pairs(spark, non, conv, top_n):
+    from tests.test_divergence import brute_top, frames
+    from wayfarer.operators import divergence as D
+    non_l = [(list(p), f) for p, f in non.items()]
+    conv_l = [(list(p), f) for p, f in conv.items()]
+    want, total = brute_top(non_l, conv_l, top_n)
+    n_df, c_df = frames(spark, non_l, conv_l)
+    got = [(r.conversion_seq, r.non_conversion_seq, r.diversion, r.non_conv_freq)
+           for r in D.top_divergence(n_df, c_df, top_n).collect()]
+    assert got == [(w[0], w[1], w[2], w[4]) for w in want]
+    assert D.divergence_count(n_df, c_df).first()[0] == total
