@@ -33,3 +33,24 @@ print('ROWS', m.queries()['isolation_scores'](spark, '/root/testdata/sf0.001').c
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env,
                          capture_output=True, text=True, timeout=600)
     assert "ROWS 500" in out.stdout, out.stderr[-2000:]
+
+
+def test_bench_prints_one_json_line(tmp_path):
+    import json
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, BENCH_SF_DIR="/root/testdata/sf0.001", BENCH_PASSES="1",
+               BENCH_CPUS="2")
+    out = subprocess.run([sys.executable, os.path.join(repo, "bench.py"), "journeys",
+                          "divergence_top"], cwd=tmp_path, env=env, capture_output=True,
+                         text=True, timeout=900)
+    lines = [ln for ln in out.stdout.splitlines() if ln.strip()]
+    assert len(lines) == 1, out.stdout + out.stderr[-1000:]
+    rec = json.loads(lines[0])
+    assert {"metric", "value", "unit", "queries", "sf"} <= set(rec)
+    assert rec["unit"] == "sec" and rec["sf"] == "0.001"
+    assert set(rec["queries"]) == {"journeys", "divergence_top"}
+    assert all(isinstance(v, float) for v in rec["queries"].values())
