@@ -75,3 +75,13 @@ def test_counts_round_like_numpy(spark):
     df = spark.createDataFrame([(23, 40), (49, 40), (1, 8), (3, 8)], "k long, n long")
     got = [r.b for r in df.select(round_half_even(F.col("k") / F.col("n"), 2).alias("b")).collect()]
     assert got == [0.57, 1.23, 0.12, 0.38]
+
+
+def test_rounding_sweep_matches_numpy(spark):
+    import numpy as np
+
+    from wayfarer.operators.users import round_half_even
+    pairs = [(k, n) for n in range(1, 301) for k in range(0, 2 * n + 1)]
+    df = spark.createDataFrame(pairs, "k long, n long")
+    rows = df.select("k", "n", round_half_even(F.col("k") / F.col("n"), 2).alias("b")).collect()
+    assert all(r.b == float(np.round(r.k / r.n, 2)) for r in rows)
