@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from wayfarer.llm import quality_rules
+from wayfarer.llm import mixing, packing, quality_rules, url_filters, warc_audit
 
 QUERIES = {
+    "op1_url_filters": url_filters.query,
+    "op2_warc_audit": warc_audit.query,
+    "op5_packing": packing.query,
     "op8_quality_rules": quality_rules.query,
+    "op9_mixing": mixing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_url_filters": url_filters.ORACLE_SQL,
+    "op2_warc_audit": warc_audit.ORACLE_SQL,
+    "op9_mixing": mixing.ORACLE_SQL,
+}
