@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from wayfarer.llm import mixing, packing, quality_rules, url_filters, warc_audit
+from wayfarer.llm import (mixing, packing, quality_classifier, quality_rules, url_filters,
+                          warc_audit)
 
 QUERIES = {
     "op1_url_filters": url_filters.query,
@@ -10,6 +11,7 @@ QUERIES = {
     "op5_packing": packing.query,
     "op8_quality_rules": quality_rules.query,
     "op9_mixing": mixing.query,
+    "op10_quality_classifier": quality_classifier.query,
 }
 
 ORACLE_SQL = {
