@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from wayfarer.llm import (language_id, mixing, packing, quality_classifier, quality_rules, url_filters,
+from wayfarer.llm import (embedding_dedup, language_id, mixing, packing, quality_classifier, quality_rules, url_filters,
                           warc_audit)
 
 QUERIES = {
     "op1_url_filters": url_filters.query,
     "op2_warc_audit": warc_audit.query,
+    "op3_embedding_dedup": embedding_dedup.query,
     "op5_packing": packing.query,
     "op6_language_id": language_id.query,
     "op8_quality_rules": quality_rules.query,
