@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from wayfarer.llm import (embedding_dedup, language_id, mixing, packing, quality_classifier, quality_rules, url_filters,
+from wayfarer.llm import (embedding_dedup, language_id, minhash_dedup,
+                          mixing, packing, quality_classifier, quality_rules, url_filters,
                           warc_audit)
 
 QUERIES = {
@@ -11,6 +12,7 @@ QUERIES = {
     "op3_embedding_dedup": embedding_dedup.query,
     "op5_packing": packing.query,
     "op6_language_id": language_id.query,
+    "op7_minhash_dedup": minhash_dedup.query,
     "op8_quality_rules": quality_rules.query,
     "op9_mixing": mixing.query,
     "op10_quality_classifier": quality_classifier.query,
