@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from wayfarer.llm import (embedding_dedup, language_id, minhash_dedup,
-                          mixing, packing, quality_classifier, quality_rules, url_filters,
-                          warc_audit)
+                          mixing, packing, quality_classifier, quality_rules, suffix_dedup,
+                          url_filters, warc_audit)
 
 QUERIES = {
     "op1_url_filters": url_filters.query,
     "op2_warc_audit": warc_audit.query,
     "op3_embedding_dedup": embedding_dedup.query,
+    "op4_suffix_dedup": suffix_dedup.query,
     "op5_packing": packing.query,
     "op6_language_id": language_id.query,
     "op7_minhash_dedup": minhash_dedup.query,
