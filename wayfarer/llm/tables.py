@@ -46,6 +46,11 @@ def _drop_rest() -> None:
             pass
 
 
+def left() -> list[str]:
+    """Paths of the stored tables that are still there."""
+    return list(_LEFT)
+
+
 def fresh(df_or_columns, *bases: str) -> list[str]:
     """Column names built from ``bases`` that clash with none of the frame's own."""
     columns = getattr(df_or_columns, "columns", df_or_columns)
