@@ -9,6 +9,7 @@ from wayfarer.functions import text as T
 
 STRATEGIES = ("first", "last", "even")
 NOT_SET = "(not set)"
+MOST_COLUMNS = 1000
 
 
 def medium_counts(clean: DataFrame) -> DataFrame:
@@ -40,21 +41,20 @@ def medium_mix_long(clean: DataFrame, strategy: str = "first",
     first session start with that medium.
     """
     if strategy not in STRATEGIES:
-        raise ValueError("strategy must be either 'first', 'even' or 'last'")
+        raise ValueError(f"unknown strategy {strategy!r}; use one of {', '.join(STRATEGIES)}")
     if order_by not in ("name", "time"):
         raise ValueError("order_by must be 'name' or 'time'")
     ss = clean.filter(F.col("event_name") == "session_start") \
         .select("user_id", "source_medium", "event_timestamp")
     kept = kept_mediums(clean).select("source_medium", "medium_column")
-    tagged = ss.join(kept, "source_medium", "left").select(
-        "user_id",
-        F.when(F.col("medium_column").isNotNull(), F.col("source_medium"))
-        .otherwise(F.lit(NOT_SET)).alias("medium"),
-        F.coalesce("medium_column", F.lit(NOT_SET)).alias("medium_column"),
+    tagged = ss.join(kept.select("source_medium", F.lit(True).alias("_kept")), "source_medium", "left").select(
+        "user_id", F.when(F.col("_kept"), F.col("source_medium")).otherwise(F.lit(NOT_SET)).alias("medium"),
         "event_timestamp")
-    # Pre-aggregate to one row per (user, medium) before any per-user window.
-    per = tagged.groupBy("user_id", "medium", "medium_column").agg(
-        F.min("event_timestamp").alias("_first_seen"))
+    # One row per (user, medium) before any per-user window.  ``(not set)`` is one
+    # class, whether it is a kept medium or stands for dropped ones.
+    per = tagged.groupBy("user_id", "medium").agg(F.min("event_timestamp").alias("_first_seen"))
+    per = per.join(kept.withColumnRenamed("source_medium", "medium"), "medium", "left").withColumn(
+        "medium_column", F.coalesce("medium_column", F.lit(NOT_SET)))
     key = ["medium"] if order_by == "name" else ["_first_seen", "medium"]
     user = Window.partitionBy("user_id")
     if strategy == "even":
@@ -67,13 +67,19 @@ def medium_mix_long(clean: DataFrame, strategy: str = "first",
     return per.select("user_id", "medium", "medium_column", score.alias("score"))
 
 
-def medium_columns(mix_long: DataFrame) -> list[str]:
-    """Sorted wide column names (bounded by the number of kept categories)."""
-    return sorted(r[0] for r in mix_long.select("medium_column").distinct().collect())
+def medium_columns(mix_long: DataFrame, most: int = MOST_COLUMNS) -> list[str]:
+    """Sorted wide column names; more than ``most`` is an error, as the wide form is then unfit."""
+    found = sorted(r[0] for r in mix_long.select("medium_column").distinct().limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"more than {most} mediums: name the wide columns or use the long form")
+    return found
 
 
 def medium_mix_wide(mix_long: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per user, one double column per medium (equal slugs are summed)."""
+    """One row per user, one double column per medium (equal slugs are summed).
+
+    Without ``columns`` the names are looked up, up to ``MOST_COLUMNS``.
+    """
     cols = columns if columns is not None else medium_columns(mix_long)
     return (mix_long.groupBy("user_id").pivot("medium_column", cols)
             .agg(F.sum("score")).fillna(0.0, subset=cols))

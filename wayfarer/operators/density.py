@@ -4,15 +4,15 @@ Points are binned into cells of side ``cell_size`` over every component.  A
 cell holding at least ``min_pts`` points is dense; dense cells that touch
 (Chebyshev distance 1 in cell coordinates) form one cluster, found as connected
 components of the dense-cell graph; a sparse cell touching dense cells joins
-the one with the smallest id (border points); everything else is noise, as are
-clusters lighter than ``min_cluster_size``.
+the one whose component has the smallest cell (border points); everything else
+is noise, as are clusters lighter than ``min_cluster_size``.
 
 All work is per cell: points are counted by a combinable ``groupBy`` (a cell
 with a third of all points is one count, not a pair enumeration), the
-neighbour search explodes the 3^k offsets of dense cells only, and the
-component search runs over the dense-cell graph with checkpoints between
-rounds.  Labels are not those of a variable-density hierarchy; they are the
-flat density cut described here.
+neighbour search explodes the 3^k offsets of dense cells only.  Cells are known
+by their coordinates, so labels do not depend on how the rows are dealt out.
+Labels are not those of a variable-density hierarchy; they are the flat density
+cut described here.
 """
 
 from __future__ import annotations
@@ -22,119 +22,89 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfarer.operators import components
 from wayfarer.operators.vectors import as_array
-from wayfarer.session import ensure_checkpoint_dir, materialize
+from wayfarer.storage import Scratch, store
 
+#: Cell sizes tried: this many steps of a factor of the square root of 2 down
+#: from the largest coordinate.
+LADDER = 40
 
-SAMPLE_FOR_RADIUS = 2000
 
+def default_cell_size(df: DataFrame, vec_col: str = "pca", min_pts: int = 3) -> float:
+    """The smallest cell size of a ladder at which half of all rows lie in dense cells.
 
-def default_cell_size(df: DataFrame, vec_col: str = "pca", min_pts: int = 3,
-                      sample: int = SAMPLE_FOR_RADIUS) -> float:
-    """Median distance to the ``min_pts``-th nearest neighbour, on a sample.
-
-    The sample is the ``sample`` rows with the smallest content hash: a hash
-    rate filter sized from the row count keeps about twice that many, and the
-    smallest are taken on the driver, so no task ever gathers more than the
-    filter passes.  The sample's all-pairs distances are computed in numpy
-    (sample x sample, bounded).
+    One combinable count per cell and ladder step, over all rows.
     """
-    import numpy as np
-
-    h = F.pmod(F.xxhash64(as_array(vec_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    arr = df.select(as_array(vec_col).alias("_v"), h.alias("_h"))
-    n = arr.count()
-    rate = min(1.0, 2.0 * sample / max(n, 1))
-    kept = arr.filter(F.col("_h") < F.lit(rate)).collect()
-    if len(kept) < min(sample, n):  # a thin draw: take everything under a wider rate
-        kept = arr.filter(F.col("_h") < F.lit(min(1.0, 4.0 * rate))).collect()
-    pts = sorted(kept, key=lambda r: (r["_h"], r["_v"]))[:sample]
-    x = np.array([r["_v"] for r in pts], dtype=float)
-    if len(x) <= min_pts:
+    arr = df.select(as_array(vec_col).alias("v"))
+    top = arr.agg(F.max(F.array_max(F.transform("v", F.abs)))).head()[0]
+    if not top:
         return 1.0
-    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-    d.sort(axis=1)
-    kth = d[:, min(min_pts, len(x) - 1)]
-    radius = float(np.median(kth))
-    if radius <= 0:
-        positive = kth[kth > 0]
-        radius = float(np.median(positive)) if positive.size else 1.0
-    return radius
+    sizes = [float(top) * 2.0 ** (-i / 2) for i in range(LADDER)]
+    ladder = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(sizes)])
+    steps = arr.select("v", F.explode(ladder).alias("step")).select(
+        F.col("step.i").alias("i"),
+        F.transform("v", lambda x: F.floor(x / F.col("step.s")).cast("long")).alias("cell"))
+    cells = steps.groupBy("i", "cell").agg(F.count("*").alias("n"))
+    share = cells.groupBy("i").agg(
+        F.sum(F.when(F.col("n") >= min_pts, F.col("n")).otherwise(0)).alias("dense"), F.sum("n").alias("n"))
+    good = [r["i"] for r in share.collect() if 2 * r["dense"] >= r["n"]]  # one row a step
+    return sizes[max(good)] if good else 2 * sizes[0]
 
 
 def _offsets(k: int) -> list[list[int]]:
     return [list(o) for o in itertools.product((-1, 0, 1), repeat=k) if any(o)]
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Min-label propagation with pointer jumping; ``nodes(id)``, ``edges(src, dst)``.
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(id, component)`` of every node; component is the smallest id reachable.
 
-    Returns ``(id, component)`` where component is the smallest id reachable.
-    Lineage is cut each round by writing the labels to the checkpoint folder.
+    ``nodes(id)``, ``edges(src, dst)``.
     """
-    ensure_checkpoint_dir(nodes.sparkSession)
-    und = materialize(edges.select("src", "dst").unionByName(
-        edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = materialize(nodes.select("id", F.col("id").alias("label")))
-    for _ in range(max_rounds):
-        nb = (und.join(labels.withColumnRenamed("id", "dst").withColumnRenamed("label", "nl"),
-                       "dst")
-              .groupBy(F.col("src").alias("id")).agg(F.min("nl").alias("nl")))
-        step = (labels.join(nb, "id", "left")
-                .select("id", F.col("label").alias("old"),
-                        F.least("label", F.coalesce("nl", "label")).alias("label")))
-        # Pointer jumping: adopt the label of your label.
-        jump = step.join(step.select(F.col("id").alias("label"), F.col("label").alias("ll")),
-                         "label", "left")
-        label = F.least("label", F.coalesce("ll", "label"))
-        new = materialize(jump.select("id", label.alias("label"),
-                                      (label != F.col("old")).alias("_changed")))
-        # The flag was computed in the round itself: the check reads the copy.
-        done = new.filter("_changed").isEmpty()
-        labels = new.select("id", "label")
-        if done:
-            break
-    return labels.withColumnRenamed("label", "component")
+    member, _ = components.connected_components(edges.select("src", "dst"))
+    return nodes.select("id").join(member.withColumnRenamed("node", "id"), "id", "left").select(
+        "id", F.coalesce("component", "id").alias("component"))
 
 
 def density_cluster(df: DataFrame, vec_col: str = "pca", cell_size: float | None = None,
                     min_pts: int = 3, min_cluster_size: int = 3,
                     out_col: str = "cluster") -> DataFrame:
-    """Add ``cluster`` (bigint, -1 = noise) to every row of ``df``."""
+    """Add ``cluster`` (bigint, -1 = noise) to every row of ``df``.
+
+    Clusters are numbered 0.. in order of their smallest cell.
+    """
+    spark = df.sparkSession
+    scratch = Scratch(spark)
     size = cell_size or default_cell_size(df, vec_col, min_pts)
     cell = F.transform(as_array(vec_col), lambda x: F.floor(x / F.lit(size)).cast("long"))
     pts = df.withColumn("_cell", cell)
-    cells = pts.groupBy("_cell").agg(F.count(F.lit(1)).alias("weight"))
-    ensure_checkpoint_dir(df.sparkSession)
-    cells = materialize(cells.withColumn("id", F.monotonically_increasing_id()))
+    cells = scratch(pts.groupBy("_cell").agg(F.count(F.lit(1)).alias("weight")), "cells")
     first = cells.select("_cell").first()
-    k = len(first["_cell"]) if first is not None else 0
-    dense = cells.filter(F.col("weight") >= min_pts)
-    offs = F.array(*[F.array(*[F.lit(v) for v in o]) for o in _offsets(k)])
+    k = len(first["_cell"]) if first is not None and first["_cell"] is not None else 0
+    dense = cells.filter(F.col("weight") >= min_pts).select(F.col("_cell").alias("id"))
+    offs = F.array(*[F.array(*[F.lit(v) for v in o]) for o in _offsets(k)]) if k else \
+        F.array().cast("array<array<long>>")
     reach = dense.select(F.col("id").alias("src"), F.explode(
-        F.transform(offs, lambda o: F.zip_with("_cell", o, lambda a, b: a + b))).alias("_cell"))
-    touch = reach.join(cells.select("_cell", F.col("id").alias("dst"),
-                                    F.col("weight").alias("dst_weight")), "_cell")
-    dense_edges = touch.filter(F.col("dst_weight") >= min_pts).select("src", "dst")
-    comps = connected_components(dense.select("id"), dense_edges)
-    # Border cells: sparse cells touching a dense cell take its smallest component.
-    border = (touch.filter(F.col("dst_weight") < min_pts)
+        F.transform(offs, lambda o: F.zip_with("id", o, lambda a, b: a + b))).alias("_cell"))
+    touch = scratch(reach.join(cells, "_cell").select("src", F.col("_cell").alias("dst"), "weight"), "touch")
+    member, path = components.connected_components(touch.filter(F.col("weight") >= min_pts).select("src", "dst"))
+    scratch.paths.append(path)
+    comps = dense.join(member.withColumnRenamed("node", "id"), "id", "left").select(
+        "id", F.coalesce("component", "id").alias("component"))
+    # Border cells: sparse cells touching dense cells take the smallest component among them.
+    border = (touch.filter(F.col("weight") < min_pts)
               .join(comps.withColumnRenamed("id", "src"), "src")
               .groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("component")))
-    cell_comp = comps.unionByName(border)
-    sized = (cell_comp.join(cells.select("id", "weight"), "id")
-             .groupBy("component").agg(F.sum("weight").alias("_w")))
-    keep = sized.filter(F.col("_w") >= min_cluster_size).select("component")
-    labelled = cell_comp.join(keep, "component", "left_semi")
-    # Deterministic labels 0..K-1: clusters ordered by their smallest cell
-    # (a distributed sort and index; independent of how the input was split).
-    firsts = (labelled.join(cells.select("id", "_cell"), "id")
-              .groupBy("component").agg(F.min("_cell").alias("_first")))
-    spark = df.sparkSession
-    ranked = firsts.orderBy("_first").rdd.zipWithIndex() \
+    cell_comp = scratch(comps.unionByName(border), "cell-components")
+    sized = (cell_comp.join(cells.withColumnRenamed("_cell", "id"), "id")
+             .groupBy("component").agg(F.sum("weight").alias("_w"), F.min("id").alias("_first")))
+    # A distributed sort and index over the clusters.
+    ranked = sized.filter(F.col("_w") >= min_cluster_size).orderBy("_first").rdd.zipWithIndex() \
         .map(lambda t: (t[0]["component"], t[1]))
-    names = spark.createDataFrame(ranked, "component long, _label long")
-    cell_label = (cells.select("_cell", "id").join(labelled, "id", "left")
-                  .join(names, "component", "left")
-                  .select("_cell", F.coalesce("_label", F.lit(-1)).cast("long").alias(out_col)))
-    return pts.join(cell_label, "_cell", "left").drop("_cell")
+    names = spark.createDataFrame(ranked, "component array<long>, _label long")
+    labels, _ = store(cell_comp.join(names, "component").select(
+        F.col("id").alias("_cell"), F.col("_label").alias(out_col)), "cell-labels")
+    scratch.close()
+    return pts.join(labels, "_cell", "left").withColumn(
+        out_col, F.coalesce(out_col, F.lit(-1)).cast("long")).drop("_cell")
+

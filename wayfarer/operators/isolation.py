@@ -16,8 +16,10 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfarer.operators.quantiles import exact_percentile
 from wayfarer.operators.vectors import as_array
@@ -115,20 +117,19 @@ def isolation_scores(df: DataFrame, id_col: str, vec_col: str = "pca", n_trees:
         .select("tree", "_v")
     nodes = samples.groupBy("tree").applyInPandas(
         lambda pdf: _grow(pdf, seed, max_depth), NODE_SCHEMA).toPandas()
-    bc = df.sparkSession.sparkContext.broadcast(nodes)
-    cn = c_factor(psi)
+    cn = c_factor(psi)  # the node table's size is fixed by the parameters; it goes along with the function
 
     def score(batches):
-        table = bc.value
-        for pdf in batches:
-            x = np.stack(pdf["_v"].to_numpy()) if len(pdf) else np.zeros((0, 1))
-            h = _path_lengths(x, table) if len(pdf) else np.zeros(0)
-            s = np.power(2.0, -h / cn) if cn > 0 else np.ones(len(pdf))
-            yield pd.DataFrame({id_col: pdf[id_col], "anomaly_score": s})
-
-    id_type = dict(vals.dtypes)[id_col]
-    scored = vals.mapInPandas(score, f"{id_col} {id_type}, anomaly_score double")
-    return df.join(scored, id_col, "left")
+        for batch in batches:
+            x = np.array(batch.column("_v").to_pylist(), float)
+            h = _path_lengths(x, nodes) if len(x) else np.zeros(0)
+            s = np.power(2.0, -h / cn) if cn > 0 else np.ones(len(h))
+            keep = [n for n in batch.schema.names if n != "_v"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], pa.array(s, pa.float64())],
+                                             [*keep, "anomaly_score"])
+
+    return df.withColumn("_v", as_array(vec_col)).mapInArrow(score, T.StructType(
+        [*df.schema.fields, T.StructField("anomaly_score", T.DoubleType())]))
 
 
 def flag_anomalies(scored: DataFrame, contamination: float = 0.05,

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -41,14 +43,16 @@ def tokens(text_col: str = "text") -> F.Column:
                        lambda t: F.lower(t))
 
 
-def embed_labels(df: DataFrame, seq_col: str = "activity_list", out_col: str = "embedding",
-                 vocab_size: int = 2000) -> DataFrame:
-    """Default embedding: TF-IDF over journey labels, L2-normalised (sparse)."""
-    cv = CountVectorizer(inputCol=seq_col, outputCol="_tf", vocabSize=vocab_size).fit(df)
-    tf = cv.transform(df)
-    idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(tf).transform(tf)
-    return Normalizer(inputCol="_tfidf", outputCol=out_col, p=2.0).transform(idf) \
-        .drop("_tf", "_tfidf")
+def embed_labels(df: DataFrame, seq_col: str = "activity_list", id_col: str = "user_id") -> DataFrame:
+    """Default embedding in long form: (id, label, w), TF-IDF over all labels, rows of length one."""
+    n = df.count()
+    tf = df.select(F.col(id_col).alias("id"), F.explode(seq_col).alias("label")).filter(
+        F.col("label").isNotNull()).groupBy("id", "label").agg(F.count("*").alias("tf"))
+    idf = tf.groupBy("label").agg(F.log((n + 1) / (F.count("*") + 1)).alias("idf"))
+    w = tf.join(idf, "label").withColumn("w", F.col("tf") * F.col("idf"))
+    norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return w.join(norm, "id").select("id", "label", F.when(
+        F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0).alias("w"))
 
 
 def embed_with(df: DataFrame, embedder: Embedder, instruction: str, id_col: str,
@@ -59,7 +63,7 @@ def embed_with(df: DataFrame, embedder: Embedder, instruction: str, id_col: str,
     yields batches with id and ``embedding`` (a float list per row).
     """
     if not isinstance(instruction, str) or not instruction:
-        raise ValueError("`instruction` is required.")
+        raise ValueError("an embedding instruction must be given")
     src = df.select(F.col(id_col).alias("id"), F.lit(instruction).alias("instruction"),
                     F.col(text_col).alias("text"))
     id_type = dict(src.dtypes)["id"]
@@ -172,35 +176,28 @@ def topic_centroids(assigned: DataFrame, vec_col: str = "embedding") -> DataFram
 
 
 def reduce_topics(centroids: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """Merge topics whose embedding centroids are nearly parallel.
-
-    Input: (topic, centroid) with one row per topic; the topic count is at
-    most rows / min_topic_size and each centroid has the embedding width, so
-    the collected summary is bounded.  Topics with cosine >= ``threshold`` are
-    linked; each linked group takes its smallest id; -1 (outliers) is never
-    merged.  Returns (topic, merged).
+    """Merge topics whose centroids are nearly parallel.
+
+    Input: (topic, centroid) with one row per topic.  Topics with cosine >=
+    ``threshold`` are linked; each linked group takes its smallest id; -1
+    (outliers) is never merged.  Unit centroids are binned into a grid as wide
+    as the distance that the threshold allows, so partners lie in touching
+    cells: an equi join on cells, never all pairs.  Meant for reduced vectors
+    (the join explodes 3^k neighbour cells).  Returns (topic, merged).
     """
-    rows = centroids.filter(F.col("topic") >= 0).orderBy("topic").collect()
-    spark = centroids.sparkSession
-    if not rows:
-        return spark.createDataFrame([], "topic int, merged int")
-    ids = [int(r["topic"]) for r in rows]
-    m = np.array([r["centroid"].toArray() for r in rows], dtype=float)
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    unit = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-    sim = unit @ unit.T
-    parent = list(range(len(ids)))
-
-    def find(a):
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        return a
-
-    for a in range(len(ids)):
-        for b in range(a + 1, len(ids)):
-            if sim[a, b] >= threshold:
-                ra, rb = find(a), find(b)
-                parent[max(ra, rb)] = min(ra, rb)
-    mapping = [(ids[i], ids[find(i)]) for i in range(len(ids))]
-    return spark.createDataFrame(mapping, "topic int, merged int")
+    from wayfarer.operators.components import connected_components
+
+    reach = math.sqrt(max(2 - 2 * threshold, 1e-12)) + 1e-9
+    unit = Normalizer(inputCol="centroid", outputCol="_u", p=2.0).transform(
+        centroids.filter(F.col("topic") >= 0)).select("topic", vector_to_array("_u", "float64").alias("u"))
+    binned = unit.withColumn("cell", F.transform("u", lambda x: F.floor(x / reach).cast("long")))
+    width = binned.select(F.max(F.size("cell"))).head()[0] or 0
+    offsets = F.array(*[F.array(*[F.lit(v) for v in o]) for o in itertools.product((-1, 0, 1), repeat=width)])
+    near = binned.select("topic", "u", F.explode(F.transform(
+        offsets, lambda o: F.zip_with("cell", o, lambda a, b: a + b))).alias("cell"))
+    pairs = near.join(binned.select(F.col("topic").alias("other"), F.col("u").alias("v"), "cell"), "cell")
+    dot = F.aggregate(F.zip_with("u", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    linked = pairs.filter((F.col("topic") > F.col("other")) & (dot >= threshold)).select("topic", "other")
+    member, _ = connected_components(linked)
+    return unit.select("topic").join(member.withColumnRenamed("node", "topic"), "topic", "left").select(
+        "topic", F.coalesce("component", "topic").alias("merged"))

@@ -1,38 +1,171 @@
-"""Journey vectors: binary label matrix, standardisation, principal components."""
+"""Journey vectors over all labels: weights in long form, and their principal components.
+
+A matrix with one column a label is kept as rows (id, label, w), so no label is
+left out however many there are.  Components come from subspace iteration: with
+the axes as a table (label, k values), one product with the covariance is two
+grouped sums over the long rows.  The driver sees only k x k matrices.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, CountVectorizer, CountVectorizerModel, StandardScaler
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# PCA keeps a V x V covariance on the driver; V is capped by document frequency.
-DEFAULT_VOCAB_SIZE = 2000
+from wayfarer.storage import Scratch, store
+
+#: Axes carried beyond those wanted; they speed up convergence.
+OVERSAMPLE = 8
+TOLERANCE = 1e-9
+
+
+def label_weights(df: DataFrame, id_col: str = "user_id", seq_col: str = "activity_list") -> DataFrame:
+    """(id, label, w): 1 for every label that a row's list holds."""
+    return df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(seq_col)).alias("label")) \
+        .filter(F.col("label").isNotNull()).withColumn("w", F.lit(1.0))
+
+
+def label_statistics(weights: DataFrame, n: int) -> DataFrame:
+    """(label, mean, scale) over ``n`` rows; scale is 1 / sample deviation.
+
+    Constant columns are left out: they become 0 when standardised.
+    """
+    sums = weights.groupBy("label").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q"))
+    mean = F.col("s") / n
+    variance = (F.col("q") - F.col("s") * mean) / max(n - 1, 1)
+    return sums.select("label", mean.alias("mean"), variance.alias("variance")).filter(
+        F.col("variance") > 1e-12).select("label", "mean", (1 / F.sqrt("variance")).alias("scale"))
+
+
+def _sum_arrays(col: str, width: int):
+    return F.array(*[F.sum(F.col(col)[i]) for i in range(width)])
+
+
+def _times(col: str, matrix: np.ndarray):
+    """Expression: the array column times a small matrix."""
+    return F.array(*[sum((F.col(col)[i] * float(matrix[i, j]) for i in range(matrix.shape[0])), F.lit(0.0))
+                     for j in range(matrix.shape[1])])
+
+
+def _products(df: DataFrame, width: int, *pairs: tuple[str, str]) -> list[np.ndarray]:
+    """Sum over rows of the outer product of two array columns, for each pair of columns."""
+    def run(batches):
+        totals = None
+        for batch in batches:
+            if batch.num_rows:
+                m = {c: np.array(batch.column(c).to_pylist(), float) for c in {x for p in pairs for x in p}}
+                found = [m[a].T @ m[b] for a, b in pairs]
+                totals = found if totals is None else [t + f for t, f in zip(totals, found)]
+        if totals is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([t.tobytes()], pa.binary()) for t in totals],
+                                             [f"p{i}" for i in range(len(pairs))])
 
+    names = sorted({x for p in pairs for x in p})
+    rows = df.select(*names).mapInArrow(run, ", ".join(f"p{i} binary" for i in range(len(pairs)))).collect()
+    return [sum(np.frombuffer(bytes(r[i]), float).reshape(width, width) for r in rows)
+            for i in range(len(pairs))]
 
-def fit_label_vocabulary(df: DataFrame, seq_col: str = "activity_list",
-                         vocab_size: int = DEFAULT_VOCAB_SIZE) -> CountVectorizerModel:
-    return CountVectorizer(inputCol=seq_col, outputCol="labels_vec", binary=True,
-                           vocabSize=vocab_size, minDF=1.0).fit(df)
 
+def _project(weights: DataFrame, axes: DataFrame, width: int) -> DataFrame:
+    """(id, y): standardised rows that hold a label, times the axes (label, mean, scale, v)."""
+    offset = axes.agg(*[F.sum(F.col("mean") * F.col("scale") * F.col("v")[i]) for i in range(width)]).head()
+    sums = weights.join(axes, "label").withColumn(
+        "c", F.transform("v", lambda x: x * F.col("w") * F.col("scale"))).groupBy("id").agg(
+        _sum_arrays("c", width).alias("s"))
+    return sums.select("id", F.array(*[F.col("s")[i] - float(o or 0.0) for i, o in enumerate(offset)]).alias("y"))
 
-def binary_vectors(df: DataFrame, model: CountVectorizerModel,
-                   out_col: str = "labels_vec") -> DataFrame:
-    """0/1 per label (sparse); the matrix has no missing values to impute."""
-    return model.setOutputCol(out_col).transform(df)
+
+def principal_axes(weights: DataFrame, n: int, k: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """((label, mean, scale, v), width): the first ``k`` axes of the standardised columns.
+
+    Subspace iteration until the leading variances stay as they are.
+    """
+    stats = scratch(label_statistics(weights, n), "label-statistics")
+    labels = stats.count()
+    k = min(k, labels)
+    if k == 0:
+        return stats.withColumn("v", F.array().cast("array<double>")), 0
+    width = min(k + OVERSAMPLE, labels)
+    start = F.array(*[F.xxhash64("label", F.lit(i)) / float(1 << 63) for i in range(width)])
+    axes = scratch(stats.withColumn("v", start), "axes")
+    before = None
+    while True:
+        rows = _project(weights, axes, width)
+        raised = weights.join(rows, "id").withColumn(
+            "c", F.transform("y", lambda x: x * F.col("w"))).groupBy("label").agg(_sum_arrays("c", width).alias("r"))
+        # The centred columns' share drops out: the projections sum to zero over all rows,
+        # those without a label included.
+        empty = axes.join(raised, "label", "left").withColumn(
+            "z", F.transform(F.coalesce("r", F.array(*[F.lit(0.0)] * width)), lambda x: x * F.col("scale") / max(n - 1, 1)))
+        moved = scratch(empty.select("label", "mean", "scale", "v", "z"), "axes")
+        gram, ritz = _products(moved, width, ("z", "z"), ("v", "z"))
+        if before is not None:
+            values, vectors = np.linalg.eigh((ritz + ritz.T) / 2)
+            order = np.argsort(values)[::-1][:k]
+            if np.abs(values[order] - before).max() <= TOLERANCE * max(values[order].max(), 1e-300):
+                return _signed(moved.withColumn("v", _times("v", vectors[:, order])), k, scratch), k
+            before = values[order]
+        else:
+            before = np.full(k, np.inf)
+        values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+        usable = values > values.max() * 1e-13
+        turn = vectors[:, usable] / np.sqrt(values[usable])
+        width, k = int(usable.sum()), min(k, int(usable.sum()))
+        before = before[:k]
+        axes = moved.select("label", "mean", "scale", _times("z", turn).alias("v"))
+
+
+def _signed(axes: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """Axes turned so that the cubes of each one's entries sum to no less than zero."""
+    axes = scratch(axes.select("label", "mean", "scale", "v"), "axes")
+    cubes = axes.agg(*[F.sum(F.pow(F.col("v")[i], 3)) for i in range(k)]).head()
+    return axes.withColumn("v", F.array(*[F.col("v")[i] * (1.0 if c >= 0 else -1.0) for i, c in enumerate(cubes)]))
+
+
+def components(df: DataFrame, weights: DataFrame, k: int = 5, id_col: str = "user_id",
+               out_col: str = "pca") -> DataFrame:
+    """``df`` (one row an id) and its first ``k`` components of the standardised weights, as a vector.
+
+    With fewer labels than ``k`` the vectors are that much shorter.
+    """
+    scratch = Scratch(df.sparkSession)
+    n = df.count()
+    weights = scratch(weights, "label-weights")
+    axes, width = principal_axes(weights, n, k, scratch)
+    if width == 0:
+        scratch.close()
+        return df.withColumn(out_col, array_to_vector(F.array(F.lit(0.0))))
+    offset = axes.agg(*[F.sum(F.col("mean") * F.col("scale") * F.col("v")[i]) for i in range(width)]).head()
+    rows = _project(weights, axes, width).withColumnRenamed("id", "_id").withColumnRenamed("y", "_y")
+    nothing = F.array(*[F.lit(-float(o)) for o in offset])
+    got, _ = store(df.join(rows, F.col(id_col) == F.col("_id"), "left").withColumn(
+        out_col, array_to_vector(F.coalesce("_y", nothing))).drop("_id", "_y"), "components")
+    scratch.close()
+    return got
+
+
+def reduce(df: DataFrame, k: int = 5, seq_col: str = "activity_list", reducer: str = "pca",
+           id_col: str = "user_id") -> DataFrame:
+    """Binary label columns -> standardised -> ``k`` components in column ``pca``.
+
+    All labels of ``df`` take part (one that no row holds is constant and adds 0).
+    """
+    if reducer != "pca":
+        raise ValueError("reducer must be 'pca' (UMAP is not available on Spark)")
+    return components(df, label_weights(df, id_col, seq_col), k, id_col)
 
 
 def standardize(df: DataFrame, in_col: str, out_col: str = "scaled") -> DataFrame:
-    """Mean 0 and unit variance per column; constant columns become 0."""
-    model = StandardScaler(inputCol=in_col, outputCol=out_col, withMean=True,
-                           withStd=True).fit(df)
+    """Mean 0 and unit variance per entry of a dense vector; constant entries become 0."""
+    model = StandardScaler(inputCol=in_col, outputCol=out_col, withMean=True, withStd=True).fit(df)
     return model.transform(df)
 
 
-def principal_components(df: DataFrame, in_col: str, k: int = 5,
-                         out_col: str = "pca") -> DataFrame:
-    """First ``min(k, width)`` principal components (input already centred)."""
+def principal_components(df: DataFrame, in_col: str, k: int = 5, out_col: str = "pca") -> DataFrame:
+    """Components of dense vectors of a fixed width (an embedder's), already centred."""
     width = len(df.select(in_col).first()[0])
     model = PCA(k=max(1, min(k, width)), inputCol=in_col, outputCol=out_col).fit(df)
     return model.transform(df)
@@ -40,17 +173,12 @@ def principal_components(df: DataFrame, in_col: str, k: int = 5,
 
 def standardized_components(df: DataFrame, in_col: str, k: int = 5,
                             out_col: str = "pca") -> DataFrame:
-    """Principal components of the standardised columns, without densifying.
-
-    Standardising (x - mean) / std makes every row dense.  Scaling by 1 / std
-    keeps sparse rows sparse and has the same covariance, so PCA fits the same
-    axes W; the projection of the standardised row is then
-    ``W^T (x / std) - W^T (mean / std)``: the fitted k-dimensional projection
-    minus one constant vector.  Constant columns (std 0) contribute 0, as they
-    do after standardising.
-    """
-    import numpy as np
+    """Components of the standardised entries of a (sparse) vector column of a fixed width.
 
+    Scaling by 1 / std keeps sparse rows sparse and has the covariance of the
+    standardised rows; their projection is the scaled row's minus one constant
+    vector.  Constant entries contribute 0.
+    """
     scaler = StandardScaler(inputCol=in_col, outputCol="_scaled", withMean=False,
                             withStd=True).fit(df)
     scaled = scaler.transform(df)
@@ -58,21 +186,11 @@ def standardized_components(df: DataFrame, in_col: str, k: int = 5,
     model = PCA(k=max(1, min(k, width)), inputCol="_scaled", outputCol="_proj").fit(scaled)
     std, mean = scaler.std.toArray(), scaler.mean.toArray()
     centre = np.divide(mean, std, out=np.zeros_like(mean), where=std > 0)
-    offset = model.pc.toArray().T @ centre            # k values, computed once
-    shift = F.array(*[F.lit(float(v)) for v in offset])
+    shift = F.array(*[F.lit(float(v)) for v in model.pc.toArray().T @ centre])
     proj = F.zip_with(vector_to_array("_proj", "float64"), shift, lambda a, b: a - b)
     return model.transform(scaled).withColumn(out_col, array_to_vector(proj)) \
         .drop("_scaled", "_proj")
 
 
-def reduce(df: DataFrame, vocab: CountVectorizerModel, k: int = 5,
-           seq_col: str = "activity_list", reducer: str = "pca") -> DataFrame:
-    """Binary vectors -> standardised -> ``k`` components in column ``pca``."""
-    if reducer != "pca":
-        raise ValueError("reducer must be 'pca' (UMAP is not available on Spark)")
-    vec = binary_vectors(df, vocab.setInputCol(seq_col))
-    return standardized_components(vec, "labels_vec", k).drop("labels_vec")
-
-
 def as_array(col: str = "pca") -> F.Column:
     return vector_to_array(F.col(col), "float64")

@@ -29,8 +29,8 @@ from wayfarer.plans import topics as TT
 from wayfarer.plans.journey_plan import JourneyParams, journey_stages
 from wayfarer.plans.workload import (ALL_MIN_FREQ, ALL_MIN_LEN, CLASS_MIN_FREQ, CLASS_MIN_LEN,
                                      DIVERGENCE_TOP, EXPORT_AS_OF, EXPORT_DAYS,
-                                     IMPORTANCE_TOP, MIN_TOPIC_SIZE, REVIEW_TOP)
-from wayfarer.session import read_table
+                                     IMPORTANCE_TOP, MEDIUM_COLUMNS, MIN_TOPIC_SIZE, REVIEW_TOP)
+from wayfarer.session import materialize, read_table
 from wayfarer.sources import events_adapter as A
 from wayfarer.sources import ga_export as GX
 
@@ -73,24 +73,24 @@ def q_relevant_events(spark, sf_dir):
 
 
 def q_clean_events(spark, sf_dir):
-    return stages(spark, sf_dir).clean
+    return stages(spark, sf_dir, write_clean=False).clean
 
 
 def q_event_gaps(spark, sf_dir):
-    return stages(spark, sf_dir).clean.select(
+    return stages(spark, sf_dir, write_clean=False).clean.select(
         "user_id", "event_id", "event_name", "event_timestamp", "event_timestamp_diff")
 
 
 def q_user_counts(spark, sf_dir):
-    return stages(spark, sf_dir).counts
+    return stages(spark, sf_dir, write_clean=False).counts
 
 
 def q_multi_page_users(spark, sf_dir):
-    return users.multi_page_users(stages(spark, sf_dir).counts)
+    return users.multi_page_users(stages(spark, sf_dir, write_clean=False).counts)
 
 
 def q_converters(spark, sf_dir):
-    return stages(spark, sf_dir).converters
+    return stages(spark, sf_dir, write_clean=False).converters
 
 
 def q_removed_users(spark, sf_dir):
@@ -119,7 +119,7 @@ def q_journeys(spark, sf_dir):
 def q_journeys_with_mix(spark, sf_dir):
     """Journeys plus one attribution column per medium ("first" strategy)."""
     st = stages(spark, sf_dir)
-    wide = attribution.medium_mix_wide(st.mix_long)
+    wide = attribution.medium_mix_wide(st.mix_long, MEDIUM_COLUMNS)
     return _journeys_out(st).join(wide, "user_id", "left")
 
 
@@ -128,7 +128,7 @@ def q_journeys_by_title(spark, sf_dir):
 
 
 def q_medium_counts(spark, sf_dir):
-    return attribution.medium_counts(stages(spark, sf_dir).clean)
+    return attribution.medium_counts(stages(spark, sf_dir, write_clean=False).clean)
 
 
 def q_kept_mediums(spark, sf_dir):
@@ -141,16 +141,34 @@ def q_medium_mix_first_by_time(spark, sf_dir):
 
 
 def q_medium_mix_wide(spark, sf_dir):
-    return attribution.medium_mix_wide(stages(spark, sf_dir).mix_long)
+    return attribution.medium_mix_wide(stages(spark, sf_dir).mix_long, MEDIUM_COLUMNS)
 
 
 def q_journey_vectors(spark, sf_dir):
-    """Binary label vectors (vocabulary of all journeys): nonzeros per journey."""
+    """Binary label matrix in long form, all labels: nonzeros per journey."""
     j = journeys_df(spark, sf_dir)
-    vec = V.binary_vectors(j, V.fit_label_vocabulary(j))
-    from pyspark.ml.functions import vector_to_array
-    ones = F.aggregate(vector_to_array("labels_vec"), F.lit(0.0), lambda a, x: a + x)
-    return vec.select("user_id", ones.cast("long").alias("n_features"), "converted")
+    ones = V.label_weights(j).groupBy(F.col("id").alias("user_id")).agg(
+        F.sum("w").cast("long").alias("n_features"))
+    return j.select("user_id", "converted").join(ones, "user_id", "left").select(
+        "user_id", F.coalesce("n_features", F.lit(0)).alias("n_features"), "converted")
+
+
+def q_medium_mix_not_set(spark, sf_dir):
+    """Even credit where a third of the events has no source_medium, so ``(not set)`` is a medium."""
+    from dataclasses import replace
+
+    flat = flat_events(spark, sf_dir)
+    flat = flat.withColumn("source_medium", F.when(F.col("event_id") % 3 != 0, F.col("source_medium")))
+    st = journey_stages(flat, replace(PARAMS, write_clean=True))
+    return attribution.medium_mix_long(st.clean, "even")
+
+
+def q_converted_events(spark, sf_dir):
+    """The journey build's second output: labelled events with ``converted``."""
+    from wayfarer.operators.journeys import flag_converted
+    st = stages(spark, sf_dir)
+    return flag_converted(st.labelled, st.converters).select(
+        "user_id", "event_id", "event_name", "event_timestamp", "label", "converted")
 
 
 def _mix(strategy):
@@ -177,7 +195,6 @@ def journeys_df(spark, sf_dir, **overrides):
     import os
 
     from wayfarer.operators.journeys import flag_converted
-    from wayfarer.session import materialize
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir),
            tuple(sorted(overrides.items())))
     if key not in _JOURNEYS:
@@ -262,7 +279,7 @@ def q_sequence_importance(spark, sf_dir):
 
 def _reduced(spark, sf_dir):
     j = journeys_df(spark, sf_dir)
-    return V.reduce(j, V.fit_label_vocabulary(j))
+    return V.reduce(j.select("user_id", "activity_list", "converted"))
 
 
 def q_journey_pca(spark, sf_dir):
@@ -279,7 +296,7 @@ def _embedding_pca(spark, sf_dir):
     from pyspark.ml.functions import array_to_vector
     e = read_table(spark, sf_dir, "embeddings").select(
         "vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    return V.principal_components(V.standardize(e, "v"), "scaled", 5).drop("v", "scaled")
+    return materialize(V.principal_components(V.standardize(e, "v"), "scaled", 5).drop("v", "scaled"))
 
 
 def q_embedding_clusters(spark, sf_dir):
@@ -365,7 +382,7 @@ def q_divergence_report(spark, sf_dir):
 
 
 def q_user_counts_ranked(spark, sf_dir):
-    return RP.by_pageviews(stages(spark, sf_dir).counts)
+    return RP.by_pageviews(stages(spark, sf_dir, write_clean=False).counts)
 
 
 @lru_cache(maxsize=None)
@@ -385,6 +402,7 @@ def registry() -> dict:
         "first_conversion": q_first_conversion,
         "truncated_events": q_truncated_events,
         "labelled_events": q_labelled_events,
+        "converted_events": q_converted_events,
         "journeys": q_journeys,
         "journeys_by_title": q_journeys_by_title,
         "journeys_with_mix": q_journeys_with_mix,
@@ -393,6 +411,7 @@ def registry() -> dict:
         "medium_mix_first": _mix("first"),
         "medium_mix_last": _mix("last"),
         "medium_mix_even": _mix("even"),
+        "medium_mix_not_set": q_medium_mix_not_set,
         "medium_mix_wide": q_medium_mix_wide,
         "medium_mix_first_by_time": q_medium_mix_first_by_time,
         "balanced_journeys": q_balanced_journeys,

@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 
 from wayfarer.plans.workload import (ALL_MIN_FREQ, ALL_MIN_LEN, CLASS_MIN_FREQ, CLASS_MIN_LEN,
-                                     DIVERGENCE_TOP, EXPORT_AS_OF, EXPORT_DAYS)
+                                     DIVERGENCE_TOP, EXPORT_AS_OF, EXPORT_DAYS, MEDIUM_COLUMNS)
 from wayfarer.sources import events_adapter as A
 
 GOAL = A.GOAL_EVENT
@@ -74,6 +74,12 @@ flat AS (
     'desktop' AS device_category
   FROM ev_k)"""
 
+# A third of the events without a source_medium.
+FLAT_UNSET = """
+flat_unset AS (
+  SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN NULL ELSE source_medium END AS source_medium)
+  FROM flat)"""
+
 RANK = ("CASE WHEN event_name = 'session_start' THEN 0 "
         "WHEN event_name = 'page_view' THEN 1 ELSE 2 END")
 
@@ -246,14 +252,17 @@ mkept AS (
                                      '^[ _]+|[ _]+$', '', 'g') AS medium_column
   FROM mcounts
   WHERE count > (SELECT quantile_cont(count, 0.1) FROM mcounts)),
-mtagged AS (
-  SELECT s.user_id,
-         CASE WHEN k.medium_column IS NOT NULL THEN s.source_medium ELSE '(not set)' END
-           AS medium,
-         coalesce(k.medium_column, '(not set)') AS medium_column
-  FROM clean s LEFT JOIN mkept k USING (source_medium)
-  WHERE s.event_name = 'session_start'),
-mper AS (SELECT DISTINCT user_id, medium, medium_column FROM mtagged)"""
+mstarts AS (
+  SELECT user_id, event_timestamp,
+         CASE WHEN source_medium IN (SELECT source_medium FROM mkept)
+              THEN source_medium ELSE '(not set)' END AS medium
+  FROM clean WHERE event_name = 'session_start'),
+mper AS (
+  SELECT g.user_id, g.medium, g.first_seen,
+         coalesce((SELECT medium_column FROM mkept k WHERE k.source_medium = g.medium),
+                  '(not set)') AS medium_column
+  FROM (SELECT user_id, medium, min(event_timestamp) AS first_seen
+        FROM mstarts GROUP BY user_id, medium) g)"""
 
 
 def _mix_score(strategy: str) -> str:
@@ -264,16 +273,17 @@ def _mix_score(strategy: str) -> str:
             " = 1 THEN 1.0 ELSE 0.0 END")
 
 
+def _wide(scores: str) -> str:
+    columns = ",\n  ".join(f"sum(CASE WHEN medium_column = '{c}' THEN score ELSE 0.0 END) AS \"{c}\""
+                           for c in MEDIUM_COLUMNS)
+    return f"SELECT user_id,\n  {columns}\nFROM {scores} GROUP BY user_id"
+
+
 def journeys_with_mix_sql(strategy: str = "first") -> str:
-    # A dynamic PIVOT finds its columns with a query of its own, so its source
-    # carries its own CTE chain.
-    scores = (_with(FLAT, CLEAN, MEDIUMS) + "\nSELECT user_id, medium_column, "
-              f"CAST({_mix_score(strategy)} AS DOUBLE) AS score FROM mper")
-    return (journeys_ctes() + f""",
+    return (journeys_ctes() + "," + MEDIUMS + f""",
+mscores AS (SELECT user_id, medium_column, CAST({_mix_score(strategy)} AS DOUBLE) AS score FROM mper),
 jout AS ({JOURNEY_SELECT.strip()})
-SELECT * FROM jout LEFT JOIN (
-  PIVOT ({scores}) ON medium_column USING coalesce(sum(score), 0.0) GROUP BY user_id
-) wide USING (user_id)""")
+SELECT * FROM jout LEFT JOIN ({_wide('mscores')}) wide USING (user_id)""")
 
 
 def _mix_sql(strategy: str) -> str:
@@ -321,23 +331,20 @@ picked AS (
 SELECT p.user_id, CAST(p.converted AS INTEGER) AS converted,
        array_to_string(j.activity_list, ' -> ') AS activity_list_text
 FROM picked p JOIN journeys_all j USING (user_id)""",
-        "medium_mix_first_by_time": _with(FLAT, CLEAN, MEDIUMS) + """,
-mfirst AS (
-  SELECT t.user_id, t.medium, t.medium_column, min(c.event_timestamp) AS first_seen
-  FROM mtagged t JOIN (SELECT user_id, event_timestamp, source_medium FROM clean
-                       WHERE event_name = 'session_start') c
-    ON c.user_id = t.user_id
-   AND (CASE WHEN t.medium = '(not set)' THEN c.source_medium NOT IN (SELECT source_medium FROM mkept)
-             ELSE c.source_medium = t.medium END)
-  GROUP BY t.user_id, t.medium, t.medium_column)
+        "medium_mix_first_by_time": _with(FLAT, CLEAN, MEDIUMS) + """
 SELECT user_id, medium, medium_column,
        CAST(CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY first_seen, medium) = 1
                  THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score
-FROM mfirst""",
-        "medium_mix_wide": ("SELECT * FROM (PIVOT (" + _with(FLAT, CLEAN, MEDIUMS)
-                            + "\nSELECT user_id, medium_column, CAST(" + _mix_score("first")
-                            + " AS DOUBLE) AS score FROM mper) ON medium_column "
-                            "USING coalesce(sum(score), 0.0) GROUP BY user_id)"),
+FROM mper""",
+        "medium_mix_not_set": _with(FLAT, FLAT_UNSET, CLEAN.replace("FROM flat\n", "FROM flat_unset\n"), MEDIUMS)
+                              + f"\nSELECT user_id, medium, medium_column, CAST({_mix_score('even')} AS DOUBLE) "
+                                "AS score FROM mper",
+        "medium_mix_wide": _with(FLAT, CLEAN, MEDIUMS) + ",\nmscores AS (SELECT user_id, medium_column, "
+                           f"CAST({_mix_score('first')} AS DOUBLE) AS score FROM mper)\n" + _wide("mscores"),
+        "converted_events": jl + """
+SELECT user_id, event_id, event_name, event_timestamp, label,
+       CAST(CASE WHEN user_id IN (SELECT user_id FROM conv_users) THEN 1 ELSE 0 END AS INTEGER) AS converted
+FROM labelled""",
         "journey_vectors": journeys_ctes() + """
 SELECT user_id, CAST(len(activity_list) AS BIGINT) AS n_features,
        CAST(converted AS INTEGER) AS converted FROM journeys_all""",

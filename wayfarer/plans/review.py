@@ -38,14 +38,13 @@ def top_patterns(journeys: DataFrame, kind: str, top_n: int, min_freq: int,
 def review_parts(journeys: DataFrame, top_n: int = 10, reducer: str = "pca",
                  id_col: str = "user_id", k: int = 5, cell_size: float | None = None,
                  min_cluster_size: int = 3, contamination: float = 0.05, seed: int = 42,
-                 vocab_size: int = vectors.DEFAULT_VOCAB_SIZE, similar_min_freq: int = 2,
-                 unusual_min_freq: int = 3, min_len: int = 3) -> ReviewParts:
+                 similar_min_freq: int = 2, unusual_min_freq: int = 3, min_len: int = 3,
+                 n_trees: int = 100, sample: int = 256) -> ReviewParts:
     if reducer != "pca":
         raise ValueError("reducer must be 'pca' (UMAP is not available on Spark)")
     spark = journeys.sparkSession
     journeys = materialize(journeys.select(id_col, "activity_list", "converted"))
-    vocab = vectors.fit_label_vocabulary(journeys, vocab_size=vocab_size)
-    reduced = materialize(vectors.reduce(journeys, vocab, k))
+    reduced = vectors.reduce(journeys, k, id_col=id_col)
     clustered = materialize(density.density_cluster(reduced, cell_size=cell_size,
                                                     min_cluster_size=min_cluster_size))
     conv_clusters = (clustered.filter((F.col("converted") == 1) & (F.col("cluster") > -1))
@@ -55,10 +54,11 @@ def review_parts(journeys: DataFrame, top_n: int = 10, reducer: str = "pca",
     empty = spark.createDataFrame([], REVIEW_SCHEMA)
     if similar.isEmpty():
         return ReviewParts(clustered, similar.withColumn("anomaly", F.lit(1)), empty)
-    # Refit scaling and components on the similar non-converters only, keeping
-    # the vocabulary of all journeys.
-    sim_red = materialize(vectors.reduce(similar, vocab, k))
-    scored = materialize(isolation.isolation_scores(sim_red, id_col, "pca", seed=seed))
+    # Refit scaling and components on the similar non-converters only; labels
+    # that none of them has are constant and add nothing.
+    sim_red = vectors.reduce(materialize(similar), k, id_col=id_col)
+    scored = materialize(isolation.isolation_scores(sim_red, id_col, "pca", n_trees=n_trees,
+                                                    sample=sample, seed=seed))
     flagged = isolation.flag_anomalies(scored, contamination)
     report = top_patterns(flagged, "similar", top_n, similar_min_freq, min_len)
     unusual = flagged.filter(F.col("anomaly") == -1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.operators import density, topics, vectors
@@ -27,30 +27,30 @@ def journey_topics(journeys: DataFrame, min_topic_size: int = 100, id_col: str =
                    reduce_threshold: float | None = 0.9) -> TopicResult:
     """Topics over journey texts; topic ids are ordered by size (0 = largest).
 
-    ``reduce_threshold`` merges topics whose keyword vectors have at least that
-    cosine (the automatic topic reduction, on embedding centroids); ``None`` keeps every topic.
+    ``reduce_threshold`` merges topics whose mean reduced vectors have at least
+    that cosine (the automatic topic reduction); ``None`` keeps every topic.
     """
     journeys = materialize(journeys.select(id_col, "activity_list", text_col))
     if embedder is None:
-        emb = topics.embed_labels(journeys)
+        red = vectors.components(journeys, topics.embed_labels(journeys, id_col=id_col), k, id_col)
     else:
         emb = topics.embed_with(journeys, embedder, instruction, id_col, text_col)
-    red = vectors.standardized_components(emb, "embedding", k, "pca")
-    red = materialize(red)
+        red = materialize(vectors.standardized_components(emb, "embedding", k, "pca"))
     clustered = materialize(density.density_cluster(red, "pca", cell_size=cell_size,
-                                                    min_cluster_size=min_topic_size))
-    sizes = clustered.filter(F.col("cluster") >= 0).groupBy("cluster") \
-        .agg(F.count(F.lit(1)).alias("count"))
-    # One row per topic: the ordering window runs over the topic summary only.
-    order = Window.orderBy(F.col("count").desc(), F.col("cluster").asc())
-    ids = sizes.withColumn("topic", (F.row_number().over(order) - 1).cast("int")) \
-        .select("cluster", "topic")
-    assigned = clustered.join(ids, "cluster", "left") \
-        .withColumn("topic", F.coalesce("topic", F.lit(-1)).cast("int"))
-    if reduce_threshold is not None:
-        merged = topics.reduce_topics(topics.topic_centroids(assigned), reduce_threshold)
-        assigned = assigned.join(merged, "topic", "left").withColumn(
-            "topic", F.coalesce("merged", "topic")).drop("merged")
+                                                    min_cluster_size=min_topic_size)
+                            .withColumn("topic", F.col("cluster").cast("int")))
+    if reduce_threshold is None:
+        groups = clustered.filter("topic >= 0").select("topic").distinct().withColumn("merged", F.col("topic"))
+    else:
+        groups = topics.reduce_topics(topics.topic_centroids(clustered, "pca"), reduce_threshold)
+    # Sizes and ranks after merging: a distributed sort and index over the topics.
+    sizes = clustered.groupBy("topic").agg(F.count(F.lit(1)).alias("count")).join(groups, "topic")
+    ranked = sizes.groupBy("merged").agg(F.sum("count").alias("count")).orderBy(
+        F.col("count").desc(), "merged").select("merged").rdd.zipWithIndex().map(lambda t: (t[0][0], t[1]))
+    ranks = journeys.sparkSession.createDataFrame(ranked, "merged int, rank long")
+    ids = groups.join(ranks, "merged").select("topic", F.col("rank").cast("int").alias("ranked"))
+    assigned = materialize(clustered.join(ids, "topic", "left").withColumn(
+        "topic", F.coalesce("ranked", F.lit(-1)).cast("int")).drop("ranked"))
     assignments = assigned.select(id_col, "topic")
     kw = topics.class_tfidf(assigned.select("topic", F.col(text_col).alias("text")),
                             "topic", "text", n_keywords)

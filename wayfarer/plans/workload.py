@@ -13,3 +13,6 @@ ALL_MIN_FREQ, ALL_MIN_LEN = 10, 3
 IMPORTANCE_TOP, REVIEW_TOP, MIN_TOPIC_SIZE = 30, 10, 50
 # Export window: the last day of the data and the 7 days before it.
 EXPORT_AS_OF, EXPORT_DAYS = dt.date(2024, 1, 30), 7
+# Wide attribution columns: every medium of the test data, and the rest.
+MEDIUM_COLUMNS = ["(not set)", "medium_direct_none", "medium_direct_not_set", "medium_google_cpc",
+                  "medium_newsletter_email"]

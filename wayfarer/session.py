@@ -74,54 +74,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-_CHEAP = ("Project", "Filter", "LogicalRDD", "Relation")
+def materialize(df, name: str = "stage"):
+    """Store ``df`` in the shared folder and return the stored copy.
 
-
-def is_stored_projection(df) -> bool:
-    """True when ``df`` only selects / filters a checkpoint or a file table.
-
-    Reading such a plan again costs one scan, so writing it once more saves
-    nothing.
-    """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    ops = [ln.strip().lstrip(":+- ").split(" ")[0] for ln in plan.splitlines() if ln.strip()]
-    ops = [o for o in ops if o]
-    return bool(ops) and all(o.startswith(_CHEAP) for o in ops) \
-        and any(o.startswith(("LogicalRDD", "Relation")) for o in ops)
-
-
-def materialize(df):
-    """Checkpoint ``df`` to the shared checkpoint folder and return the copy.
-
-    Used at the entry of multi-pass analyses (model fits, counts, iterative
-    rounds) so the upstream plan runs once and lineage stays short if an
-    executor is lost.  The rows are persisted first: a reliable checkpoint
-    otherwise computes the plan once for the action and again to write files.
-    """
-    from pyspark import StorageLevel
-
-    if is_stored_projection(df):
-        return df
-    ensure_checkpoint_dir(df.sparkSession)
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
-
-
-def write_table(df, name: str):
-    """Write ``df`` as parquet under the shared checkpoint folder; read it back.
-
-    For intermediates read by several branches (the cleaned events feed the
-    counts, the converters, the band, attribution and truncation): a columnar
-    copy keeps column pruning and filter pushdown for every reader, and the
-    upstream scan and windows run once.
+    Callers use it where several later passes read the same rows (model fits,
+    iterative rounds): the plan before it runs once, and lineage stays short if
+    an executor is lost.
     """
-    import uuid
+    from wayfarer.storage import store
 
-    spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return store(df, name)[0]
