@@ -93,11 +93,14 @@ class Quantiser:
         return [np.flatnonzero(e <= 2 * radius * self.between[c] + 1e-6) for e, c in zip(extra, own)]
 
     def lookup(self, x: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distances of queries to coded vectors of a cell, by table lookup."""
+        """Squared distances (coded vectors x queries) in a cell, by table lookup."""
         residual = x - self.centres[cell]
-        out = np.zeros((len(x), len(codes)))
+        out = np.zeros((len(codes), len(x)), np.float32)
+        part = np.empty_like(out)
         for m, (a, b, book) in enumerate(zip(self.cuts, self.cuts[1:], self.books)):
-            out += nearest(residual[:, a:b], book)[1][:, codes[:, m]]
+            table = np.ascontiguousarray(nearest(residual[:, a:b], book)[1].T, np.float32)
+            np.take(table, codes[:, m], axis=0, out=part, mode="clip")
+            out += part
         return out
 
 
@@ -120,7 +123,8 @@ def classes_of(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 def fit(classes: DataFrame, max_sample: int, cells: int | None = None) -> dict[int, Quantiser]:
     """A quantiser for every vector length, on at most ``max_sample`` vectors in all."""
     n = classes.count()
-    cells = cells or max(8, int(np.sqrt(n) / 4))
+    # A cell fills about one block, as long as there are no more cells than that is worth.
+    cells = cells or max(8, min(n // BLOCK, int(np.sqrt(n))))
     rows = classes.select("v", "dim").orderBy(F.xxhash64("rep"), "rep").limit(max_sample).collect()
     found = {}
     for dim in sorted({r["dim"] for r in rows}):
@@ -179,12 +183,16 @@ class Block:
     def match(self, reps, queries: np.ndarray, threshold: float, radius: float):
         """Yields (query, linked vectors, a link) and joins what a query links."""
         if self.q is None:
-            near = np.ones((len(queries), len(self.rep)), bool)
+            near = np.ones((len(self.rep), len(queries)), bool)
         else:
-            reach = radius + self.error + 1e-6
-            near = self.q.lookup(queries, self.cell, self.codes) <= reach ** 2 + 1e-9
-        for rep, x, close in zip(reps, queries, near):
-            at = np.flatnonzero(close)
+            # The slack covers single-precision rounding of the table sums.
+            reach = (radius + self.error) ** 2 + 1e-4
+            near = self.q.lookup(queries, self.cell, self.codes) <= reach[:, None]
+        at_all, of = np.nonzero(near)
+        order = np.argsort(of, kind="stable")
+        at_all, bounds = at_all[order], np.searchsorted(of[order], np.arange(len(queries) + 1))
+        for k in np.flatnonzero(np.diff(bounds)):
+            rep, x, at = int(reps[k]), queries[k], at_all[bounds[k]:bounds[k + 1]]
             at = at[self.x[at] @ x >= threshold]
             if len(at):
                 labels = self.label[at]
@@ -199,6 +207,33 @@ class Block:
         return zip(self.rep[moved].tolist(), self.rep[self.label[moved]].tolist())
 
 
+ASKED = "dim int, cell int, reps binary, vecs binary"
+
+
+def questions(coded: DataFrame) -> DataFrame:
+    """The queries each cell is probed with, ``QUERIES`` at most to a row."""
+    def run(batches):
+        for batch in batches:
+            dims = np.array(batch.column("dim").to_pylist(), np.int64)
+            reps = np.array(batch.column("rep").to_pylist(), np.int64)
+            probes, vecs = batch.column("probes").to_pylist(), batch.column("vec").to_pylist()
+            for dim in np.unique(dims):
+                pick = np.flatnonzero(dims == dim)
+                x = np.stack([np.frombuffer(vecs[i], np.float64) for i in pick])
+                cell = np.concatenate([np.array(probes[i], np.int64) for i in pick])
+                row = np.repeat(np.arange(len(pick)), [len(probes[i]) for i in pick])
+                for c in np.unique(cell):
+                    rows = row[cell == c]
+                    parts = [rows[lo:lo + QUERIES] for lo in range(0, len(rows), QUERIES)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([int(dim)] * len(parts), pa.int32()), pa.array([int(c)] * len(parts), pa.int32()),
+                         pa.array([reps[pick[p]].tobytes() for p in parts], pa.binary()),
+                         pa.array([x[p].tobytes() for p in parts], pa.binary())],
+                        ["dim", "cell", "reps", "vecs"])
+
+    return coded.select("dim", "rep", "vec", "probes").mapInArrow(run, ASKED)
+
+
 def compare(rows: DataFrame, quantisers: dict[int, Quantiser], threshold: float,
             radius: float) -> DataFrame:
     """(a, b, n): n is a's number of linked vectors in a block, b one class it is linked with.
@@ -222,29 +257,21 @@ def compare(rows: DataFrame, quantisers: dict[int, Quantiser], threshold: float,
             return batch
 
         for batch in batches:
-            names = ("dim", "cell", "block", "kind", "rep", "m", "vec", "codes", "error")
-            columns = [batch.column(c).to_pylist() for c in names]
-            at, total = 0, batch.num_rows
-            while at < total:
-                this = tuple(c[at] for c in columns[:3])
-                if this != key:
+            names = ("dim", "cell", "block", "kind", "rep", "m", "vec", "codes", "error", "reps")
+            for dim, cell, part, kind, rep, m, vec, codes, error, reps in zip(
+                    *(batch.column(c).to_pylist() for c in names)):
+                if (dim, cell, part) != key:
                     ended()
-                    key, block, waiting = this, None, []
-                if columns[3][at] == 0:
-                    waiting.append(tuple(c[at] for c in columns[4:]))
-                    at += 1
+                    key, block, waiting = (dim, cell, part), None, []
+                if kind == 0:
+                    waiting.append((rep, m, vec, codes, error))
                     continue
                 if block is None and waiting:
-                    block = Block(quantisers.get(key[0]), key[1], waiting)
-                stop = at
-                while (stop < total and stop - at < QUERIES and columns[3][stop] == 1
-                       and tuple(c[stop] for c in columns[:3]) == key):
-                    stop += 1
+                    block = Block(quantisers.get(dim), cell, waiting)
                 if block is not None:
-                    queries = np.stack([np.frombuffer(v, np.float64) for v in columns[6][at:stop]])
-                    out.extend((rep, b, n) for rep, n, b in
-                               block.match(columns[4][at:stop], queries, threshold, radius))
-                at = stop
+                    reps = np.frombuffer(reps, np.int64)
+                    queries = np.frombuffer(vec, np.float64).reshape(len(reps), -1)
+                    out.extend((rep, b, n) for rep, n, b in block.match(reps, queries, threshold, radius))
             if out:
                 yield emit()
         ended()
@@ -265,14 +292,15 @@ def near_duplicates(df: DataFrame, *, vec_id: str = "vec_id", embedding: str = "
     coded, coded_path = store(encode(classes, quantisers, radius), "coded")
     sizes = coded.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     with_block = coded.join(sizes, ["dim", "cell"])
-    columns = ["dim", "cell", "block", "kind", "rep", "m", "vec", "codes", "error"]
+    columns = ["dim", "cell", "block", "kind", "rep", "m", "vec", "codes", "error", "reps"]
     entries = with_block.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")) \
-        .withColumn("kind", F.lit(0)).select(*columns)
-    asked = coded.select("dim", F.explode("probes").alias("cell"), "rep", "vec").join(
-        sizes, ["dim", "cell"]).withColumn(
+        .withColumns({"kind": F.lit(0), "reps": F.lit(None).cast("binary")}).select(*columns)
+    nothing = lambda kind: F.lit(None).cast(kind)
+    asked = questions(coded).join(sizes, ["dim", "cell"]).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "dim", "cell", "block", F.lit(1).alias("kind"), "rep", F.lit(0).cast("long").alias("m"), "vec",
-        F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"))
+        "dim", "cell", "block", F.lit(1).alias("kind"), nothing("long").alias("rep"),
+        nothing("long").alias("m"), F.col("vecs").alias("vec"), nothing("binary").alias("codes"),
+        nothing("double").alias("error"), "reps")
     dealt = entries.unionByName(asked).repartition("dim", "cell", "block").sortWithinPartitions(
         "dim", "cell", "block", "kind")
     found, found_path = store(compare(dealt, quantisers, threshold, radius), "links")
