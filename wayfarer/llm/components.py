@@ -1,58 +1,5 @@
-"""Connected components by alternating large-star and small-star steps.
+"""Connected components, as the library has them."""
 
-Each step is a minimum per node (combined before the shuffle) joined back to the
-edges, so no node's neighbours are ever gathered and a hot node's edges can be
-split by the adaptive skew join.  Every round's edges are written to the shared
-folder; rounds go on until the edge set stays as it is.
-"""
+from wayfarer.operators.components import connected_components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from wayfarer.llm.tables import drop, store
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Relinks each node's neighbours to the smallest of them and itself.
-
-    ``edges`` holds (u, v), u > v, each pair once.  The large star moves the
-    greater neighbours, the small star the smaller ones and the node itself.
-    """
-    if large:
-        both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = edges.groupBy("u").agg(F.min("v").alias("m")).unionAll(
-            edges.select(F.col("v").alias("u"), F.col("v").alias("m")).distinct()).groupBy("u").agg(
-            F.min("m").alias("m"))
-        moved = both.filter(F.col("v") > F.col("u")).join(least, "u").select(
-            F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(
-            least.select("u", F.col("m").alias("v")))
-    return moved.filter(F.col("u") > F.col("v")).distinct()
-
-
-def connected_components(edges: DataFrame) -> tuple[DataFrame, str | None]:
-    """(node, component) of every node with an edge but the smallest of its component.
-
-    ``edges`` has two columns of ids; loops, repeats and either order are fine.
-    ``component`` is the smallest id reachable.  Returns (table, path of its
-    stored copy).
-    """
-    a, b = edges.columns
-    spark = edges.sparkSession
-    ordered = edges.filter(F.col(a) != F.col(b)).select(
-        F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    now, path = store(ordered, "edges")
-    before = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if mark[0] == 0 or mark == before:
-            break
-        before = mark
-        newer, newer_path = store(_star(_star(now, True), False), "edges")
-        drop(spark, path)
-        now, path = newer, newer_path
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")), path
+__all__ = ["connected_components"]

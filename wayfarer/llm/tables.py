@@ -2,53 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from wayfarer.storage import drop, left, store
 
-from wayfarer.session import ensure_checkpoint_dir
-
-_LEFT: list[str] = []
-
-
-def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as parquet under the shared checkpoint folder and read it back.
-
-    The copy cuts lineage and survives lost executors.  Returns the reread
-    frame and its path; hand the path to ``drop`` once nothing reads it.  What
-    is still there when the driver's Python ends is removed then.
-    """
-    import uuid
-
-    root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _LEFT.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Delete stored tables through Hadoop's file system, wherever the folder is."""
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        if path in _LEFT:
-            _LEFT.remove(path)
-
-
-@atexit.register
-def _drop_rest() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None and _LEFT:
-        try:
-            drop(spark, *list(_LEFT))
-        except Exception:  # noqa: BLE001 - the JVM may already be gone at exit
-            pass
-
-
-def left() -> list[str]:
-    """Paths of the stored tables that are still there."""
-    return list(_LEFT)
+__all__ = ["drop", "fresh", "left", "released", "store"]
 
 
 def fresh(df_or_columns, *bases: str) -> list[str]:
