@@ -1,7 +1,9 @@
 """Entry points under the names and signatures users of the original know.
 
 Each takes and returns Spark DataFrames (or Column expressions) and delegates
-to the operators; nothing here collects data.  Differences: ``get_data`` reads
+to the operators.  Event and journey functions are lazy, but for the names of the
+wide medium columns where none are given; mining, fits, clustering and topics run
+jobs when called.  Differences: ``get_data`` reads
 any flat clickstream DataFrame (or a shard root through ``load_export``)
 instead of a hosted warehouse, the importance "plot" returns its ranked table,
 ``converter_review`` returns the review table, and ``analyze_clusters``
@@ -29,10 +31,17 @@ DEFAULT_REMOVAL_PHRASES = journey_plan.DEFAULT_REMOVAL_PHRASES
 
 
 def query_events(spark, base: str, historical_days: int, as_of_date: dt.date | None = None,
-                 include_intraday: bool = False) -> DataFrame:
-    """Flat events of the shards in the window (``as_of_date`` defaults to today)."""
+                 include_intraday: bool = False, event_names: list[str] | None = None,
+                 snapshot_root: str | None = None) -> DataFrame:
+    """Flat events of the shards in the window (``as_of_date`` defaults to today).
+
+    ``event_names`` (session_start, page_view and the goal) is pushed to the
+    scan; with ``snapshot_root`` a complete snapshot of the same request is read
+    instead, or written.
+    """
     day = as_of_date or dt.date.today()
-    return ga_export.load_export(spark, base, day, historical_days, include_intraday)
+    return ga_export.query_export(spark, base, day, historical_days, include_intraday, event_names,
+                                  snapshot_root)
 
 
 def load_and_clean(flat: DataFrame, goal_event: str, brand: Iterable[str]) -> DataFrame:
@@ -55,8 +64,9 @@ def process_removals(df: DataFrame, removal_phrases: Iterable[str]) -> DataFrame
     return users.remove_users(df, removal_phrases)
 
 
-def process_medium_mix(df: DataFrame, strategy: str = "first") -> DataFrame:
-    return attribution.medium_mix_wide(attribution.medium_mix_long(df, strategy))
+def process_medium_mix(df: DataFrame, strategy: str = "first",
+                       mediums: list[str] | None = None) -> DataFrame:
+    return attribution.medium_mix_wide(attribution.medium_mix_long(df, strategy), mediums)
 
 
 def process_conversion_path(df: DataFrame, conversion_page_path: Iterable[str]) -> DataFrame:

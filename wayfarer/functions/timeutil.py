@@ -1,4 +1,4 @@
-"""Time-zone independent timestamp helpers (events are TIMESTAMP_NTZ, UTC)."""
+"""Time-zone independent timestamp helpers (TIMESTAMP_NTZ holds UTC wall-clock time)."""
 
 from __future__ import annotations
 
@@ -15,8 +15,13 @@ def _col(c) -> Column:
 
 
 def epoch_seconds(ts) -> Column:
-    """Whole seconds since the epoch, floored, for a UTC wall-clock timestamp."""
-    return F.timestamp_diff("SECOND", epoch_ntz(), _col(ts))
+    """Whole seconds since the epoch, floored, in any session time zone.
+
+    A TIMESTAMP is an instant already; a TIMESTAMP_NTZ is taken as UTC.
+    """
+    c = _col(ts)
+    return F.when(F.typeof(c) == "timestamp", F.unix_seconds(c.cast("timestamp"))).otherwise(
+        F.timestamp_diff("SECOND", epoch_ntz(), c.cast("timestamp_ntz")))
 
 
 def from_epoch_micros(us) -> Column:

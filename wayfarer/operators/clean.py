@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from wayfarer.functions import text as T
 from wayfarer.functions.timeutil import epoch_seconds
 
+# Fixed value: the mark that redacted user ids hold.
 PII_MARK = "___PII_REDACTED___"
 
 # Fixed default values of the cleaning step.
@@ -96,6 +97,9 @@ def relevant_events(flat: DataFrame, goal_event: str) -> DataFrame:
     """Relevant events with usable keys, cleaned ids, and no PII users."""
     df = _with_event_id(flat)
     df = df.filter(F.col("event_name").isin("session_start", "page_view", goal_event))
+    if dict(df.dtypes)["event_timestamp"] == "string":
+        # Text that is no timestamp becomes null, and its row goes with the null keys.
+        df = df.withColumn("event_timestamp", F.expr("try_cast(event_timestamp AS timestamp_ntz)"))
     df = df.dropna(subset=["user_pseudo_id", "event_timestamp", "event_name"])
     df = df.withColumn("session_engaged",
                        F.coalesce(F.col("session_engaged").cast("long"), F.lit(0)).cast("long"))

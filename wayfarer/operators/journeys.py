@@ -14,7 +14,7 @@ PAGE_REPRS = ("page_location", "page_title")
 def label_events(events: DataFrame, page_repr: str = "page_location") -> DataFrame:
     """Add ``label``: page views name the page, session starts the origin."""
     if page_repr not in PAGE_REPRS:
-        raise ValueError("page_repr must be either 'page_location' or 'page_title'")
+        raise ValueError(f"unknown page_repr {page_repr!r}; use one of {', '.join(PAGE_REPRS)}")
     name = F.col("event_name")
     origin = F.concat(F.lit("Originated from: "), F.col("source_medium"))
     origin = F.when((origin == "Originated from: (not set)")

@@ -28,8 +28,13 @@ def _empty(df: DataFrame) -> DataFrame:
 
 
 def all_frequent_sequences(df: DataFrame, seq_col: str = "activity_list",
-                           min_freq: int = 3, max_len: int | None = None) -> DataFrame:
-    """Every sequence contained (in order, gaps allowed) in >= min_freq rows."""
+                           min_freq: int = 3, local_db_size: int = MAX_LOCAL_PROJ_DB) -> DataFrame:
+    """Every sequence contained (in order, gaps allowed) in >= min_freq rows.
+
+    A projected database of up to ``local_db_size`` items is finished inside one
+    task, which holds it in memory (about 100 bytes an item); larger ones are
+    split further.  The result is the same.
+    """
     if min_freq < 1:
         raise ValueError("min_freq must be >= 1")
     # PrefixSpan passes over its input several times: write it once.
@@ -40,8 +45,8 @@ def all_frequent_sequences(df: DataFrame, seq_col: str = "activity_list",
         return _empty(df)
     # Spark takes ceil(minSupport * n) as the count; the half keeps it exact.
     support = (min_freq - 0.5) / n
-    ps = PrefixSpan(minSupport=support, maxPatternLength=max_len or longest,
-                    maxLocalProjDBSize=MAX_LOCAL_PROJ_DB, sequenceCol="_items")
+    ps = PrefixSpan(minSupport=support, maxPatternLength=longest,
+                    maxLocalProjDBSize=local_db_size, sequenceCol="_items")
     items = seqs.select(F.transform("_s", lambda x: F.array(x)).alias("_items"))
     found = ps.findFrequentSequentialPatterns(items)
     return found.select(F.flatten("sequence").alias("sequence"), F.col("freq").cast("long"))
@@ -84,18 +89,20 @@ def containment_pairs(sequences: DataFrame, patterns: DataFrame, id_col: str = "
 
     Candidates come from an equi join on the pattern's first two items against
     the ordered item pairs of each sequence (single-item patterns join on the
-    item), then the exact in-order test runs on each candidate.  No pattern is
-    ever paired with a sequence that lacks its first two items in order.
+    item).  That join carries ids only; sequences and patterns are joined back
+    to the candidates for the exact in-order test.  No pattern is ever paired
+    with a sequence that lacks its first two items in order.
     """
     key = pat_id or pat_col
     pats = patterns.select(F.col(key).alias("_pk"), F.col(pat_col).alias("_p"))
     seqs = sequences.select(F.col(id_col).alias("_id"), F.col(seq_col).alias("_s"))
 
     long_p = pats.filter(F.size("_p") >= 2).select(
-        "_pk", "_p", F.get("_p", 0).alias("a"), F.get("_p", 1).alias("b"))
-    pairs = seqs.select("_id", "_s", F.explode(_ordered_pairs("_s")).alias("ab")) \
-        .select("_id", "_s", "ab.a", "ab.b")
-    hits_long = (pairs.join(long_p, ["a", "b"])
+        "_pk", F.get("_p", 0).alias("a"), F.get("_p", 1).alias("b"))
+    pairs = seqs.select("_id", F.explode(_ordered_pairs("_s")).alias("ab")) \
+        .select("_id", "ab.a", "ab.b")
+    hits_long = (pairs.join(long_p, ["a", "b"]).select("_id", "_pk")
+                 .join(pats, "_pk").join(seqs, "_id")
                  .filter(contains_in_order("_s", "_p"))
                  .select("_id", "_pk"))
 

@@ -1,9 +1,10 @@
 """Exact quantiles without a single-buffer aggregate over all rows.
 
-``percentile`` keeps every value in one aggregation buffer.  Here an
-approximate quantile (bounded rank error n/accuracy) brackets the wanted
-ranks, counts fix the rank offset, and only the few rows inside the bracket
-are ranked exactly.
+``percentile`` keeps every value in one aggregation buffer.  Here the value at a
+rank is closed in on in rounds: the range that holds it is cut into equal
+buckets, each round counts the buckets (a fixed number of rows, with their
+smallest and largest value) and goes on inside the one that holds the rank, until
+that bucket has a single value.
 """
 
 from __future__ import annotations
@@ -13,43 +14,35 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ACCURACY = 100_000
+#: Buckets a round; no fewer than LEAST are used.
+ACCURACY, LEAST = 1024, 16
+
+
+def _value_at(vals: DataFrame, rank: int, low, high):
+    """The value at ``rank`` (0-based) of column v, whose smallest and largest are given."""
+    inside, before = vals, 0
+    while low != high:
+        # Monotone in v, whatever rounding does; the ends fall into different buckets.
+        place = F.floor((F.col("v") - F.lit(low)) / (F.lit(high) - F.lit(low)) * max(ACCURACY, LEAST))
+        rows = inside.groupBy(place.alias("b")).agg(
+            F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+        for r in sorted(rows, key=lambda r: r["low"]):
+            if rank < before + r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            before += r["n"]
+        inside = vals.filter(F.col("v").between(F.lit(low), F.lit(high)))
+    return low
 
 
 def values_at_ranks(df: DataFrame, col: str, ranks: list[int]) -> dict[int, float]:
     """Exact order statistics (0-based ranks in ascending order) of ``col``.
 
-    An approximate quantile pair brackets the ranks; rows below the bracket
-    are only counted, and the rows inside it are grouped by value, so only a
-    small slice of distinct values ever reaches the driver.
+    Ranks beyond the non-null values are left out.
     """
     vals = df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull())
-    n = vals.count()
-    ranks = sorted(set(r for r in ranks if 0 <= r < n))
-    if not ranks:
-        return {}
-    slack = 2.0 / ACCURACY
-    lo_q = max(0.0, ranks[0] / max(n - 1, 1) - slack)
-    hi_q = min(1.0, ranks[-1] / max(n - 1, 1) + slack)
-    a, b = vals.agg(F.percentile_approx("v", [lo_q, hi_q], ACCURACY).alias("p")).first()["p"]
-    low_open, high_open = lo_q == 0.0, hi_q == 1.0
-    below_f = F.lit(False) if low_open else F.col("v") < F.lit(a)
-    below = vals.filter(below_f).count()
-    if below > ranks[0]:
-        low_open, below_f, below = True, F.lit(False), 0
-    inside = vals.filter(~below_f & (F.lit(True) if high_open else F.col("v") <= F.lit(b)))
-    found, seen = {}, below
-    for row in inside.groupBy("v").count().orderBy("v").collect():
-        for r in ranks:
-            if r not in found and seen <= r < seen + row["count"]:
-                found[r] = row["v"]
-        seen += row["count"]
-    if len(found) < len(ranks):
-        # Outside the accuracy guarantee: a distributed sort of all values.
-        want = set(ranks)
-        hits = vals.orderBy("v").rdd.zipWithIndex().filter(lambda t: t[1] in want).collect()
-        found = {i: r["v"] for r, i in hits}
-    return found
+    n, low, high = vals.agg(F.count("*"), F.min("v"), F.max("v")).head()
+    return {r: _value_at(vals, r, low, high) for r in sorted(set(ranks)) if 0 <= r < n}
 
 
 def exact_percentile(df: DataFrame, col: str, q: float) -> float | None:
@@ -57,11 +50,15 @@ def exact_percentile(df: DataFrame, col: str, q: float) -> float | None:
     if not 0.0 <= q <= 1.0:
         raise ValueError("q must be in [0, 1]")
     vals = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    n = vals.count()
+    n, low, high = vals.agg(F.count("*"), F.min("v"), F.max("v")).head()
     if n == 0:
         return None
     pos = q * (n - 1)
-    lo_rank, hi_rank = math.floor(pos), math.ceil(pos)
-    got = values_at_ranks(vals, "v", [lo_rank, hi_rank])
-    lo_v, hi_v = got[lo_rank], got[hi_rank]
-    return lo_v + (hi_v - lo_v) * (pos - lo_rank)
+    first = _value_at(vals, math.floor(pos), low, high)
+    second = first
+    if math.ceil(pos) != math.floor(pos):
+        # The next value is the same one again, or the smallest above it.
+        upto = vals.filter(F.col("v") <= F.lit(first)).count()
+        if upto <= math.ceil(pos):
+            second = vals.filter(F.col("v") > F.lit(first)).agg(F.min("v")).head()[0]
+    return first + (second - first) * (pos - math.floor(pos))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# The wording of the report lines below is fixed.
+
+
 def divergence_report(top: DataFrame) -> DataFrame:
     """One text block per divergence row; the score is rounded half-even to 2."""
     score = F.bround("divergence_score", 2).cast("string")
@@ -23,10 +26,12 @@ def divergence_report(top: DataFrame) -> DataFrame:
 def pattern_report(patterns: DataFrame, top_n: int = 5) -> DataFrame:
     """``N. Count: f, Sequence: s`` for the top_n patterns (freq desc, text asc)."""
     ranked = patterns.orderBy(F.col("freq").desc(), F.col("sequence").asc()).limit(top_n)
-    rows = ranked.select("sequence", "freq").collect()  # top_n rows only
-    lines = [(i, f"{i}. Count: {r['freq']}, Sequence: {r['sequence']}")
-             for i, r in enumerate(rows, start=1)]
-    return patterns.sparkSession.createDataFrame(lines, "rank int, line string")
+    # At most top_n rows reach this window.
+    order = Window.orderBy(F.col("freq").desc(), F.col("sequence").asc())
+    rank = F.row_number().over(order)
+    return ranked.select(rank.alias("rank"), F.concat(
+        rank.cast("string"), F.lit(". Count: "), F.col("freq").cast("string"),
+        F.lit(", Sequence: "), F.col("sequence")).alias("line"))
 
 
 def by_pageviews(df: DataFrame, col: str = "pageviews") -> DataFrame:

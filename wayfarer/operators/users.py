@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.functions import text as T
 
+# The columns of the page-band table.
 MULTI_COLUMNS = [
     "user_id", "page_location", "page_title", "event_date", "event_name",
     "event_timestamp", "event_timestamp_sec", "event_timestamp_diff", "geo_region",
@@ -93,7 +94,10 @@ def normalise_paths(conversion_page_path: Iterable[str]) -> list[str]:
                 rest = x[len(scheme):]
                 x = rest[rest.index("/"):] if "/" in rest else ""
                 break
-        out.append(x.strip().lower().rstrip("/") + "/")
+        x = x.strip().lower()
+        if not x:
+            raise ValueError(f"conversion path {p!r} is empty; name the home page as '/'")
+        out.append(x.rstrip("/") + "/")
     return out
 
 

@@ -82,7 +82,7 @@ def q_event_gaps(spark, sf_dir):
 
 
 def q_user_counts(spark, sf_dir):
-    return stages(spark, sf_dir, write_clean=False).counts
+    return stages(spark, sf_dir).counts
 
 
 def q_multi_page_users(spark, sf_dir):
@@ -192,17 +192,30 @@ def journeys_df(spark, sf_dir, **overrides):
     build feeds every analysis); the table is a reliable checkpoint, so a lost
     executor does not send the analyses back to the raw events.
     """
-    import os
-
     from wayfarer.operators.journeys import flag_converted
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir),
-           tuple(sorted(overrides.items())))
+    key = (spark.sparkContext.applicationId, _fingerprint(spark, sf_dir), tuple(sorted(overrides.items())))
     if key not in _JOURNEYS:
         st = stages(spark, sf_dir, **overrides)
-        _JOURNEYS[key] = materialize(flag_converted(st.journeys, st.converters))
+        _JOURNEYS[key] = materialize(flag_converted(st.journeys, st.converters), "journeys")
+        st.close()
     return _JOURNEYS[key]
 
 
+def _fingerprint(spark, sf_dir) -> tuple:
+    """Files of the events table with size and time: a changed input is a new key."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    status = fs.getFileStatus(path)
+    found = fs.listStatus(path) if status.isDirectory() else [status]
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found))
+
+
+def forget_journeys() -> None:
+    """Build the shared journeys anew at their next use."""
+    _JOURNEYS.clear()
+
+
 def q_frequent_sequences(spark, sf_dir):
     j = journeys_df(spark, sf_dir)
     return P.with_text(P.frequent_sequences(j, min_freq=ALL_MIN_FREQ, min_len=ALL_MIN_LEN))
@@ -369,6 +382,39 @@ def q_export_shards(spark, sf_dir):
         F.count(F.lit(1)).alias("n_events"))
 
 
+def _shard_folder(spark, sf_dir) -> str:
+    """The export as a folder of day shards, written under the shared checkpoint folder."""
+    import uuid
+
+    from wayfarer.session import ensure_checkpoint_dir
+    from wayfarer import storage
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/shards-{uuid.uuid4().hex}"
+    _raw_export(spark, sf_dir).withColumnRenamed("_table_suffix", "suffix").write.partitionBy(
+        "suffix").parquet(root)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(path(root)):
+        name = status.getPath().getName()
+        if name.startswith("suffix="):
+            fs.rename(status.getPath(), path(f"{root}/events_{name[7:]}"))
+    storage.keep_until_exit(root)
+    return root
+
+
+def q_export_scan(spark, sf_dir):
+    """Shard folders inside the window, pruned by path, flattened and deduplicated."""
+    return GX.load_export(spark, _shard_folder(spark, sf_dir), EXPORT_AS_OF, EXPORT_DAYS)
+
+
+def q_clean_events_text_time(spark, sf_dir):
+    """Cleaned events whose timestamps come as text, one in fifty of them unreadable."""
+    flat = flat_events(spark, sf_dir)
+    flat = flat.withColumn("event_timestamp", F.when(F.col("event_id") % 50 == 0, F.lit("no time"))
+                           .otherwise(F.col("event_timestamp").cast("string")))
+    from dataclasses import replace
+    return journey_stages(flat, replace(PARAMS, write_clean=False)).clean
+
+
 def q_export_journeys(spark, sf_dir):
     flat = GX.flatten_events(GX.dedup_raw(_raw_export(spark, sf_dir).drop("_table_suffix")))
     return _journeys_out(journey_stages(flat, PARAMS))
@@ -382,7 +428,7 @@ def q_divergence_report(spark, sf_dir):
 
 
 def q_user_counts_ranked(spark, sf_dir):
-    return RP.by_pageviews(stages(spark, sf_dir, write_clean=False).counts)
+    return RP.by_pageviews(stages(spark, sf_dir).counts)
 
 
 @lru_cache(maxsize=None)
@@ -393,6 +439,7 @@ def registry() -> dict:
         "clickstream": q_clickstream,
         "relevant_events": q_relevant_events,
         "clean_events": q_clean_events,
+        "clean_events_text_time": q_clean_events_text_time,
         "event_gaps": q_event_gaps,
         "user_counts": q_user_counts,
         "user_counts_ranked": q_user_counts_ranked,
@@ -419,6 +466,7 @@ def registry() -> dict:
         "export_dedup": q_export_dedup,
         "export_events": q_export_events,
         "export_shards": q_export_shards,
+        "export_scan": q_export_scan,
         "export_journeys": q_export_journeys,
         # sequences and divergence
         "frequent_sequences": q_frequent_sequences,

@@ -80,6 +80,10 @@ flat_unset AS (
   SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN NULL ELSE source_medium END AS source_medium)
   FROM flat)"""
 
+# One event in fifty without a usable timestamp.
+FLAT_UNTIMED = """
+flat_untimed AS (SELECT * FROM flat WHERE event_id % 50 <> 0)"""
+
 RANK = ("CASE WHEN event_name = 'session_start' THEN 0 "
         "WHEN event_name = 'page_view' THEN 1 ELSE 2 END")
 
@@ -303,6 +307,8 @@ def journey_registry() -> dict[str, str]:
     return {
         "clickstream": _with(FLAT) + "\nSELECT * FROM flat",
         "clean_events": _with(FLAT, CLEAN) + f"\nSELECT {CLEAN_COLS} FROM clean",
+        "clean_events_text_time": _with(FLAT, FLAT_UNTIMED, CLEAN.replace("FROM flat\n", "FROM flat_untimed\n"))
+                                  + f"\nSELECT {CLEAN_COLS} FROM clean",
         "event_gaps": _with(FLAT, CLEAN) + "\nSELECT user_id, event_id, event_name, "
                       "event_timestamp, event_timestamp_diff FROM clean",
         "user_counts": base + "\nSELECT * FROM counts",
@@ -581,6 +587,9 @@ def export_registry() -> dict[str, str]:
         "export_dedup": base + """
 SELECT user_pseudo_id, event_name, event_timestamp,
        CAST(len(event_params) AS BIGINT) AS n_params FROM deduped""",
+        "export_scan": base.replace("FROM raw_export) WHERE rn = 1", f"""FROM raw_export
+    WHERE try_strptime(table_suffix, '%Y%m%d') BETWEEN DATE '{EXPORT_LO}' AND DATE '{EXPORT_HI}')
+  WHERE rn = 1""") + FLATTEN + f"\nSELECT {EXPORT_COLS} FROM flat_export",
         "export_events": base + FLATTEN + f"\nSELECT {EXPORT_COLS} FROM flat_export",
         "export_shards": base + f"""
 SELECT CAST(strptime(regexp_extract(table_suffix, '[0-9]+', 0), '%Y%m%d') AS DATE) AS table_date,

@@ -201,25 +201,51 @@ def load_export(spark: SparkSession, base: str, as_of_date: dt.date, historical_
     return dedup_flat(flat)
 
 
-def snapshot_path(root: str, table_name: str, as_of_date: dt.date, historical_days: int) -> str:
+def snapshot_path(root: str, table_name: str, as_of_date: dt.date, historical_days: int,
+                  include_intraday: bool = False, event_names: list[str] | None = None) -> str:
+    """Folder of the snapshot of one request; every parameter is part of its name."""
     slug = re.sub(r"\W", "_", table_name)
-    return f"{root.rstrip('/')}/{slug}__{as_of_date:%Y%m%d}__{historical_days}d"
+    path = f"{root.rstrip('/')}/{slug}__{as_of_date:%Y%m%d}__{historical_days}d"
+    if include_intraday:
+        path += "__intraday"
+    if event_names:
+        import hashlib
+
+        names = "\x1f".join(sorted(set(event_names)))
+        path += f"__{hashlib.sha256(names.encode()).hexdigest()[:16]}"
+    return path
 
 
 def write_snapshot(df: DataFrame, root: str, table_name: str, as_of_date: dt.date,
-                   historical_days: int) -> DataFrame:
-    """Keep the flat rows as parquet, keyed on table, date and window."""
-    path = snapshot_path(root, table_name, as_of_date, historical_days)
+                   historical_days: int, include_intraday: bool = False,
+                   event_names: list[str] | None = None) -> DataFrame:
+    """Keep the flat rows as parquet, keyed on all parameters of the request."""
+    path = snapshot_path(root, table_name, as_of_date, historical_days, include_intraday, event_names)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_snapshot(spark: SparkSession, root: str, table_name: str, as_of_date: dt.date,
-                  historical_days: int) -> DataFrame | None:
-    path = snapshot_path(root, table_name, as_of_date, historical_days)
+                  historical_days: int, include_intraday: bool = False,
+                  event_names: list[str] | None = None,
+                  schema: T.StructType | None = None) -> DataFrame | None:
+    """The snapshot of this request, or None if there is none that was written to its end."""
+    path = snapshot_path(root, table_name, as_of_date, historical_days, include_intraday, event_names)
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
         return None
-    return spark.read.parquet(path)
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(path)
+
+
+def query_export(spark: SparkSession, base: str, as_of_date: dt.date, historical_days: int,
+                 include_intraday: bool = False, event_names: list[str] | None = None,
+                 snapshot_root: str | None = None) -> DataFrame:
+    """``load_export`` behind a snapshot: read it if it is there, else write it."""
+    args = (as_of_date, historical_days, include_intraday, event_names)
+    flat = load_export(spark, base, *args)
+    if snapshot_root is None:
+        return flat
+    kept = read_snapshot(spark, snapshot_root, base, *args, schema=flat.schema)
+    return kept if kept is not None else write_snapshot(flat, snapshot_root, base, *args)

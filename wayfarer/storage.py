@@ -26,6 +26,11 @@ def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def keep_until_exit(path: str) -> None:
+    """Have a folder written by other means removed with the tables that are left."""
+    _LEFT.append(path)
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete stored tables through Hadoop's file system, wherever the folder is."""
     for path in paths:
