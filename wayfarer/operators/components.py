@@ -8,7 +8,7 @@ folder; rounds go on until the edge set stays as it is.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wayfarer.storage import drop, store
@@ -34,6 +34,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter(F.col("u") > F.col("v")).distinct()
 
 
+def _marked(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
+    """The stored edges, their path, and their number and checksum, taken while they are written."""
+    seen = Observation()
+    watched = edges.observe(seen, F.count("*").alias("n"), F.sum(
+        F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+    got, path = store(watched, "edges")
+    return got, path, (seen.get["n"], seen.get["sum"])
+
+
 def connected_components(edges: DataFrame) -> tuple[DataFrame, str]:
     """(node, component) of every node with an edge but the smallest of its component.
 
@@ -45,14 +54,11 @@ def connected_components(edges: DataFrame) -> tuple[DataFrame, str]:
     spark = edges.sparkSession
     ordered = edges.filter(F.col(a) != F.col(b)).select(
         F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    now, path = store(ordered, "edges")
+    now, path, mark = _marked(ordered)
     before = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if mark[0] == 0 or mark == before:
-            break
+    while mark[0] and mark != before:
         before = mark
-        newer, newer_path = store(_star(_star(now, True), False), "edges")
+        newer, newer_path, mark = _marked(_star(_star(now, True), False))
         drop(spark, path)
         now, path = newer, newer_path
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")), path

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from wayfarer.storage import Scratch, store
 
 #: Axes carried beyond those wanted; they speed up convergence.
-OVERSAMPLE = 8
-TOLERANCE = 1e-9
+OVERSAMPLE = 16
+#: Residual of an axis under the covariance, relative to the largest variance.
+TOLERANCE = 1e-6
 
 
 def label_weights(df: DataFrame, id_col: str = "user_id", seq_col: str = "activity_list") -> DataFrame:
@@ -50,79 +51,89 @@ def _times(col: str, matrix: np.ndarray):
                      for j in range(matrix.shape[1])])
 
 
-def _products(df: DataFrame, width: int, *pairs: tuple[str, str]) -> list[np.ndarray]:
-    """Sum over rows of the outer product of two array columns, for each pair of columns."""
+def _summary(df: DataFrame, width: int, *columns: str) -> tuple[np.ndarray, ...]:
+    """For the array column v and, if named, z: sum of c * v (c = mean * scale), and of z z', v z', c * z."""
     def run(batches):
-        totals = None
+        total = None
         for batch in batches:
             if batch.num_rows:
-                m = {c: np.array(batch.column(c).to_pylist(), float) for c in {x for p in pairs for x in p}}
-                found = [m[a].T @ m[b] for a, b in pairs]
-                totals = found if totals is None else [t + f for t, f in zip(totals, found)]
-        if totals is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([t.tobytes()], pa.binary()) for t in totals],
-                                             [f"p{i}" for i in range(len(pairs))])
-
-    names = sorted({x for p in pairs for x in p})
-    rows = df.select(*names).mapInArrow(run, ", ".join(f"p{i} binary" for i in range(len(pairs)))).collect()
-    return [sum(np.frombuffer(bytes(r[i]), float).reshape(width, width) for r in rows)
-            for i in range(len(pairs))]
-
-
-def _project(weights: DataFrame, axes: DataFrame, width: int) -> DataFrame:
+                c = (batch.column("mean").to_numpy(zero_copy_only=False)
+                     * batch.column("scale").to_numpy(zero_copy_only=False))
+                m = [np.array(batch.column(x).to_pylist(), float) for x in columns]
+                found = [c @ m[0]]
+                if len(m) > 1:
+                    found += [m[1].T @ m[1], m[0].T @ m[1], c @ m[1]]
+                found = np.concatenate([f.ravel() for f in found])
+                total = found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["p"])
+
+    rows = df.select("mean", "scale", *columns).mapInArrow(run, "p binary").collect()  # one row a partition
+    flat = sum(np.frombuffer(bytes(r[0]), float) for r in rows)
+    if len(columns) == 1:
+        return (flat,)
+    square = width * width
+    return (flat[:width], flat[width:width + square].reshape(width, width),
+            flat[width + square:width + 2 * square].reshape(width, width), flat[width + 2 * square:])
+
+
+def _project(weights: DataFrame, axes: DataFrame, offset: np.ndarray) -> DataFrame:
     """(id, y): standardised rows that hold a label, times the axes (label, mean, scale, v)."""
-    offset = axes.agg(*[F.sum(F.col("mean") * F.col("scale") * F.col("v")[i]) for i in range(width)]).head()
     sums = weights.join(axes, "label").withColumn(
         "c", F.transform("v", lambda x: x * F.col("w") * F.col("scale"))).groupBy("id").agg(
-        _sum_arrays("c", width).alias("s"))
-    return sums.select("id", F.array(*[F.col("s")[i] - float(o or 0.0) for i, o in enumerate(offset)]).alias("y"))
+        _sum_arrays("c", len(offset)).alias("s"))
+    return sums.select("id", F.array(*[F.col("s")[i] - float(o) for i, o in enumerate(offset)]).alias("y"))
 
 
-def principal_axes(weights: DataFrame, n: int, k: int, scratch: Scratch) -> tuple[DataFrame, int]:
-    """((label, mean, scale, v), width): the first ``k`` axes of the standardised columns.
+def principal_axes(weights: DataFrame, n: int, k: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
+    """((label, mean, scale, v), offset): the first ``k`` axes of the standardised columns.
 
-    Subspace iteration until the leading variances stay as they are.
+    ``offset`` is the projection of the column means.  Subspace iteration until
+    the axes are the covariance's own but for ``TOLERANCE``.
     """
     stats = scratch(label_statistics(weights, n), "label-statistics")
     labels = stats.count()
     k = min(k, labels)
     if k == 0:
-        return stats.withColumn("v", F.array().cast("array<double>")), 0
+        return stats.withColumn("v", F.array().cast("array<double>")), np.zeros(0)
     width = min(k + OVERSAMPLE, labels)
-    start = F.array(*[F.xxhash64("label", F.lit(i)) / float(1 << 63) for i in range(width)])
-    axes = scratch(stats.withColumn("v", start), "axes")
-    before = None
+    axes = stats.withColumn("v", F.array(*[F.xxhash64("label", F.lit(i)) / float(1 << 63) for i in range(width)]))
+    offset, = _summary(axes, width, "v")
+    first = True
     while True:
-        rows = _project(weights, axes, width)
+        rows = _project(weights, axes, offset)
         raised = weights.join(rows, "id").withColumn(
             "c", F.transform("y", lambda x: x * F.col("w"))).groupBy("label").agg(_sum_arrays("c", width).alias("r"))
-        # The centred columns' share drops out: the projections sum to zero over all rows,
+        # The column means' share drops out: the projections sum to zero over all rows,
         # those without a label included.
-        empty = axes.join(raised, "label", "left").withColumn(
-            "z", F.transform(F.coalesce("r", F.array(*[F.lit(0.0)] * width)), lambda x: x * F.col("scale") / max(n - 1, 1)))
-        moved = scratch(empty.select("label", "mean", "scale", "v", "z"), "axes")
-        gram, ritz = _products(moved, width, ("z", "z"), ("v", "z"))
-        if before is not None:
+        share = F.col("scale") / max(n - 1, 1)
+        moved = axes.join(raised, "label", "left").withColumn(
+            "z", F.transform(F.coalesce("r", F.array(*[F.lit(0.0)] * width)), lambda x: x * share))
+        moved = scratch(moved.select("label", "mean", "scale", "v", "z"), "axes")
+        offset, gram, ritz, raised_offset = _summary(moved, width, "v", "z")
+        if not first:
             values, vectors = np.linalg.eigh((ritz + ritz.T) / 2)
             order = np.argsort(values)[::-1][:k]
-            if np.abs(values[order] - before).max() <= TOLERANCE * max(values[order].max(), 1e-300):
-                return _signed(moved.withColumn("v", _times("v", vectors[:, order])), k, scratch), k
-            before = values[order]
-        else:
-            before = np.full(k, np.inf)
+            values, vectors = values[order], vectors[:, order]
+            residual = np.einsum("ik,ij,jk->k", vectors, gram, vectors) - values ** 2
+            if np.sqrt(np.maximum(residual, 0)).max() <= TOLERANCE * max(values.max(), 1e-300):
+                return _signed(moved.withColumn("v", _times("v", vectors)), offset @ vectors, scratch)
+        first = False
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         usable = values > values.max() * 1e-13
         turn = vectors[:, usable] / np.sqrt(values[usable])
         width, k = int(usable.sum()), min(k, int(usable.sum()))
-        before = before[:k]
         axes = moved.select("label", "mean", "scale", _times("z", turn).alias("v"))
+        offset = raised_offset @ turn
 
 
-def _signed(axes: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+def _signed(axes: DataFrame, offset: np.ndarray, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
     """Axes turned so that the cubes of each one's entries sum to no less than zero."""
     axes = scratch(axes.select("label", "mean", "scale", "v"), "axes")
-    cubes = axes.agg(*[F.sum(F.pow(F.col("v")[i], 3)) for i in range(k)]).head()
-    return axes.withColumn("v", F.array(*[F.col("v")[i] * (1.0 if c >= 0 else -1.0) for i, c in enumerate(cubes)]))
+    cubes = axes.agg(*[F.sum(F.pow(F.col("v")[i], 3)) for i in range(len(offset))]).head()
+    sign = [1.0 if c >= 0 else -1.0 for c in cubes]
+    return (axes.withColumn("v", F.array(*[F.col("v")[i] * x for i, x in enumerate(sign)])),
+            offset * np.array(sign))
 
 
 def components(df: DataFrame, weights: DataFrame, k: int = 5, id_col: str = "user_id",
@@ -134,12 +145,11 @@ def components(df: DataFrame, weights: DataFrame, k: int = 5, id_col: str = "use
     scratch = Scratch(df.sparkSession)
     n = df.count()
     weights = scratch(weights, "label-weights")
-    axes, width = principal_axes(weights, n, k, scratch)
-    if width == 0:
+    axes, offset = principal_axes(weights, n, k, scratch)
+    if not len(offset):
         scratch.close()
         return df.withColumn(out_col, array_to_vector(F.array(F.lit(0.0))))
-    offset = axes.agg(*[F.sum(F.col("mean") * F.col("scale") * F.col("v")[i]) for i in range(width)]).head()
-    rows = _project(weights, axes, width).withColumnRenamed("id", "_id").withColumnRenamed("y", "_y")
+    rows = _project(weights, axes, offset).withColumnRenamed("id", "_id").withColumnRenamed("y", "_y")
     nothing = F.array(*[F.lit(-float(o)) for o in offset])
     got, _ = store(df.join(rows, F.col(id_col) == F.col("_id"), "left").withColumn(
         out_col, array_to_vector(F.coalesce("_y", nothing))).drop("_id", "_y"), "components")
