@@ -8,12 +8,14 @@ counts of the signatures, corrected for chance agreement of the low bits, and
 pairs that may reach the bound are confirmed on the full sets.
 
 No bucket is expanded into all its pairs.  First every member is compared with
-its buckets' smallest member.  Confirmed links make components, and only buckets
-that still hold several components are searched further: their signatures are
-compared in blocks, and a pair across components is confirmed only if its
-estimate allows it.  In the end every candidate pair is either inside one
-component or was rejected.  At the bound a pair shares no band with probability
-(1 - 0.85^6)^32, about 3e-7, and the estimate's slack is six standard errors.
+the smallest one of all its buckets.  Confirmed links make components; next come
+the smallest members of its other buckets, as far as they lie in another
+component, and only buckets that still hold several components are searched
+further: their signatures are compared in blocks, and where an estimate allows it
+the full sets, until a member has a link into the component.  In the end every
+candidate pair is either inside one component or was rejected.  At the bound a
+pair shares no band with probability (1 - 0.85^6)^32, about 3e-7, and the
+estimate's slack is six standard errors.
 
 Defined results: null and empty texts, or texts without words, have an empty set
 and link with nothing; fewer than five words make one shingle of them all; rows
@@ -38,8 +40,7 @@ HASHES = BANDS * ROWS
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 85
 ERRORS = 6.0
-BLOCK = 2048
-QUERIES = 64
+BLOCK = 512
 #: Members confirmed against one copy of a leader's text.
 MEMBERS = 256
 
@@ -215,9 +216,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 if kind == 0:
                     key, leader = (x, xa, part), found
                 elif key == (x, xa, part):
-                    at = np.minimum(np.searchsorted(leader, found), len(leader) - 1)
-                    both = int((leader[at] == found).sum())
-                    if 100 * both >= percent * (len(leader) + len(found) - both):
+                    if reaches(leader, found, percent):
                         out.append((x, y))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()),
@@ -226,11 +225,62 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "x long, y long")
 
 
+class Bucket:
+    """One block of a bucket's members; their sets are unpacked when first needed."""
+
+    def __init__(self, rows):
+        self.rep, self.a, self.n = [np.array([r[i] for r in rows], np.int64) for i in range(3)]
+        self.component = np.array([r[3] for r in rows], np.int64)
+        self.sig = np.stack([np.frombuffer(r[4], np.uint64) for r in rows])
+        self.bands = np.stack([np.array(r[5], np.int64) for r in rows])
+        self.z, self.sets = [r[6] for r in rows], {}
+
+    def set_of(self, i: int, unpack) -> np.ndarray:
+        if i not in self.sets:
+            self.sets[i] = unpack(self.z[i])
+        return self.sets[i]
+
+    def links(self, band: int, query, percent: int, least: float, unpack):
+        """Ids of members that ``query`` links, one a component it is not in.
+
+        A pair is looked at in the first band that it shares, by its greater id.
+        """
+        rep, a, n, component, sig, bands, z = query
+        at = np.flatnonzero((self.component != component) & ((self.rep < rep) | ((self.rep == rep) & (self.a < a))))
+        sizes = self.n[at]
+        at = at[100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)]
+        at = at[(self.bands[at, :band] != bands[:band]).all(axis=1)]
+        if not len(at):
+            return
+        estimate = agreement(sig, self.sig[at])
+        order = np.argsort(-estimate, kind="stable")
+        own, joined = None, set()
+        for i in at[order][estimate[order] >= least].tolist():
+            if self.component[i] in joined:
+                continue
+            if own is None:
+                own = unpack(z)
+            if reaches(own, self.set_of(i, unpack), percent):
+                joined.add(self.component[i])
+                yield int(self.rep[i])
+
+
+def reaches(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are as similar as ``percent``."""
+    if len(one) > len(two):
+        one, two = two, one
+    at = np.minimum(np.searchsorted(two, one), len(two) - 1)
+    both = int((two[at] == one).sum())
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
 def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, xa, y, ya) of different components in one bucket whose signatures allow the bound.
+    """Links (x, y) between components that share a bucket.
 
-    ``members`` has key, rep, a, component, sig.  A bucket is dealt out in blocks
-    of ``BLOCK`` signatures; its members stream past each block.
+    ``members`` has band, key, rep, a, n, component, sig, bands and the
+    compressed text z.  A bucket is dealt out in blocks of ``BLOCK`` members; its
+    members stream past each block.  Pairs whose sizes and signatures allow the
+    bound are confirmed on the full sets where they meet; only links leave.
     """
     least = lowest_estimate(percent)
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -239,37 +289,39 @@ def across(members: DataFrame, percent: int) -> DataFrame:
         .withColumn("kind", F.lit(0))
     asked = sized.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .withColumn("kind", F.lit(1))
-    columns = ["key", "block", "kind", "rep", "a", "component", "sig"]
+    columns = ["key", "block", "kind", "band", "rep", "a", "n", "component", "sig", "bands", "z"]
     dealt = entries.select(*columns).unionByName(asked.select(*columns)).repartition(
         "key", "block").sortWithinPartitions("key", "block", "kind")
 
     def run(batches):
-        key, rows, block = None, [], None
+        import zstandard
+
+        hasher, packer = Hasher(7), zstandard.ZstdDecompressor()
+
+        def unpack(z):
+            raw = np.frombuffer(packer.decompress(z), np.uint8)
+            return shingle_sets(raw, np.array([0, len(raw)]), hasher)[0]
+
+        key, rows, bucket = None, [], None
         for batch in batches:
             out = []
-            for k, part, kind, rep, a, component, sig in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, part, kind, band, *member in zip(*(c.to_pylist() for c in batch.columns)):
                 if (k, part) != key:
-                    key, rows, block = (k, part), [], None
-                sig = np.frombuffer(sig, np.uint64)
+                    key, rows, bucket = (k, part), [], None
                 if kind == 0:
-                    rows.append((rep, a, component, sig))
-                    continue
-                if block is None and rows:
-                    block = [np.array([r[i] for r in rows], np.int64) for i in range(3)] + [
-                        np.stack([r[3] for r in rows])]
-                if block is None:
+                    rows.append(member)
                     continue
-                # Each pair once: the query is the greater one.
-                other = np.flatnonzero((block[2] != component) & ((block[0] < rep)
-                                                                  | ((block[0] == rep) & (block[1] < a))))
-                if len(other):
-                    other = other[agreement(sig, block[3][other]) >= least]
-                    out.extend((int(block[0][i]), int(block[1][i]), rep, a) for i in other)
+                if bucket is None and rows:
+                    bucket = Bucket(rows)
+                if bucket is not None:
+                    rep, a, n, component, sig, bands, z = member
+                    query = (rep, a, n, component, np.frombuffer(sig, np.uint64), np.array(bands, np.int64), z)
+                    out.extend((x, rep) for x in bucket.links(band, query, percent, least, unpack))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64())
-                                                  for i in range(4)], ["x", "xa", "y", "ya"])
+                                                  for i in range(2)], ["x", "y"])
 
-    return dealt.mapInArrow(run, "x long, xa long, y long, ya long").distinct()
+    return dealt.mapInArrow(run, "x long, y long")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
@@ -279,38 +331,64 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     signed, signed_path = store(signatures(docs, doc_id, text), "signatures")
     worded = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = worded.groupBy("a", "b").agg(
-        F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"),
+        F.first("bands").alias("bands"))
     classes, classes_path = store(classes, "classes")
-    banded = classes.select(F.explode("bands").alias("key"), "rep", "a")
+    banded = classes.select(F.posexplode("bands").alias("band", "key"), "rep", "a")
     heads = banded.groupBy("key").agg(F.min(F.struct("rep", "a")).alias("head"), F.count("*").alias("size"))
-    shared, shared_path = store(banded.join(heads.filter(F.col("size") > 1), "key").select(
-        "key", "rep", "a", "head"), "buckets")
+    # Stored, so that the join has an exchange of its own and can split a hot key.
+    heads, heads_path = store(heads.filter(F.col("size") > 1), "heads")
+    shared, shared_path = store(banded.join(heads, "key").select("band", "key", "rep", "a", "head"), "buckets")
 
     sig = classes.select("rep", "a", "sig")
     with_sig = lambda pairs: pairs.join(
         sig.select(F.col("rep").alias("x"), F.col("a").alias("xa"), F.col("sig").alias("sx")), ["x", "xa"]).join(
         sig.select(F.col("rep").alias("y"), F.col("a").alias("ya"), F.col("sig").alias("sy")), ["y", "ya"])
-    stars = shared.select(F.col("head.rep").alias("x"), F.col("head.a").alias("xa"),
-                          F.col("rep").alias("y"), F.col("a").alias("ya")).filter(
-        (F.col("x") != F.col("y")) | (F.col("xa") != F.col("ya"))).distinct()
-    stars, stars_path = store(plausible(with_sig(stars), percent), "stars")
     texts, texts_path = store(keep_texts(docs, shared.select("rep", "a").distinct(), doc_id, text), "texts")
-    links, links_path = store(confirm(stars, texts, percent), "links")
-    member, member_path = connected_components(links)
-
-    # Buckets that still hold several components.
-    placed = shared.select("key", "rep", "a").join(
-        member.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep"))
-    open_keys = placed.groupBy("key").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    members = placed.join(open_keys, "key", "left_semi").join(sig, ["rep", "a"])
-    tried = stars.select("x", "xa", "y", "ya")
-    rest = across(members, percent).join(tried, ["x", "xa", "y", "ya"], "left_anti")
-    rest, rest_path = store(rest, "across")
-    more, more_path = store(links.unionByName(confirm(rest, texts, percent)), "links")
-    drop(spark, member_path)
-    member, member_path = connected_components(more)
+    paths = [signed_path, classes_path, heads_path, shared_path, texts_path]
+    other = (F.col("x") != F.col("y")) | (F.col("xa") != F.col("ya"))
+    member = None
+
+    def settle(found: DataFrame) -> None:
+        """Bring the components up to date with newly confirmed links."""
+        nonlocal member
+        found, path = store(found, "links")
+        paths.append(path)
+        # What is known already stands for the links behind it.
+        member, path = connected_components(found if member is None else found.unionByName(member.toDF("x", "y")))
+        paths.append(path)
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Those pairs whose signatures allow the bound, stored."""
+        pairs, path = store(plausible(with_sig(pairs), percent), "pairs")
+        paths.append(path)
+        return pairs
+
+    def placed(rows: DataFrame, rep: str, out: str) -> DataFrame:
+        return rows.join(member.select(F.col("node").alias(rep), F.col("component").alias(out)), rep, "left") \
+            .withColumn(out, F.coalesce(out, rep))
+
+    # 1. Every member with the smallest head of its buckets.
+    stars = shared.select(F.col("head.rep").alias("x"), F.col("head.a").alias("xa"),
+                          F.col("rep").alias("y"), F.col("a").alias("ya")).filter(other)
+    least = stars.groupBy("y", "ya").agg(F.min(F.struct("x", "xa")).alias("h")).select(
+        "h.x", "h.xa", "y", "ya")
+    settle(confirm(likely(least), texts, percent))
+    def still_open() -> DataFrame:
+        """Members of the buckets that hold several components."""
+        rows = placed(shared, "rep", "component")
+        keys = rows.groupBy("key").agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+        return rows.join(keys, "key", "left_semi")
+
+    # 2. With its other buckets' heads, where they lie in another component.
+    apart = still_open().select(F.col("head.rep").alias("x"), F.col("head.a").alias("xa"),
+                                F.col("rep").alias("y"), F.col("a").alias("ya"), "component").distinct()
+    apart = placed(apart, "x", "cx").filter("cx != component").select("x", "xa", "y", "ya")
+    settle(confirm(likely(apart), texts, percent))
+    # 3. Whatever else shares a bucket that still holds several components.
+    settle(across(still_open().join(classes.select("rep", "a", "n", "sig", "bands"), ["rep", "a"]).join(
+        texts, ["rep", "a"]), percent))
 
     per_class = classes.select("a", "b", "rep").join(
         member.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
@@ -321,8 +399,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "minhash")
-    drop(spark, signed_path, classes_path, shared_path, stars_path, texts_path, links_path, more_path,
-         rest_path, member_path)
+    drop(spark, *paths)
     return result, path
 
 
