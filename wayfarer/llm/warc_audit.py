@@ -12,7 +12,8 @@ data.
 Defined results: a record found in both replicas with different digests is
 ``corrupt``; one only in the first is ``missing``, one only in the second is
 ``extra``; several records at one offset are hashed together.  Null columns
-count as empty text.  Equal replicas, and empty ones, give an empty result.
+count as empty text.  The record window assumes that ids are spread: different
+records of one id all lie in one segment.  Equal replicas, and empty ones, give an empty result.
 """
 
 from __future__ import annotations
@@ -41,30 +42,36 @@ def warc_bytes(record_id, url, payload):
         F.octet_length(payload).cast("string"), F.lit("\r\n\r\n"), payload, F.lit("\r\n\r\n"))
 
 
-def archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
-            html: str = "html") -> DataFrame:
-    """(segment, offset, length, record_id, record): pages as records with byte offsets.
+def record_digests(records: DataFrame, record_id: str, *contents: tuple[str, object]) -> DataFrame:
+    """(record_id, length, digest columns): the hashing pass, where the bytes are read.
 
-    A segment holds ``SEGMENT_IDS`` consecutive page ids in order of (id, URL,
-    record digest); only ids, lengths and digests go through that window.  Equal
-    rows are one record, so copies cannot fill a segment.
+    ``contents`` are (column name, record expression); the first gives the length.
+    Only ids, lengths and digests leave this pass.
     """
-    rows = pages.select(F.col(page_id).alias("record_id"),
-                        warc_bytes(F.col(page_id), F.col(url), F.col(html)).alias("record"))
-    rows = rows.groupBy("record_id", "record").agg(F.lit(1).alias("_one")).drop("_one")
-    segment = F.coalesce(F.floor(F.col("record_id") / SEGMENT_IDS), F.lit(-1)).cast("long")
-    order = Window.partitionBy("segment").orderBy("record_id", F.sha2("record", 256))
-    length = F.octet_length("record").cast("long")
-    return rows.withColumns({"segment": segment, "length": length}).withColumn(
-        "offset", F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1))).select(
-        "segment", F.coalesce("offset", F.lit(0)).cast("long").alias("offset"), "length",
-        "record_id", "record")
-
-
-def record_digests(records: DataFrame) -> DataFrame:
-    """(segment, offset, digest, length, record_id) with one row per offset."""
-    return records.groupBy("segment", "offset").agg(
-        F.sha2(F.concat_ws("|", F.sort_array(F.collect_list(F.sha2("record", 256)))), 256).alias("digest"),
+    return records.select(
+        F.col(record_id).alias("record_id"), F.octet_length(contents[0][1]).cast("long").alias("length"),
+        *[F.sha2(record, 256).alias(name) for name, record in contents])
+
+
+def with_offsets(digests: DataFrame, digest: str, segment_ids: int = SEGMENT_IDS) -> DataFrame:
+    """Adds segment and byte offset: ``segment_ids`` consecutive ids make an archive file.
+
+    Records follow each other in order of (id, digest).  Equal records are one,
+    so copies cannot fill a segment; records without an id are spread over
+    negative segments by their digest.
+    """
+    spread = -1 - F.conv(F.substring(digest, 1, 4), 16, 10).cast("long")
+    segment = F.coalesce(F.floor(F.col("record_id") / segment_ids), spread).cast("long")
+    order = Window.partitionBy("segment").orderBy("record_id", digest)
+    before = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return digests.distinct().withColumn("segment", segment).withColumn(
+        "offset", F.coalesce(before, F.lit(0)).cast("long"))
+
+
+def by_offset(index: DataFrame, digest: str = "digest") -> DataFrame:
+    """(segment, offset, digest, length, record_id) with one row per offset of a replica."""
+    return index.groupBy("segment", "offset").agg(
+        F.sha2(F.concat_ws("|", F.sort_array(F.collect_list(digest))), 256).alias("digest"),
         F.max("length").alias("length"), F.min("record_id").alias("record_id"))
 
 
@@ -96,12 +103,13 @@ def audit(first: DataFrame, second: DataFrame, leaf_bytes: int = LEAF_BYTES,
           fan: int = FAN) -> DataFrame:
     """Records that differ: (segment, offset, record_id, length, status).
 
-    ``first`` and ``second`` have segment, offset, length, record_id and record.
+    ``first`` and ``second`` are the replicas' record digests with segment,
+    offset, length and record_id.
     """
     spark = first.sparkSession
     kept, paths = [], []
     for name, replica in (("first", first), ("second", second)):
-        table, path = store(record_digests(replica), f"fixity-{name}")
+        table, path = store(by_offset(replica), f"fixity-{name}")
         kept.append(table)
         paths.append(path)
     last = [t.agg(F.max("offset")).head()[0] for t in kept]
@@ -116,11 +124,16 @@ def audit(first: DataFrame, second: DataFrame, leaf_bytes: int = LEAF_BYTES,
         stored.append(nodes)
         paths.append(path)
     at = lambda nodes, level: nodes.filter(F.col("level") == level).drop("level")
-    open_nodes = _differ(at(stored[0], top), at(stored[1], top)).select("segment", "offset")
+    def opened(a: DataFrame, b: DataFrame) -> DataFrame:
+        """The nodes to go down from, stored: both replicas' next level reads them."""
+        nodes, path = store(_differ(a, b).select("segment", "offset"), "open-nodes")
+        paths.append(path)
+        return nodes
+
+    open_nodes = opened(at(stored[0], top), at(stored[1], top))
     for level in range(top - 1, -1, -1):
         size = leaf_bytes * fan ** (level + 1)
-        a, b = [_below(at(n, level), open_nodes, size) for n in stored]
-        open_nodes = _differ(a, b).select("segment", "offset")
+        open_nodes = opened(*[_below(at(n, level), open_nodes, size) for n in stored])
     columns = ["length", "record_id", "digest"]
     a, b = [_below(t, open_nodes, leaf_bytes).select(
         "segment", "offset", *[F.col(c).alias(f"{c}_{s}") for c in columns])
@@ -145,20 +158,22 @@ def _below(nodes: DataFrame, parents: DataFrame, size: int) -> DataFrame:
         up, ["segment", "_up"], "left_semi").drop("_up")
 
 
-def degraded(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two replicas of ``records`` with damage set by the MD5 of the record id.
+def replicas(pages: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """Two replicas' record digests over ``pages``, with damage set by the MD5 of the page id.
 
     First two hex digits 00 to 03: the second replica's last payload byte is
     altered; 04 to 07: it lacks the record; 08 to 0b: the first lacks it.
     """
-    mark = F.substring(F.md5(F.coalesce(F.col("record_id").cast("string"), F.lit(""))), 1, 2)
-    marked = records.withColumn("mark", mark)
-    first = marked.filter(~F.col("mark").between("08", "0b")).drop("mark")
-    second = marked.filter(~F.col("mark").between("04", "07"))
-    second = second.withColumn("record", F.when(
-        F.col("mark").between("00", "03"),
-        F.concat(F.expr("left(record, char_length(record) - 1)"), F.lit("\t"))).otherwise(F.col("record")))
-    return first, second.drop("mark")
+    mark = lambda c: F.substring(F.md5(F.coalesce(c.cast("string"), F.lit(""))), 1, 2)
+    whole = warc_bytes(F.col("page_id"), F.col("url"), F.col("html"))
+    altered = F.when(mark(F.col("page_id")).between("00", "03"),
+                     F.concat(F.substr(whole, F.lit(1), F.char_length(whole) - 1), F.lit("\t"))).otherwise(whole)
+    hashed = record_digests(pages, "page_id", ("first", whole), ("second", altered))
+    index, path = store(with_offsets(hashed, "first").withColumn("mark", mark(F.col("record_id"))), "archive")
+    columns = ["segment", "offset", "length", "record_id"]
+    return (index.filter(~F.col("mark").between("08", "0b")).select(*columns, F.col("first").alias("digest")),
+            index.filter(~F.col("mark").between("04", "07")).select(*columns, F.col("second").alias("digest")),
+            path)
 
 
 def query(spark, sf_dir) -> DataFrame:
@@ -166,8 +181,8 @@ def query(spark, sf_dir) -> DataFrame:
     from wayfarer.session import read_table
 
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    records, path = store(archive(pages), "archive")
-    result = audit(*degraded(records))
+    first, second, path = replicas(pages)
+    result = audit(first, second)
     drop(spark, path)
     return result
 
@@ -182,7 +197,8 @@ WITH d AS (
     || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
   FROM pages),
 r AS (
-  SELECT coalesce(CAST(floor(record_id / {SEGMENT_IDS}) AS BIGINT), -1) AS segment, record_id,
+  SELECT coalesce(CAST(floor(record_id / {SEGMENT_IDS}) AS BIGINT),
+      -1 - CAST('0x' || substr(sha256(record), 1, 4) AS BIGINT)) AS segment, record_id,
     CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS digest FROM d),
 o AS (
   SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY segment ORDER BY record_id, digest
