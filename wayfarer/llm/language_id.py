@@ -139,9 +139,13 @@ def training_windows(docs: DataFrame, text: str, lang: str, ident: str, per_lang
     """
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(ident).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    counts = labelled.groupBy("l").agg(F.count("*").alias("n"))
+    names = labelled.select("i", "l")
+    counts = names.groupBy("l").agg(F.count("*").alias("n"))
     u = (F.xxhash64(F.lit("language"), "i") / 2.0 ** 63 + 1) / 2
-    rows = labelled.join(counts, "l").filter(u * F.col("n") < per_language)
+    chosen = names.join(counts, "l").filter(u * F.col("n") < per_language).select("i", "l").distinct()
+    # About per_language ids a language; the texts stay where they are read.
+    rows = labelled.join(F.broadcast(chosen), (labelled["i"].eqNullSafe(chosen["i"]))
+                         & (labelled["l"] == chosen["l"]), "left_semi")
 
     def run(batches):
         for batch in batches:
