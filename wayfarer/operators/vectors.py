@@ -97,9 +97,14 @@ def principal_axes(weights: DataFrame, n: int, k: int, scratch: Scratch) -> tupl
     if k == 0:
         return stats.withColumn("v", F.array().cast("array<double>")), np.zeros(0)
     width = min(k + OVERSAMPLE, labels)
-    axes = stats.withColumn("v", F.array(*[F.xxhash64("label", F.lit(i)) / float(1 << 63) for i in range(width)]))
-    offset, = _summary(axes, width, "v")
-    first = True
+    if width == labels:  # the labels themselves span everything: one product is enough
+        unit = stats.orderBy("label").collect()
+        axes = stats.withColumn("v", F.array(*[(F.col("label") == r["label"]).cast("double") for r in unit]))
+        offset, orthonormal = np.array([r["mean"] * r["scale"] for r in unit]), True
+    else:
+        start = F.array(*[F.xxhash64("label", F.lit(i)) / float(1 << 63) for i in range(width)])
+        axes, orthonormal = stats.withColumn("v", start), False
+        offset, = _summary(axes, width, "v")
     while True:
         rows = _project(weights, axes, offset)
         raised = weights.join(rows, "id").withColumn(
@@ -111,14 +116,14 @@ def principal_axes(weights: DataFrame, n: int, k: int, scratch: Scratch) -> tupl
             "z", F.transform(F.coalesce("r", F.array(*[F.lit(0.0)] * width)), lambda x: x * share))
         moved = scratch(moved.select("label", "mean", "scale", "v", "z"), "axes")
         offset, gram, ritz, raised_offset = _summary(moved, width, "v", "z")
-        if not first:
+        if orthonormal:
             values, vectors = np.linalg.eigh((ritz + ritz.T) / 2)
             order = np.argsort(values)[::-1][:k]
             values, vectors = values[order], vectors[:, order]
             residual = np.einsum("ik,ij,jk->k", vectors, gram, vectors) - values ** 2
             if np.sqrt(np.maximum(residual, 0)).max() <= TOLERANCE * max(values.max(), 1e-300):
                 return _signed(moved.withColumn("v", _times("v", vectors)), offset @ vectors, scratch)
-        first = False
+        orthonormal = True
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         usable = values > values.max() * 1e-13
         turn = vectors[:, usable] / np.sqrt(values[usable])
