@@ -242,14 +242,16 @@ def fit(measured: DataFrame, lang: str, source: str, stats: str, *, min_group: i
 def judge(measured: DataFrame, model: DataFrame, lang: str, source: str, stats: str, out: str, *,
           cutoff: float = CUTOFF) -> DataFrame:
     """Adds struct ``out``: distance2 (null without an estimate), base_failed, kept."""
-    keys = fresh(measured, "_k0", "_k1", "_k2")
-    slots = fresh([*measured.columns, *keys], "_m0", "_m1", "_m2")
+    keys = fresh(measured, "_k0", "_k1")
+    slots = fresh([*measured.columns, *keys], "_m0", "_m1")
     df = measured.withColumns(dict(zip(keys, _keys(F.col(lang), F.col(source)))))
     for key, slot in zip(keys, slots):
         side = model.select(F.col("_key").alias(f"{slot}_key"), F.struct("mean", "inverse").alias(slot))
         df = df.join(side, F.col(key) == F.col(f"{slot}_key"), "left").drop(f"{slot}_key")
+    pooled = model.filter(F.col("_key") == _keys(F.lit(None), F.lit(None))[2]).select(
+        F.struct("mean", "inverse")).scalar()  # the one row over all documents
     chosen = fresh(df, "_model")[0]
-    df = df.withColumn(chosen, F.coalesce(*[F.col(s) for s in slots]))
+    df = df.withColumn(chosen, F.coalesce(*[F.col(s) for s in slots], pooled))
     x = F.col(stats)
     failed = (x["n_words"] < MIN_WORDS) | (x["n_repeat_words"] * 100 > x["n_words"] * MAX_REPEAT_PERCENT)
     distance = F.when(x["n_words"] > 0, _squared_distance(stats, chosen))
