@@ -251,8 +251,10 @@ def repeated_ranges(rows: DataFrame, *, window: int = WINDOW, gram: int = GRAM,
     found, found_path = store(anchored_runs(rows, window, gram), "runs")
     often = found.groupBy("key").agg(F.count("*").alias("n"), F.max("again").alias("again")).filter(
         "n > 1 or again").select("key")
+    # Stored, so that the join has an exchange of its own and can split a hot key.
+    often, often_path = store(often, "repeated-keys")
     shared, shared_path = store(found.join(often, "key"), "shared-runs")
-    drop(spark, found_path)
+    drop(spark, found_path, often_path)
     released(spark)
 
     distinct = shared.groupBy("key", "content").agg(
@@ -260,6 +262,7 @@ def repeated_ranges(rows: DataFrame, *, window: int = WINDOW, gram: int = GRAM,
     distinct, distinct_path = store(distinct.select("key", "content", "m", "one.*"), "distinct-runs")
     several = distinct.groupBy("key").agg(F.count("*").alias("d"), F.max("again").alias("again")).filter(
         "d > 1 or again").select("key")
+    several, several_path = store(several, "mixed-keys")
     wanted = distinct.join(several, "key").select(
         F.col("key").alias("node"), F.col("content").alias("item"), "m", "uid", "start", "length", "anchor")
     entries, entries_path = store(cut_runs(wanted, rows), "entries")
@@ -267,7 +270,7 @@ def repeated_ranges(rows: DataFrame, *, window: int = WINDOW, gram: int = GRAM,
     # Marks within runs: (key, content, a, b).
     marks = [distinct.filter("m > 1").select("key", "content", F.lit(0).alias("a"),
                                              F.col("length").alias("b"))]
-    paths = [shared_path, distinct_path, entries_path]
+    paths = [shared_path, distinct_path, several_path, entries_path]
     place = None  # from (node, item) to (key, content, base); None: they are the same
     for span in (*SPANS, None):
         sizes = entries.groupBy("node").agg(F.count("*").alias("d"))
