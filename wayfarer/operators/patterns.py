@@ -89,8 +89,8 @@ def containment_pairs(sequences: DataFrame, patterns: DataFrame, id_col: str = "
 
     Candidates come from an equi join on the pattern's first two items against
     the ordered item pairs of each sequence (single-item patterns join on the
-    item).  That join carries ids only; sequences and patterns are joined back
-    to the candidates for the exact in-order test.  No pattern is ever paired
+    item).  That join carries a sequence's id only; sequences are joined back to
+    the candidates for the exact in-order test.  No pattern is ever paired
     with a sequence that lacks its first two items in order.
     """
     key = pat_id or pat_col
@@ -98,11 +98,11 @@ def containment_pairs(sequences: DataFrame, patterns: DataFrame, id_col: str = "
     seqs = sequences.select(F.col(id_col).alias("_id"), F.col(seq_col).alias("_s"))
 
     long_p = pats.filter(F.size("_p") >= 2).select(
-        "_pk", F.get("_p", 0).alias("a"), F.get("_p", 1).alias("b"))
+        "_pk", "_p", F.get("_p", 0).alias("a"), F.get("_p", 1).alias("b"))
     pairs = seqs.select("_id", F.explode(_ordered_pairs("_s")).alias("ab")) \
         .select("_id", "ab.a", "ab.b")
-    hits_long = (pairs.join(long_p, ["a", "b"]).select("_id", "_pk")
-                 .join(pats, "_pk").join(seqs, "_id")
+    hits_long = (pairs.join(long_p, ["a", "b"]).select("_id", "_pk", "_p")
+                 .join(seqs, "_id")
                  .filter(contains_in_order("_s", "_p"))
                  .select("_id", "_pk"))
 
