@@ -39,8 +39,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_stage
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id."""
-    return minhash_dedup.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates (similarity 0.8 or more), that of the smallest id."""
+    return minhash_dedup.drop_near_duplicates(docs, percent=80)
 
 
 @_stage

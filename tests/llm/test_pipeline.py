@@ -69,3 +69,22 @@ def test_suffix_stage_keeps_all_rows(spark, documents):
 @pytest.mark.parametrize("name", ["op1_url_filters", "op9_mixing"])
 def test_queries_read_the_tables(spark, name):
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_near_dedup_stage_links_from_80_percent(spark, monkeypatch):
+    """Pairs of 0.8165 are one in the stage, pairs of 0.796 two; op7 has its own bound of 0.85."""
+    rows = []
+    for k, changes in enumerate((8, 9)):
+        words = [f"w{k}x{i}" for i in range(400)]
+        changed = list(words)
+        for j in range(changes):
+            changed[20 + 12 * j] = f"c{k}x{j}"
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(changed))]
+    sets = [brute.shingles(t) for _, t in rows]
+    share = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in (0, 2)]
+    assert 0.80 < share[0] < 0.85 and share[1] < 0.80
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 10, 11]
+    monkeypatch.setattr("wayfarer.session.read_table", lambda *_: docs)
+    assert all(r["kept"] for r in registry.QUERIES["op7_minhash_dedup"](spark, "").collect())

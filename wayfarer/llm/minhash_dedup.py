@@ -1,6 +1,6 @@
 """MinHash near-dedup with b-bit signatures.
 
-A document is the set of its distinct five-word shingles.  ``BANDS`` x ``ROWS``
+A document is the set of its distinct five-word shingles.  ``bands`` x ``ROWS``
 minima give band keys; of each minimum only the low ``BITS`` bits are retained,
 packed into one signature.  Documents of equal sets are one class.  Candidates
 are classes that share a band key; their similarity is estimated from the bit
@@ -13,9 +13,9 @@ the smallest members of its other buckets, as far as they lie in another
 component, and only buckets that still hold several components are searched
 further: their signatures are compared in blocks, and where an estimate allows it
 the full sets, until a member has a link into the component.  In the end every
-candidate pair is either inside one component or was rejected.  At the bound a
-pair shares no band with probability (1 - 0.85^6)^32, about 3e-7, and the
-estimate's slack is six standard errors.
+candidate pair is either inside one component or was rejected.  At the bound of
+80 percent a pair shares no band with probability (1 - 0.80^6)^48, about 5e-7 (op7:
+(1 - 0.85^6)^32, about 3e-7), and the estimate's slack is six standard errors.
 
 Defined results: null and empty texts, or texts without words, have an empty set
 and link with nothing; fewer than five words make one shingle of them all; rows
@@ -35,10 +35,13 @@ from wayfarer.llm.tables import drop, store
 from wayfarer.llm.text_arrays import Hasher, flat, lower_ascii, mix, pieces, windows, words
 
 SHINGLE = 5
-BANDS, ROWS, BITS = 32, 6, 4
+#: Bands for PERCENT; a multiple of eight, so that signatures are whole words.
+BANDS, ROWS, BITS = 48, 6, 4
 HASHES = BANDS * ROWS
 #: A link needs 100 * intersection >= PERCENT * union.
-PERCENT = 85
+PERCENT = 80
+#: op7's contract has a bound of its own, for which fewer bands do.
+OP7 = {"percent": 85, "bands": 32}
 ERRORS = 6.0
 BLOCK = 512
 #: Members confirmed against one copy of a leader's text.
@@ -70,15 +73,15 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
-def permutations(seed: int = 7):
+def permutations(seed: int = 7, hashes: int = HASHES):
     rng = np.random.default_rng(seed)
-    return (rng.integers(0, 1 << 31, HASHES).astype(np.uint32) * np.uint32(2) + np.uint32(1),
-            rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32))
+    return (rng.integers(0, 1 << 31, hashes).astype(np.uint32) * np.uint32(2) + np.uint32(1),
+            rng.integers(0, 1 << 32, hashes, dtype=np.uint64).astype(np.uint32))
 
 
 def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    best = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    best = np.full(len(a), 0xFFFFFFFF, np.uint32)
     for lo in range(0, len(x), 1024):
         h = x[lo:lo + 1024, None] * a
         h += b
@@ -87,9 +90,9 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def band_keys(m: np.ndarray) -> np.ndarray:
-    """(documents, BANDS) keys of (documents, HASHES) minima."""
-    part = m.reshape(-1, BANDS, ROWS).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), part.shape[:2]).copy()
+    """(documents, bands) keys of (documents, bands x ROWS) minima."""
+    part = m.reshape(len(m), -1, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, part.shape[1] + 1, dtype=np.uint64), part.shape[:2]).copy()
     for r in range(ROWS):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + part[:, :, r])
     return key.view(np.int64)
@@ -106,23 +109,23 @@ def agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     differ |= differ >> np.uint64(1)
     differ |= differ >> np.uint64(2)
     differ &= np.uint64(0x1111111111111111)
-    same = 1.0 - np.bitwise_count(differ).sum(axis=-1) / HASHES
+    same = 1.0 - np.bitwise_count(differ).sum(axis=-1) / (one.shape[-1] * 64 // BITS)
     chance = 2.0 ** -BITS
     return (same - chance) / (1 - chance)
 
 
-def lowest_estimate(percent: int) -> float:
+def lowest_estimate(percent: int, bands: int) -> float:
     j = percent / 100
-    return j - ERRORS * float(np.sqrt(j * (1 - j) / HASHES)) / (1 - 2.0 ** -BITS)
+    return j - ERRORS * float(np.sqrt(j * (1 - j) / (bands * ROWS))) / (1 - 2.0 ** -BITS)
 
 
 SIGNED = "doc_id long, n long, a long, b long, sig binary, bands array<long>"
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def signatures(docs: DataFrame, doc_id: str, text: str, bands: int = BANDS) -> DataFrame:
     """(doc_id, set size, 128-bit set digest, packed signature, band keys)."""
     def run(batches):
-        hasher, (mul, add) = Hasher(7), permutations()
+        hasher, (mul, add) = Hasher(7), permutations(hashes=bands * ROWS)
         for batch in batches:
             data, offsets = flat(batch.column(1))
             ids = batch.column(0)
@@ -137,16 +140,16 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, len(sets)).cast(pa.int64()), pa.array(n), pa.array(one), pa.array(two),
                      pa.array([r.tobytes() for r in pack(m)], pa.binary()),
-                     pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS,
+                     pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * bands,
                                               pa.array(keys.reshape(-1)))],
                     ["doc_id", "n", "a", "b", "sig", "bands"])
 
     return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, SIGNED)
 
 
-def plausible(pairs: DataFrame, percent: int) -> DataFrame:
+def plausible(pairs: DataFrame, percent: int, bands: int) -> DataFrame:
     """Pairs (x, xa, y, ya) whose packed signatures allow the bound; drops the signatures."""
-    least = lowest_estimate(percent)
+    least = lowest_estimate(percent, bands)
 
     def run(batches):
         for batch in batches:
@@ -274,7 +277,7 @@ def reaches(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(one) + len(two) - both)
 
 
-def across(members: DataFrame, percent: int) -> DataFrame:
+def across(members: DataFrame, percent: int, bands: int) -> DataFrame:
     """Links (x, y) between components that share a bucket.
 
     ``members`` has band, key, rep, a, n, component, sig, bands and the
@@ -282,7 +285,7 @@ def across(members: DataFrame, percent: int) -> DataFrame:
     members stream past each block.  Pairs whose sizes and signatures allow the
     bound are confirmed on the full sets where they meet; only links leave.
     """
-    least = lowest_estimate(percent)
+    least = lowest_estimate(percent, bands)
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     sized = members.join(sizes, "key")
     entries = sized.withColumn("block", F.pmod(F.xxhash64("rep", "a"), F.col("blocks")).cast("int")) \
@@ -325,10 +328,15 @@ def across(members: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
-                    percent: int = PERCENT) -> tuple[DataFrame, str]:
-    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``, and its path."""
+                    percent: int = PERCENT, bands: int = BANDS) -> tuple[DataFrame, str]:
+    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``, and its path.
+
+    A lower ``percent`` than the default needs more ``bands``.
+    """
+    if bands % 8:
+        raise ValueError("bands must be a multiple of eight")
     spark = docs.sparkSession
-    signed, signed_path = store(signatures(docs, doc_id, text), "signatures")
+    signed, signed_path = store(signatures(docs, doc_id, text, bands), "signatures")
     worded = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = worded.groupBy("a", "b").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"),
@@ -360,7 +368,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Those pairs whose signatures allow the bound, stored."""
-        pairs, path = store(plausible(with_sig(pairs), percent), "pairs")
+        pairs, path = store(plausible(with_sig(pairs), percent, bands), "pairs")
         paths.append(path)
         return pairs
 
@@ -388,7 +396,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     settle(confirm(likely(apart), texts, percent))
     # 3. Whatever else shares a bucket that still holds several components.
     settle(across(still_open().join(classes.select("rep", "a", "n", "sig", "bands"), ["rep", "a"]).join(
-        texts, ["rep", "a"]), percent))
+        texts, ["rep", "a"]), percent, bands))
 
     per_class = classes.select("a", "b", "rep").join(
         member.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
@@ -417,4 +425,4 @@ def query(spark, sf_dir) -> DataFrame:
     from wayfarer.session import read_table
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_duplicates(docs)[0]
+    return near_duplicates(docs, **OP7)[0]
