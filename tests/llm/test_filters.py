@@ -154,3 +154,19 @@ def test_quality_rules_with_clashing_names_and_empty_tables(spark):
     assert got.columns[-2:] == ["_quality_stats", "quality_verdict"] and got.count() == 1
     assert quality_rules.quality_filter(df.limit(0)).columns == df.columns
     assert quality_rules.quality_filter(df.limit(0)).count() == 0
+
+
+def test_moderate_junk_in_a_clean_source_is_rejected(spark):
+    """30% digits, or a quarter of the lines repeated: the base rules pass both, the distance must not."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(2, 9)))
+    page = lambda n: [" ".join(word() for _ in range(6)) for _ in range(n)]
+    clean = ["\n".join(page(int(rng.integers(9, 60)))) for _ in range(120)]
+    digits = ["\n".join(" ".join(w if rng.random() < 0.7 else "7" * len(w) for w in line.split())
+                        for line in page(24)) for _ in range(3)]
+    lines = ["\n".join(x + x[:6]) for x in (page(18) for _ in range(3))]
+    rows = [(i, t, "en", "s") for i, t in enumerate(clean + digits + lines)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    judged = {r["doc_id"]: r["quality_verdict"] for r in quality_rules.quality_verdicts(df).collect()}
+    assert not any(v["base_failed"] for v in judged.values())
+    assert {i for i, v in judged.items() if v["kept"]} == set(range(120))

@@ -29,15 +29,16 @@ from wayfarer.llm.tables import drop, fresh, store
 from wayfarer.llm.text_arrays import (Hasher, IS_SEPARATOR, flat, per_doc, pieces, windows, words)
 
 BASE_COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-STATISTICS = ["word_length", "symbols", "capitals", "marks", "digits", "repeats"]
+STATISTICS = ["word_length", "symbols", "capitals", "marks", "digits", "repeats", "dup_lines"]
 DIMENSIONS = len(STATISTICS)
 
-#: Spread that each statistic is granted at least, on its transformed scale: what
-#: ordinary prose of any length shows.  It also keeps constant statistics finite.
-FLOOR = (0.10, 0.04, 0.06, 0.06, 0.09, 0.10)
-#: Squared distance at which a document is an outlier: six dimensions' chi-square
-#: quantile of about 1 - 1e-9, so that ordinary documents are left alone.
-CUTOFF = 56.0
+#: Spread that each statistic is granted at least, on its transformed scale: the
+#: counting noise of the shortest documents.  It keeps constant statistics finite; in
+#: a source without any, a tenth of digits or one line in four repeated is too much.
+FLOOR = (0.05, 0.03, 0.03, 0.03, 0.05, 0.08, 0.08)
+#: Squared distance at which a document is an outlier: seven dimensions' chi-square
+#: quantile of 1 - 1e-6, so one ordinary document in a million is rejected.
+CUTOFF = 40.52
 MIN_GROUP = 50
 STEPS = 5
 BINS_PER_OCTAVE = 8
@@ -58,7 +59,7 @@ MARKS = _table("!?;:=+/\\~^_{}[]@")
 
 
 def measure(data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
-    """Base counts (documents x 5, long) and statistics (documents x 6) of a piece."""
+    """Base counts (documents x 5, long) and statistics (documents x 7) of a piece."""
     n = len(offsets) - 1
     starts, ends, doc = words(data, offsets)
     n_words = np.bincount(doc, minlength=n)
@@ -77,7 +78,8 @@ def measure(data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> tuple[np.n
     np.cumsum(inside, out=worded[1:])
     has_word = worded[line_ends] > worded[line_starts]
     line_doc, line_hash = line_doc[has_word], hasher.ranges(prefix, line_starts, line_ends)[has_word]
-    dup_lines = np.bincount(line_doc, minlength=n)
+    n_lines = np.bincount(line_doc, minlength=n)
+    dup_lines = n_lines
     if len(line_doc):
         order = np.lexsort((line_hash, line_doc))
         new = np.ones(len(order), bool)
@@ -102,7 +104,8 @@ def measure(data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> tuple[np.n
     share = lambda table: np.sqrt(per_doc(table[data], offsets) / size)
     stats = np.stack([np.log(size / np.maximum(n_words, 1)), np.sqrt(symbols / size),
                       share(CAPITALS), share(MARKS), share(DIGITS),
-                      np.sqrt(repeated / np.maximum(n_words, 1))], axis=1)
+                      np.sqrt(repeated / np.maximum(n_words, 1)),
+                      np.sqrt(dup_lines / np.maximum(n_lines, 1))], axis=1)
     return base, np.round(stats, 6)
 
 
