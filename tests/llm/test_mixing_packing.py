@@ -77,6 +77,19 @@ def test_mixing_nulls_repeats_and_empty_tables(spark):
     assert mixing.mix_sources(df, weights={}, default_weight=0.0).count() == 0
 
 
+def test_rows_of_null_and_repeated_ids_draw_one_by_one(spark):
+    """A third of the rows without an id, a third under one id: weights hold and the keys spread."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "ab"[i % 2], f"t{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    got = mixing.mix_sources(df, weights={"a": 1.0, "b": 3.0}).collect()
+    for ident in (None, 7):
+        for source, want in (("a", 250), ("b", 750)):
+            some = [r for r in got if r["doc_id"] == ident and r["source"] == source]
+            assert abs(len(some) - want) < 150
+            assert len({r["n_copies"] for r in some}) > 1
+            assert len({r["shuffle_key"] for r in some}) == len(some)
+
+
 def test_mixing_plan_is_native(spark):
     df = spark.createDataFrame([(1, "s", "t")], "doc_id long, source string, text string")
     plan = mixing.mix_sources(df)._jdf.queryExecution().toString()

@@ -4,18 +4,20 @@ A source's mean repetition rate is its share of the target weights times all
 documents, over its own documents.  Each document draws a uniform number from a
 hash of its id and inverts its source's Poisson distribution with it, is
 exploded by that count and dealt out by a hash of (id, copy), sorted inside each
-partition: a global shuffle that every run repeats exactly.  All of it is
-DataFrame functions; the only aggregation is a count per source.
+partition: a global shuffle that every run repeats exactly.  Where the id is null
+or several rows have it, the row's own hash goes with it, so that such rows draw
+and are dealt out one by one.  All of it is DataFrame functions; the only
+aggregations are counts per source and id.
 
 Rates above ``SPLIT`` are drawn as sums of equal parts, since a Poisson
 distribution is the sum of independent ones and exp(-rate) would underflow.
 
 Defined results: sources without a weight, and null ones, have
 ``default_weight``; weights are relative among the sources present; weight 0
-removes a source, and if no source has weight nothing is left.  Documents of one
-id and source draw the same count (null ids draw as one id); text plays no part,
-so null and empty texts are mixed like any other.  An empty table gives an empty
-result.
+removes a source, and if no source has weight nothing is left.  Rows that are
+equal in every column draw the same count; text plays no other part, so null and
+empty texts are mixed like any other.  ``ORACLE_SQL`` draws by id alone and so
+holds for tables of distinct ids.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfarer.llm.tables import fresh
+from wayfarer.llm.tables import fresh, store
 
 #: Production weights: the large crawl is held down, two curated sources are raised.
 WEIGHTS = {"src0": 2.0, "src1": 3.0, "src2": 3.0}
@@ -63,6 +65,21 @@ def uniform(*parts):
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(16 ** 13)
 
 
+def with_identity(docs: DataFrame, doc_id: str, out: str) -> DataFrame:
+    """``docs`` and a string ``out``: the id, with the row's hash where the id is null or repeated."""
+    found, times = fresh([*docs.columns, out], "_id", "_times")
+    # Stored, so that its size is known: few repeated ids are broadcast, and no text moves for them.
+    repeated, _ = store(docs.select(F.col(doc_id).alias(found)).filter(F.col(found).isNotNull())
+                        .groupBy(found).agg(F.count("*").alias(times)).filter(F.col(times) > 1), "repeated-ids")
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    row = F.xxhash64(*[x for c in hashed for x in (F.col(c).isNull(), F.col(c))])
+    ident = F.col(doc_id).cast("string")
+    alone = F.col(doc_id).isNotNull() & F.col(times).isNull()
+    return docs.join(repeated, F.col(doc_id) == F.col(found), "left").withColumn(
+        out, F.when(alone, ident).otherwise(F.concat_ws("#", F.coalesce(ident, F.lit("-")), row))).drop(
+        found, times)
+
+
 def mix_sources(docs: DataFrame, *, weights: dict[str, float] | None = None,
                 default_weight: float = DEFAULT_WEIGHT, seed: int = SEED, doc_id: str = "doc_id",
                 source: str = "source") -> DataFrame:
@@ -73,11 +90,12 @@ def mix_sources(docs: DataFrame, *, weights: dict[str, float] | None = None,
     """
     weights = WEIGHTS if weights is None else weights
     n_copies, copy, key = fresh(docs, "n_copies", "copy", "shuffle_key")
-    s, rate, draws, cdf = fresh([*docs.columns, n_copies, copy, key], "_s_", "_rate", "_draws", "_cdf")
+    s, rate, draws, cdf, own = fresh([*docs.columns, n_copies, copy, key],
+                                     "_s_", "_rate", "_draws", "_cdf", "_own")
     table = rates(docs.select(F.col(source).alias("v")), "v", weights, default_weight).toDF(
         s, rate, draws, cdf)
-    joined = docs.join(table, F.col(source).eqNullSafe(F.col(s)))
-    ident = F.col(doc_id)
+    joined = with_identity(docs, doc_id, own).join(table, F.col(source).eqNullSafe(F.col(s)))
+    ident = F.col(own)
     count = F.aggregate(
         F.sequence(F.lit(1), F.col(draws)), F.lit(0),
         lambda acc, j: acc + F.size(F.filter(
@@ -85,9 +103,8 @@ def mix_sources(docs: DataFrame, *, weights: dict[str, float] | None = None,
     copies = (joined.withColumn(n_copies, count.cast("int")).drop(s, rate, draws, cdf)
               .filter(F.col(n_copies) > 0)
               .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n_copies)))))
-    text = F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(ident.cast("string"), F.lit("-")),
-                       F.col(copy).cast("string"))
-    return copies.withColumn(key, F.md5(text)).repartition(F.col(key)).sortWithinPartitions(key)
+    text = F.concat_ws("|", F.lit(f"order{seed}"), ident, F.col(copy).cast("string"))
+    return copies.withColumn(key, F.md5(text)).drop(own).repartition(F.col(key)).sortWithinPartitions(key)
 
 
 def query(spark, sf_dir) -> DataFrame:
