@@ -132,3 +132,27 @@ def test_count_containing(spark):
                                "activity_list array<string>")
     assert count_containing(df, ["a", "b"]).first()["count"] == 2
     assert count_containing(df, []).first()["count"] == 3
+
+
+def test_representatives_see_every_distinct_text(spark):
+    """Many rows of the text nearest the centroid are one candidate; all others reach MMR."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(5)
+    vecs = {f"t{i:02}": rng.normal(size=3) + [4.0, 0.0, 0.0] for i in range(40)}
+    vecs["many"] = np.array([4.0, 0.0, 0.0])
+    rows = [(0, "many", Vectors.dense(vecs["many"]))] * 30
+    rows += [(0, d, Vectors.dense(v)) for d, v in vecs.items() if d != "many"]
+    rows += [(1, "only", Vectors.dense([0.0, 1.0, 0.0]))] * 12
+    df = spark.createDataFrame(rows, ["topic", "doc", "embedding"])
+    got = {r.topic: r.representative_docs for r in topics.representative_docs(df).collect()}
+
+    unit = {d: v / np.linalg.norm(v) for d, v in vecs.items()}
+    centre = sum(unit[d] * (30 if d == "many" else 1) for d in unit) / (len(rows) - 12)
+    want = []
+    for _ in range(3):
+        score = {d: (0.5 if want else 1.0) * u @ centre - 0.5 * max([u @ unit[w] for w in want], default=0.0)
+                 for d, u in unit.items() if d not in want}
+        want.append(max(sorted(score), key=score.get))
+    assert got == {0: want, 1: ["only"]}

@@ -6,7 +6,6 @@ import itertools
 import math
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfarer.session import materialize
+from wayfarer.storage import Scratch
 
 # The embedding instruction and the labelling prompt template.
 INSTRUCTION = "Represent the intent of the user journey for users of a website"
@@ -98,30 +98,14 @@ def class_tfidf(docs: DataFrame, class_col: str = "topic", text_col: str = "text
                     "weight", F.col("rank").cast("int").alias("rank")))
 
 
-def _mmr(pdf: pd.DataFrame, n_docs: int, diversity: float) -> pd.DataFrame:
-    """Maximal marginal relevance over one topic's candidates (bounded rows)."""
-    # Fixed candidate order, so ties resolve the same whatever the row arrival.
-    pdf = pdf.sort_values(["_sim", "doc"], ascending=[False, True]).reset_index(drop=True)
-    vecs = np.stack(pdf["_v"].to_numpy())
-    rel = pdf["_sim"].to_numpy()
-    chosen = [int(np.argmax(rel))]
-    while len(chosen) < min(n_docs, len(pdf)):
-        rest = [i for i in range(len(pdf)) if i not in chosen]
-        red = np.max(vecs[rest] @ vecs[chosen].T, axis=1)
-        mmr = (1 - diversity) * rel[rest] - diversity * red
-        chosen.append(rest[int(np.argmax(mmr))])
-    out = pdf.iloc[chosen][["topic", "doc"]].copy()
-    out["pick"] = np.arange(len(chosen), dtype=np.int32)
-    return out
-
-
 def representative_docs(assigned: DataFrame, vec_col: str = "embedding", doc_col: str = "doc",
-                        n_docs: int = 3, candidates: int = 10,
-                        diversity: float = 0.5) -> DataFrame:
-    """Per topic: ``n_docs`` documents close to the centroid, re-ranked by MMR.
+                        n_docs: int = 3, diversity: float = 0.5) -> DataFrame:
+    """Per topic: ``n_docs`` distinct documents close to the centroid, chosen by MMR.
 
-    Cosine to the topic mean picks at most ``candidates`` per topic (a top-N
-    per key, limited before the shuffle), then MMR runs per topic in pandas.
+    Rows of one text are one candidate (the row closest to the topic mean stands
+    for them).  Each pick is a distributed argmax over all of a topic's texts: the
+    first by cosine to the mean, the next by maximal marginal relevance against
+    those before.  Ties go to the closer text, then to the smaller one.
     """
     unit = Normalizer(inputCol=vec_col, outputCol="_u", p=2.0).transform(
         assigned.select("topic", F.col(doc_col).alias("doc"), vec_col))
@@ -129,18 +113,32 @@ def representative_docs(assigned: DataFrame, vec_col: str = "embedding", doc_col
     sims = (unit.join(cen, "topic")
             .select("topic", "doc", vector_to_array("_u", "float64").alias("_v"),
                     vector_to_array("_c", "float64").alias("_c")))
-    sims = sims.withColumn(
-        "_sim", F.aggregate(F.zip_with("_v", "_c", lambda x, y: x * y), F.lit(0.0),
-                            lambda s, x: s + x))
-    top = Window.partitionBy("topic").orderBy(F.col("_sim").desc(), F.col("doc").asc())
-    cand = sims.withColumn("_r", F.row_number().over(top)).filter(F.col("_r") <= candidates) \
-        .select("topic", "doc", "_v", "_sim")
-    t_type = dict(cand.dtypes)["topic"]
-    picked = cand.groupBy("topic").applyInPandas(
-        lambda pdf: _mmr(pdf, n_docs, diversity), f"topic {t_type}, doc string, pick int")
-    return picked.groupBy("topic").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pick", "doc"))),
-                    lambda x: x["doc"]).alias("representative_docs"))
+
+    def dot(x, y):
+        return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
+
+    scratch = Scratch(assigned.sparkSession)
+    texts = scratch(sims.withColumn("_sim", dot(F.col("_v"), F.col("_c"))).groupBy("topic", "doc").agg(
+        F.max(F.struct("_sim", "_v")).alias("_near")).select("topic", "doc", "_near.*"), "texts")
+
+    def best(rows: DataFrame, score) -> DataFrame:
+        return rows.groupBy("topic").agg(
+            F.min(F.struct((-score).alias("_s"), (-F.col("_sim")).alias("_n"), "doc", "_v")).alias("_best"))
+
+    picked = scratch(best(texts, F.col("_sim")).select(
+        "topic", F.array("_best.doc").alias("docs"), F.array("_best._v").alias("vecs")), "picks")
+    for _ in range(n_docs - 1):
+        rest = texts.join(picked, "topic").filter(~F.exists("docs", lambda d: d.eqNullSafe(F.col("doc"))))
+        closest = F.array_max(F.transform("vecs", lambda v: dot(F.col("_v"), v)))
+        newer = best(rest, (1 - diversity) * F.col("_sim") - diversity * closest)
+        # A topic of fewer texts keeps those it has.
+        more = lambda old, new: F.when(F.col("_best").isNull(), F.col(old)).otherwise(
+            F.concat(old, F.array(new))).alias(old)
+        picked = scratch(picked.join(newer, "topic", "left").select(
+            "topic", more("docs", "_best.doc"), more("vecs", "_best._v")), "picks")
+    out = materialize(picked.select("topic", F.col("docs").alias("representative_docs")), "representatives")
+    scratch.close()
+    return out
 
 
 def render_prompts(info: DataFrame, template: str = PROMPT) -> DataFrame:

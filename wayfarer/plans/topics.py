@@ -24,11 +24,14 @@ def journey_topics(journeys: DataFrame, min_topic_size: int = 100, id_col: str =
                    text_col: str = "activity_list_text", embedder=None,
                    instruction: str = topics.INSTRUCTION, labeler=None, k: int = 5,
                    cell_size: float | None = None, n_keywords: int = 10,
-                   reduce_threshold: float | None = 0.9) -> TopicResult:
+                   reduce_threshold: float | None = 0.9, n_docs: int = 3,
+                   diversity: float = 0.5) -> TopicResult:
     """Topics over journey texts; topic ids are ordered by size (0 = largest).
 
     ``reduce_threshold`` merges topics whose mean reduced vectors have at least
     that cosine (the automatic topic reduction); ``None`` keeps every topic.
+    ``n_docs`` distinct texts stand for a topic in ``info`` and its prompt, chosen
+    among all its texts with ``diversity`` (0 to 1) as the weight of their difference.
     """
     journeys = materialize(journeys.select(id_col, "activity_list", text_col))
     if embedder is None:
@@ -61,7 +64,7 @@ def journey_topics(journeys: DataFrame, min_topic_size: int = 100, id_col: str =
     # per row), so no row's embedding is ever densified.
     reps = topics.representative_docs(assigned.select("topic", "pca",
                                                       F.col(text_col).alias("doc")),
-                                      vec_col="pca")
+                                      vec_col="pca", n_docs=n_docs, diversity=diversity)
     counts = assigned.groupBy("topic").agg(F.count(F.lit(1)).alias("count"))
     info = (counts.join(kw_list, "topic", "left").join(reps, "topic", "left")
             .withColumn("name", F.concat_ws("_", F.col("topic").cast("string"),
