@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfarer.llm import (embedding_dedup, language_id, minhash_dedup,
+from wayfarer.llm import (embedding_dedup, language_id, lexical_search, minhash_dedup,
                           mixing, packing, quality_classifier, quality_rules, suffix_dedup,
                           url_filters, warc_audit)
 
@@ -17,10 +17,12 @@ QUERIES = {
     "op8_quality_rules": quality_rules.query,
     "op9_mixing": mixing.query,
     "op10_quality_classifier": quality_classifier.query,
+    "op12_lexical_search": lexical_search.query,
 }
 
 ORACLE_SQL = {
     "op1_url_filters": url_filters.ORACLE_SQL,
     "op2_warc_audit": warc_audit.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
+    "op12_lexical_search": lexical_search.ORACLE_SQL,
 }
