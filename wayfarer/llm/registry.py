@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from wayfarer.llm import (embedding_dedup, language_id, lexical_search, minhash_dedup,
                           mixing, packing, quality_classifier, quality_rules, suffix_dedup,
-                          url_filters, warc_audit)
+                          url_filters, warc_audit, word_runs)
 
 QUERIES = {
     "op1_url_filters": url_filters.query,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_mixing": mixing.query,
     "op10_quality_classifier": quality_classifier.query,
     "op12_lexical_search": lexical_search.query,
+    "op13_word_runs": word_runs.query,
 }
 
 ORACLE_SQL = {
