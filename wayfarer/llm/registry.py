@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfarer.llm import (embedding_dedup, language_id, lexical_search, minhash_dedup,
+from wayfarer.llm import (embedding_dedup, html_text, language_id, lexical_search, minhash_dedup,
                           mixing, packing, quality_classifier, quality_rules, suffix_dedup,
                           url_filters, warc_audit, word_runs)
 
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.query,
     "op9_mixing": mixing.query,
     "op10_quality_classifier": quality_classifier.query,
+    "op11_html_text": html_text.query,
     "op12_lexical_search": lexical_search.query,
     "op13_word_runs": word_runs.query,
 }
