@@ -243,9 +243,9 @@ def split_parts(entries: DataFrame, span: int, window: int, gram: int) -> DataFr
 
 def repeated_ranges(rows: DataFrame, *, window: int = WINDOW, gram: int = GRAM,
                     group: int = GROUP) -> tuple[DataFrame, str]:
-    """(uid, a, b): byte ranges of documents that repeat; together all of them.  And its path.
+    """(uid, ranges): byte ranges (a, b) of documents that repeat; together all of them.  And its path.
 
-    ``rows`` has uid and the compressed text z.
+    ``rows`` has uid and the compressed text z.  A row a run that holds a repeat.
     """
     spark = rows.sparkSession
     found, found_path = store(anchored_runs(rows, window, gram), "runs")
@@ -312,13 +312,30 @@ def repeated_ranges(rows: DataFrame, *, window: int = WINDOW, gram: int = GRAM,
     every = marks[0]
     for more in marks[1:]:
         every = every.unionByName(more)
-    result, path = store(shared.select("key", "content", "uid", "start").join(every, ["key", "content"]).select(
-        "uid", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b")), "repeats")
+    # One row a content, whatever levels marked it; stored, so that the join can split a hot one.
+    united, path = store(every.groupBy("key", "content").agg(
+        united_ranges(F.collect_set(F.struct("a", "b"))).alias("ranges")), "united-marks")
+    paths.append(path)
+    result, path = store(shared.select("key", "content", "uid", "start").join(united, ["key", "content"]).select(
+        "uid", F.transform("ranges", lambda r: F.struct(
+            (F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"]).alias("b"))).alias("ranges")), "repeats")
     drop(spark, *paths)
     released(spark)
     return result, path
 
 
+def united_ranges(ranges) -> F.Column:
+    """The maximal ranges that an array of (a, b) covers, in order; a run has at most as many as bytes."""
+    def take_in(done, r):
+        last = F.element_at(done, -1)
+        longer = F.struct(last["a"].alias("a"), F.greatest(last["b"], r["b"]).alias("b"))
+        return F.when(last["b"] < r["a"], F.concat(done, F.array(r))).otherwise(
+            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer)))
+
+    ordered = F.array_sort(ranges)
+    return F.aggregate(ordered, F.slice(ordered, 1, 1), take_in)
+
+
 def _placed(marks: DataFrame, place: DataFrame | None) -> DataFrame:
     """(key, content, a, b) of marks on (node, item)."""
     if place is None:
@@ -344,7 +361,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", keep_text: bool = Tru
     thin = rows.select(F.col(uid).alias("uid"), F.col(packed).alias("z"))
     ranges, ranges_path = repeated_ranges(thin, **settings)
     per_row = ranges.groupBy(F.col("uid").alias(other)).agg(
-        F.collect_list(F.struct("a", "b")).alias(covers))  # one document's ranges
+        F.flatten(F.collect_list("ranges")).alias(covers))  # one document's ranges
     joined = rows.join(per_row, F.col(uid) == F.col(other), "left").drop(other, uid)
     out = fresh(docs, "removal")[0]
     others = [f for f in docs.schema.fields if f.name != text]
