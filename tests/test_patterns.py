@@ -85,3 +85,26 @@ def test_support_matches_brute_force(spark):
 
 def test_empty_and_too_rare(spark):
     assert mine(spark, [list("ab")], 5, 1) == {}
+
+
+@pytest.mark.parametrize("seed,top_n,min_len,closed", [(1, 3, 2, True), (2, 8, 1, True), (3, 500, 2, True),
+                                                       (4, 5, 3, False), (5, 1, 4, True)])
+def test_top_patterns_are_those_of_mining_everything(spark, seed, top_n, min_len, closed):
+    rnd = random.Random(seed)
+    lists = [[rnd.choice("aabbbcdef") for _ in range(rnd.randrange(7))] for _ in range(40)] + [None]
+    df = spark.createDataFrame([(s,) for s in lists], "activity_list array<string>")
+    every = P.with_text(P.frequent_sequences(df, min_freq=2, min_len=min_len, closed=closed)).collect()
+    want = sorted((tuple(r) for r in every), key=lambda r: (-r[1], r[0]))[:top_n]
+    got = P.top_sequences(df, top_n, min_freq=2, min_len=min_len, closed=closed).collect()
+    assert [tuple(r) for r in got] == want
+
+
+def test_top_patterns_do_not_mine_what_they_do_not_show(spark, monkeypatch):
+    lists = [list("abcdefghij")] * 30 + [[f"x{i}{j}" for j in range(4)] for i in range(40) for _ in range(2)]
+    mined = []
+    whole = P.Miner.mine
+    monkeypatch.setattr(P.Miner, "mine", lambda self, at: mined.append(at) or whole(self, at))
+    df = spark.createDataFrame([(s,) for s in lists], "activity_list array<string>")
+    got = P.top_sequences(df, 1, min_freq=2).collect()
+    assert [tuple(r) for r in got] == [(" -> ".join("abcdefghij"), 30, 10)] and mined == [30]
+    assert P.top_sequences(df.limit(0), 5, min_freq=2).collect() == []

@@ -36,8 +36,8 @@ def query_events(spark, base: str, historical_days: int, as_of_date: dt.date | N
     """Flat events of the shards in the window (``as_of_date`` defaults to today).
 
     ``event_names`` (session_start, page_view and the goal) is pushed to the
-    scan; with ``snapshot_root`` a complete snapshot of the same request is read
-    instead, or written.
+    scan; with ``snapshot_root`` the rows are kept there by shard, and only new or
+    changed shards are read from the export.
     """
     day = as_of_date or dt.date.today()
     return ga_export.query_export(spark, base, day, historical_days, include_intraday, event_names,

@@ -8,6 +8,7 @@ folder; rounds go on until the edge set stays as it is.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -43,18 +44,49 @@ def _marked(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
     return got, path, (seen.get["n"], seen.get["sum"])
 
 
-def connected_components(edges: DataFrame) -> tuple[DataFrame, str]:
+def _united(edges: DataFrame) -> tuple[DataFrame, str]:
+    """(u, v): every node but the smallest of its component, and that; few edges, in one task."""
+    names = edges.columns
+
+    def run(batches):
+        up: dict = {}
+
+        def find(x):
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for x, y in zip(*(batch.column(c).to_pylist() for c in names)):
+                x, y = find(x), find(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+        if up:
+            rows = [(x, find(x)) for x in up if find(x) != x]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i in (0, 1)], names)
+
+    return store(edges.coalesce(1).mapInArrow(run, edges.schema), "components")
+
+
+def connected_components(edges: DataFrame, in_task: int = 0) -> tuple[DataFrame, str]:
     """(node, component) of every node with an edge but the smallest of its component.
 
     ``edges`` has two columns of ids of any ordered type; loops, repeats and
-    either order are fine.  ``component`` is the smallest id reachable.  Returns
-    (table, path of its stored copy).
+    either order are fine.  ``component`` is the smallest id reachable.  Up to
+    ``in_task`` edges (of numbers or strings) are united in one task.  Returns (table,
+    path of its stored copy).
     """
     a, b = edges.columns
     spark = edges.sparkSession
     ordered = edges.filter(F.col(a) != F.col(b)).select(
         F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now, path, mark = _marked(ordered)
+    if mark[0] <= in_task:
+        got, united = _united(now)
+        drop(spark, path)
+        return got.select(F.col("u").alias("node"), F.col("v").alias("component")), united
     before = None
     while mark[0] and mark != before:
         before = mark

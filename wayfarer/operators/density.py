@@ -1,18 +1,18 @@
-"""Grid density clustering of low-dimensional vectors (-1 = noise).
-
-Points are binned into cells of side ``cell_size`` over every component.  A
-cell holding at least ``min_pts`` points is dense; dense cells that touch
-(Chebyshev distance 1 in cell coordinates) form one cluster, found as connected
-components of the dense-cell graph; a sparse cell touching dense cells joins
-the one whose component has the smallest cell (border points); everything else
+"""Density clustering of low-dimensional vectors (-1 = noise).
+
+Without a cell size: the stable parts of a variable-density hierarchy (``hierarchy``).
+With one, a flat cut of a grid: points are binned into cells of side ``cell_size``
+over every component.  A cell holding at least ``min_pts`` points is dense; dense
+cells that touch (Chebyshev distance 1 in cell coordinates) form one cluster, found
+as connected components of the dense-cell graph; a sparse cell touching dense cells
+joins the one whose component has the smallest cell (border points); everything else
 is noise, as are clusters lighter than ``min_cluster_size``.
 
 All work is per cell: points are counted by a combinable ``groupBy`` (a cell
 with a third of all points is one count, not a pair enumeration), the
 neighbour search explodes the 3^k offsets of dense cells only.  Cells are known
 by their coordinates, so labels do not depend on how the rows are dealt out.
-Labels are not those of a variable-density hierarchy; they are the flat density
-cut described here.
+``radius`` has the flat cut by exact distances.
 """
 
 from __future__ import annotations
@@ -23,34 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.operators import components
+from wayfarer.operators.hierarchy import dense_numbers, hierarchical_clusters
 from wayfarer.operators.vectors import as_array
 from wayfarer.storage import Scratch, store
 
-#: Cell sizes tried: this many steps of a factor of the square root of 2 down
-#: from the largest coordinate.
-LADDER = 40
-
-
-def default_cell_size(df: DataFrame, vec_col: str = "pca", min_pts: int = 3) -> float:
-    """The smallest cell size of a ladder at which half of all rows lie in dense cells.
-
-    One combinable count per cell and ladder step, over all rows.
-    """
-    arr = df.select(as_array(vec_col).alias("v"))
-    top = arr.agg(F.max(F.array_max(F.transform("v", F.abs)))).head()[0]
-    if not top:
-        return 1.0
-    sizes = [float(top) * 2.0 ** (-i / 2) for i in range(LADDER)]
-    ladder = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(sizes)])
-    steps = arr.select("v", F.explode(ladder).alias("step")).select(
-        F.col("step.i").alias("i"),
-        F.transform("v", lambda x: F.floor(x / F.col("step.s")).cast("long")).alias("cell"))
-    cells = steps.groupBy("i", "cell").agg(F.count("*").alias("n"))
-    share = cells.groupBy("i").agg(
-        F.sum(F.when(F.col("n") >= min_pts, F.col("n")).otherwise(0)).alias("dense"), F.sum("n").alias("n"))
-    good = [r["i"] for r in share.collect() if 2 * r["dense"] >= r["n"]]  # one row a step
-    return sizes[max(good)] if good else 2 * sizes[0]
-
 
 def _offsets(k: int) -> list[list[int]]:
     return [list(o) for o in itertools.product((-1, 0, 1), repeat=k) if any(o)]
@@ -68,15 +44,17 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def density_cluster(df: DataFrame, vec_col: str = "pca", cell_size: float | None = None,
                     min_pts: int = 3, min_cluster_size: int = 3,
-                    out_col: str = "cluster") -> DataFrame:
+                    out_col: str = "cluster", *, size_in_rows: bool = False) -> DataFrame:
     """Add ``cluster`` (bigint, -1 = noise) to every row of ``df``.
 
-    Clusters are numbered 0.. in order of their smallest cell.
+    ``min_pts`` belongs to the flat cut, whose clusters are numbered 0.. in order of
+    their smallest cell.  ``size_in_rows`` (see ``hierarchy``) belongs to the other.
     """
+    if cell_size is None:
+        return hierarchical_clusters(df, vec_col, min_cluster_size, out_col=out_col, size_in_rows=size_in_rows)
     spark = df.sparkSession
     scratch = Scratch(spark)
-    size = cell_size or default_cell_size(df, vec_col, min_pts)
-    cell = F.transform(as_array(vec_col), lambda x: F.floor(x / F.lit(size)).cast("long"))
+    cell = F.transform(as_array(vec_col), lambda x: F.floor(x / F.lit(cell_size)).cast("long"))
     pts = df.withColumn("_cell", cell)
     cells = scratch(pts.groupBy("_cell").agg(F.count(F.lit(1)).alias("weight")), "cells")
     first = cells.select("_cell").first()
@@ -98,12 +76,10 @@ def density_cluster(df: DataFrame, vec_col: str = "pca", cell_size: float | None
     cell_comp = scratch(comps.unionByName(border), "cell-components")
     sized = (cell_comp.join(cells.withColumnRenamed("_cell", "id"), "id")
              .groupBy("component").agg(F.sum("weight").alias("_w"), F.min("id").alias("_first")))
-    # A distributed sort and index over the clusters.
-    ranked = sized.filter(F.col("_w") >= min_cluster_size).orderBy("_first").rdd.zipWithIndex() \
-        .map(lambda t: (t[0]["component"], t[1]))
-    names = spark.createDataFrame(ranked, "component array<long>, _label long")
-    labels, _ = store(cell_comp.join(names, "component").select(
-        F.col("id").alias("_cell"), F.col("_label").alias(out_col)), "cell-labels")
+    order = scratch(sized.filter(F.col("_w") >= min_cluster_size).orderBy("_first").select(
+        "component", F.monotonically_increasing_id().alias("m")), "order")
+    labels, _ = store(cell_comp.join(dense_numbers(order, "m"), "component").select(
+        F.col("id").alias("_cell"), F.col("label").alias(out_col)), "cell-labels")
     scratch.close()
     return pts.join(labels, "_cell", "left").withColumn(
         out_col, F.coalesce(out_col, F.lit(-1)).cast("long")).drop("_cell")

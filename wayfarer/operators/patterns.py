@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.functions.sequences import contains_in_order, one_item_deletions
 from wayfarer.functions.text import join_path
+from wayfarer.operators import trie
 from wayfarer.session import materialize
 
 PATTERN_SCHEMA = "sequence array<string>, freq bigint"
@@ -27,6 +28,33 @@ def _empty(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], PATTERN_SCHEMA)
 
 
+class Miner:
+    """Sequences stored once and mined at one support or several."""
+
+    def __init__(self, df: DataFrame, seq_col: str = "activity_list", local_db_size: int = MAX_LOCAL_PROJ_DB):
+        # PrefixSpan passes over its input several times: write it once.
+        self.items = materialize(df.select(F.transform(seq_col, lambda x: F.array(x)).alias("_items"))
+                                 .filter(F.col("_items").isNotNull()))
+        stats = self.items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_items")).alias("longest")).first()
+        self.n, self.longest, self.local_db_size = stats["n"], stats["longest"] or 0, local_db_size
+
+    def mine(self, min_freq: int) -> DataFrame:
+        """(sequence, freq) of all patterns in at least ``min_freq`` rows."""
+        if self.n == 0 or min_freq > self.n or self.longest == 0:
+            return _empty(self.items)
+        # Spark takes ceil(minSupport * n) as the count; the half keeps it exact.
+        support = (min_freq - 0.5) / self.n
+        found = PrefixSpan(minSupport=support, maxPatternLength=self.longest, maxLocalProjDBSize=self.local_db_size,
+                           sequenceCol="_items").findFrequentSequentialPatterns(self.items)
+        return found.select(F.flatten("sequence").alias("sequence"), F.col("freq").cast("long"))
+
+    def item_support(self, rank: int) -> int:
+        """Rows that hold the ``rank``-th most common item, 0 with fewer items."""
+        counts = self.items.select(F.explode(F.array_distinct("_items")).alias("x")).groupBy("x").count()
+        top = [r["count"] for r in counts.orderBy(F.desc("count")).limit(rank).select("count").collect()]
+        return top[-1] if len(top) == rank else 0
+
+
 def all_frequent_sequences(df: DataFrame, seq_col: str = "activity_list",
                            min_freq: int = 3, local_db_size: int = MAX_LOCAL_PROJ_DB) -> DataFrame:
     """Every sequence contained (in order, gaps allowed) in >= min_freq rows.
@@ -37,19 +65,31 @@ def all_frequent_sequences(df: DataFrame, seq_col: str = "activity_list",
     """
     if min_freq < 1:
         raise ValueError("min_freq must be >= 1")
-    # PrefixSpan passes over its input several times: write it once.
-    seqs = materialize(df.select(F.col(seq_col).alias("_s")).filter(F.col("_s").isNotNull()))
-    stats = seqs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_s")).alias("L")).first()
-    n, longest = stats["n"], stats["L"] or 0
-    if n == 0 or min_freq > n or longest == 0:
-        return _empty(df)
-    # Spark takes ceil(minSupport * n) as the count; the half keeps it exact.
-    support = (min_freq - 0.5) / n
-    ps = PrefixSpan(minSupport=support, maxPatternLength=longest,
-                    maxLocalProjDBSize=local_db_size, sequenceCol="_items")
-    items = seqs.select(F.transform("_s", lambda x: F.array(x)).alias("_items"))
-    found = ps.findFrequentSequentialPatterns(items)
-    return found.select(F.flatten("sequence").alias("sequence"), F.col("freq").cast("long"))
+    return Miner(df, seq_col, local_db_size).mine(min_freq)
+
+
+def top_sequences(df: DataFrame, top_n: int, seq_col: str = "activity_list", min_freq: int = 3,
+                  min_len: int = 3, closed: bool = True) -> DataFrame:
+    """The ``top_n`` most frequent (closed) patterns of length >= min_len: sequence (text), freq, length.
+
+    Equal frequencies go by text.  The support is lowered from that of the
+    ``min_len``-th most common item until ``top_n`` patterns reach it (or it is
+    ``min_freq``): all patterns of that support or more are known then, those that
+    would cover them included, so the rows are those of mining everything, without the
+    patterns below half the last one's frequency.
+    """
+    if min_freq < 1:
+        raise ValueError("min_freq must be >= 1")
+    miner = Miner(df, seq_col)
+    at = max(min_freq, miner.item_support(max(min_len, 1)))
+    while True:
+        found = miner.mine(at)
+        if closed:
+            found = closed_only(materialize(found, "mined"))
+        found = materialize(found.filter(F.size("sequence") >= min_len), "patterns")
+        if at <= min_freq or found.limit(top_n).count() >= top_n:
+            return with_text(found).orderBy(F.col("freq").desc(), F.col("sequence").asc()).limit(top_n)
+        at = max(min_freq, at // 2)
 
 
 def closed_only(patterns: DataFrame) -> DataFrame:
@@ -74,52 +114,22 @@ def with_text(patterns: DataFrame, col: str = "sequence") -> DataFrame:
                            F.size(col).cast("long").alias("length"))
 
 
-def _ordered_pairs(seq) -> F.Column:
-    """Distinct (a, b) item pairs with a before b in the sequence."""
-    s = F.col(seq) if isinstance(seq, str) else seq
-    return F.array_distinct(F.flatten(F.transform(
-        s, lambda x, i: F.transform(F.slice(s, i + 2, F.greatest(F.size(s) - i - 1, F.lit(0))),
-                                    lambda y: F.struct(x.alias("a"), y.alias("b"))))))
-
-
 def containment_pairs(sequences: DataFrame, patterns: DataFrame, id_col: str = "user_id",
                       seq_col: str = "activity_list", pat_col: str = "sequence",
                       pat_id: str | None = None) -> DataFrame:
-    """(id, pattern key) for every sequence that contains a pattern in order.
-
-    Candidates come from an equi join on the pattern's first two items against
-    the ordered item pairs of each sequence (single-item patterns join on the
-    item).  That join carries a sequence's id only; sequences are joined back to
-    the candidates for the exact in-order test.  No pattern is ever paired
-    with a sequence that lacks its first two items in order.
-    """
+    """(id, pattern key) for every sequence that contains a pattern in order (``trie``)."""
     key = pat_id or pat_col
-    pats = patterns.select(F.col(key).alias("_pk"), F.col(pat_col).alias("_p"))
-    seqs = sequences.select(F.col(id_col).alias("_id"), F.col(seq_col).alias("_s"))
-
-    long_p = pats.filter(F.size("_p") >= 2).select(
-        "_pk", "_p", F.get("_p", 0).alias("a"), F.get("_p", 1).alias("b"))
-    pairs = seqs.select("_id", F.explode(_ordered_pairs("_s")).alias("ab")) \
-        .select("_id", "ab.a", "ab.b")
-    hits_long = (pairs.join(long_p, ["a", "b"]).select("_id", "_pk", "_p")
-                 .join(seqs, "_id")
-                 .filter(contains_in_order("_s", "_p"))
-                 .select("_id", "_pk"))
-
-    one_p = pats.filter(F.size("_p") == 1).select("_pk", F.get("_p", 0).alias("a"))
-    singles = seqs.select("_id", F.explode(F.array_distinct("_s")).alias("a"))
-    hits_one = singles.join(one_p, "a").select("_id", "_pk")
-    return hits_long.unionByName(hits_one).select(
-        F.col("_id").alias(id_col), F.col("_pk").alias(key))
+    found = trie.matches(sequences, patterns, id_col, seq_col, key, pat_col)
+    return found.select(id_col, F.explode("found").alias(key))
 
 
 def sequence_support(sequences: DataFrame, patterns: DataFrame, id_col: str = "user_id",
                      seq_col: str = "activity_list") -> DataFrame:
     """Number of sequences containing each pattern in order (0 when none)."""
-    hits = containment_pairs(sequences, patterns, id_col, seq_col)
-    counts = hits.groupBy("sequence").agg(F.count(F.lit(1)).alias("support"))
-    return (patterns.select("sequence").distinct().join(counts, "sequence", "left")
-            .select("sequence", F.coalesce("support", F.lit(0)).cast("long").alias("support")))
+    pats = materialize(patterns.select("sequence").distinct())
+    counts = trie.support(sequences, pats, seq_col, "sequence", "sequence")
+    return (pats.join(counts, "sequence", "left")
+            .select("sequence", F.coalesce("n", F.lit(0)).cast("long").alias("support")))
 
 
 def count_containing(sequences: DataFrame, target: list[str],

@@ -35,6 +35,9 @@ topic: <topic label>
 # Words of two or more letters, digits or underscores, lower-cased.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
+#: Links between topics that one task unites.
+IN_TASK = 100_000
+
 Embedder = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
@@ -73,14 +76,12 @@ def embed_with(df: DataFrame, embedder: Embedder, instruction: str, id_col: str,
     return df.join(out, id_col)
 
 
-def class_tfidf(docs: DataFrame, class_col: str = "topic", text_col: str = "text",
-                top_k: int = 10) -> DataFrame:
-    """Top keywords per class by class TF-IDF.
+def class_weights(docs: DataFrame, class_col: str = "topic", text_col: str = "text") -> DataFrame:
+    """(class, word, weight): the class TF-IDF weight of every word of every class.
 
     weight(t, c) = tf(t, c) / |c| * ln(1 + A / f(t)), where tf counts token t in
     class c, |c| is the token count of c, f(t) the count of t over all classes
-    and A the whole-number mean of |c|.  Columns: class, keyword, weight
-    (rounded to 9 places), rank.
+    and A the whole-number mean of |c|.
     """
     words = docs.select(F.col(class_col).alias("_c"), F.explode(tokens(text_col)).alias("word"))
     # Texts are tokenised once: the (class, word, count) table feeds every sum.
@@ -89,15 +90,66 @@ def class_tfidf(docs: DataFrame, class_col: str = "topic", text_col: str = "text
     ft = tf.groupBy("word").agg(F.sum("tf").alias("f"))
     avg = size.select(F.floor(F.avg("class_size")).cast("double").alias("A"))
     a = avg.scalar()
-    w = (tf.join(size, "_c").join(ft, "word")
-         .withColumn("weight", F.round(F.col("tf") / F.col("class_size")
-                                       * F.log(F.lit(1.0) + F.lit(a) / F.col("f")), 9)))
+    return tf.join(size, "_c").join(ft, "word").select(
+        F.col("_c").alias(class_col), "word",
+        (F.col("tf") / F.col("class_size") * F.log(F.lit(1.0) + F.lit(a) / F.col("f"))).alias("weight"))
+
+
+def top_keywords(weights: DataFrame, class_col: str = "topic", top_k: int = 10) -> DataFrame:
+    """(class, keyword, weight (rounded to 9 places), rank): the heaviest words of each class."""
+    w = weights.select(F.col(class_col).alias("_c"), "word", F.round("weight", 9).alias("weight"))
     rank = Window.partitionBy("_c").orderBy(F.col("weight").desc(), F.col("word").asc())
     return (w.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= top_k)
             .select(F.col("_c").alias(class_col), F.col("word").alias("keyword"),
                     "weight", F.col("rank").cast("int").alias("rank")))
 
 
+def class_tfidf(docs: DataFrame, class_col: str = "topic", text_col: str = "text",
+                top_k: int = 10) -> DataFrame:
+    """Top keywords per class by class TF-IDF: class, keyword, weight, rank."""
+    return top_keywords(class_weights(docs, class_col, text_col), class_col, top_k)
+
+
+def similar_classes(weights: DataFrame, threshold: float = 0.9, class_col: str = "topic") -> DataFrame:
+    """(a, b), a < b: classes whose weight vectors have a cosine of at least ``threshold``.
+
+    Words are put in one order, those of the fewest classes first.  A class's prefix
+    ends where the rest of its unit vector is shorter than the threshold (taken for
+    all words of one spread together); two classes that are similar share a word of
+    both prefixes, so an equi join of the prefixes gives all candidates, and only
+    those are multiplied out.
+    """
+    scratch = Scratch(weights.sparkSession)
+    w = scratch(weights.select(F.col(class_col).alias("c"), "word", "weight").filter("weight > 0"), "class-weights")
+    norm = w.groupBy("c").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    spread = w.groupBy("word").agg(F.count("*").alias("spread"))
+    unit = scratch(w.join(norm, "c").join(spread, "word").select(
+        "c", "word", "spread", (F.col("weight") / F.col("norm")).alias("u")), "unit-weights")
+    shared = unit.filter("spread > 1")  # a word of one class joins nothing
+    rest = Window.partitionBy("c").orderBy(F.desc("spread")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tails = shared.groupBy("c", "spread").agg(F.sum(F.col("u") * F.col("u")).alias("q")).withColumn(
+        "tail", F.sum("q").over(rest)).filter(F.col("tail") >= threshold * threshold * (1 - 1e-9))
+    prefix = scratch(shared.join(tails.select("c", "spread"), ["c", "spread"]).select("c", "word"), "prefixes")
+    pairs = prefix.select(F.col("c").alias("a"), "word").join(prefix.select(F.col("c").alias("b"), "word"), "word") \
+        .filter("a < b").select("a", "b").distinct()
+    left = scratch(pairs, "candidates").join(shared.select(F.col("c").alias("a"), "word", F.col("u").alias("ua")), "a")
+    dots = left.join(shared.select(F.col("c").alias("b"), "word", F.col("u").alias("ub")), ["b", "word"]) \
+        .groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("cosine"))
+    out = materialize(dots.filter(F.col("cosine") >= threshold).select("a", "b"), "similar")
+    scratch.close()
+    return out
+
+
+def merge_similar(weights: DataFrame, threshold: float = 0.9, class_col: str = "topic") -> DataFrame:
+    """(class, merged): classes linked by ``similar_classes``, directly or not, take the smallest of them."""
+    from wayfarer.operators.components import connected_components
+
+    member, _ = connected_components(similar_classes(weights, threshold, class_col), IN_TASK)
+    return weights.select(class_col).distinct().join(
+        member.withColumnRenamed("node", class_col), class_col, "left").select(
+        class_col, F.coalesce("component", class_col).alias("merged"))
+
+
 def representative_docs(assigned: DataFrame, vec_col: str = "embedding", doc_col: str = "doc",
                         n_docs: int = 3, diversity: float = 0.5) -> DataFrame:
     """Per topic: ``n_docs`` distinct documents close to the centroid, chosen by MMR.

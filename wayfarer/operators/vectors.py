@@ -1,9 +1,9 @@
 """Journey vectors over all labels: weights in long form, and their principal components.
 
 A matrix with one column a label is kept as rows (id, label, w), so no label is
-left out however many there are.  Components come from subspace iteration: with
-the axes as a table (label, k values), one product with the covariance is two
-grouped sums over the long rows.  The driver sees only k x k matrices.
+left out however many there are.  Components come from a block Krylov basis: with
+a block as a table (label, values), one product with the covariance is two grouped
+sums over the long rows.  The driver sees only matrices of the basis' width.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from wayfarer.storage import Scratch, store
 
-#: Axes carried beyond those wanted; they speed up convergence.
-OVERSAMPLE = 16
+#: Vectors of a Krylov block; with fewer labels the axes are found at once.
+BLOCK = 48
 #: Residual of an axis under the covariance, relative to the largest variance.
-TOLERANCE = 1e-6
+TOLERANCE = 1e-5
 
 
 def label_weights(df: DataFrame, id_col: str = "user_id", seq_col: str = "activity_list") -> DataFrame:
@@ -45,91 +45,127 @@ def _sum_arrays(col: str, width: int):
     return F.array(*[F.sum(F.col(col)[i]) for i in range(width)])
 
 
-def _times(col: str, matrix: np.ndarray):
-    """Expression: the array column times a small matrix."""
-    return F.array(*[sum((F.col(col)[i] * float(matrix[i, j]) for i in range(matrix.shape[0])), F.lit(0.0))
-                     for j in range(matrix.shape[1])])
+def _project(weights: DataFrame, axes: DataFrame, offset: np.ndarray) -> DataFrame:
+    """(id, y): standardised rows that hold a label, times the axes (label, mean, scale, v)."""
+    sums = weights.join(axes, "label").withColumn(
+        "c", F.transform("v", lambda x: x * F.col("w") * F.col("scale"))).groupBy("id").agg(
+        _sum_arrays("c", len(offset)).alias("s"))
+    return sums.select("id", F.array(*[F.col("s")[i] - float(o) for i, o in enumerate(offset)]).alias("y"))
 
 
-def _summary(df: DataFrame, width: int, *columns: str) -> tuple[np.ndarray, ...]:
-    """For the array column v and, if named, z: sum of c * v (c = mean * scale), and of z z', v z', c * z."""
+def _block_sums(df: DataFrame, width: int) -> tuple[np.ndarray, ...]:
+    """For the basis v and the block z (``width`` values): v z', z z' and sum of mean * scale * z."""
     def run(batches):
         total = None
         for batch in batches:
             if batch.num_rows:
-                c = (batch.column("mean").to_numpy(zero_copy_only=False)
-                     * batch.column("scale").to_numpy(zero_copy_only=False))
-                m = [np.array(batch.column(x).to_pylist(), float) for x in columns]
-                found = [c @ m[0]]
-                if len(m) > 1:
-                    found += [m[1].T @ m[1], m[0].T @ m[1], c @ m[1]]
-                found = np.concatenate([f.ravel() for f in found])
+                c = batch.column("mean").to_numpy() * batch.column("scale").to_numpy()
+                v, z = (np.array(batch.column(x).to_pylist(), float) for x in ("v", "z"))
+                found = np.concatenate([(v.T @ z).ravel(), (z.T @ z).ravel(), c @ z])
                 total = found if total is None else total + found
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["p"])
 
-    rows = df.select("mean", "scale", *columns).mapInArrow(run, "p binary").collect()  # one row a partition
+    rows = df.select("mean", "scale", "v", "z").mapInArrow(run, "p binary").collect()  # one row a partition
     flat = sum(np.frombuffer(bytes(r[0]), float) for r in rows)
-    if len(columns) == 1:
-        return (flat,)
     square = width * width
-    return (flat[:width], flat[width:width + square].reshape(width, width),
-            flat[width + square:width + 2 * square].reshape(width, width), flat[width + 2 * square:])
+    cross = flat[:-square - width].reshape(-1, width)
+    return cross, flat[-square - width:-width].reshape(width, width), flat[-width:]
 
 
-def _project(weights: DataFrame, axes: DataFrame, offset: np.ndarray) -> DataFrame:
-    """(id, y): standardised rows that hold a label, times the axes (label, mean, scale, v)."""
-    sums = weights.join(axes, "label").withColumn(
-        "c", F.transform("v", lambda x: x * F.col("w") * F.col("scale"))).groupBy("id").agg(
-        _sum_arrays("c", len(offset)).alias("s"))
-    return sums.select("id", F.array(*[F.col("s")[i] - float(o) for i, o in enumerate(offset)]).alias("y"))
+def _changed(df: DataFrame, change) -> DataFrame:
+    """(label, mean, scale, v, z) with ``change(v, z)``, two matrices of a batch, in their place."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                v, z = change(*(np.array(batch.column(x).to_pylist(), float) for x in ("v", "z")))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("label"), batch.column("mean"), batch.column("scale"),
+                     *(pa.array(list(x), pa.list_(pa.float64())) for x in (v, z))], ["label", "mean", "scale", "v", "z"])
+
+    df = df.select("label", "mean", "scale", "v", "z")
+    return df.mapInArrow(run, df.schema)
+
+
+def _orthonormal(gram: np.ndarray) -> np.ndarray:
+    """Matrix that turns columns with this Gram matrix into orthonormal ones; fewer if they depend on each other."""
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    usable = values > max(values.max(), 1e-300) * 1e-13
+    return vectors[:, usable] / np.sqrt(values[usable])
+
+
+def _raised(weights: DataFrame, axes: DataFrame, offset: np.ndarray, n: int) -> DataFrame:
+    """``axes`` (label, mean, scale, v, ...) with z: the covariance times the block v.
+
+    ``offset`` is the projection of the column means.  Their share in the second
+    product drops out: the projections sum to zero over all rows, those without a
+    label included.
+    """
+    width = len(offset)
+    rows = _project(weights, axes, offset)
+    raised = weights.join(rows, "id").withColumn(
+        "c", F.transform("y", lambda x: x * F.col("w"))).groupBy("label").agg(_sum_arrays("c", width).alias("r"))
+    share = F.col("scale") / max(n - 1, 1)
+    return axes.join(raised, "label", "left").withColumn(
+        "z", F.transform(F.coalesce("r", F.array(*[F.lit(0.0)] * width)), lambda x: x * share)).drop("r")
 
 
-def principal_axes(weights: DataFrame, n: int, k: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
+def principal_axes(weights: DataFrame, n: int, k: int, scratch: Scratch,
+                   block: int = BLOCK) -> tuple[DataFrame, np.ndarray]:
     """((label, mean, scale, v), offset): the first ``k`` axes of the standardised columns.
 
-    ``offset`` is the projection of the column means.  Subspace iteration until
-    the axes are the covariance's own but for ``TOLERANCE``.
+    ``offset`` is the projection of the column means.  A block Krylov basis: every
+    round multiplies the newest block by the covariance and adds what is new of it, so
+    the best axes within all blocks together settle in few rounds; they are done when
+    none is off the covariance's own by ``TOLERANCE``.  Where the blocks come to span
+    all labels the axes are exact.
     """
     stats = scratch(label_statistics(weights, n), "label-statistics")
     labels = stats.count()
     k = min(k, labels)
     if k == 0:
         return stats.withColumn("v", F.array().cast("array<double>")), np.zeros(0)
-    width = min(k + OVERSAMPLE, labels)
-    if width == labels:  # the labels themselves span everything: one product is enough
+    if labels <= block:  # the labels themselves span everything: one product is enough
         unit = stats.orderBy("label").collect()
-        axes = stats.withColumn("v", F.array(*[(F.col("label") == r["label"]).cast("double") for r in unit]))
-        offset, orthonormal = np.array([r["mean"] * r["scale"] for r in unit]), True
-    else:
-        start = F.array(*[F.xxhash64("label", F.lit(i)) / float(1 << 63) for i in range(width)])
-        axes, orthonormal = stats.withColumn("v", start), False
-        offset, = _summary(axes, width, "v")
+        basis = stats.withColumn("v", F.array(*[(F.col("label") == r["label"]).cast("double") for r in unit]))
+        offset = np.array([r["mean"] * r["scale"] for r in unit])
+        raised = scratch(_raised(weights, basis, offset, n), "axes")
+        inside, _, _ = _block_sums(raised, labels)
+        _, vectors = np.linalg.eigh((inside + inside.T) / 2)
+        vectors = vectors[:, ::-1][:, :k]
+        return _signed(_changed(raised, lambda v, z: (v @ vectors, z[:, :0])), offset @ vectors, scratch)
+    start = F.array(*[F.xxhash64("label", F.lit(i)) / float(1 << 63) for i in range(block)])
+    none = F.array().cast("array<double>")
+    held = stats.withColumn("v", none).withColumn("z", start)
+    offsets, inner = np.zeros(0), np.zeros((0, 0))  # projections of the means on the basis, basis' covariance basis
+    width = block
     while True:
-        rows = _project(weights, axes, offset)
-        raised = weights.join(rows, "id").withColumn(
-            "c", F.transform("y", lambda x: x * F.col("w"))).groupBy("label").agg(_sum_arrays("c", width).alias("r"))
-        # The column means' share drops out: the projections sum to zero over all rows,
-        # those without a label included.
-        share = F.col("scale") / max(n - 1, 1)
-        moved = axes.join(raised, "label", "left").withColumn(
-            "z", F.transform(F.coalesce("r", F.array(*[F.lit(0.0)] * width)), lambda x: x * share))
-        moved = scratch(moved.select("label", "mean", "scale", "v", "z"), "axes")
-        offset, gram, ritz, raised_offset = _summary(moved, width, "v", "z")
-        if orthonormal:
-            values, vectors = np.linalg.eigh((ritz + ritz.T) / 2)
-            order = np.argsort(values)[::-1][:k]
-            values, vectors = values[order], vectors[:, order]
-            residual = np.einsum("ik,ij,jk->k", vectors, gram, vectors) - values ** 2
-            if np.sqrt(np.maximum(residual, 0)).max() <= TOLERANCE * max(values.max(), 1e-300):
-                return _signed(moved.withColumn("v", _times("v", vectors)), offset @ vectors, scratch)
-        orthonormal = True
-        values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-        usable = values > values.max() * 1e-13
-        turn = vectors[:, usable] / np.sqrt(values[usable])
-        width, k = int(usable.sum()), min(k, int(usable.sum()))
-        axes = moved.select("label", "mean", "scale", _times("z", turn).alias("v"))
-        offset = raised_offset @ turn
+        # What the block adds to the basis: its part inside taken out twice, the rest made orthonormal.
+        link = None
+        for _ in range(2):
+            held = scratch(held, "basis")
+            cross, gram, _ = _block_sums(held, width)
+            turn = _orthonormal(gram - cross.T @ cross)
+            width = turn.shape[1]
+            held = _changed(held, lambda v, z, c=cross, t=turn: (v, (z - v @ c) @ t))
+            kept = np.linalg.pinv(turn)
+            link = kept if link is None else kept @ link
+        held = scratch(held, "basis")
+        _, _, means = _block_sums(held, width)
+        if inner.size:
+            values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+            values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
+            off = np.linalg.norm(link @ vectors[-last:], axis=0).max()
+            if off <= TOLERANCE * max(values.max(), 1e-300) or len(inner) + width > labels:
+                return _signed(_changed(held, lambda v, z: (v @ vectors, z[:, :0])), offsets @ vectors, scratch)
+        new = held.select("label", "mean", "scale", F.col("z").alias("v"), F.col("v").alias("old"))
+        raised = _raised(weights, new, means, n)
+        held = scratch(raised.select("label", "mean", "scale", F.concat("old", "v").alias("v"), "z"), "basis")
+        cross, _, _ = _block_sums(held, width)
+        grown = np.zeros((len(cross), len(cross)))
+        grown[:len(inner), :len(inner)] = inner
+        grown[:, -width:], grown[-width:, :] = cross, cross.T
+        inner, offsets, last = grown, np.concatenate([offsets, means]), width
 
 
 def _signed(axes: DataFrame, offset: np.ndarray, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:

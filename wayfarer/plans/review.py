@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.operators import density, isolation, vectors
-from wayfarer.operators.patterns import frequent_sequences, with_text
+from wayfarer.operators.patterns import top_sequences
 from wayfarer.session import materialize
 
 REVIEW_SCHEMA = "kind string, sequence string, freq bigint, length bigint"
@@ -30,9 +30,8 @@ class ReviewParts:
 
 def top_patterns(journeys: DataFrame, kind: str, top_n: int, min_freq: int,
                  min_len: int = 3) -> DataFrame:
-    pats = with_text(frequent_sequences(journeys, min_freq=min_freq, min_len=min_len))
-    return (pats.orderBy(F.col("freq").desc(), F.col("sequence").asc()).limit(top_n)
-            .select(F.lit(kind).alias("kind"), "sequence", "freq", "length"))
+    return top_sequences(journeys, top_n, min_freq=min_freq, min_len=min_len).select(
+        F.lit(kind).alias("kind"), "sequence", "freq", "length")
 
 
 def review_parts(journeys: DataFrame, top_n: int = 10, reducer: str = "pca",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.operators import density, topics, vectors
+from wayfarer.operators.hierarchy import dense_numbers
 from wayfarer.session import materialize
 
 
@@ -28,8 +29,8 @@ def journey_topics(journeys: DataFrame, min_topic_size: int = 100, id_col: str =
                    diversity: float = 0.5) -> TopicResult:
     """Topics over journey texts; topic ids are ordered by size (0 = largest).
 
-    ``reduce_threshold`` merges topics whose mean reduced vectors have at least
-    that cosine (the automatic topic reduction); ``None`` keeps every topic.
+    ``reduce_threshold`` merges topics whose keyword weights have at least that cosine
+    (the automatic topic reduction); ``None`` keeps every topic.
     ``n_docs`` distinct texts stand for a topic in ``info`` and its prompt, chosen
     among all its texts with ``diversity`` (0 to 1) as the weight of their difference.
     """
@@ -40,18 +41,21 @@ def journey_topics(journeys: DataFrame, min_topic_size: int = 100, id_col: str =
         emb = topics.embed_with(journeys, embedder, instruction, id_col, text_col)
         red = materialize(vectors.standardized_components(emb, "embedding", k, "pca"))
     clustered = materialize(density.density_cluster(red, "pca", cell_size=cell_size,
-                                                    min_cluster_size=min_topic_size)
+                                                    min_cluster_size=min_topic_size, size_in_rows=True)
                             .withColumn("topic", F.col("cluster").cast("int")))
     if reduce_threshold is None:
         groups = clustered.filter("topic >= 0").select("topic").distinct().withColumn("merged", F.col("topic"))
     else:
-        groups = topics.reduce_topics(topics.topic_centroids(clustered, "pca"), reduce_threshold)
-    # Sizes and ranks after merging: a distributed sort and index over the topics.
+        first = topics.class_weights(clustered.filter("topic >= 0").select("topic", F.col(text_col).alias("text")))
+        groups = topics.merge_similar(first, reduce_threshold)
+        # A topic without a word is like no other.
+        groups = clustered.filter("topic >= 0").select("topic").distinct().join(groups, "topic", "left").select(
+            "topic", F.coalesce("merged", "topic").alias("merged"))
+    # Sizes and ranks after merging: a distributed sort over the topics, numbered.
     sizes = clustered.groupBy("topic").agg(F.count(F.lit(1)).alias("count")).join(groups, "topic")
-    ranked = sizes.groupBy("merged").agg(F.sum("count").alias("count")).orderBy(
-        F.col("count").desc(), "merged").select("merged").rdd.zipWithIndex().map(lambda t: (t[0][0], t[1]))
-    ranks = journeys.sparkSession.createDataFrame(ranked, "merged int, rank long")
-    ids = groups.join(ranks, "merged").select("topic", F.col("rank").cast("int").alias("ranked"))
+    order = materialize(sizes.groupBy("merged").agg(F.sum("count").alias("count")).orderBy(
+        F.col("count").desc(), "merged").select("merged", F.monotonically_increasing_id().alias("m")))
+    ids = groups.join(dense_numbers(order, "m"), "merged").select("topic", F.col("label").cast("int").alias("ranked"))
     assigned = materialize(clustered.join(ids, "topic", "left").withColumn(
         "topic", F.coalesce("ranked", F.lit(-1)).cast("int")).drop("ranked"))
     assignments = assigned.select(id_col, "topic")

@@ -134,8 +134,8 @@ def _not_set(c: str) -> F.Column:
     return F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("(not set)"))
 
 
-def flatten_events(raw: DataFrame) -> DataFrame:
-    """Flat clickstream rows (the schema the cleaning step reads).
+def flatten_events(raw: DataFrame, *keep: str) -> DataFrame:
+    """Flat clickstream rows (the schema the cleaning step reads), and last the columns ``keep``.
 
     After deduplication each key has one raw row, so the parameter pivot is
     a per-row higher-order expression; rows without parameters vanish, like
@@ -168,19 +168,20 @@ def flatten_events(raw: DataFrame) -> DataFrame:
         F.coalesce(src, F.lit("(not set)")).alias("source"),
         F.concat(F.coalesce(src, F.lit("(direct)")), F.lit(" / "),
                  F.coalesce(med, F.lit("(not set)"))).alias("source_medium"),
+        *keep,
     )
 
 
 FLAT_KEY = ["user_pseudo_id", "event_name", "event_timestamp"]
 
 
-def dedup_flat(flat: DataFrame) -> DataFrame:
+def dedup_flat(flat: DataFrame, key: list[str] = FLAT_KEY) -> DataFrame:
     """One flat row per (user, event name, timestamp), smallest content hash kept."""
-    cols = [c for c in flat.columns if c not in FLAT_KEY]
+    cols = [c for c in flat.columns if c not in key]
     h = F.xxhash64(*[F.col(c) for c in cols])
-    best = flat.groupBy(*FLAT_KEY).agg(
+    best = flat.groupBy(*key).agg(
         F.min_by(F.struct(*[F.col(c) for c in cols]), h).alias("_row"))
-    return best.select(*FLAT_KEY, "_row.*").select(*flat.columns)
+    return best.select(*key, "_row.*").select(*flat.columns)
 
 
 def load_export(spark: SparkSession, base: str, as_of_date: dt.date, historical_days: int,
@@ -242,10 +243,10 @@ def read_snapshot(spark: SparkSession, root: str, table_name: str, as_of_date: d
 def query_export(spark: SparkSession, base: str, as_of_date: dt.date, historical_days: int,
                  include_intraday: bool = False, event_names: list[str] | None = None,
                  snapshot_root: str | None = None) -> DataFrame:
-    """``load_export`` behind a snapshot: read it if it is there, else write it."""
+    """``load_export``; with ``snapshot_root`` through rows kept by shard (``shard_store``)."""
     args = (as_of_date, historical_days, include_intraday, event_names)
-    flat = load_export(spark, base, *args)
     if snapshot_root is None:
-        return flat
-    kept = read_snapshot(spark, snapshot_root, base, *args, schema=flat.schema)
-    return kept if kept is not None else write_snapshot(flat, snapshot_root, base, *args)
+        return load_export(spark, base, *args)
+    from wayfarer.sources.shard_store import load_window
+
+    return load_window(spark, base, snapshot_root, *args)
