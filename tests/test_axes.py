@@ -1,0 +1,62 @@
+import numpy as np
+import pytest
+
+from wayfarer.operators import topics, vectors
+from wayfarer.storage import Scratch
+
+
+def test_axes_of_many_labels_in_few_rounds(spark):
+    """1,200 x 300 even labels: the spectrum is flat, plain subspace iteration took 106 rounds."""
+    rng = np.random.default_rng(0)
+    x = (rng.random((1200, 300)) < 0.1).astype(float)
+    rows = [(i, f"l{j}", 1.0) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(x)))]
+    weights = spark.createDataFrame(rows, "id long, label string, w double").repartition(4).cache()
+    names = []
+
+    class Counted(Scratch):
+        def __call__(self, df, name):
+            names.append(name)
+            return super().__call__(df, name)
+
+    scratch = Counted(spark)
+    axes, offset = vectors.principal_axes(weights, len(x), 5, scratch)
+    got = {r["label"]: r["v"] for r in axes.collect()}
+    v = np.array([got[f"l{j}"] for j in range(300)])
+    s = (x - x.mean(0)) / x.std(0, ddof=1)
+    cov = s.T @ s / (len(x) - 1)
+    values = np.sort(np.linalg.eigvalsh(cov))[::-1][:5]
+    assert np.allclose(v.T @ v, np.eye(5), atol=1e-6)
+    assert np.diag(v.T @ cov @ v) == pytest.approx(values, rel=1e-6)
+    assert np.linalg.norm(cov @ v - v * values, axis=0).max() <= 2e-5 * values[0]
+    assert offset == pytest.approx(x.mean(0) / x.std(0, ddof=1) @ v, abs=1e-6)
+    assert names.count("basis") <= 4 * 15
+    scratch.close()
+
+
+def plain_cosines(rows, threshold):
+    classes = sorted({c for c, *_ in rows})
+    words = sorted({w for _, w, _ in rows})
+    m = np.zeros((len(classes), len(words)))
+    for c, w, x in rows:
+        m[classes.index(c), words.index(w)] = x
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    cos = m @ m.T
+    return {(a, b) for i, a in enumerate(classes) for j, b in enumerate(classes) if i < j and cos[i, j] >= threshold}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.9])
+def test_similar_classes_are_those_of_all_pairs(spark, threshold):
+    rng = np.random.default_rng(6)
+    base = rng.random((6, 30)) * (rng.random((6, 30)) < 0.4)
+    rows = []
+    for c in range(30):
+        v = base[c % 6] + rng.random(30) * (rng.random(30) < 0.2) * rng.choice([0.05, 0.6])
+        rows += [(c, f"w{j}", float(x)) for j, x in enumerate(v) if x > 0]
+    rows.append((30, "alone", 2.0))
+    df = spark.createDataFrame(rows, "topic int, word string, weight double").repartition(3)
+    want = plain_cosines(rows, threshold)
+    got = [tuple(r) for r in topics.similar_classes(df, threshold).collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
+    merged = {r["topic"]: r["merged"] for r in topics.merge_similar(df, threshold).collect()}
+    assert set(merged) == set(range(31)) and merged[30] == 30
+    assert all(merged[a] == merged[b] for a, b in want) and all(m <= t for t, m in merged.items())

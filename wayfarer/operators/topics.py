@@ -76,14 +76,17 @@ def embed_with(df: DataFrame, embedder: Embedder, instruction: str, id_col: str,
     return df.join(out, id_col)
 
 
-def class_weights(docs: DataFrame, class_col: str = "topic", text_col: str = "text") -> DataFrame:
+def class_weights(docs: DataFrame, class_col: str = "topic", text_col: str = "text",
+                  words: F.Column | None = None) -> DataFrame:
     """(class, word, weight): the class TF-IDF weight of every word of every class.
 
+    ``words`` is an array column of words to take instead of the text's tokens.
     weight(t, c) = tf(t, c) / |c| * ln(1 + A / f(t)), where tf counts token t in
     class c, |c| is the token count of c, f(t) the count of t over all classes
     and A the whole-number mean of |c|.
     """
-    words = docs.select(F.col(class_col).alias("_c"), F.explode(tokens(text_col)).alias("word"))
+    words = docs.select(F.col(class_col).alias("_c"), F.explode(tokens(text_col) if words is None else words).alias(
+        "word")).filter("word is not null")
     # Texts are tokenised once: the (class, word, count) table feeds every sum.
     tf = materialize(words.groupBy("_c", "word").agg(F.count(F.lit(1)).alias("tf")))
     size = tf.groupBy("_c").agg(F.sum("tf").alias("class_size"))

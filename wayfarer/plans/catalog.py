@@ -24,6 +24,7 @@ from wayfarer.operators import reports as RP
 from wayfarer.operators import sampling as SA
 from wayfarer.operators import topics as TP
 from wayfarer.operators import vectors as V
+from wayfarer.plans import cluster_queries
 from wayfarer.plans import review as RV
 from wayfarer.plans import topics as TT
 from wayfarer.plans.journey_plan import JourneyParams, journey_stages
@@ -494,4 +495,5 @@ def registry() -> dict:
         "topic_prompts": q_topic_prompts,
         "topic_keywords": q_topic_keywords,
         "url_paths": q_url_paths,
+        **cluster_queries.QUERIES,
     }

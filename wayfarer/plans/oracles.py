@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from wayfarer.plans import cluster_queries
 from wayfarer.plans.workload import (ALL_MIN_FREQ, ALL_MIN_LEN, CLASS_MIN_FREQ, CLASS_MIN_LEN,
                                      DIVERGENCE_TOP, EXPORT_AS_OF, EXPORT_DAYS, MEDIUM_COLUMNS)
 from wayfarer.sources import events_adapter as A
@@ -627,4 +628,7 @@ def registry() -> dict[str, str]:
     for part in (journey_registry, pattern_registry, extra_registry, export_registry,
                  report_registry):
         out.update(part())
+    allj = _rwith(*_pattern_base(), _mine("allj", "TRUE", ALL_MIN_FREQ))
+    patterns = allj + _text("allj_c", ALL_MIN_LEN)
+    out.update(cluster_queries.oracle_sql(patterns, _rwith(*_pattern_base())))
     return out

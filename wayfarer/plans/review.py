@@ -34,6 +34,13 @@ def top_patterns(journeys: DataFrame, kind: str, top_n: int, min_freq: int,
         F.lit(kind).alias("kind"), "sequence", "freq", "length")
 
 
+def similar_non_converters(clustered: DataFrame) -> DataFrame:
+    """Non-converters of the clusters that hold a converter; noise (-1) is no cluster."""
+    conv_clusters = (clustered.filter((F.col("converted") == 1) & (F.col("cluster") > -1))
+                     .select("cluster").distinct())
+    return clustered.filter(F.col("converted") == 0).join(conv_clusters, "cluster", "left_semi")
+
+
 def review_parts(journeys: DataFrame, top_n: int = 10, reducer: str = "pca",
                  id_col: str = "user_id", k: int = 5, cell_size: float | None = None,
                  min_cluster_size: int = 3, contamination: float = 0.05, seed: int = 42,
@@ -46,10 +53,7 @@ def review_parts(journeys: DataFrame, top_n: int = 10, reducer: str = "pca",
     reduced = vectors.reduce(journeys, k, id_col=id_col)
     clustered = materialize(density.density_cluster(reduced, cell_size=cell_size,
                                                     min_cluster_size=min_cluster_size))
-    conv_clusters = (clustered.filter((F.col("converted") == 1) & (F.col("cluster") > -1))
-                     .select("cluster").distinct())
-    similar = clustered.filter(F.col("converted") == 0) \
-        .join(conv_clusters, "cluster", "left_semi").drop("pca")
+    similar = similar_non_converters(clustered).drop("pca")
     empty = spark.createDataFrame([], REVIEW_SCHEMA)
     if similar.isEmpty():
         return ReviewParts(clustered, similar.withColumn("anomaly", F.lit(1)), empty)

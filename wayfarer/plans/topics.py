@@ -29,8 +29,8 @@ def journey_topics(journeys: DataFrame, min_topic_size: int = 100, id_col: str =
                    diversity: float = 0.5) -> TopicResult:
     """Topics over journey texts; topic ids are ordered by size (0 = largest).
 
-    ``reduce_threshold`` merges topics whose keyword weights have at least that cosine
-    (the automatic topic reduction); ``None`` keeps every topic.
+    ``reduce_threshold`` merges topics whose class TF-IDF weights over labels have at
+    least that cosine (the automatic topic reduction); ``None`` keeps every topic.
     ``n_docs`` distinct texts stand for a topic in ``info`` and its prompt, chosen
     among all its texts with ``diversity`` (0 to 1) as the weight of their difference.
     """
@@ -46,7 +46,8 @@ def journey_topics(journeys: DataFrame, min_topic_size: int = 100, id_col: str =
     if reduce_threshold is None:
         groups = clustered.filter("topic >= 0").select("topic").distinct().withColumn("merged", F.col("topic"))
     else:
-        first = topics.class_weights(clustered.filter("topic >= 0").select("topic", F.col(text_col).alias("text")))
+        # Whole labels are the words here: those of a text share the same opening.
+        first = topics.class_weights(clustered.filter("topic >= 0"), words=F.col("activity_list"))
         groups = topics.merge_similar(first, reduce_threshold)
         # A topic without a word is like no other.
         groups = clustered.filter("topic >= 0").select("topic").distinct().join(groups, "topic", "left").select(
