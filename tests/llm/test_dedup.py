@@ -1,8 +1,11 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
+from tests.llm.conftest import prose
 from wayfarer.llm import embedding_dedup, minhash_dedup, suffix_dedup
 from wayfarer.llm.components import connected_components
 
@@ -76,6 +79,20 @@ def test_near_duplicate_rows_of_one_id_null_ids_and_extra_columns(spark):
     assert sorted((r[0] or 0, r[2]) for r in left.collect()) == [(0, 2), (0, 5), (1, 1), (4, 4)]
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    """The second text of id 1 and that of id 5 are like no other: no row of the stage may lose them."""
+    rng = random.Random(41)
+    a, c, d = (prose(rng, 80) for _ in range(3))
+    rows = [(1, a), (1, c), (0, c), (5, d), (5, a + " more"), (7, ""), (7, None), (9, d + " tail"), (9, d + " tail")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(df)[0].collect()}
+    assert got == {(0, 0, True), (1, 0, False), (5, 0, False), (7, 7, True), (9, 0, False)}
+    left = sorted(((r[0], r[1] or "") for r in minhash_dedup.drop_near_duplicates(df).collect()))
+    assert left == sorted([(1, a), (0, c), (5, d), (7, ""), (7, "")])
+    clash = minhash_dedup.drop_near_duplicates(df.withColumns({"row": F.lit(1), "kept_row": F.lit(2)}))
+    assert clash.columns == ["doc_id", "text", "row", "kept_row"] and clash.count() == 5
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert minhash_dedup.near_duplicates(empty)[0].count() == 0

@@ -18,9 +18,13 @@ candidate pair is either inside one component or was rejected.  At the bound of
 (1 - 0.85^6)^32, about 3e-7), and the estimate's slack is six standard errors.
 
 Defined results: null and empty texts, or texts without words, have an empty set
-and link with nothing; fewer than five words make one shingle of them all; rows
-of one id are one document (linked through any of their texts); rows with a null
-id link with nothing and are kept.  An empty table gives an empty result.
+and link with nothing; fewer than five words make one shingle of them all.  Rows of
+one id with different texts are one document for ``near_duplicates``: its texts are
+linked, so its rows with words share a component.  ``drop_near_duplicates`` takes them
+as documents of their own, so that a text that is like no other stays whatever its id.
+Equal rows are one; rows with a null id link with nothing and are kept.  An empty
+table gives an empty result.  Only the id and the text are read, so other columns may
+have any name.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.llm.components import connected_components
-from wayfarer.llm.tables import drop, store
+from wayfarer.llm.tables import drop, fresh, store
 from wayfarer.llm.text_arrays import Hasher, flat, lower_ascii, mix, pieces, windows, words
 
 SHINGLE = 5
@@ -119,11 +123,16 @@ def lowest_estimate(percent: int, bands: int) -> float:
     return j - ERRORS * float(np.sqrt(j * (1 - j) / (bands * ROWS))) / (1 - 2.0 ** -BITS)
 
 
-SIGNED = "doc_id long, n long, a long, b long, sig binary, bands array<long>"
+SIGNED = "doc_id long, row long, n long, a long, b long, sig binary, bands array<long>"
+
+
+def identity(doc_id: str, text: str) -> F.Column:
+    """64-bit hash of a row's id and text: rows that share it are equal, and of one class."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, bands: int = BANDS) -> DataFrame:
-    """(doc_id, set size, 128-bit set digest, packed signature, band keys)."""
+    """(doc_id, row identity, set size, 128-bit set digest, packed signature, band keys)."""
     def run(batches):
         hasher, (mul, add) = Hasher(7), permutations(hashes=bands * ROWS)
         for batch in batches:
@@ -138,13 +147,14 @@ def signatures(docs: DataFrame, doc_id: str, text: str, bands: int = BANDS) -> D
                                np.uint64).view(np.int64)
                 keys = band_keys(m)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(sets)).cast(pa.int64()), pa.array(n), pa.array(one), pa.array(two),
+                    [ids.slice(first, len(sets)).cast(pa.int64()), batch.column(2).slice(first, len(sets)),
+                     pa.array(n), pa.array(one), pa.array(two),
                      pa.array([r.tobytes() for r in pack(m)], pa.binary()),
                      pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * bands,
                                               pa.array(keys.reshape(-1)))],
-                    ["doc_id", "n", "a", "b", "sig", "bands"])
+                    ["doc_id", "row", "n", "a", "b", "sig", "bands"])
 
-    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, SIGNED)
+    return docs.select(F.col(doc_id).cast("long"), text, identity(doc_id, text).alias("_row")).mapInArrow(run, SIGNED)
 
 
 def plausible(pairs: DataFrame, percent: int, bands: int) -> DataFrame:
@@ -163,8 +173,8 @@ def plausible(pairs: DataFrame, percent: int, bands: int) -> DataFrame:
 
 
 def keep_texts(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(rep, a, z): compressed text of each wanted class, from its smallest document."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("t")).join(
+    """(rep, a, z): compressed text of each wanted class, from the row that stands for it."""
+    rows = docs.filter(F.col(doc_id).isNotNull()).select(identity(doc_id, text).alias("rep"), F.col(text).alias("t")).join(
         wanted.select(F.col("rep"), F.col("a").alias("wanted_a")), "rep")
 
     def run(batches):
@@ -177,7 +187,6 @@ def keep_texts(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> Da
             keep, found = [], []
             for first, d, o in pieces(data, offsets):
                 for i, s in enumerate(shingle_sets(d, o, hasher)):
-                    # An id with several texts: only the one that made the class.
                     if int(np.array([s.sum(dtype=np.uint64)]).view(np.int64)[0]) == asked[first + i]:
                         keep.append(first + i)
                         found.append(packer.compress(d[o[i]:o[i + 1]].tobytes()))
@@ -327,11 +336,23 @@ def across(members: DataFrame, percent: int, bands: int) -> DataFrame:
     return dealt.mapInArrow(run, "x long, y long")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
-                    percent: int = PERCENT, bands: int = BANDS) -> tuple[DataFrame, str]:
-    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``, and its path.
+def texts_of_one_id(worded: DataFrame, classes: DataFrame) -> DataFrame:
+    """(x, y): links between the classes of every id that has several."""
+    kind = F.struct("a", "b")
+    several = worded.groupBy("doc_id").agg(F.min(kind).alias("low"), F.max(kind).alias("high")).filter("low <> high")
+    own = worded.join(several, "doc_id").select("doc_id", "a", "b", "low").distinct()
+    reps = classes.select("a", "b", F.col("rep").alias("y"))
+    low = classes.select(F.col("a").alias("low_a"), F.col("b").alias("low_b"), F.col("rep").alias("x"))
+    return own.withColumn("low_a", F.col("low.a")).withColumn("low_b", F.col("low.b")).join(
+        reps, ["a", "b"]).join(low, ["low_a", "low_b"]).filter("x <> y").select("x", "y")
 
-    A lower ``percent`` than the default needs more ``bands``.
+
+def grouped(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT,
+            bands: int = BANDS, one_id: bool = True) -> tuple[DataFrame, str]:
+    """(doc_id, row, n, first_id, first_row), one row per row of ``docs``, and its path.
+
+    ``first_id`` and ``first_row`` are the smallest id of a row's component and the row
+    that stands for it; null without words or id.  ``one_id`` links the texts of an id.
     """
     if bands % 8:
         raise ValueError("bands must be a multiple of eight")
@@ -339,7 +360,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     signed, signed_path = store(signatures(docs, doc_id, text, bands), "signatures")
     worded = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = worded.groupBy("a", "b").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"),
+        F.min("row").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"),
         F.first("bands").alias("bands"))
     classes, classes_path = store(classes, "classes")
     banded = classes.select(F.posexplode("bands").alias("band", "key"), "rep", "a")
@@ -381,7 +402,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
                           F.col("rep").alias("y"), F.col("a").alias("ya")).filter(other)
     least = stars.groupBy("y", "ya").agg(F.min(F.struct("x", "xa")).alias("h")).select(
         "h.x", "h.xa", "y", "ya")
-    settle(confirm(likely(least), texts, percent))
+    links = confirm(likely(least), texts, percent)
+    if one_id:
+        links = links.unionByName(texts_of_one_id(worded, classes))
+    settle(links)
+
     def still_open() -> DataFrame:
         """Members of the buckets that hold several components."""
         rows = placed(shared, "rep", "component")
@@ -401,22 +426,42 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     per_class = classes.select("a", "b", "rep").join(
         member.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "a", "b", F.coalesce("component", "rep").alias("component"))
-    rows = signed.select("doc_id", "n", "a", "b").join(per_class, ["a", "b"], "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    result, path = store(rows.select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "minhash")
+    placed_rows, path = store(worded.select("doc_id", "row", "n", "a", "b").join(per_class, ["a", "b"]).select(
+        "doc_id", "row", "n", "component"), "members")
+    paths.append(path)
+    first = placed_rows.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    # Stored, so that the join has an exchange of its own and can split a large component.
+    first, path = store(first, "firsts")
+    paths.append(path)
+    named = placed_rows.join(first, "component").select(
+        "doc_id", "row", "n", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row"))
+    none = F.lit(None).cast("long")
+    rest = signed.filter((F.col("n") == 0) | F.col("doc_id").isNull()).select(
+        "doc_id", "row", "n", none.alias("first_id"), none.alias("first_row"))
+    result, path = store(named.unionByName(rest), "minhash")
     drop(spark, *paths)
     return result, path
 
 
-def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", **settings) -> DataFrame:
-    """The document with the smallest id of each group, one row an id; null ids stay."""
-    result, _ = near_duplicates(docs, doc_id=doc_id, **settings)
-    kept = result.filter(F.col("kept") & F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").alias("_kept_id")).distinct()
-    one = docs.join(kept, F.col(doc_id) == F.col("_kept_id"), "left_semi").dropDuplicates([doc_id])
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
+                    percent: int = PERCENT, bands: int = BANDS) -> tuple[DataFrame, str]:
+    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``, and its path.
+
+    A lower ``percent`` than the default needs more ``bands``.
+    """
+    rows, path = grouped(docs, doc_id=doc_id, text=text, percent=percent, bands=bands)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first_id", "doc_id").alias(
+        "component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), path
+
+
+def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """One row of each group, that with the smallest id; rows without words or id stay, equal rows are one."""
+    rows, _ = grouped(docs, doc_id=doc_id, text=text, one_id=False, **settings)
+    row, kept_row = fresh(docs, "row", "kept_row")
+    kept = rows.filter(F.col("doc_id").isNotNull() & (F.col("first_row").isNull() | (
+        F.col("first_row") == F.col("row")))).select(F.col("row").alias(kept_row)).distinct()
+    one = docs.filter(F.col(doc_id).isNotNull()).withColumn(row, identity(doc_id, text)).join(
+        kept, F.col(row) == F.col(kept_row), "left_semi").dropDuplicates([row]).drop(row)
     return one.unionByName(docs.filter(F.col(doc_id).isNull()))
 
 
