@@ -122,22 +122,47 @@ def test_concentration_steps_equal_numpy(spark):
     row = model.filter(F.col("_key").startswith("0")).head()
 
     x = np.array([[r["q"][c] for c in quality_rules.STATISTICS] for r in measured.collect()])
-    floor = np.square(quality_rules.FLOOR)
-    mean = np.array([np.percentile(np.floor(x[:, j] * 256 + 0.5), 50) for j in range(x.shape[1])]) / 256
-    inverse = np.diag(1 / floor)
-    for _ in range(quality_rules.STEPS):
-        d = np.einsum("ni,ij,nj->n", x - mean, inverse, x - mean)
-        place = np.floor(np.log2(d + 2.0 ** -10) * quality_rules.BINS_PER_OCTAVE)
-        limit = next(b for b in np.unique(place) if (place <= b).sum() >= len(x) / 2)
-        some = x[place <= limit]
-        mean = some.mean(axis=0)
-        inverse = np.linalg.inv(np.cov(some.T, bias=True) * 1.9 + np.diag(floor))
+    least = np.square(quality_rules.FLOOR)
+    quarter, median, three = np.percentile(np.floor(x * 256 + 0.5), (25, 50, 75), axis=0) / 256
+
+    def refit(some, share):
+        cov = np.cov(some.T, bias=True) * quality_rules.consistency(share)
+        np.fill_diagonal(cov, np.maximum(np.diag(cov), least))
+        return some.mean(axis=0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+
+    ends = []
+    for spread in (least, np.maximum(np.square((three - quarter) / 1.349), least)):
+        mean, inverse, size = median, np.diag(1 / spread), np.inf
+        for _ in range(quality_rules.STEPS):
+            d = np.einsum("ni,ij,nj->n", x - mean, inverse, x - mean)
+            place = np.floor(np.log2(d + 2.0 ** -10) * quality_rules.BINS_PER_OCTAVE)
+            limit = next(b for b in np.unique(place) if (place <= b).sum() >= len(x) / 2)
+            before = size
+            mean, inverse, size = refit(x[place <= limit], 0.5)
+            if size >= before - 1e-6:
+                break
+        ends.append((size, mean, inverse))
+    _, mean, inverse = min(ends, key=lambda e: e[0])
+    d = np.einsum("ni,ij,nj->n", x - mean, inverse, x - mean)
+    mean, inverse, _ = refit(x[d <= quality_rules.chi_square_quantile(quality_rules.TRUSTED, x.shape[1])],
+                             quality_rules.TRUSTED)
     assert np.allclose(row["mean"], mean, atol=1e-6)
     assert np.allclose(np.array(row["inverse"]).reshape(inverse.shape), inverse, rtol=1e-3, atol=1e-2)
     kept = {r["doc_id"] for r in quality_rules.quality_filter(df).collect()}
     assert kept == set(range(20, 300))
 
 
+def test_consistency_factors_are_those_of_a_normal_sample():
+    rng = np.random.default_rng(1)
+    for dimensions, share in ((7, 0.5), (6, 0.5), (7, 0.975)):
+        x = rng.normal(size=(200_000, dimensions))
+        d = (x ** 2).sum(axis=1)
+        limit = quality_rules.chi_square_quantile(share, dimensions)
+        assert abs((d <= limit).mean() - share) < 0.005
+        assert quality_rules.consistency(share, dimensions) == pytest.approx(1 / x[d <= limit].var(), rel=0.01)
+    assert quality_rules.chi_square_share(quality_rules.CUTOFF, 7) == pytest.approx(1 - 1e-6, abs=1e-8)
+
+
 def test_quality_rules_on_odd_rows(documents, texts):
     judged = quality_rules.quality_verdicts(documents)
     assert judged.columns == [*documents.columns, "quality_stats", "quality_verdict"]

@@ -71,12 +71,30 @@ def test_mixing_nulls_repeats_and_empty_tables(spark):
     rows = [(None, None, None), (1, None, "t"), (1, None, "t"), (1, "s", "t")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     got = mixing.mix_sources(df, default_weight=4.0).collect()
-    copies = Counter((r["doc_id"], r["source"]) for r in got)
-    assert copies[1, None] % 2 == 0
+    # Equal rows are rows of their own: each of the four has its copies numbered from 1.
+    firsts = Counter((r["doc_id"], r["source"]) for r in got if r["copy"] == 1)
+    assert firsts[1, None] <= 2 and set(firsts) <= {(None, None), (1, None), (1, "s")}
+    assert sum(r["n_copies"] for r in got if r["copy"] == 1) == len(got)
     assert mixing.mix_sources(df.limit(0)).count() == 0
     assert mixing.mix_sources(df, weights={}, default_weight=0.0).count() == 0
 
 
+def test_equal_rows_draw_and_are_dealt_out_one_by_one(spark):
+    """Equal rows of a null id, and rows that differ in a map only."""
+    rows = [(None, "t", "wiki", {"a": 1})] * 400 + [(None, "t", "wiki", {"a": 2})] * 3 + [(5, "u", "wiki", None)] * 40
+    rows += [(i, "v", "wiki", None) for i in range(10, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,int>").repartition(4)
+    named = mixing.with_identity(df, "doc_id", "own")
+    assert named.columns == [*df.columns, "own"] and named.count() == len(rows)
+    assert named.select("own").distinct().count() == len(rows)
+    assert named.filter(F.col("m")["a"] == 2).count() == 3
+    assert {r["own"] for r in named.filter("doc_id >= 10").collect()} == {str(i) for i in range(10, 60)}
+    mixed = mixing.mix_sources(df, weights={"wiki": 1.0})
+    drawn = mixed.filter("doc_id is null").groupBy("shuffle_key").count()
+    copies = [r["n_copies"] for r in mixed.filter("doc_id is null and copy = 1").collect()]
+    assert len(set(copies)) > 2 and drawn.filter("count > 1").count() == 0
+
+
 def test_rows_of_null_and_repeated_ids_draw_one_by_one(spark):
     """A third of the rows without an id, a third under one id: weights hold and the keys spread."""
     rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "ab"[i % 2], f"t{i}") for i in range(3000)]

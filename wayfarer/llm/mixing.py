@@ -5,8 +5,8 @@ documents, over its own documents.  Each document draws a uniform number from a
 hash of its id and inverts its source's Poisson distribution with it, is
 exploded by that count and dealt out by a hash of (id, copy), sorted inside each
 partition: a global shuffle that every run repeats exactly.  Where the id is null
-or several rows have it, the row's own hash goes with it, so that such rows draw
-and are dealt out one by one.  All of it is DataFrame functions; the only
+or several rows have it, the row's own hash and, for equal rows, a number go with it,
+so that such rows draw and are dealt out one by one.  All of it is DataFrame functions; the only
 aggregations are counts per source and id.
 
 Rates above ``SPLIT`` are drawn as sums of equal parts, since a Poisson
@@ -14,9 +14,9 @@ distribution is the sum of independent ones and exp(-rate) would underflow.
 
 Defined results: sources without a weight, and null ones, have
 ``default_weight``; weights are relative among the sources present; weight 0
-removes a source, and if no source has weight nothing is left.  Rows that are
-equal in every column draw the same count; text plays no other part, so null and
-empty texts are mixed like any other.  ``ORACLE_SQL`` draws by id alone and so
+removes a source, and if no source has weight nothing is left.  Equal rows are rows of
+their own; text plays no other part, so null and empty texts are mixed like any
+other.  ``ORACLE_SQL`` draws by id alone and so
 holds for tables of distinct ids.  An empty table gives an empty result.
 """
 
@@ -66,18 +66,33 @@ def uniform(*parts):
 
 
 def with_identity(docs: DataFrame, doc_id: str, out: str) -> DataFrame:
-    """``docs`` and a string ``out``: the id, with the row's hash where the id is null or repeated."""
+    """``docs`` and a string ``out``, different for every row: the id, and more where it is null or repeated.
+
+    Rows of a null or repeated id get the row's hash too, and equal ones a number:
+    they are counted by hash and input partition and dealt out again, so a number is
+    the same whenever a task runs again, and many equal rows stay spread as they were.
+    """
     found, times = fresh([*docs.columns, out], "_id", "_times")
     # Stored, so that its size is known: few repeated ids are broadcast, and no text moves for them.
-    repeated, _ = store(docs.select(F.col(doc_id).alias(found)).filter(F.col(found).isNotNull())
-                        .groupBy(found).agg(F.count("*").alias(times)).filter(F.col(times) > 1), "repeated-ids")
-    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
-    row = F.xxhash64(*[x for c in hashed for x in (F.col(c).isNull(), F.col(c))])
-    ident = F.col(doc_id).cast("string")
-    alone = F.col(doc_id).isNotNull() & F.col(times).isNull()
-    return docs.join(repeated, F.col(doc_id) == F.col(found), "left").withColumn(
-        out, F.when(alone, ident).otherwise(F.concat_ws("#", F.coalesce(ident, F.lit("-")), row))).drop(
-        found, times)
+    repeated, _ = store(docs.select(F.col(doc_id).alias(found)).groupBy(found).agg(F.count("*").alias(times)).filter(
+        (F.col(times) > 1) | F.col(found).isNull()), "repeated-ids")
+    alone = docs.withColumn(out, F.col(doc_id).cast("string"))
+    if repeated.isEmpty():
+        return alone
+    same = F.col(doc_id).eqNullSafe(F.col(found))
+    alone = alone.join(repeated, same, "left_anti")
+    row, part, m, content = fresh([*docs.columns, out], "_row", "_part", "_m", "_content")
+    # Maps and variants have no hash of their own, their text has.
+    plain = lambda kind: "map<" not in kind and "variant" not in kind
+    hashed = [x for c, kind in docs.dtypes for x in (
+        F.col(c).isNull(), F.col(c) if plain(kind) else F.to_json(F.struct(c)))]
+    counted = docs.join(repeated, same, "left_semi").groupBy(
+        F.concat_ws("#", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.xxhash64(*hashed)).alias(row),
+        F.spark_partition_id().alias(part)).agg(
+        F.count("*").alias(m), F.first(F.struct(*docs.columns)).alias(content))
+    numbered = counted.withColumn(m, F.explode(F.sequence(F.lit(1).cast("long"), F.col(m)))).select(
+        f"{content}.*", F.concat_ws("#", row, F.col(part).cast("string"), F.col(m).cast("string")).alias(out))
+    return alone.unionByName(numbered)
 
 
 def mix_sources(docs: DataFrame, *, weights: dict[str, float] | None = None,

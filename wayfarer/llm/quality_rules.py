@@ -2,10 +2,12 @@
 
 Each document becomes a vector of transformed statistics.  For every language
 and source a minimum-covariance-determinant estimate is made by concentration
-steps: start from coordinate medians, then repeatedly refit mean and covariance
-on the half of the documents that lies closest.  One step is one combinable
-aggregation (counts, sums and cross products per group and distance bin), so no
-group, however large, is gathered anywhere.  Documents whose squared robust
+steps: start from coordinate medians, once with the floors and once with the
+quartiles as spread, then refit mean and covariance on the half of the documents that
+lies closest until no determinant falls any more; the start of the smaller one counts.
+A last step refits on all documents within the chi-square quantile of 0.975.  One step
+is one combinable aggregation (counts, sums and cross products per group and distance
+bin), so no group, however large, is gathered anywhere.  Documents whose squared robust
 Mahalanobis distance exceeds ``cutoff`` are rejected, as are those that fail the
 two fixed base rules.
 
@@ -19,6 +21,8 @@ empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +44,11 @@ FLOOR = (0.05, 0.03, 0.03, 0.03, 0.05, 0.08, 0.08)
 #: quantile of 1 - 1e-6, so one ordinary document in a million is rejected.
 CUTOFF = 40.52
 MIN_GROUP = 50
-STEPS = 5
+#: Concentration steps at most; they end when no determinant falls.
+STEPS = 15
+STARTS = 2
+#: Share of a normal sample that the last refit keeps.
+TRUSTED = 0.975
 BINS_PER_OCTAVE = 8
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -156,17 +164,43 @@ def _squared_distance(stats: str, model: str):
     return total
 
 
-MODEL = "_key string, n long, mean array<double>, inverse array<double>"
+def chi_square_share(x: float, dimensions: int) -> float:
+    """Share of squared distances up to ``x`` of a normal sample: the incomplete gamma series."""
+    a, half = dimensions / 2, x / 2
+    if half <= 0:
+        return 0.0
+    term = total = 1 / a
+    k = a
+    while term > total * 1e-16:
+        k += 1
+        term *= half / k
+        total += term
+    return total * math.exp(a * math.log(half) - half - math.lgamma(a))
+
+
+def chi_square_quantile(share: float, dimensions: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square_share(middle, dimensions) < share else (low, middle)
+    return high
+
 
+def consistency(share: float, dimensions: int = DIMENSIONS) -> float:
+    """What the covariance of the closest ``share`` of a normal sample is short of the whole one's."""
+    return share / chi_square_share(chi_square_quantile(share, dimensions), dimensions + 2)
 
-def _models(sums: DataFrame, floor: tuple) -> DataFrame:
-    """Mean and inverse covariance of each key from counts, sums and cross products.
 
-    The covariance is widened by a consistency factor (the closest half of a
-    normal sample spreads less than the whole) and by the floors.
+MODEL = "_key string, n long, mean array<double>, inverse array<double>, size double"
+
+
+def _models(sums: DataFrame, floor: tuple, share: float) -> DataFrame:
+    """Mean, inverse covariance and its log determinant of each key from counts, sums and cross products.
+
+    The covariance is widened, as the closest ``share`` of a normal sample spreads less
+    than the whole; a variance below the floor's square is raised to that.
     """
-    # chi-square median over the mean squared distance inside it, six dimensions
-    widen = 1.9
+    widen, least = consistency(share), np.square(floor)
 
     def run(batches):
         for batch in batches:
@@ -181,12 +215,16 @@ def _models(sums: DataFrame, floor: tuple) -> DataFrame:
                 for j in range(i, DIMENSIONS):
                     q = batch.column(f"q{i}_{j}").to_numpy(zero_copy_only=False)
                     cov[:, i, j] = cov[:, j, i] = q / n - mean[:, i] * mean[:, j]
-            inverse = np.linalg.inv(cov * widen + np.diag(np.square(floor)))
+            cov *= widen
+            at = np.arange(DIMENSIONS)
+            cov[:, at, at] = np.maximum(cov[:, at, at], least)
+            inverse = np.linalg.inv(cov)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_key"), batch.column("n"),
                  pa.array(list(mean), pa.list_(pa.float64())),
-                 pa.array(list(inverse.reshape(len(n), -1)), pa.list_(pa.float64()))],
-                ["_key", "n", "mean", "inverse"])
+                 pa.array(list(inverse.reshape(len(n), -1)), pa.list_(pa.float64())),
+                 pa.array(np.linalg.slogdet(cov)[1])],
+                ["_key", "n", "mean", "inverse", "size"])
 
     return sums.mapInArrow(run, MODEL)
 
@@ -202,44 +240,63 @@ def fit(measured: DataFrame, lang: str, source: str, stats: str, *, min_group: i
     rows = (measured.filter(F.col(f"{stats}.n_words") > 0)
             .select(F.explode(F.array(*_keys(F.col(lang), F.col(source)))).alias("_key"),
                     F.col(stats).alias("x")))
-    # Start: coordinate medians on a grid of 1/256, so that the exact median's buffer is bounded.
-    medians = rows.groupBy("_key").agg(
+    # Start: coordinate quartiles on a grid of 1/256, so that the exact ones' buffer is bounded.
+    quartiles = rows.groupBy("_key").agg(
         F.count("*").alias("n"),
-        *[F.percentile(F.round(F.col(f"x.{c}") * 256), 0.5).alias(f"m{i}")
+        *[F.percentile(F.round(F.col(f"x.{c}") * 256), F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])).alias(f"m{i}")
           for i, c in enumerate(STATISTICS)]).filter(F.col("n") >= min_group)
-    scale = [0.0] * DIMENSIONS ** 2
-    for i in range(DIMENSIONS):
-        scale[i * DIMENSIONS + i] = 1.0 / floor[i] ** 2
-    start = medians.select("_key", "n",
-                           F.array(*[F.col(f"m{i}") / 256 for i in range(DIMENSIONS)]).alias("mean"),
-                           F.array(*[F.lit(v) for v in scale]).alias("inverse"))
+    mean = F.array(*[F.col(f"m{i}")[1] / 256 for i in range(DIMENSIONS)])
+    spreads = [[F.lit(f) for f in floor],
+               [F.greatest((F.col(f"m{i}")[2] - F.col(f"m{i}")[0]) / (256 * 1.349), F.lit(f)) for i, f in enumerate(floor)]]
+    starts = F.array(*[F.struct(F.lit(str(k)).alias("start"), F.array(*[
+        1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(DIMENSIONS) for j in range(DIMENSIONS)
+    ]).alias("inverse")) for k, spread in enumerate(spreads)])
+    start = quartiles.select("_key", "n", mean.alias("mean"), F.explode(starts).alias("s")).select(
+        F.concat_ws("\x1e", "_key", "s.start").alias("_key"), "n", "mean", "s.inverse", F.lit(float("inf")).alias("size"))
     model, path = store(start, "mcd")
+    both = rows.withColumn("_key", F.explode(F.array(*[F.concat_ws("\x1e", "_key", F.lit(str(k))) for k in range(STARTS)])))
     for _ in range(steps):
-        near = rows.join(model.select(F.col("_key"), F.struct("mean", "inverse").alias("m"), "n"), "_key")
-        near = near.withColumn("bin", F.floor(
-            F.log2(_squared_distance("x", "m") + F.lit(2.0 ** -10)) * BINS_PER_OCTAVE))
-        xs = [F.col(f"x.{c}") for c in STATISTICS]
-        sums = [F.count("*").alias("n_used"), F.first("n").alias("n"),
-                *[F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)],
-                *[F.sum(xs[i] * xs[j]).alias(f"q{i}_{j}")
-                  for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]]
-        bins = near.groupBy("_key", "bin").agg(*sums)
-        # The bins up to the one where half of the documents are reached.
-        names = [c for c in bins.columns if c not in ("_key", "bin", "n")]
-        per_key = bins.groupBy("_key").agg(
-            F.first("n").alias("n"), F.array_sort(F.collect_list(
-                F.struct("bin", F.array(*[F.col(c).cast("double") for c in names]).alias("v")))).alias("b"))
-        half = F.col("n") / 2
-        taken = F.aggregate(
-            "b", F.array(*[F.lit(0.0)] * len(names)),
-            lambda acc, x: F.when(acc[0] >= half, acc).otherwise(
-                F.zip_with(acc, x["v"], lambda p, q: p + q)))
-        refit = per_key.select("_key", "n", taken.alias("v")).select(
-            "_key", "n", *[F.col("v")[i].alias(c) for i, c in enumerate(names)])
-        newer, newer_path = store(_models(refit, floor), "mcd")
+        newer, newer_path = store(_refit(both, model, floor, 0.5).join(
+            model.select("_key", F.col("size").alias("before")), "_key"), "mcd")
+        settled = newer.filter(F.col("size") < F.col("before") - 1e-6).isEmpty()
         drop(spark, path)
-        model, path = newer, newer_path
-    return model, path
+        model, path = newer.drop("before"), newer_path
+        if settled:
+            break
+    best = model.groupBy(F.substring_index("_key", "\x1e", 1).alias("_key")).agg(
+        F.min_by(F.struct("n", "mean", "inverse", "size"), F.struct("size", "_key")).alias("m")).select("_key", "m.*")
+    best, best_path = store(best, "mcd")
+    final, final_path = store(_refit(rows, best, floor, TRUSTED), "mcd")
+    drop(spark, path, best_path)
+    return final, final_path
+
+
+def _refit(rows: DataFrame, model: DataFrame, floor: tuple, share: float) -> DataFrame:
+    """Models from each key's closest documents: the half of them, or those within a normal sample's ``share``."""
+    near = rows.join(model.select(F.col("_key"), F.struct("mean", "inverse").alias("m"), "n"), "_key")
+    distance = _squared_distance("x", "m")
+    if share == 0.5:
+        near = near.withColumn("bin", F.floor(F.log2(distance + F.lit(2.0 ** -10)) * BINS_PER_OCTAVE))
+    else:
+        near = near.filter(distance <= chi_square_quantile(share, DIMENSIONS)).withColumn("bin", F.lit(0).cast("long"))
+    xs = [F.col(f"x.{c}") for c in STATISTICS]
+    sums = [F.count("*").alias("n_used"), F.first("n").alias("n"),
+            *[F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)],
+            *[F.sum(xs[i] * xs[j]).alias(f"q{i}_{j}")
+              for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]]
+    bins = near.groupBy("_key", "bin").agg(*sums)
+    # The bins up to the one where half of the documents are reached.
+    names = [c for c in bins.columns if c not in ("_key", "bin", "n")]
+    per_key = bins.groupBy("_key").agg(
+        F.first("n").alias("n"), F.array_sort(F.collect_list(
+            F.struct("bin", F.array(*[F.col(c).cast("double") for c in names]).alias("v")))).alias("b"))
+    half = F.col("n") / 2
+    taken = F.aggregate(
+        "b", F.array(*[F.lit(0.0)] * len(names)),
+        lambda acc, x: F.when(acc[0] >= half, acc).otherwise(
+            F.zip_with(acc, x["v"], lambda p, q: p + q)))
+    return _models(per_key.select("_key", "n", taken.alias("v")).select(
+        "_key", "n", *[F.col("v")[i].alias(c) for i, c in enumerate(names)]), floor, share)
 
 
 def judge(measured: DataFrame, model: DataFrame, lang: str, source: str, stats: str, out: str, *,
