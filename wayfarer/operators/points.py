@@ -129,3 +129,23 @@ def core_distances(grid: Grid, k: int, start: int) -> DataFrame:
         if not k_or_less or rest.isEmpty():
             return store(done, "core-distances")
         level += 1
+
+
+def nearest(grid: Grid, queries: DataFrame, start: int) -> DataFrame:
+    """(id, other): the grid's point nearest to each query (id, v); of equally near ones the smallest id.
+
+    Queries with a point within a cell's side are done, the rest goes on with cells of
+    twice the side.  The grid must hold a point.
+    """
+    store = grid.store
+    rest = store(queries.select("id", "v", F.transform(
+        "v", lambda x: F.floor(x / F.lit(grid.side)).cast("long")).alias("cell")), "queries")
+    done, level = None, start
+    while not rest.isEmpty():
+        d = distance("v", "u", grid.width)
+        near = grid.near_pairs(rest, level).withColumn("d", d).filter(F.col("d") <= grid.side_at(level))
+        found = store(near.groupBy("id").agg(F.min(F.struct("d", "other")).alias("n")).select("id", "n.other"), "nearest")
+        done = found if done is None else done.unionByName(found)
+        rest = store(rest.join(found, "id", "left_anti"), "queries")
+        level += 1
+    return queries.select("id").limit(0).withColumn("other", F.lit(None).cast("long")) if done is None else done

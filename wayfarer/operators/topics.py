@@ -46,13 +46,26 @@ def tokens(text_col: str = "text") -> F.Column:
                        lambda t: F.lower(t))
 
 
-def embed_labels(df: DataFrame, seq_col: str = "activity_list", id_col: str = "user_id") -> DataFrame:
-    """Default embedding in long form: (id, label, w), TF-IDF over all labels, rows of length one."""
-    n = df.count()
-    tf = df.select(F.col(id_col).alias("id"), F.explode(seq_col).alias("label")).filter(
+def _label_counts(df: DataFrame, seq_col: str, id_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("id"), F.explode(seq_col).alias("label")).filter(
         F.col("label").isNotNull()).groupBy("id", "label").agg(F.count("*").alias("tf"))
-    idf = tf.groupBy("label").agg(F.log((n + 1) / (F.count("*") + 1)).alias("idf"))
-    w = tf.join(idf, "label").withColumn("w", F.col("tf") * F.col("idf"))
+
+
+def label_idf(df: DataFrame, seq_col: str = "activity_list", id_col: str = "user_id") -> DataFrame:
+    """(label, idf): log((rows + 1) / (rows with the label + 1))."""
+    n = df.count()
+    return _label_counts(df, seq_col, id_col).groupBy("label").agg(F.log((n + 1) / (F.count("*") + 1)).alias("idf"))
+
+
+def embed_labels(df: DataFrame, seq_col: str = "activity_list", id_col: str = "user_id",
+                 idf: DataFrame | None = None) -> DataFrame:
+    """Default embedding in long form: (id, label, w), TF-IDF over all labels, rows of length one.
+
+    ``idf`` (label, idf) comes from the rows themselves if it is not given; labels
+    that it does not know are left out.
+    """
+    idf = label_idf(df, seq_col, id_col) if idf is None else idf
+    w = _label_counts(df, seq_col, id_col).join(idf, "label").withColumn("w", F.col("tf") * F.col("idf"))
     norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norm, "id").select("id", "label", F.when(
         F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0).alias("w"))

@@ -8,6 +8,8 @@ sums over the long rows.  The driver sees only matrices of the basis' width.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler
@@ -177,6 +179,31 @@ def _signed(axes: DataFrame, offset: np.ndarray, scratch: Scratch) -> tuple[Data
             offset * np.array(sign))
 
 
+@dataclass
+class Axes:
+    """Fitted components: ``table`` (label, mean, scale, v), and the column means' projection."""
+    table: DataFrame
+    offset: np.ndarray
+
+    def project(self, df: DataFrame, weights: DataFrame, id_col: str, out_col: str = "pca") -> DataFrame:
+        """``df`` (one row an id) and the components of its weights (id, label, w); other labels add nothing."""
+        if not len(self.offset):
+            return df.withColumn(out_col, array_to_vector(F.array(F.lit(0.0))))
+        rows = _project(weights, self.table, self.offset).withColumnRenamed("id", "_id").withColumnRenamed("y", "_y")
+        nothing = F.array(*[F.lit(-float(o)) for o in self.offset])
+        return df.join(rows, F.col(id_col) == F.col("_id"), "left").withColumn(
+            out_col, array_to_vector(F.coalesce("_y", nothing))).drop("_id", "_y")
+
+
+def fit_axes(df: DataFrame, weights: DataFrame, k: int = 5) -> Axes:
+    """The first ``k`` components of the standardised weights over the rows of ``df``, stored."""
+    scratch = Scratch(df.sparkSession)
+    axes, offset = principal_axes(scratch(weights, "label-weights"), df.count(), k, scratch)
+    table, _ = store(axes, "axes")
+    scratch.close()
+    return Axes(table, offset)
+
+
 def components(df: DataFrame, weights: DataFrame, k: int = 5, id_col: str = "user_id",
                out_col: str = "pca") -> DataFrame:
     """``df`` (one row an id) and its first ``k`` components of the standardised weights, as a vector.
@@ -184,16 +211,9 @@ def components(df: DataFrame, weights: DataFrame, k: int = 5, id_col: str = "use
     With fewer labels than ``k`` the vectors are that much shorter.
     """
     scratch = Scratch(df.sparkSession)
-    n = df.count()
     weights = scratch(weights, "label-weights")
-    axes, offset = principal_axes(weights, n, k, scratch)
-    if not len(offset):
-        scratch.close()
-        return df.withColumn(out_col, array_to_vector(F.array(F.lit(0.0))))
-    rows = _project(weights, axes, offset).withColumnRenamed("id", "_id").withColumnRenamed("y", "_y")
-    nothing = F.array(*[F.lit(-float(o)) for o in offset])
-    got, _ = store(df.join(rows, F.col(id_col) == F.col("_id"), "left").withColumn(
-        out_col, array_to_vector(F.coalesce("_y", nothing))).drop("_id", "_y"), "components")
+    axes, offset = principal_axes(weights, df.count(), k, scratch)
+    got, _ = store(Axes(axes, offset).project(df, weights, id_col, out_col), "components")
     scratch.close()
     return got
 

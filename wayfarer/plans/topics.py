@@ -26,16 +26,19 @@ def journey_topics(journeys: DataFrame, min_topic_size: int = 100, id_col: str =
                    instruction: str = topics.INSTRUCTION, labeler=None, k: int = 5,
                    cell_size: float | None = None, n_keywords: int = 10,
                    reduce_threshold: float | None = 0.9, n_docs: int = 3,
-                   diversity: float = 0.5) -> TopicResult:
+                   diversity: float = 0.5, reduced: DataFrame | None = None) -> TopicResult:
     """Topics over journey texts; topic ids are ordered by size (0 = largest).
 
     ``reduce_threshold`` merges topics whose class TF-IDF weights over labels have at
     least that cosine (the automatic topic reduction); ``None`` keeps every topic.
+    ``reduced`` gives the journeys with their reduced vectors (``pca``) if they are known.
     ``n_docs`` distinct texts stand for a topic in ``info`` and its prompt, chosen
     among all its texts with ``diversity`` (0 to 1) as the weight of their difference.
     """
     journeys = materialize(journeys.select(id_col, "activity_list", text_col))
-    if embedder is None:
+    if reduced is not None:
+        red = reduced
+    elif embedder is None:
         red = vectors.components(journeys, topics.embed_labels(journeys, id_col=id_col), k, id_col)
     else:
         emb = topics.embed_with(journeys, embedder, instruction, id_col, text_col)
