@@ -75,18 +75,18 @@ def embed_with(df: DataFrame, embedder: Embedder, instruction: str, id_col: str,
                text_col: str, dim_hint: str = "array<float>") -> DataFrame:
     """Run a user model over (id, instruction, text) batches on the executors.
 
-    ``embedder`` receives pandas batches with columns id, instruction, text and
-    yields batches with id and ``embedding`` (a float list per row).
+    ``embedder`` receives pandas batches with columns id (a row number), instruction,
+    text and yields batches with id and ``embedding`` (a float list per row).
     """
     if not isinstance(instruction, str) or not instruction:
         raise ValueError("an embedding instruction must be given")
-    src = df.select(F.col(id_col).alias("id"), F.lit(instruction).alias("instruction"),
-                    F.col(text_col).alias("text"))
-    id_type = dict(src.dtypes)["id"]
-    out = src.mapInPandas(embedder, f"id {id_type}, embedding {dim_hint}")
-    out = out.select(F.col("id").alias(id_col),
-                     array_to_vector(F.col("embedding")).alias("embedding"))
-    return df.join(out, id_col)
+    # Rows are told apart by a number: ids may repeat.
+    numbered = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "to-embed")
+    src = numbered.select(F.col("_row").alias("id"), F.lit(instruction).alias("instruction"),
+                          F.col(text_col).alias("text"))
+    out = src.mapInPandas(embedder, f"id long, embedding {dim_hint}")
+    out = out.select(F.col("id").alias("_row"), array_to_vector(F.col("embedding")).alias("embedding"))
+    return numbered.join(out, "_row").drop("_row")
 
 
 def class_weights(docs: DataFrame, class_col: str = "topic", text_col: str = "text",
