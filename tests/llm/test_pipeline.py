@@ -9,7 +9,7 @@ from wayfarer.llm.tables import store
 
 def test_registry_is_part_of_the_entry():
     queries, sql = E.queries(), E.oracle_sql()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in registry.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in registry.QUERIES}
     assert set(registry.QUERIES) | {"pipeline"} <= set(queries)
     assert set(registry.ORACLE_SQL) <= set(sql) and "pipeline" not in sql
 
