@@ -75,3 +75,27 @@ def test_min_prefix_drops_zero_scores(spark):
     n_df, c_df = frames(spark, non, conv)
     got = D.top_divergence(n_df, c_df, 10, min_prefix=1).collect()
     assert [(r.non_conversion_seq, r.conversion_seq) for r in got] == [("A -> B -> D", "A -> C")]
+
+
+def test_large_pattern_tables_are_not_broadcast(spark, tmp_path, capsys):
+    """Stored patterns look small on disk: the joins must not send them whole to every task."""
+    rows = [(["x", a, b], 2) for a in "abcdef" for b in "ghijkl"]
+    frames(spark, rows, rows[:20])[0].write.parquet(str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    other = stored.withColumn("sequence", stored["sequence"])
+    for df in (*D.split_shared(stored, other), D.divergence_classes(stored, other), D.divergence_count(stored, other)):
+        df.explain()
+        assert "BroadcastHashJoin" not in capsys.readouterr().out
+
+
+def test_pruned_classes_keep_ties_of_one_text(spark):
+    # Two patterns of one text (an item holds the separator) and many of the same freq.
+    non = [(["A", "B -> C", "D"], 2), (["A", "B", "C -> D"], 2)] + [(["A", "B", x], 1) for x in "EFGH"]
+    conv = [(["A", "Q", "R"], 1), (["A", "Q"], 1)]
+    n_df, c_df = frames(spark, non, conv)
+    full = D.divergence_classes(n_df, c_df)
+    first = D.divergence_classes(n_df, c_df, 1)
+    assert first.count() < full.count()
+    got = [(r.non_conversion_seq, r.diversion, r.weight) for r in D.top_divergence(n_df, c_df, 1).collect()]
+    best = max(r["weight"] for r in full.collect())
+    assert got[0][0] == "A -> B -> C -> D" and got[0][2] == best

@@ -29,9 +29,9 @@ RESULT_COLUMNS = ["conversion_seq", "non_conversion_seq", "diversion", "divergen
 
 def split_shared(conv: DataFrame, non_conv: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(converting only, non-converting only, shared) patterns, compared as arrays."""
-    conv_only = conv.join(non_conv.select("sequence"), "sequence", "left_anti")
-    non_only = non_conv.join(conv.select("sequence"), "sequence", "left_anti")
-    shared = conv.select("sequence").join(non_conv.select("sequence"), "sequence", "left_semi")
+    conv_only = conv.join(_apart(non_conv.select("sequence")), "sequence", "left_anti")
+    non_only = non_conv.join(_apart(conv.select("sequence")), "sequence", "left_anti")
+    shared = conv.select("sequence").join(_apart(non_conv.select("sequence")), "sequence", "left_semi")
     return conv_only, non_only, shared
 
 
@@ -41,17 +41,29 @@ def _prefix_rows(patterns: DataFrame, extra: list[str]) -> DataFrame:
         .select(*extra, "sequence", "len", "p.d", "p.prefix", "p.next")
 
 
-def divergence_classes(non_conv: DataFrame, conv: DataFrame) -> DataFrame:
+def _apart(df: DataFrame) -> DataFrame:
+    """Joins with ``df`` are shuffled: stored patterns take many times their files' size in memory."""
+    return df.hint("merge")
+
+
+def divergence_classes(non_conv: DataFrame, conv: DataFrame, first: int | None = None) -> DataFrame:
     """One row per (non-converting pattern, d, converting length) with pair count.
 
     Columns: sequence, freq, n_len, d, prefix, next, c_len, pairs, score, weight.
+    ``first`` leaves out the classes that come after ``first`` others by weight, freq
+    and text for sure: patterns of one (prefix, next, length) have the same scores, so
+    those after the group's first ones by freq and text (equal ones kept).
     """
     cp = _prefix_rows(conv, []).groupBy("prefix", "next", "len").agg(
         F.count(F.lit(1)).alias("same_next"))
     ct = cp.groupBy("prefix", "len").agg(F.sum("same_next").alias("total"))
-    nrows = _prefix_rows(non_conv, ["freq"]).withColumnRenamed("len", "n_len")
-    cls = (nrows.join(ct.withColumnRenamed("len", "c_len"), "prefix")
-           .join(cp.withColumnRenamed("len", "c_len"), ["prefix", "next", "c_len"], "left")
+    nrows = _prefix_rows(non_conv, ["freq"])
+    if first is not None:
+        rank = Window.partitionBy("prefix", "next", "len").orderBy(F.col("freq").desc(), join_path("sequence").asc())
+        nrows = nrows.withColumn("_r", F.rank().over(rank)).filter(F.col("_r") <= first).drop("_r")
+    nrows = nrows.withColumnRenamed("len", "n_len")
+    cls = (nrows.join(_apart(ct.withColumnRenamed("len", "c_len")), "prefix")
+           .join(_apart(cp.withColumnRenamed("len", "c_len")), ["prefix", "next", "c_len"], "left")
            .withColumn("pairs", F.col("total") - F.coalesce("same_next", F.lit(0)))
            .filter(F.col("pairs") > 0))
     score = divergence_score_from("d", "n_len", "c_len")
@@ -62,8 +74,14 @@ def divergence_classes(non_conv: DataFrame, conv: DataFrame) -> DataFrame:
 
 def divergence_count(non_conv: DataFrame, conv: DataFrame) -> DataFrame:
     """Number of divergent pairs (both tails non-empty), as one row."""
-    return divergence_classes(non_conv, conv).agg(
-        F.coalesce(F.sum("pairs"), F.lit(0)).cast("long").alias("divergent_pairs"))
+    def counts(patterns: DataFrame, name: str) -> DataFrame:
+        return _prefix_rows(patterns, []).groupBy("prefix", "next").agg(F.count(F.lit(1)).alias(name))
+
+    cp = counts(conv, "same_next")
+    ct = cp.groupBy("prefix").agg(F.sum("same_next").alias("total"))
+    pairs = counts(non_conv, "n").join(_apart(ct), "prefix").join(_apart(cp), ["prefix", "next"], "left").select(
+        (F.col("n") * (F.col("total") - F.coalesce("same_next", F.lit(0)))).alias("pairs"))
+    return pairs.agg(F.coalesce(F.sum("pairs"), F.lit(0)).cast("long").alias("divergent_pairs"))
 
 
 def top_divergence(non_conv: DataFrame, conv: DataFrame, top_n: int = 10,
@@ -76,7 +94,7 @@ def top_divergence(non_conv: DataFrame, conv: DataFrame, top_n: int = 10,
     """
     if top_n < 1:
         raise ValueError("top_n must be >= 1")
-    cls = divergence_classes(non_conv, conv).withColumn("n_text", join_path("sequence"))
+    cls = divergence_classes(non_conv, conv, top_n).withColumn("n_text", join_path("sequence"))
     if min_prefix > 0:
         cls = cls.filter(F.col("d") >= min_prefix)
     order = [F.col("weight").desc(), F.col("freq").desc(), F.col("n_text").asc()]
@@ -86,17 +104,18 @@ def top_divergence(non_conv: DataFrame, conv: DataFrame, top_n: int = 10,
     if not head:
         return _empty_result(non_conv)
     w, f, t = head[-1]["weight"], head[-1]["freq"], head[-1]["n_text"]
-    chosen = cls.filter((F.col("weight") > w)
-                        | ((F.col("weight") == w) & (F.col("freq") > f))
-                        | ((F.col("weight") == w) & (F.col("freq") == f)
-                           & (F.col("n_text") <= t)))
-    # First top_n converting patterns (by text) per (prefix, next, length).
-    crow = _prefix_rows(conv, []).withColumn("c_text", join_path("sequence"))
+    # As many classes as asked for, and those of the last one's text.
+    chosen = F.broadcast(materialize(cls.filter(
+        (F.col("weight") > w) | ((F.col("weight") == w) & (F.col("freq") > f))
+        | ((F.col("weight") == w) & (F.col("freq") == f) & (F.col("n_text") <= t))), "classes"))
+    # First top_n converting patterns (by text) per (prefix, next, length) of a chosen class.
+    crow = _prefix_rows(conv, []).join(chosen.select("prefix", F.col("c_len").alias("len")), ["prefix", "len"], "left_semi") \
+        .withColumn("c_text", join_path("sequence"))
     rank = Window.partitionBy("prefix", "next", "len").orderBy("c_text")
     cand = (crow.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= top_n)
             .select("prefix", F.col("next").alias("c_next"), F.col("len").alias("c_len"),
                     "c_text", F.col("sequence").alias("c_seq")))
-    pairs = (chosen.join(cand, ["prefix", "c_len"])
+    pairs = (cand.join(chosen, ["prefix", "c_len"])
              .filter(F.col("c_next") != F.col("next")))
     out = pairs.select(
         F.col("c_text").alias("conversion_seq"),
