@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -60,3 +62,16 @@ def test_similar_classes_are_those_of_all_pairs(spark, threshold):
     merged = {r["topic"]: r["merged"] for r in topics.merge_similar(df, threshold).collect()}
     assert set(merged) == set(range(31)) and merged[30] == 30
     assert all(merged[a] == merged[b] for a, b in want) and all(m <= t for t, m in merged.items())
+
+
+def test_rows_of_equal_labels_get_equal_vectors(spark):
+    """However a row's labels are dealt out, no rounding tells copies of it apart."""
+    labels = [f"label {i}" for i in range(11)]
+    rnd = random.Random(3)
+    kinds = [rnd.sample(labels, rnd.randint(4, 11)) for _ in range(12)]
+    rows = [(i, rnd.sample(k, len(k))) for i, k in enumerate(kinds * 60)]
+    df = spark.createDataFrame(rows, "user_id long, activity_list array<string>").repartition(7)
+    sets = len({frozenset(k) for k in kinds})
+    assert vectors.reduce(df, 5).select("pca").distinct().count() == sets
+    embedded = vectors.components(df, topics.embed_labels(df), 5)
+    assert embedded.select("pca").distinct().count() == sets

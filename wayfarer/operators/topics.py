@@ -13,6 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfarer.operators.vectors import ordered_sum
 from wayfarer.session import materialize
 from wayfarer.storage import Scratch
 
@@ -66,7 +67,9 @@ def embed_labels(df: DataFrame, seq_col: str = "activity_list", id_col: str = "u
     """
     idf = label_idf(df, seq_col, id_col) if idf is None else idf
     w = _label_counts(df, seq_col, id_col).join(idf, "label").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    # Added up in the labels' order: rows of equal labels get equal vectors to the last bit.
+    squares = w.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("label", (F.col("w") * F.col("w")).alias("q")))).alias("t"))
+    norm = squares.select("id", F.sqrt(ordered_sum("t", "q")).alias("norm"))
     return w.join(norm, "id").select("id", "label", F.when(
         F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0).alias("w"))
 

@@ -47,11 +47,24 @@ def _sum_arrays(col: str, width: int):
     return F.array(*[F.sum(F.col(col)[i]) for i in range(width)])
 
 
-def _project(weights: DataFrame, axes: DataFrame, offset: np.ndarray) -> DataFrame:
-    """(id, y): standardised rows that hold a label, times the axes (label, mean, scale, v)."""
-    sums = weights.join(axes, "label").withColumn(
-        "c", F.transform("v", lambda x: x * F.col("w") * F.col("scale"))).groupBy("id").agg(
-        _sum_arrays("c", len(offset)).alias("s"))
+def ordered_sum(terms: str, field: str):
+    """Sum of a field of the structs of an array, in the array's order: no rounding by how rows are dealt out."""
+    return F.aggregate(terms, F.lit(0.0), lambda s, t: s + t[field])
+
+
+def _project(weights: DataFrame, axes: DataFrame, offset: np.ndarray, ordered: bool = False) -> DataFrame:
+    """(id, y): standardised rows that hold a label, times the axes (label, mean, scale, v).
+
+    ``ordered`` adds up a row's labels in their order, so rows of equal labels and
+    weights get equal vectors to the last bit.
+    """
+    terms = weights.join(axes, "label").withColumn("c", F.transform("v", lambda x: x * F.col("w") * F.col("scale")))
+    if ordered:
+        listed = terms.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("t"))
+        zero = F.array(*[F.lit(0.0)] * len(offset))
+        sums = listed.select("id", F.aggregate("t", zero, lambda s, t: F.zip_with(s, t["c"], lambda a, b: a + b)).alias("s"))
+    else:
+        sums = terms.groupBy("id").agg(_sum_arrays("c", len(offset)).alias("s"))
     return sums.select("id", F.array(*[F.col("s")[i] - float(o) for i, o in enumerate(offset)]).alias("y"))
 
 
@@ -189,7 +202,7 @@ class Axes:
         """``df`` (one row an id) and the components of its weights (id, label, w); other labels add nothing."""
         if not len(self.offset):
             return df.withColumn(out_col, array_to_vector(F.array(F.lit(0.0))))
-        rows = _project(weights, self.table, self.offset).withColumnRenamed("id", "_id").withColumnRenamed("y", "_y")
+        rows = _project(weights, self.table, self.offset, True).withColumnRenamed("id", "_id").withColumnRenamed("y", "_y")
         nothing = F.array(*[F.lit(-float(o)) for o in self.offset])
         return df.join(rows, F.col(id_col) == F.col("_id"), "left").withColumn(
             out_col, array_to_vector(F.coalesce("_y", nothing))).drop("_id", "_y")
