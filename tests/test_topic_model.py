@@ -53,3 +53,21 @@ def test_model_gives_fitted_journeys_their_topics_back_and_new_ones_a_like_one(s
     shutil.rmtree(f"{path}/v000002/model")
     assert topic_model.versions(spark, path) == [1]
     assert {r["topic"] for r in kept.info.collect()} == set(own.values())
+
+
+def test_language_prompts_store_one_row_a_language(spark, tmp_path, monkeypatch):
+    """The shortest texts are found without dealing all texts out by their language."""
+    from wayfarer.operators import patterns
+    from wayfarer.plans import cluster_queries
+
+    rows = [(i, "word " * (1 + i % 7) + "ab"[i % 2], "en" if i % 3 else "de") for i in range(40)]
+    rows += [(40, "only", "fr"), (41, None, "fr"), (42, "lost", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    kept, real = [], patterns.materialize
+    monkeypatch.setattr(patterns, "materialize", lambda df, *a: kept.append(real(df, *a)) or kept[-1])
+    got = {r["topic"]: r["prompt"] for r in cluster_queries.q_language_prompts(spark, str(tmp_path)).collect()}
+    assert kept and all(df.count() <= 3 for df in kept)
+    assert set(got) == {"en", "de", "fr"}
+    for lang, prompt in got.items():
+        texts = sorted({t for _, t, la in rows if la == lang and t is not None}, key=lambda t: (len(t), t))[:3]
+        assert "\n".join(f"- {t}" for t in texts) in prompt
