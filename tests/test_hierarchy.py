@@ -192,3 +192,31 @@ def test_nulls_odd_vectors_and_empty_tables(spark):
     assert got[103] == got[0] == 0 and got[200] == 1
     assert H.hierarchical_clusters(df.limit(0)).count() == 0
     assert {r.cluster for r in H.hierarchical_clusters(df.limit(3)).collect()} == {-1}
+
+
+def test_first_level_bounds_no_groups(spark, monkeypatch):
+    """Points that are components of their own give edges at once: no table of groups as long as the points."""
+    monkeypatch.setattr(points_module, "FEW_PAIRS", 10)
+    rng = np.random.default_rng(4)
+    points = np.round(rng.normal(0, 1, (400, 3)), 3)
+    kept, scratch = [], Scratch(spark)
+
+    class Watched(Scratch):
+        def __call__(self, df, name):
+            got = super().__call__(df, name)
+            kept.append((name, got.count()))
+            return got
+
+    watched = Watched(spark)
+    rows = spark.createDataFrame([(p.tolist(),) for p in points], "v array<double>")
+    table = distinct_points(rows, scratch)
+    n = table.count()
+    grid = Grid(table, watched)
+    start = grid.starting_level(n)
+    tree = reachability_tree(grid, core_distances(grid, 3, start), n, start, watched)
+    got = sorted(r["w"] for r in tree.collect())
+    _, _, w = H.small_tree(np.array([r["v"] for r in table.orderBy("id").collect()]), 3)
+    assert np.allclose(got, sorted(w.tolist()), rtol=0, atol=1e-12)
+    assert max((c for name, c in kept if name == "groups"), default=0) < n
+    watched.close()
+    scratch.close()

@@ -19,8 +19,11 @@ from wayfarer.operators.vectors import as_array
 
 #: Levels of the grid: the finest cell is this many halvings of the data's extent.
 HALVINGS = 20
-#: The starting level holds at most this many pairs a point within its cells.
-PAIRS = 64
+#: The starting level holds at most this many pairs a point within its cells; a cell has
+#: up to 3 ** width touching ones, so the pairs looked at are that many times more.
+PAIRS = 4
+#: Queries that a task starts from, about: what is looked at goes far beyond what is read.
+QUERIES = 2_000
 #: So many pairs are compared without looking for a better level.
 FEW_PAIRS = 1_000_000
 
@@ -54,6 +57,12 @@ def at_level(cell: str, level: int) -> F.Column:
     return F.transform(cell, lambda x: F.shiftright(x, level)) if level else F.col(cell)
 
 
+def spread(df: DataFrame, n: int, key: str = "id") -> DataFrame:
+    """``df`` of ``n`` rows dealt out by ``key``: few rows that meet many others are no single task's."""
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(most, n // QUERIES + 1), key)
+
+
 class Grid:
     """``points`` with a column ``cell`` of the finest level; sides are ``side * 2**level``."""
 
@@ -96,7 +105,7 @@ class Grid:
 
     def near_pairs(self, queries: DataFrame, level: int) -> DataFrame:
         """(id, v, weight, other, u, w2): each query with all points of the cells that touch its own."""
-        asked = queries.withColumn("cell", at_level("cell", level))
+        asked = spread(queries, queries.count()).withColumn("cell", at_level("cell", level))
         there = self.points.select(F.col("id").alias("other"), F.col("v").alias("u"),
                                    F.col("weight").alias("other_weight"), at_level("cell", level).alias("in"))
         pairs = self.touching(asked.select("cell").distinct(), there.select(F.col("in").alias("cell")).distinct())

@@ -8,7 +8,8 @@ smallest core distance; two groups of different components in touching cells may
 hold an edge between those components, no shorter than their boxes' distance and no
 longer than their boxes' span.  Groups that cannot hold the shortest edge of their
 two components are dropped, those left are cut into the groups of the next finer
-cells, until few pairs of points remain: only those are compared.  The shortest edge
+cells, until few pairs of points remain: only those are compared.  At the first level, where each
+point is a component, near points give their edges at once.  The shortest edge
 of every two components goes into Boruvka rounds (a combinable minimum a component,
 the chosen edges contracted) that leave the tree's.
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.operators import points as points_module
 from wayfarer.operators.components import connected_components
-from wayfarer.operators.points import Grid, at_level, distance
+from wayfarer.operators.points import Grid, at_level, distance, spread
 
 #: Pairs of points compared per point of the data before groups are cut finer.
 COMPARED = 64
@@ -63,6 +64,23 @@ def _as_side(groups: DataFrame, side: str) -> DataFrame:
                                                       for c in ("cell", "n", "core", "low", "high")])
 
 
+def short_edges(grid: Grid, points: DataFrame, level: int, n: int) -> DataFrame:
+    """(x, y, w, a, b): the edges of at most the level's side where each point is a component.
+
+    Two such components have one edge, so nothing is bounded or grouped.
+    """
+    # Edges are no shorter than their ends' core distances.
+    points = points.filter(F.col("core") <= grid.side_at(level))
+    cells = points.select(at_level("cell", level).alias("cell")).distinct()
+    x = spread(points, n).select(F.col("id").alias("x"), "v", F.col("core").alias("x_core"), at_level("cell", level).alias("cell"))
+    y = points.select(F.col("id").alias("y"), F.col("v").alias("u"), F.col("core").alias("y_core"),
+                      at_level("cell", level).alias("other"))
+    w = F.greatest(distance("v", "u", grid.width), "x_core", "y_core")
+    pairs = x.join(grid.touching(cells, cells), "cell").join(y, "other").filter("x < y")
+    return pairs.select("x", "y", w.alias("w"), F.col("x").alias("a"), F.col("y").alias("b")).filter(
+        F.col("w") <= grid.side_at(level))
+
+
 def shortest_between(grid: Grid, points: DataFrame, level: int, n: int, floor: int) -> DataFrame:
     """(x, y, w, a, b): the shortest edge of every two components, where it is at most the level's side."""
     side, width, store = grid.side_at(level), grid.width, grid.store
@@ -146,7 +164,8 @@ def reachability_tree(grid: Grid, cores: DataFrame, n: int, start: int, store: C
     points = store(grid.points.select("id", "v", "cell").join(cores, "id").withColumn("comp", F.col("id")), "reach")
     tree, joined, level = None, 0, start
     while joined < n - 1:
-        got = store(contracted_tree(shortest_between(grid, points, level, n, 0), store, kruskal), "tree-edges")
+        edges = shortest_between(grid, points, level, n, 0) if joined else short_edges(grid, points, level, n)
+        got = store(contracted_tree(edges, store, kruskal), "tree-edges")
         size = got.count()
         if size:
             tree = got if tree is None else tree.unionByName(got)
