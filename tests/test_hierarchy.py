@@ -220,3 +220,17 @@ def test_first_level_bounds_no_groups(spark, monkeypatch):
     assert max((c for name, c in kept if name == "groups"), default=0) < n
     watched.close()
     scratch.close()
+
+
+def test_edges_of_one_stored_file_are_dealt_out_before_they_are_sorted(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    pairs = {(int(min(x, y)), int(max(x, y))) for x, y in rng.integers(0, 60, (500, 2)) if x != y}
+    rows = [(x, y, float(rng.integers(0, 9)), x, y) for x, y in sorted(pairs)]
+    scratch = Scratch(spark)
+    edges = scratch(spark.createDataFrame(rows, "x long, y long, w double, a long, b long").coalesce(1), "edges")
+    want = sorted(tuple(r) for r in contracted_tree(edges, scratch, 1000).collect())
+    monkeypatch.setattr(reachability, "SORTED", 50)
+    dealt = reachability._dealt(edges, len(rows)).groupBy(F.spark_partition_id().alias("part")).count().collect()
+    assert len(dealt) == -(-len(rows) // 50) and max(r["count"] for r in dealt) < 150
+    assert sorted(tuple(r) for r in contracted_tree(edges, scratch, 10).collect()) == want
+    scratch.close()

@@ -33,6 +33,8 @@ from wayfarer.operators.points import Grid, at_level, distance, spread
 COMPARED = 64
 #: Edges contracted in one task; more go through distributed rounds.
 KRUSKAL = 200_000
+#: Edges that a task sorts to find the shortest of a component, about, in up to ``DEALT`` tasks.
+SORTED, DEALT = 500_000, 200
 
 EDGES = "a long, b long, w double"
 
@@ -134,6 +136,12 @@ def _kruskal(batches):
         (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "w"])
 
 
+def _dealt(edges: DataFrame, n: int) -> DataFrame:
+    """``n`` edges dealt out evenly: a stored table's edges are packed closely, and a minimum of rows sorts them."""
+    tasks = min(DEALT, -(-n // SORTED))
+    return edges.repartition(tasks, "a", "b") if tasks > 1 else edges
+
+
 def contracted_tree(edges: DataFrame, store: Callable, kruskal: int = KRUSKAL) -> DataFrame:
     """(a, b, w): the edges of (x, y, w, a, b) that are in the minimum spanning forest of x and y."""
     edges = store(edges, "edges")
@@ -143,6 +151,7 @@ def contracted_tree(edges: DataFrame, store: Callable, kruskal: int = KRUSKAL) -
         if left <= kruskal:
             rest = store(now.coalesce(1).mapInArrow(_kruskal, EDGES), "tree")
             return rest if chosen is None else chosen.unionByName(rest)
+        now = _dealt(now, left)
         e = F.struct("w", "a", "b", "x", "y")
         best = now.select(F.col("x").alias("c"), e.alias("e")).unionAll(
             now.select(F.col("y").alias("c"), e.alias("e"))).groupBy("c").agg(F.min("e").alias("e"))
