@@ -169,6 +169,39 @@ def test_embedding_null_ids_and_repeated_rows(spark):
     assert got == [(0, 0, 0, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
 
 
+def test_embeddings_are_not_dealt_out_by_the_cells_they_probe(spark, monkeypatch):
+    """A task reads the stored blocks: nothing is shuffled, and written to disk, a cell and query."""
+    plans = {}
+
+    def kept(df, name, store=embedding_dedup.store):
+        got = store(df, name)
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return got
+
+    monkeypatch.setattr(embedding_dedup, "store", kept)
+    rows = vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large blocks
+    try:
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in
+               embedding_dedup.near_duplicates(df, cells=9, block=7).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == embedding_truth(rows)
+    assert "Scan parquet" in plans["links"] and "Exchange" not in plans["links"]
+
+
+def test_rows_of_one_id_with_different_embeddings(spark):
+    """Ids 1 and 2 have two far vectors each: cells of different places, blocks of one smallest id."""
+    rng = np.random.default_rng(12)
+    far = embedding_dedup.unit(rng.normal(size=(4, 16)))
+    rows = [(1, far[0]), (1, far[1]), (2, far[2]), (2, far[3]), (5, 2 * far[0]), (6, far[1] + 1e-4), (7, far[3] + 1e-4)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {(r["vec_id"], r["component_id"]) for r in embedding_dedup.near_duplicates(df, cells=4, block=1).collect()}
+    assert got == {(1, 1), (2, 2), (5, 1), (6, 1), (7, 2)}
+
+
 def test_embeddings_of_an_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.near_duplicates(df).count() == 0

@@ -10,9 +10,12 @@ by exact cosine if that distance is at most r plus its own coding error.  Both
 bounds are exact, so no link is lost; the codebooks, fitted on a bounded sample,
 only decide how much is compared.
 
-Equal vectors are one class with a count.  A cell is dealt out in blocks of
-``BLOCK`` classes; queries stream past one block at a time.  A task sends back one
-count a query and block, and only a spanning set of its links, never all pairs.
+Equal vectors are one class with a count.  A cell is dealt out in blocks of about
+``BLOCK`` classes, stored once.  Every two blocks that may hold a link meet once, the
+classes of the one as queries to the other's, and a link counts for both ends: tasks
+read blocks from the store, so what is shuffled and kept on disk grows with the vectors
+and not with the cells that they probe.  A task sends back one count a class, and only
+a spanning set of its links, never all pairs.
 
 Defined results: rows whose vector is null, zero, empty or holds null or
 non-finite parts link with nothing, nor do rows with a null id (component null,
@@ -92,6 +95,11 @@ class Quantiser:
         extra = d - d[np.arange(len(x)), own][:, None]
         return [np.flatnonzero(e <= 2 * radius * self.between[c] + 1e-6) for e, c in zip(extra, own)]
 
+    def asks(self, x: np.ndarray, own: int, cell: int, radius: float) -> np.ndarray:
+        """Which vectors of the cell ``own`` must be compared with ``cell``: the bound of ``probes``."""
+        d = nearest(x, self.centres[[own, cell]])[1]
+        return d[:, 1] - d[:, 0] <= 2 * radius * self.between[own, cell] + 1e-6
+
     def lookup(self, x: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances (coded vectors x queries) in a cell, by table lookup."""
         residual = x - self.centres[cell]
@@ -139,10 +147,10 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x ** 2).sum(axis=1, keepdims=True))
 
 
-CODED = "dim int, rep long, m long, vec binary, cell int, codes binary, error double, probes array<int>"
+CODED = "dim int, rep long, m long, vec binary, cell int, codes binary, error double"
 
 
-def encode(classes: DataFrame, quantisers: dict[int, Quantiser], radius: float) -> DataFrame:
+def encode(classes: DataFrame, quantisers: dict[int, Quantiser]) -> DataFrame:
     def run(batches):
         for batch in batches:
             dims = np.array(batch.column("dim").to_pylist(), np.int64)
@@ -154,34 +162,74 @@ def encode(classes: DataFrame, quantisers: dict[int, Quantiser], radius: float)
                 q = quantisers.get(int(dim))
                 if q is None:  # a length that the sample lacks: one cell, no codes
                     cell, codes = np.zeros(len(x), int), np.zeros((len(x), 0), np.uint8)
-                    error, probes = np.full(len(x), np.inf), [np.zeros(1, int)] * len(x)
+                    error = np.full(len(x), np.inf)
                 else:
                     cell, codes, error = q.encode(x)
-                    probes = q.probes(x, radius)
                 yield pa.RecordBatch.from_arrays(
                     [some.column("dim"), some.column("rep"), some.column("m"),
                      pa.array([r.tobytes() for r in x], pa.binary()), pa.array(cell.astype(np.int32)),
-                     pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(error),
-                     pa.array([p.astype(np.int32) for p in probes], pa.list_(pa.int32()))],
-                    ["dim", "rep", "m", "vec", "cell", "codes", "error", "probes"])
+                     pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(error)],
+                    ["dim", "rep", "m", "vec", "cell", "codes", "error"])
 
     return classes.select("dim", "rep", "m", "v").mapInArrow(run, CODED)
 
 
+#: A cell and the length of its vectors in one number.
+PLACE = 1 << 32
+PACKED = "place long, probes array<long>, reps binary, copies binary, vecs binary, codes binary, errors binary"
+
+
+def packs(coded: DataFrame, quantisers: dict[int, Quantiser], radius: float, block: int) -> DataFrame:
+    """A row a block of a cell: its classes, packed, and the cells that any of them must be compared with."""
+    sizes = coded.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = coded.join(sizes, ["dim", "cell"]).withColumn(
+        "block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
+    names = ("dim", "cell", "block", "rep", "m", "vec", "codes", "error")
+
+    def packed(key, rows):
+        dim, cell, _ = key
+        rep, m, vec, codes, error = zip(*rows)
+        q = quantisers.get(dim)
+        x = np.frombuffer(b"".join(vec), np.float64).reshape(len(rep), -1)
+        probes = np.zeros(1, int) if q is None else np.unique(np.concatenate(q.probes(x, radius)))
+        values = [pa.array([dim * PLACE + cell]), pa.array([dim * PLACE + probes], pa.list_(pa.int64())),
+                  *(pa.array([v], pa.binary()) for v in (
+                      np.array(rep, np.int64).tobytes(), np.array(m, np.int64).tobytes(), x.tobytes(),
+                      b"".join(codes), np.array(error, np.float64).tobytes()))]
+        return pa.RecordBatch.from_arrays(values, [c.split()[0] for c in PACKED.split(", ")])
+
+    def run(batches):
+        key, rows = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
+                if row[:3] != key:
+                    if rows:
+                        yield packed(key, rows)
+                    key, rows = row[:3], []
+                rows.append(row[3:])
+        if rows:
+            yield packed(key, rows)
+
+    return dealt.repartition("dim", "cell", "block").sortWithinPartitions("dim", "cell", "block").select(
+        *names).mapInArrow(run, PACKED).withColumn("no", F.monotonically_increasing_id())
+
+
 class Block:
-    """The classes of one block, and which of them queries have joined."""
+    """The classes of one block, the ids that each one's links have, and which of them queries have joined."""
 
-    def __init__(self, q: Quantiser | None, cell: int, rows):
+    def __init__(self, q: Quantiser | None, cell: int, reps, copies, vecs, codes, errors):
         self.q, self.cell = q, cell
-        self.rep = np.array([r[0] for r in rows], np.int64)
-        self.m = np.array([r[1] for r in rows], np.int64)
-        self.x = np.stack([np.frombuffer(r[2], np.float64) for r in rows])
-        self.codes = np.stack([np.frombuffer(r[3], np.uint8) for r in rows])
-        self.error = np.array([r[4] for r in rows])
-        self.label = np.arange(len(rows))
-
-    def match(self, reps, queries: np.ndarray, threshold: float, radius: float):
-        """Yields (query, linked vectors, a link) and joins what a query links."""
+        self.rep, self.m, self.error = (np.frombuffer(b, t) for b, t in (
+            (reps, np.int64), (copies, np.int64), (errors, np.float64)))
+        self.x = np.frombuffer(vecs, np.float64).reshape(len(self.rep), -1)
+        self.codes = None if q is None else np.frombuffer(codes, np.uint8).reshape(len(self.rep), -1)
+        self.label = np.arange(len(self.rep))
+
+    def match(self, rep, m, queries: np.ndarray, threshold: float, radius: float, count, own=None):
+        """Yields a link of each query that has one, and joins what a query links.
+
+        ``count`` gets the copies of the queries at the classes they link with, ``own`` the other way round.
+        """
         if self.q is None:
             near = np.ones((len(self.rep), len(queries)), bool)
         else:
@@ -192,14 +240,18 @@ class Block:
         order = np.argsort(of, kind="stable")
         at_all, bounds = at_all[order], np.searchsorted(of[order], np.arange(len(queries) + 1))
         for k in np.flatnonzero(np.diff(bounds)):
-            rep, x, at = int(reps[k]), queries[k], at_all[bounds[k]:bounds[k + 1]]
+            x, at = queries[k], at_all[bounds[k]:bounds[k + 1]]
             at = at[self.x[at] @ x >= threshold]
             if len(at):
                 labels = self.label[at]
                 least = labels.min()
                 if (labels != least).any():
                     self.label[np.isin(self.label, labels)] = least
-                yield rep, int(self.m[at].sum()), int(self.rep[least])
+                count[at] += m[k]
+                if own is not None:
+                    own[k] += self.m[at].sum()
+                if rep[k] != self.rep[least]:
+                    yield int(rep[k]), int(self.rep[least])
 
     def links(self):
         """Spanning links between the classes that queries have joined."""
@@ -207,78 +259,69 @@ class Block:
         return zip(self.rep[moved].tolist(), self.rep[self.label[moved]].tolist())
 
 
-ASKED = "dim int, cell int, reps binary, vecs binary"
+SIDES = ("no", "place", "reps", "copies", "vecs", "codes", "errors")
 
 
-def questions(coded: DataFrame) -> DataFrame:
-    """The queries each cell is probed with, ``QUERIES`` at most to a row."""
-    def run(batches):
-        for batch in batches:
-            dims = np.array(batch.column("dim").to_pylist(), np.int64)
-            reps = np.array(batch.column("rep").to_pylist(), np.int64)
-            probes, vecs = batch.column("probes").to_pylist(), batch.column("vec").to_pylist()
-            for dim in np.unique(dims):
-                pick = np.flatnonzero(dims == dim)
-                x = np.stack([np.frombuffer(vecs[i], np.float64) for i in pick])
-                cell = np.concatenate([np.array(probes[i], np.int64) for i in pick])
-                row = np.repeat(np.arange(len(pick)), [len(probes[i]) for i in pick])
-                for c in np.unique(cell):
-                    rows = row[cell == c]
-                    parts = [rows[lo:lo + QUERIES] for lo in range(0, len(rows), QUERIES)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(dim)] * len(parts), pa.int32()), pa.array([int(c)] * len(parts), pa.int32()),
-                         pa.array([reps[pick[p]].tobytes() for p in parts], pa.binary()),
-                         pa.array([x[p].tobytes() for p in parts], pa.binary())],
-                        ["dim", "cell", "reps", "vecs"])
-
-    return coded.select("dim", "rep", "vec", "probes").mapInArrow(run, ASKED)
-
-
-def compare(rows: DataFrame, quantisers: dict[int, Quantiser], threshold: float,
-            radius: float) -> DataFrame:
-    """(a, b, n): n is a's number of linked vectors in a block, b one class it is linked with.
-
-    Rows with n null are further links.  ``rows`` come sorted by block, the
-    block's classes (kind 0) ahead of its queries (kind 1).
+def pairs(blocks: DataFrame) -> DataFrame:
+    """Every two blocks that may hold a link (a block with itself, too), once: x's classes are asked for by y's.
+
+    The blocks are not dealt out by what asks for them: a task reads some of the stored ones and some again.
     """
+    x = blocks.select(*[F.col(c).alias(f"x_{c}") for c in SIDES])
+    y = blocks.select(*[F.col(c).alias(f"y_{c}") for c in ("no", "place", "probes", "reps", "copies", "vecs")])
+    return x.join(y, (F.col("x_no") <= F.col("y_no")) & F.array_contains("y_probes", F.col("x_place")))
+
+
+def compare(asked: DataFrame, quantisers: dict[int, Quantiser], threshold: float, radius: float) -> DataFrame:
+    """(a, b, n): b null: n linked ids of class a, itself included, in the blocks of a task; n null: a link."""
     def run(batches):
-        key, block, waiting = None, None, []
-        out = []
+        no, block, counts, out = None, None, {}, []
 
-        def ended():
-            if isinstance(block, Block):
-                out.extend((a, b, None) for a, b in block.links())
+        def count_of(number, reps):
+            if number not in counts:
+                counts[number] = reps, np.zeros(len(reps) // 8, np.int64)
+            return counts[number][1]
 
         def emit():
-            a, b, n = zip(*out)
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*zip(*out), [None] * len(out))],
+                                               ["a", "b", "n"])
             out.clear()
             return batch
 
         for batch in batches:
-            names = ("dim", "cell", "block", "kind", "rep", "m", "vec", "codes", "error", "reps")
-            for dim, cell, part, kind, rep, m, vec, codes, error, reps in zip(
-                    *(batch.column(c).to_pylist() for c in names)):
-                if (dim, cell, part) != key:
-                    ended()
-                    key, block, waiting = (dim, cell, part), None, []
-                if kind == 0:
-                    waiting.append((rep, m, vec, codes, error))
-                    continue
-                if block is None and waiting:
-                    block = Block(quantisers.get(dim), cell, waiting)
-                if block is not None:
-                    reps = np.frombuffer(reps, np.int64)
-                    queries = np.frombuffer(vec, np.float64).reshape(len(reps), -1)
-                    out.extend((rep, b, n) for rep, n, b in block.match(reps, queries, threshold, radius))
-            if out:
-                yield emit()
-        ended()
+            columns = [batch.column(f"x_{c}") for c in SIDES] + [
+                batch.column(f"y_{c}") for c in ("no", "place", "reps", "copies", "vecs")]
+            for i in range(batch.num_rows):
+                x_no, place, x_reps, *x, y_no, own, reps, copies, vecs = (c[i].as_py() for c in columns)
+                dim, cell = divmod(place, PLACE)
+                q = quantisers.get(dim)
+                if x_no != no:
+                    if block is not None:
+                        out.extend(block.links())
+                    no, block = x_no, Block(q, cell, x_reps, *x)
+                rep, m = np.frombuffer(reps, np.int64), np.frombuffer(copies, np.int64)
+                queries = np.frombuffer(vecs, np.float64).reshape(len(rep), -1)
+                there, mine = count_of(x_no, x_reps), None if x_no == y_no else count_of(y_no, reps)
+                pick = np.arange(len(rep)) if q is None else np.flatnonzero(q.asks(queries, own % PLACE, cell, radius))
+                for lo in range(0, len(pick), QUERIES):
+                    some = pick[lo:lo + QUERIES]
+                    back = None if mine is None else np.zeros(len(some), np.int64)
+                    out.extend(block.match(rep[some], m[some], queries[some], threshold, radius, there, back))
+                    if mine is not None:
+                        mine[some] += back
+                if out:
+                    yield emit()
+        if block is not None:
+            out.extend(block.links())
         if out:
             yield emit()
+        for reps, found in counts.values():
+            held = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.frombuffer(reps, np.int64)[held]), pa.nulls(len(held), pa.int64()), pa.array(found[held])],
+                ["a", "b", "n"])
 
-    return rows.mapInArrow(run, "a long, b long, n long")
+    return asked.mapInArrow(run, "a long, b long, n long")
 
 
 def near_duplicates(df: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding",
@@ -289,24 +332,12 @@ def near_duplicates(df: DataFrame, *, vec_id: str = "vec_id", embedding: str = "
     radius = float(np.sqrt(2 - 2 * threshold))
     classes, classes_path = store(classes_of(df, vec_id, embedding), "vectors")
     quantisers = fit(classes, max_sample, cells)
-    coded, coded_path = store(encode(classes, quantisers, radius), "coded")
-    sizes = coded.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    with_block = coded.join(sizes, ["dim", "cell"])
-    columns = ["dim", "cell", "block", "kind", "rep", "m", "vec", "codes", "error", "reps"]
-    entries = with_block.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")) \
-        .withColumns({"kind": F.lit(0), "reps": F.lit(None).cast("binary")}).select(*columns)
-    nothing = lambda kind: F.lit(None).cast(kind)
-    asked = questions(coded).join(sizes, ["dim", "cell"]).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "dim", "cell", "block", F.lit(1).alias("kind"), nothing("long").alias("rep"),
-        nothing("long").alias("m"), F.col("vecs").alias("vec"), nothing("binary").alias("codes"),
-        nothing("double").alias("error"), "reps")
-    dealt = entries.unionByName(asked).repartition("dim", "cell", "block").sortWithinPartitions(
-        "dim", "cell", "block", "kind")
-    found, found_path = store(compare(dealt, quantisers, threshold, radius), "links")
-    counts = found.filter(F.col("n").isNotNull()).groupBy(F.col("a").alias("rep")).agg(
+    coded, coded_path = store(encode(classes, quantisers), "coded")
+    blocks, blocks_path = store(packs(coded, quantisers, radius, block), "blocks")
+    found, found_path = store(compare(pairs(blocks), quantisers, threshold, radius), "links")
+    counts = found.filter(F.col("b").isNull()).groupBy(F.col("a").alias("rep")).agg(
         (F.sum("n") - 1).alias("n_links"))
-    member, member_path = connected_components(found.select("a", "b"))
+    member, member_path = connected_components(found.filter(F.col("b").isNotNull()).select("a", "b"))
     per_class = classes.join(counts, "rep", "left").join(
         member.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "v", F.coalesce("n_links", F.lit(0)).alias("n_links"),
@@ -316,7 +347,7 @@ def near_duplicates(df: DataFrame, *, vec_id: str = "vec_id", embedding: str = "
         "vec_id", F.when(F.col("vec_id").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
         F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")).alias("component_id")),
         "embedding-dedup")
-    drop(spark, classes_path, coded_path, found_path, member_path)
+    drop(spark, classes_path, coded_path, blocks_path, found_path, member_path)
     return got.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
