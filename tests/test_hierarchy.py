@@ -234,3 +234,25 @@ def test_edges_of_one_stored_file_are_dealt_out_before_they_are_sorted(spark, mo
     assert len(dealt) == -(-len(rows) // 50) and max(r["count"] for r in dealt) < 150
     assert sorted(tuple(r) for r in contracted_tree(edges, scratch, 10).collect()) == want
     scratch.close()
+
+
+def test_tables_that_grow_with_the_points_are_not_sent_through_the_driver(spark, monkeypatch):
+    """Stored rows and exploded cells look small to Spark; it must not broadcast them."""
+    monkeypatch.setattr(points_module, "FEW_PAIRS", 0)
+    rows = spark.createDataFrame([(p.tolist(),) for p in np.random.default_rng(2).normal(size=(200, 3))], "v array<double>")
+    plans = []
+
+    class Planned(Scratch):
+        def __call__(self, df, name):
+            got = super().__call__(df, name)
+            if name in ("neighbours", "edges", "group-pairs", "reach"):
+                plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return got
+
+    planned, scratch = Planned(spark), Scratch(spark)
+    grid = Grid(distinct_points(rows, scratch), planned)
+    cores = core_distances(grid, 3, 15)
+    assert reachability_tree(grid, cores, 200, 15, planned).count() == 199
+    assert len(plans) > 4 and not any("BroadcastExchange" in plan for plan in plans)
+    planned.close()
+    scratch.close()

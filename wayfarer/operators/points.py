@@ -63,6 +63,15 @@ def spread(df: DataFrame, n: int, key: str = "id") -> DataFrame:
     return df.repartition(min(most, n // QUERIES + 1), key)
 
 
+def join_large(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join of two tables that grow with the points: both are dealt out, none goes whole through the driver.
+
+    Left to its estimates Spark would broadcast one: it takes a stored table for as large
+    as its compressed files, and exploded rows for as few as the arrays they come from.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 class Grid:
     """``points`` with a column ``cell`` of the finest level; sides are ``side * 2**level``."""
 
@@ -101,7 +110,7 @@ class Grid:
                           for offset in itertools.product((-1, 0, 1), repeat=self.width)])
         near = cells.select("cell", F.explode(F.transform(
             steps, lambda o: F.zip_with("cell", o, lambda a, b: a + b))).alias("other"))
-        return near.join(others.select(F.col("cell").alias("other")), "other").select("cell", "other")
+        return join_large(near, others.select(F.col("cell").alias("other")), "other").select("cell", "other")
 
     def near_pairs(self, queries: DataFrame, level: int) -> DataFrame:
         """(id, v, weight, other, u, w2): each query with all points of the cells that touch its own."""
@@ -109,7 +118,8 @@ class Grid:
         there = self.points.select(F.col("id").alias("other"), F.col("v").alias("u"),
                                    F.col("weight").alias("other_weight"), at_level("cell", level).alias("in"))
         pairs = self.touching(asked.select("cell").distinct(), there.select(F.col("in").alias("cell")).distinct())
-        return asked.join(pairs.withColumnRenamed("other", "in"), "cell").join(there, "in").drop("cell", "in")
+        asked = join_large(asked, pairs.withColumnRenamed("other", "in"), "cell")
+        return join_large(asked, there, "in").drop("cell", "in")
 
 
 def core_distances(grid: Grid, k: int, start: int) -> DataFrame:
@@ -129,7 +139,7 @@ def core_distances(grid: Grid, k: int, start: int) -> DataFrame:
             (F.col("id") != F.col("other")) & (F.col("d") <= side))
         # Distances within a side only: at the start few a point, later only lonely points ask.
         found = near.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("d")), 1, k).alias("near"))
-        got = store(rest.join(found, "id", "left").withColumn("near", F.coalesce("near", F.array())), "neighbours")
+        got = store(join_large(rest, found, "id", "left").withColumn("near", F.coalesce("near", F.array())), "neighbours")
         now = got.filter(F.size("near") >= k_or_less).select("id", F.when(
             F.size("near") >= k, F.col("near")[k - 1]).otherwise(float("inf")).alias("core")) if k_or_less \
             else got.select("id", F.lit(float("inf")).alias("core"))
@@ -155,6 +165,6 @@ def nearest(grid: Grid, queries: DataFrame, start: int) -> DataFrame:
         near = grid.near_pairs(rest, level).withColumn("d", d).filter(F.col("d") <= grid.side_at(level))
         found = store(near.groupBy("id").agg(F.min(F.struct("d", "other")).alias("n")).select("id", "n.other"), "nearest")
         done = found if done is None else done.unionByName(found)
-        rest = store(rest.join(found, "id", "left_anti"), "queries")
+        rest = store(join_large(rest, found, "id", "left_anti"), "queries")
         level += 1
     return queries.select("id").limit(0).withColumn("other", F.lit(None).cast("long")) if done is None else done

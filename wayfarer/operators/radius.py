@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.operators.components import connected_components
 from wayfarer.operators.hierarchy import dense_numbers
-from wayfarer.operators.points import Grid, at_level, clean_vector, distance, distinct_points
+from wayfarer.operators.points import Grid, at_level, clean_vector, distance, distinct_points, join_large
 from wayfarer.operators.reachability import KRUSKAL, shortest_between
 from wayfarer.storage import Scratch, store
 
@@ -51,11 +51,11 @@ def neighbour_rows(queries: DataFrame, points: DataFrame, grid: Grid, small: Dat
         x, low, high = F.col("v")[i], F.col("low")[i], F.col("high")[i]
         gap, span = F.greatest(low - x, x - high, F.lit(0.0)), F.greatest(high - x, x - low)
         near, far = near + gap * gap, far + span * span
-    met = asked.join(touching.withColumnRenamed("other", "in"), "cell").join(cells, "in").withColumn(
+    met = join_large(join_large(asked, touching.withColumnRenamed("other", "in"), "cell"), cells, "in").withColumn(
         "near", F.sqrt(near) * (1 - 1e-12)).withColumn("far", F.sqrt(far) * (1 + 1e-12)).filter(F.col("near") <= radius)
     inside = F.lit(False) if not counted else F.col("far") <= radius
     there = points.select(F.col("id").alias("other"), F.col("v").alias("u"), F.col("weight").alias("w"), "home")
-    opened = met.filter(~inside).select("id", "v", "home").join(there, "home").filter(
+    opened = join_large(met.filter(~inside).select("id", "v", "home"), there, "home").filter(
         distance("v", "u", width) <= radius)
     if not counted:
         return opened.select("id", "other")

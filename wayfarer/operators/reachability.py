@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.operators import points as points_module
 from wayfarer.operators.components import connected_components
-from wayfarer.operators.points import Grid, at_level, distance, spread
+from wayfarer.operators.points import Grid, at_level, distance, join_large, spread
 
 #: Pairs of points compared per point of the data before groups are cut finer.
 COMPARED = 64
@@ -58,7 +58,7 @@ def _bounds(pairs: DataFrame, width: int, side: float) -> DataFrame:
     pairs = pairs.withColumn("least", F.greatest(F.sqrt(near), core) * (1 - 1e-12)).withColumn(
         "most", F.greatest(F.sqrt(far), core) * (1 + 1e-12)).filter(F.col("least") <= side)
     best = pairs.groupBy("x", "y").agg(F.min("most").alias("best"))
-    return pairs.join(best, ["x", "y"]).filter(F.col("least") <= F.col("best")).drop("best", "least", "most")
+    return join_large(pairs, best, ["x", "y"]).filter(F.col("least") <= F.col("best")).drop("best", "least", "most")
 
 
 def _as_side(groups: DataFrame, side: str) -> DataFrame:
@@ -78,7 +78,7 @@ def short_edges(grid: Grid, points: DataFrame, level: int, n: int) -> DataFrame:
     y = points.select(F.col("id").alias("y"), F.col("v").alias("u"), F.col("core").alias("y_core"),
                       at_level("cell", level).alias("other"))
     w = F.greatest(distance("v", "u", grid.width), "x_core", "y_core")
-    pairs = x.join(grid.touching(cells, cells), "cell").join(y, "other").filter("x < y")
+    pairs = join_large(join_large(x, grid.touching(cells, cells), "cell"), y, "other").filter("x < y")
     return pairs.select("x", "y", w.alias("w"), F.col("x").alias("a"), F.col("y").alias("b")).filter(
         F.col("w") <= grid.side_at(level))
 
@@ -89,7 +89,7 @@ def shortest_between(grid: Grid, points: DataFrame, level: int, n: int, floor: i
     groups = store(_boxes(points, level, width), "groups")
     cells = groups.select("cell").distinct()
     touching = grid.touching(cells, cells).withColumnRenamed("cell", "x_cell").withColumnRenamed("other", "y_cell")
-    pairs = _as_side(groups, "x").join(touching, "x_cell").join(_as_side(groups, "y"), "y_cell").filter("x < y")
+    pairs = join_large(join_large(_as_side(groups, "x"), touching, "x_cell"), _as_side(groups, "y"), "y_cell").filter("x < y")
     pairs = store(_bounds(pairs, width, side), "group-pairs")
     at = level
     while at > floor:
@@ -102,11 +102,11 @@ def shortest_between(grid: Grid, points: DataFrame, level: int, n: int, floor: i
         for s in ("x", "y"):
             half = finer.select(F.col("in").alias(f"{s}_in"), F.col("comp").alias(s),
                                 *[F.col(c).alias(f"{s}_{c}") for c in ("cell", "n", "core", "low", "high")])
-            halves = halves.join(half, [s, f"{s}_in"]).drop(f"{s}_in")
+            halves = join_large(halves, half, [s, f"{s}_in"]).drop(f"{s}_in")
         pairs = store(_bounds(halves, width, side), "group-pairs")
     found = pairs.select("x", "y", "x_cell", "y_cell")
     for s, name, v, core in (("x", "p", "v", "p_core"), ("y", "q", "u", "q_core")):
-        found = found.join(points.select(
+        found = join_large(found, points.select(
             F.col("comp").alias(s), at_level("cell", at).alias(f"{s}_cell"), F.col("id").alias(name),
             F.col("v").alias(v), F.col("core").alias(core)), [s, f"{s}_cell"])
     w = F.greatest(distance("v", "u", width), "p_core", "q_core")
@@ -159,8 +159,8 @@ def contracted_tree(edges: DataFrame, store: Callable, kruskal: int = KRUSKAL) -
         member, path = connected_components(best.select("x", "y"), kruskal)
         store.paths.append(path)
         for s in ("x", "y"):
-            now = now.join(member.select(F.col("node").alias(s), F.col("component").alias("to")), s, "left").withColumn(
-                s, F.coalesce("to", s)).drop("to")
+            now = join_large(now, member.select(F.col("node").alias(s), F.col("component").alias("to")), s, "left") \
+                .withColumn(s, F.coalesce("to", s)).drop("to")
         now = now.filter("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "w", "a", "b")
         now = store(now.groupBy("x", "y").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("x", "y", "e.*"), "edges")
         picked = best.select("a", "b", "w")
@@ -170,7 +170,7 @@ def contracted_tree(edges: DataFrame, store: Callable, kruskal: int = KRUSKAL) -
 def reachability_tree(grid: Grid, cores: DataFrame, n: int, start: int, store: Callable,
                       kruskal: int = KRUSKAL) -> DataFrame:
     """(a, b, w): the n - 1 edges of the minimum spanning tree; ``cores`` has (id, core)."""
-    points = store(grid.points.select("id", "v", "cell").join(cores, "id").withColumn("comp", F.col("id")), "reach")
+    points = store(join_large(grid.points.select("id", "v", "cell"), cores, "id").withColumn("comp", F.col("id")), "reach")
     tree, joined, level = None, 0, start
     while joined < n - 1:
         edges = shortest_between(grid, points, level, n, 0) if joined else short_edges(grid, points, level, n)
@@ -182,7 +182,7 @@ def reachability_tree(grid: Grid, cores: DataFrame, n: int, start: int, store: C
             if joined < n - 1:
                 member, path = connected_components(tree.select("a", "b"), kruskal)
                 store.paths.append(path)
-                points = store(points.drop("comp").join(member.select(
+                points = store(join_large(points.drop("comp"), member.select(
                     F.col("node").alias("id"), "component"), "id", "left").withColumn(
                     "comp", F.coalesce("component", "id")).drop("component"), "reach")
         level += 1
